@@ -24,7 +24,7 @@ OP2_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS v FROM documents),
 s AS (
   SELECT DISTINCT doc_id, shingle FROM (
-    SELECT doc_id, unnest(CASE WHEN len(v) >= 4 THEN list_transform(range(1, len(v) - 2), i -> array_to_string(v[i:i + 3], ' '))
+    SELECT doc_id, unnest(CASE WHEN len(v) >= 4 THEN list_transform(range(1, len(v) - 2), lambda i: array_to_string(v[i:i + 3], ' '))
                                WHEN len(v) > 0 THEN [array_to_string(v, ' ')] ELSE [] END) AS shingle FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
