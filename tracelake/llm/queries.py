@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm.decontaminate import contamination
 from tracelake.llm.jaccard_join import ngram_jaccard_join
+from tracelake.llm.quality_rules import host_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,17 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
+
+
+def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = host_quality(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return rated.select("doc_id", *(f"__quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = rf"""
@@ -34,10 +47,51 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = d.doc_id
 """
 
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item, least(len(v), 13) AS m, array_to_string(v[i:i + least(len(v), 13) - 1], ' ') AS k FROM b, unnest(range(1, len(v) - least(len(v), 13) + 2)) u(i) WHERE len(v) > 0),
+ms AS (SELECT DISTINCT m FROM bw),
+dw AS (SELECT doc_id, m, i, array_to_string(v[i:i + m - 1], ' ') AS k FROM d, ms, unnest(range(1, len(v) - m + 2)) u(i) WHERE len(v) >= m),
+h AS (SELECT doc_id, i, dw.m, item FROM dw JOIN bw ON bw.k = dw.k AND bw.m = dw.m),
+p AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, m)) u(j) GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(v) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(v) AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
+"""
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS v FROM documents),
+x AS (
+  SELECT doc_id, i, array_to_string(v[i:i + 2], ' ') AS k FROM w, unnest(range(1, len(v) - 1)) u(i) WHERE len(v) > 2),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM x),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM y, unnest([0, 1, 2]) u(j) WHERE n > 1 GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, source, CAST(len(v) AS BIGINT) AS n_words, CAST(length(array_to_string(v, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) AS BIGINT) AS n_lines,
+    CAST(len(list_distinct(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_kinds,
+    coalesce(r.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+h AS (SELECT *, base_failed OR n_symbols > 0.1 * word_chars OR n_lines - n_kinds > 0.3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS failed FROM g),
+hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS fails FROM h GROUP BY source),
+prior AS (SELECT avg(fails / n) AS m, var_pop(fails / n) AS v FROM hosts),
+k AS (SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS k FROM prior),
+rates AS (SELECT source, (fails + k * m) / (n + k) AS rate FROM hosts, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines - n_kinds AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+FROM h LEFT JOIN rates ON h.source IS NOT DISTINCT FROM rates.source
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op8_host_quality_rules": op8_host_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
+    "op3_benchmark_decontamination": OP3_SQL,
+    "op8_host_quality_rules": OP8_SQL,
 }
