@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.decontaminate import contamination
 from tracelake.llm.jaccard_join import ngram_jaccard_join
 from tracelake.llm.quality_rules import host_quality
+from tracelake.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = host_quality(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return rated.select("doc_id", *(f"__quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
@@ -61,6 +66,17 @@ SELECT d.doc_id, CAST(len(v) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS v FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(v[i:i + 34], ' ')) AS k FROM w, unnest(range(1, len(v) - 33)) u(i) WHERE len(v) >= 35),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM x),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM y, unnest(range(0, 35)) u(j) WHERE n > 1),
+words AS (SELECT doc_id, i, v[i] AS word FROM w, unnest(range(1, len(v) + 1)) u(i)),
+kept AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.i) AS t, count(*) AS n FROM words a ANTI JOIN gone g ON g.doc_id = a.doc_id AND g.i = a.i GROUP BY a.doc_id)
+SELECT w.doc_id, CAST(len(v) AS BIGINT) AS n_words, CAST(len(v) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
 OP8_SQL = r"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS v FROM documents),
 x AS (
@@ -87,11 +103,13 @@ FROM h LEFT JOIN rates ON h.source IS NOT DISTINCT FROM rates.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_host_quality_rules": op8_host_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
+    "op7_substring_dedup": OP7_SQL,
     "op8_host_quality_rules": OP8_SQL,
 }
