@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.decontaminate import contamination
 from tracelake.llm.jaccard_join import ngram_jaccard_join
+from tracelake.llm.mixing import mix_sources
 from tracelake.llm.quality_rules import host_quality
+from tracelake.llm.shards import pack_shards
 from tracelake.llm.substring_dedup import substring_dedup
 
 
@@ -17,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), budget_share=1.0, entropy=0.95, max_epochs=4.0)
+    return mixed.select(F.col("id").alias("doc_id"), "source", "n_tokens", "weight", "budget", "copies", "block", "position")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "contaminated")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_shards(_table(spark, sf_dir, "documents"), shards=24)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -101,8 +112,10 @@ FROM h LEFT JOIN rates ON h.source IS NOT DISTINCT FROM rates.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_sharding": op4_sharding,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_host_quality_rules": op8_host_quality_rules,
 }
