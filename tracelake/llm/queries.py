@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.decontaminate import contamination
 from tracelake.llm.jaccard_join import ngram_jaccard_join
+from tracelake.llm.language_id import identify_languages
 from tracelake.llm.mixing import mix_sources
 from tracelake.llm.quality_rules import host_quality
 from tracelake.llm.shards import pack_shards
 from tracelake.llm.substring_dedup import substring_dedup
+from tracelake.llm.token_counts import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,15 @@ def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", *(f"__quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(_table(spark, sf_dir, "documents"), with_spans=False)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = rf"""
@@ -118,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_host_quality_rules": op8_host_quality_rules,
+    "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
