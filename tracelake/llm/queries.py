@@ -11,6 +11,7 @@ from tracelake.llm.decontaminate import contamination
 from tracelake.llm.jaccard_join import ngram_jaccard_join
 from tracelake.llm.language_id import identify_languages
 from tracelake.llm.mixing import mix_sources
+from tracelake.llm.pii import KINDS, find_personal_data
 from tracelake.llm.quality_rules import host_quality
 from tracelake.llm.shards import pack_shards
 from tracelake.llm.substring_dedup import substring_dedup
@@ -40,6 +41,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_shards(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    names = F.array(*(F.lit(k) for k in KINDS))
+    digest = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
+    count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
+    return found.select(F.col("id").alias("doc_id"), *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -127,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_sharding": op4_sharding,
+    "op6_personal_data": op6_personal_data,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_language_id": op9_language_id,
