@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.decontaminate import contamination
 from tracelake.llm.jaccard_join import ngram_jaccard_join
 from tracelake.llm.language_id import identify_languages
+from tracelake.llm.licenses import scan_licenses
 from tracelake.llm.mixing import mix_sources
 from tracelake.llm.pii import KINDS, find_personal_data
 from tracelake.llm.quality_rules import host_quality
@@ -28,7 +29,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_shards(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(_table(spark, sf_dir, "documents"))
     names = F.array(*(F.lit(k) for k in KINDS))
@@ -136,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_license_scan": op5_license_scan,
     "op6_personal_data": op6_personal_data,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_host_quality_rules": op8_host_quality_rules,
