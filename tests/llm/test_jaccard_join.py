@@ -47,11 +47,11 @@ def texts(seed=0, n=120):
     return out + [(5000, None), (5001, ""), (5002, " \t\n"), (5003, "A b"), (5004, "a  B"), (5005, "É b"), (5006, "é b"), (5007, "x y z")]
 
 
-@pytest.mark.parametrize("limit", [8_000_000, 3_000])
+@pytest.mark.parametrize("limit", [8_000_000, 15_000])
 def test_equals_brute_force(spark, limit):
     rows = texts(limit % 7)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, ngram_jaccard_join(df, region_shingles=limit).collect()))
+    got = sorted(map(tuple, ngram_jaccard_join(df, shingle=4, percent=85, region_shingles=limit).collect()))
     assert got == brute(rows)
 
 
@@ -60,5 +60,5 @@ def test_empty_repeated_and_clashing(spark):
     assert ngram_jaccard_join(empty).collect() == []
     rows = [(1, "a b c d e", "x"), (1, "a b c d e", "y"), (2, "q r s t u", None), (1, "q r s t u", "z"), (None, "a b c d e", "n"), (9, "k", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, doc string")
-    got = sorted(map(tuple, ngram_jaccard_join(df).collect()), key=str)
+    got = sorted(map(tuple, ngram_jaccard_join(df, shingle=4, percent=85).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, None), (9, 1, 9)], key=str)

@@ -9,8 +9,8 @@ Two kinds of pivots make the regions:
   region the distance to a superset of all texts grows with n, and texts are cut apart where sizes leave a gap wider than t.
 * Inside a region texts are the pivots: each other text's distance d to the pivot is taken; by the triangle inequality two
   texts whose distances differ by more than r = 1 - t cannot link, so the region splits at gaps wider than r and the parts
-  are joined recursively. A pair that is connected already is not looked at again, so a group of n near copies costs
-  about n distances and gives n - 1 links, never all pairs.
+  are joined recursively. A part that does not split is compared through postings of its texts' differences from what most of
+  them share. Pairs that are connected already are passed over: a group of n near copies gives n - 1 links, never all pairs.
 
 Overlapping regions are joined together, one task each; those over ``region_shingles`` are first taken apart by shingle, and a
 single shingle's region over it is split by pivots in distributed rounds, with the same rules.
@@ -37,6 +37,8 @@ from tracelake.llm.words import WordHashes, hash_words, sequence_hash, window_ha
 
 #: At most so many ids are broadcast (8 bytes each, and as much again for the region); above it Spark shuffles.
 BROADCAST_IDS = 1_000_000
+#: A region's weight is its shingles and so many for each text, which bounds its texts too.
+DOC_WEIGHT = 400
 
 
 def _least_shared(n: np.ndarray | int, percent: int):
@@ -80,30 +82,40 @@ def _sets(width: int):
         known = WordHashes()
         for batch in batches:
             sets = [x.tobytes() for x in _shingle_sets(batch.column("text").to_pylist(), known, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc"), pa.array(sets, pa.binary()), pa.nulls(batch.num_rows, pa.list_(pa.int64()))], names=["region", "doc", "shingles", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc"), pa.array(sets, pa.binary())], names=["region", "doc", "shingles"])
 
     return run
 
 
+def _differences(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each set against the shingles that more than half of the sets hold: how many differ, and ``(set, shingle)`` of the differences that others share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(2 * count > len(sets))
+    column = np.full(len(count), -1)
+    column[common] = np.arange(len(common))
+    usual = column[token] >= 0
+    lacks = np.ones((len(sets), len(common)), bool)
+    lacks[owner[usual], column[token[usual]]] = False
+    size = np.bincount(owner[~usual], minlength=len(sets)) + lacks.sum(axis=1)
+    shared = ~usual & (count[token] > 1)
+    lack_set, lack_column = np.nonzero(lacks)
+    return size, np.concatenate([owner[shared], lack_set]), np.concatenate([token[shared], common[lack_column]])
+
+
 class _Region:
     """The texts of one region: links that connect all texts within reach of each other."""
 
     def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int):
         self.ids, self.sets, self.percent = ids, sets, percent
         self.n = np.array([len(x) for x in sets], np.int64)
-        self.up = np.arange(len(ids))
+        self.root = np.arange(len(ids))
         self.links: list[tuple[int, int]] = []
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return int(i)
-
     def join(self, i: int, j: int, link: bool = True) -> None:
-        a, b = self.root(i), self.root(j)
+        a, b = self.root[i], self.root[j]
         if a != b:
-            self.up[max(a, b)] = min(a, b)
+            self.root[self.root == max(a, b)] = min(a, b)
             if link:
                 self.links.append((int(self.ids[i]), int(self.ids[j])))
 
@@ -120,11 +132,10 @@ class _Region:
         stack = [members]
         while stack:
             m = stack.pop()
-            roots = np.array([self.root(i) for i in m])
-            kinds, counts = np.unique(roots, return_counts=True)
+            kinds, counts = np.unique(self.root[m], return_counts=True)
             if len(kinds) < 2:
                 continue
-            pivot = int(m[roots == kinds[counts.argmin()]][0])
+            pivot = int(m[self.root[m] == kinds[counts.argmin()]][0])
             rest = m[m != pivot]
             same = self.shared(pivot, rest)
             union = self.n[pivot] + self.n[rest] - same
@@ -132,29 +143,46 @@ class _Region:
                 self.join(pivot, int(j))
             d = 1 - same / union
             order = np.argsort(d, kind="stable")
-            cuts = np.flatnonzero(np.diff(d[order]) > reach) + 1
-            stack += [x for x in np.split(rest[order], cuts) if len(x) > 1]
+            parts = np.split(rest[order], np.flatnonzero(np.diff(d[order]) > reach) + 1)
+            if len(parts) > 1 and max(map(len, parts)) < 0.9 * len(rest):
+                stack += [x for x in parts if len(x) > 1]
+            else:
+                for x in parts:
+                    self.pairs(x)
+
+    def pairs(self, m: np.ndarray) -> None:
+        """A region that no pivot splits. Its texts are compared by how they differ from what most of them share, by way of postings."""
+        if len(np.unique(self.root[m])) < 2:
+            return
+        size, owner, token = _differences([self.sets[i] for i in m])
+        by_token = np.argsort(token, kind="stable")
+        holders = owner[by_token]
+        at = np.searchsorted(token[by_token], np.arange(token.max() + 2 if len(token) else 1))
+        by_owner = np.argsort(owner, kind="stable")
+        tokens = token[by_owner]
+        own = np.searchsorted(owner[by_owner], np.arange(len(m) + 1))
+        n = self.n[m]
+        for i in range(len(m) - 1):
+            later = np.flatnonzero(self.root[m[i + 1 :]] != self.root[m[i]]) + i + 1
+            if not len(later):
+                continue
+            lists = [holders[at[t] : at[t + 1]] for t in tokens[own[i] : own[i + 1]]]
+            both = np.bincount(np.concatenate(lists), minlength=len(m))[later] if lists else 0
+            apart = size[i] + size[later] - 2 * both
+            same = (n[i] + n[later] - apart) // 2
+            for j in later[100 * same >= self.percent * (same + apart)]:
+                self.join(int(m[i]), int(m[j]))
 
 
 def _join_region(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = rows[rows["shingles"].notna()]
-        texts = texts.assign(key=list(zip(texts["doc"], texts["shingles"], strict=True))).drop_duplicates("key")
-        region = _Region(texts["doc"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) for x in texts["shingles"]], percent)
-        at: dict[int, list[int]] = {}
+    def run(rows: pa.Table) -> pa.Table:
+        texts = dict.fromkeys(zip(rows["doc"].to_pylist(), rows["shingles"].to_pylist(), strict=True))
+        region = _Region(np.array([doc for doc, _ in texts], np.int64), [np.frombuffer(x, np.uint64) for _, x in texts], percent)
+        first: dict[int, int] = {}
         for i, doc in enumerate(region.ids):
-            at.setdefault(int(doc), []).append(i)
-        for own in at.values():
-            for i in own[1:]:
-                region.join(own[0], i, link=False)
-        parts: dict[int, list[int]] = {}
-        held = rows[rows["parts"].notna()]
-        for doc, own in zip(held["doc"], held["parts"], strict=True):
-            for part in own:
-                parts.setdefault(int(part), []).extend(at.get(int(doc), ()))
-        for members in sorted({tuple(sorted(set(x))) for x in parts.values() if len(x) > 1}, key=lambda x: (-len(x), x)):
-            region.solve(np.array(members, np.int64))
-        return pd.DataFrame(region.links, columns=["a", "b"], dtype=np.int64)
+            region.join(first.setdefault(int(doc), i), i, link=False)
+        region.solve(np.arange(len(region.ids)))
+        return pa.table({"a": pa.array([a for a, _ in region.links], pa.int64()), "b": pa.array([b for _, b in region.links], pa.int64())})
 
     return run
 
@@ -174,7 +202,7 @@ def _split_hot(hot: DataFrame, percent: int, limit: int) -> tuple[DataFrame, lis
     links: list[DataFrame] = []
     while True:
         # a region of one class needs no more work; the others' sizes decide where it goes on
-        about = hot.groupBy("region").agg(F.sum("n").alias("weight"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
+        about = hot.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
         live = hot.join(about.select("region", "weight"), "region")
         done.append(keep(live.where(F.col("weight") <= limit).select("region", "doc"), "small"))
         hot = keep(live.where(F.col("weight") > limit).drop("weight"), "hot")
@@ -231,35 +259,34 @@ def jaccard_links(texts: DataFrame, about: DataFrame, shingle: int, percent: int
     held = held.withColumn("many", F.count("*").over(part)).withColumn("lead", F.min("doc").over(part)).where("many > 1")
     held = keep(held.select("doc", "n", "lead", F.xxhash64("token", "cut").alias("part")), "held")
 
-    near = connected_components(held.select(F.col("doc").alias("a"), F.col("lead").alias("b")))
-    own = held.join(near.toDF("doc", "region"), "doc").groupBy("doc", "n", "region").agg(F.collect_list("part").alias("parts"))
-    weight = own.groupBy("region").agg(F.sum("n").alias("weight"))
+    near = connected_components(held.select(F.col("doc").alias("a"), F.col("lead").alias("b"))).toDF("doc", "region")
+    own = held.select("doc", "n").distinct().join(near, "doc")
+    weight = own.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"))
     own = keep(own.join(weight, "region"), "regions")
-    small = own.where(F.col("weight") <= region_shingles).select("region", "doc", "parts")
+    small = own.where(F.col("weight") <= region_shingles).select("region", "doc")
     links: list[DataFrame] = []
     large = own.where(F.col("weight") > region_shingles)
     if large.take(1):
-        by_part = large.select("doc", "n", F.explode("parts").alias("region"))
+        by_part = held.join(large.select("doc"), "doc").select("doc", "n", F.col("part").alias("region"))
         # one of the regions that hold the same texts is enough
-        alike = by_part.groupBy("region").agg(F.sum("n").alias("weight"), F.count("*").alias("m"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("who2"))
+        who = [F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("who2")]
+        alike = by_part.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"), F.count("*").alias("m"), *who)
         alike = alike.groupBy("weight", "m", "who", "who2").agg(F.min("region").alias("region"))
         by_part = keep(by_part.join(alike.select("region", "weight"), "region"), "parts")
-        small = small.unionByName(by_part.where(F.col("weight") <= region_shingles).select("region", "doc", F.array("region").alias("parts")))
+        small = small.unionByName(by_part.where(F.col("weight") <= region_shingles).select("region", "doc"))
         hot = by_part.where(F.col("weight") > region_shingles).select("region", "doc")
         if hot.take(1):
-            sets = _only(texts, hot.select("doc").distinct()).select(F.lit(0).cast("long").alias("region"), "doc", "text").mapInArrow(_sets(shingle), "region long, doc long, shingles binary, parts array<long>")
+            sets = _only(texts, hot.select("doc").distinct()).select(F.lit(0).cast("long").alias("region"), "doc", "text").mapInArrow(_sets(shingle), "region long, doc long, shingles binary")
             hot = hot.join(sets.select("doc", "shingles"), "doc").select("region", "doc", (F.length("shingles") / 8).cast("long").alias("n"), "shingles", F.col("doc").alias("class"))
             left, links = _split_hot(keep(hot, "hot"), percent, region_shingles)
-            small = small.unionByName(left.select("region", "doc", F.array("region").alias("parts")))
-    ids = small.select("region", "doc")
-    sets = _only(texts, ids).select("region", "doc", "text").mapInArrow(_sets(shingle), "region long, doc long, shingles binary, parts array<long>")
-    rows = sets.unionByName(small.select("region", "doc", F.lit(None).cast("binary").alias("shingles"), "parts"))
-    links.append(rows.groupBy("region").applyInPandas(_join_region(percent), "a long, b long"))
+            small = small.unionByName(left)
+    sets = _only(texts, small).select("region", "doc", "text").mapInArrow(_sets(shingle), "region long, doc long, shingles binary")
+    links.append(sets.groupBy("region").applyInArrow(_join_region(percent), "a long, b long"))
     return _union(links)
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 85, counted: float = 0.2, region_shingles: int = 8_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, counted: float = 0.2, region_shingles: int = 8_000_000
 ) -> DataFrame:
     """One row a row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
 
