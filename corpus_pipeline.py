@@ -3,12 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from tracelake.llm.decontaminate import decontaminate
+from tracelake.llm.jaccard_join import BROADCAST_IDS, ngram_jaccard_join
+from tracelake.llm.mixing import apply_mix
+from tracelake.llm.quality_rules import keep_good
 from tracelake.llm.scratch import keep
+from tracelake.llm.shards import pack_shards
 
-STAGES: list = []
 
-#: Components and the mixing exponent have no SQL form; the stages are tested against brute force.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules, of hosts that pass theirs."""
+    return keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; of rows that share an id, one. Rows without an id stay."""
+    labels = keep(ngram_jaccard_join(docs, shingle=5, percent=80), "labels")
+    gone = labels.where("component_id <> doc_id").select("doc_id").distinct()
+    several = labels.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
+    if not several.take(1):
+        return left
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(c for c in docs.columns if c != "doc_id")))
+    one = left.join(few(several), "doc_id", "left_semi").withColumn("__nth", first).where("__nth = 1").select(docs.columns)
+    return left.join(few(several), "doc_id", "left_anti").select(docs.columns).unionByName(one)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least about once, small sources up to twice as often as the largest."""
+    return apply_mix(docs, max_epochs=2.0)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each row."""
+    return pack_shards(docs, shards=24)
+
+
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("source mixing", mixing), ("sharding", sharding)]
+
+#: The near-duplicate components, the mixing exponent and the packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
