@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.components import connected_components
 from tracelake.llm.scratch import keep
-from tracelake.llm.words import WordHashes, hash_words, sequence_hash, window_hashes
+from tracelake.llm.words import WordHashes, chunks, hash_words, sequence_hash, window_hashes
 
 #: At most so many ids are broadcast (8 bytes each, and as much again for the region); above it Spark shuffles.
 BROADCAST_IDS = 1_000_000
@@ -46,15 +46,16 @@ def _least_shared(n: np.ndarray | int, percent: int):
 
 
 def _shingle_sets(texts: list[bytes | None], known: WordHashes, width: int) -> Iterator[np.ndarray]:
-    words, starts = hash_words(texts, known, lower=True)
-    windows = window_hashes(words, width)
-    for s, e in zip(starts[:-1], starts[1:], strict=True):
-        if e - s >= width:
-            yield np.unique(windows[s : e - width + 1])
-        elif e > s:
-            yield np.array([sequence_hash(words[s:e])], np.uint64)
-        else:
-            yield np.zeros(0, np.uint64)
+    for a, b in chunks(texts):
+        words, starts = hash_words(texts[a:b], known, lower=True)
+        windows = window_hashes(words, width)
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            if e - s >= width:
+                yield np.unique(windows[s : e - width + 1])
+            elif e > s:
+                yield np.array([sequence_hash(words[s:e])], np.uint64)
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def _describe(width: int, percent: int, counted: float):

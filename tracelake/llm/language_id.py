@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.words import chunks
+
 _LETTER = re.compile(r"[^\W\d_]")
-_CHUNK_BYTES = 6_000_000
+_CHUNK_BYTES = 3_000_000
 #: A script counts for a language if at least this share of its words begin in it.
 _SCRIPT_SHARE = 0.01
 _SCRIPTS = 10
@@ -59,17 +61,6 @@ def _word_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data[1:] != 32) & (data[:-1] == 32)) + 1
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= _CHUNK_BYTES:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -77,7 +68,7 @@ def _count(buckets: int):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
-                for a, b in _chunks(own):
+                for a, b in chunks(own, _CHUNK_BYTES):
                     data, _ = _encode(own[a:b])
                     n = counts.setdefault(lang, np.zeros(buckets + _SCRIPTS, np.int64))
                     n[:buckets] += np.bincount(_triples(data, buckets)[0], minlength=buckets)
@@ -171,7 +162,7 @@ def _predict(model: LanguageModel, with_spans: bool):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             out: list[tuple[str, float, list[dict] | None]] = []
-            for a, b in _chunks(texts):
+            for a, b in chunks(texts, _CHUNK_BYTES):
                 labels, first = word_labels(texts[a:b], model) if model.langs else (np.zeros(0, np.int8), np.zeros(b - a + 1, int))
                 for text, s, e in zip(texts[a:b], first[:-1], first[1:], strict=True):
                     out.append(one(labels[s:e]) if e > s and _LETTER.search(text) else ("und", 0.0, [] if with_spans else None))

@@ -23,23 +23,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.llm.scratch import keep, shared_dir
-from tracelake.llm.words import WordHashes, finish, hash_words, window_hashes
+from tracelake.llm.words import WordHashes, chunks, finish, hash_words, window_hashes
 
 #: Documents with something to expand or to cut are broadcast up to so many (about 100 bytes each); above it Spark shuffles.
 BROADCAST_DOCS = 500_000
-#: Words hashed at a time, unless one text has more.
-_CHUNK = 2_000_000
-
-
-def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"") // 5 + 1
-        if size >= _CHUNK:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
 
 
 def _windows(texts: list[bytes | None], known: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +72,7 @@ def _fingerprints(width: int, gram: int):
         known = WordHashes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in _chunks(texts):
+            for a, b in chunks(texts):
                 words, starts, valid = _windows(texts[a:b], known, width)
                 fp, lo, count, span = stretches(words, valid, width, gram)
                 owner = np.searchsorted(starts, lo, side="right") - 1
@@ -103,7 +90,7 @@ def _expand(width: int):
         known = WordHashes()
         for batch in batches:
             texts, asked = batch.column("text").to_pylist(), batch.column("asked").to_pylist()
-            for a, b in _chunks(texts):
+            for a, b in chunks(texts):
                 words, starts, _ = _windows(texts[a:b], known, width)
                 h1, h2 = window_hashes(words, width), window_hashes(words, width, 7)
                 owner = np.repeat(np.arange(a, b), [len(x) for x in asked[a:b]])

@@ -5,12 +5,16 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D, which is what ``bytes.sp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xBF58476D1CE4E5B9)
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 300_000
+#: Bytes of text hashed at a time, unless one text has more; bounds the arrays of a worker.
+CHUNK_BYTES = 2_000_000
 
 
 class WordHashes(dict):
@@ -23,6 +27,18 @@ class WordHashes(dict):
         return h
 
 
+def chunks(texts: list, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``most`` bytes (or characters) each."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def hash_words(texts: list[bytes | None], known: WordHashes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts one after another, and where each text's words begin (one entry more than texts)."""
     get, parts, starts = known.__getitem__, [], np.zeros(len(texts) + 1, np.int64)
