@@ -5,6 +5,257 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.functions import embedding, scores
+from tracelake.functions.constants import DIMS
+from tracelake.functions.redaction_rules import REDACTION_RULES, STRICT_RULES
+from tracelake.operators import access, aggregates, credit, dedup, ranking, redaction, search, turns, windows
+from tracelake.plans.roles import ROLES, role, table, with_roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+AS_OF = "2001-08-01"
+
+
+class _Roles:
+    """``r.experiences`` is the role, ``r.documents`` the table."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return role(self.spark, self.sf_dir, name) if name in ROLES else table(self.spark, self.sf_dir, name)
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _add(name: str, make: Callable[[_Roles], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _rounded(make(_Roles(spark, sf_dir)))
+    if sql is not None:
+        ORACLES[name] = with_roles(sql)
+
+
+_Q = " + ".join(f"{w} * q_{d}" for d, w in (("outcome", "0.30"), ("intent", "0.20"), ("execution", "0.20"), ("orchestration", "0.15"), ("expression", "0.15")))
+_QS = f"CASE WHEN q_update_count > 0 OR abs({_Q}) > 1e-9 THEN {_Q} ELSE trajectory_score END"
+_SHARED = "acl = 'public' AND publish_status = 'published' AND NOT revoked"
+_FEEDBACK = """SELECT experience_id, count(DISTINCT event_id) AS event_count, count(*) AS feedback_count, count(*) FILTER (was_used) AS used_count, count(*) FILTER (NOT was_used) AS not_used_count,
+  count(*) FILTER (reward > 0) AS positive_count, count(*) FILTER (reward < 0) AS negative_count, avg(reward) AS avg_reward, avg(confidence) AS avg_confidence, max(feedback_at) AS latest_feedback_at
+  FROM reuse_items WHERE feedback_at IS NOT NULL GROUP BY experience_id"""
+
+# predicates and access
+
+_add("p1_searchable", lambda r: access.searchable(r.experiences).select("experience_id"), "SELECT experience_id FROM experiences WHERE review_status IN ('approved', 'auto_approved', 'edited') AND extraction_status = 'done' AND NOT revoked")
+_add("p2_browse", lambda r: access.browse(r.experiences, review="approved", search="99", limit=50, offset=3).select("experience_id", "created_at"),
+     f"SELECT experience_id, created_at FROM experiences WHERE {_SHARED} AND review_status = 'approved' AND (contains(intent_text, '99') OR contains(CAST(experience_id AS VARCHAR), '99')) ORDER BY created_at DESC, experience_id LIMIT 50 OFFSET 3")
+_add("p3_distinct_values", lambda r: access.distinct_values(r.experiences, "task_type"), f"SELECT DISTINCT task_type AS value FROM experiences WHERE {_SHARED}")
+_add("p4_acl_parse", lambda r: r.experiences.select("experience_id", access.acl_kind(F.col("acl")).alias("kind"), access.acl_team(F.col("acl")).alias("team"), access.ingest_acl(F.col("acl")).alias("ingest"), access.ingest_status(F.lit("human_review"), F.col("acl")).alias("review")),
+     """SELECT experience_id, CASE WHEN acl IN ('public', 'org') THEN 'public' WHEN acl LIKE 'team:_%' THEN 'team' ELSE 'private' END AS kind, CASE WHEN acl LIKE 'team:_%' THEN acl[6:] END AS team,
+     CASE WHEN acl LIKE 'team:_%' THEN acl ELSE 'private' END AS ingest, CASE WHEN acl LIKE 'team:_%' THEN 'pending' ELSE 'auto_approved' END AS review FROM experiences""")
+_add("j5_visible_rows", lambda r: access.visible_rows(r.agents.where("agent_id % 50 = 0").select(F.col("agent_id").alias("viewer_id")), r.experiences, r.agents).groupBy("viewer_id", "how").agg(F.count("*").alias("n"), F.sum("experience_id").alias("ids")),
+     """WITH who AS (SELECT agent_id, team, coalesce(nullif(owner, ''), name) AS owner FROM agents), v AS (SELECT * FROM who WHERE agent_id % 50 = 0), live AS (SELECT * FROM experiences WHERE NOT revoked)
+     SELECT v.agent_id AS viewer_id, 'own' AS how, count(*) AS n, CAST(sum(experience_id) AS BIGINT) AS ids FROM v JOIN who o ON o.owner = v.owner JOIN live e ON e.agent_id = o.agent_id GROUP BY 1
+     UNION ALL SELECT v.agent_id, 'team', count(*), CAST(sum(experience_id) AS BIGINT) FROM v JOIN live e ON e.acl = 'team:' || v.team GROUP BY 1
+     UNION ALL SELECT NULL, 'shared', count(*), CAST(sum(experience_id) AS BIGINT) FROM live WHERE acl IN ('public', 'org') AND publish_status = 'published'""")
+_add("p7_scope", lambda r: access.row_scope(r.experiences.join(r.agents.select("agent_id", access.owner_name(F.col("owner"), F.col("name")).alias("owner")), "agent_id"), "me", "owner-7", True, r.agents.where("owner IN ('owner-8', 'owner-9')").groupBy("owner").agg((F.min("agent_id") % 2 == 0).alias("include_high"))).groupBy("scope").agg(F.count("*").alias("n"), F.sum("experience_id").alias("ids")),
+     """WITH g AS (SELECT owner, min(agent_id) % 2 = 0 AS include_high FROM agents WHERE owner IN ('owner-8', 'owner-9') GROUP BY owner), e AS (SELECT e.*, coalesce(nullif(owner, ''), name) AS o FROM experiences e JOIN agents a ON a.agent_id = e.agent_id)
+     SELECT CASE WHEN o = 'owner-7' THEN 'personal' WHEN g.owner IS NOT NULL AND (sensitivity <> 'high' OR include_high) THEN 'project' WHEN acl IN ('public', 'org') AND publish_status = 'published' THEN 'community' END AS scope, count(*) AS n, CAST(sum(experience_id) AS BIGINT) AS ids
+     FROM e LEFT JOIN g ON g.owner = e.o GROUP BY 1""")
+_add("a26_owner_quota", lambda r: access.owner_quota(r.publish_events), "SELECT owner, count(*) FILTER (action = 'publish') AS publish_count, count(*) FILTER (action = 'unpublish') AS unpublished_count, publish_count >= 3 AS unlocked, greatest(0, 3 - publish_count) AS remaining FROM publish_events GROUP BY owner")
+_add("j14_cascade", lambda r: access.cascade(r.turn_rewards, r.experiences.where("revoked")).groupBy("experience_id").agg(F.count("*").alias("n")), "SELECT experience_id, count(*) AS n FROM turn_rewards WHERE experience_id NOT IN (SELECT experience_id FROM experiences WHERE revoked) GROUP BY 1")
+_add("j14_revoke", lambda r: access.revoke(r.experiences, r.q_updates.select("experience_id")).groupBy("review_status", "revoked").agg(F.count("*").alias("n")),
+     "SELECT CASE WHEN experience_id IN (SELECT experience_id FROM q_updates) THEN 'revoked' ELSE review_status END AS review_status, revoked OR experience_id IN (SELECT experience_id FROM q_updates) AS revoked, count(*) AS n FROM experiences GROUP BY 1, 2")
+_add("r10_publish", lambda r: access.publish(r.experiences.withColumn("owner", F.col("agent_id") % 10), r.experiences.select(F.expr("experience_id + 5").alias("experience_id"), (F.col("experience_id") % 10).alias("owner")), r.turn_rewards.where("r_outcome = 1").select("experience_id")).groupBy("verdict").agg(F.count("*").alias("n"), F.sum("n_hits").alias("hits")),
+     """WITH q AS (SELECT experience_id + 5 AS experience_id, experience_id % 10 AS asked_by FROM experiences), b AS (SELECT experience_id, count(*) AS n_hits FROM turn_rewards WHERE r_outcome = 1 GROUP BY 1)
+     SELECT CASE WHEN e.experience_id IS NULL THEN 'not_found' WHEN agent_id % 10 <> asked_by THEN 'not_owner' WHEN revoked THEN 'revoked' WHEN acl = 'public' AND publish_status = 'published' THEN 'already_public' WHEN n_hits > 0 THEN 'strict_check' ELSE 'published' END AS verdict,
+     count(*) AS n, CAST(sum(coalesce(n_hits, 0)) AS BIGINT) AS hits FROM q LEFT JOIN experiences e ON e.experience_id = q.experience_id LEFT JOIN b ON b.experience_id = q.experience_id GROUP BY 1""")
+
+# aggregates
+
+_add("a1_q_scalar", lambda r: aggregates.q_table(r.experiences), f"SELECT experience_id, round({_Q}, 6) AS q_scalar, round({_QS}, 6) AS q_shown FROM experiences")
+_add("a2_facets", lambda r: aggregates.facet_counts(r.experiences, "review_status", "task_type", "sensitivity"),
+     """SELECT NULL AS facet, NULL AS value, count(*) AS n FROM experiences UNION ALL SELECT 'review_status', review_status, count(*) FROM experiences GROUP BY 2
+     UNION ALL SELECT 'task_type', task_type, count(*) FROM experiences GROUP BY 2 UNION ALL SELECT 'sensitivity', sensitivity, count(*) FROM experiences GROUP BY 2""")
+_add("a3_histogram", lambda r: aggregates.histogram(r.orders, "o_totalprice"),
+     """WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), c AS (SELECT CAST(least(9, floor((o_totalprice - lo) / ((hi - lo) / 10))) AS INT) AS b, count(*) AS n FROM orders, e GROUP BY 1)
+     SELECT CAST(i AS INT) AS bucket, round(lo + i * ((hi - lo) / 10), 6) AS lo, round(lo + (i + 1) * ((hi - lo) / 10), 6) AS hi, coalesce(n, 0) AS n FROM range(10) s(i) JOIN e ON true LEFT JOIN c ON b = i""")
+_add("a4_nearest_rank", lambda r: aggregates.nearest_rank(r.orders, "o_totalprice", [10.0, 50.0, 90.0]),
+     """WITH s AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders)
+     SELECT p AS percent, round(v, 6) AS value FROM s, (VALUES (10.0::DOUBLE), (50.0), (90.0)) q(p) WHERE i = round_even(p / 100 * (n - 1), 0)""")
+_add("a5_q_buckets", lambda r: aggregates.q_buckets(r.experiences),
+     f"WITH c AS (SELECT CAST(floor(round((greatest(-1, least(0.99, {_QS})) + 1) / 0.2, 9)) AS INT) AS b, count(*) AS n FROM experiences GROUP BY 1) SELECT round(i * 0.2::DOUBLE - 1, 1) AS bucket, coalesce(n, 0) AS n FROM range(10) s(i) LEFT JOIN c ON b = i")
+_BOARD = f"""WITH f AS ({_FEEDBACK}), b AS (SELECT e.*, coalesce(event_count, 0) AS ec, coalesce(feedback_count, 0) AS fc, coalesce(used_count, 0) AS uc, coalesce(not_used_count, 0) AS nc, coalesce(positive_count, 0) AS pc, coalesce(negative_count, 0) AS gc,
+  avg_reward, avg_confidence, latest_feedback_at, {_QS} AS q FROM experiences e LEFT JOIN f ON f.experience_id = e.experience_id)"""
+_add("a6_reuse_leaderboard", lambda r: aggregates.reuse_leaderboard(r.experiences, r.reuse_items),
+     f"""{_BOARD}, k AS (SELECT *, CASE WHEN fc > 0 THEN uc / fc ELSE 0 END AS rate FROM b WHERE NOT revoked AND NOT superseded), s AS (SELECT *, round(0.45 * rate + 0.25 * CASE WHEN fc > 0 THEN (avg_reward + 1) / 2 ELSE 0 END + 0.20 * (q + 1) / 2 + 0.10 * reuse_count / (reuse_count + 5.0), 9) AS score FROM k)
+     SELECT experience_id, task_type, ec AS event_count, fc AS feedback_count, uc AS used_count, nc AS not_used_count, pc AS positive_count, gc AS negative_count, round(avg_reward, 6) AS avg_reward, round(avg_confidence, 6) AS avg_confidence, round(q, 6) AS q_scalar, round(rate, 6) AS reuse_rate, round(score, 6) AS rank_score
+     FROM s ORDER BY score DESC, coalesce(latest_feedback_at, created_at) DESC, experience_id LIMIT 20""")
+_add("a7_smoothed_leaderboard", lambda r: aggregates.smoothed_leaderboard(r.experiences, r.reuse_items),
+     f"""{_BOARD}, k AS (SELECT *, fc / (fc + 5.0::DOUBLE) AS ev, CASE WHEN fc > 0 THEN uc / fc ELSE 0 END AS rate FROM b WHERE NOT revoked), s AS (SELECT *, round(0.45 * ev * (uc + 2.0) / (fc + 4.0) + 0.25 * ev * (fc * (coalesce(avg_reward, 0) + 1) / 2 + 2.0) / (fc + 4.0) + 0.20 * (q + 1) / 2 + 0.10 * reuse_count / (reuse_count + 5.0), 9) AS score FROM k)
+     SELECT experience_id, fc AS feedback_count, uc AS used_count, reuse_count, round(rate, 6) AS reuse_rate, round(ev, 6) AS feedback_evidence, round(q, 6) AS q_scalar, round(score, 6) AS rank_score FROM s
+     ORDER BY score DESC, round(rate, 9) DESC, round(coalesce(avg_reward, -2), 9) DESC, reuse_count DESC, round(q, 9) DESC, created_at DESC, experience_id LIMIT 20""")
+_add("a8_reuse_totals", lambda r: aggregates.reuse_totals(r.reuse_items, r.experiences),
+     """SELECT count(DISTINCT event_id) AS recall_events, count(*) AS injected_items, count(feedback_at) AS feedback_items, count(*) FILTER (was_used) AS used_items, count(*) FILTER (NOT was_used) AS not_used_items,
+     count(*) FILTER (feedback_at IS NOT NULL AND reward > 0) AS positive_items, count(*) FILTER (feedback_at IS NOT NULL AND reward < 0) AS negative_items, count(*) FILTER (feedback_at IS NOT NULL AND reward = 0) AS neutral_items,
+     count(DISTINCT experience_id) FILTER (feedback_at IS NOT NULL) AS experiences_touched, round(avg(reward) FILTER (feedback_at IS NOT NULL), 6) AS avg_reward, round(avg(confidence) FILTER (feedback_at IS NOT NULL), 6) AS avg_confidence, max(feedback_at) AS last_feedback_at
+     FROM reuse_items WHERE experience_id IN (SELECT experience_id FROM experiences WHERE NOT revoked)""")
+_add("a9_event_summaries", lambda r: aggregates.event_summaries(r.reuse_events, r.reuse_items),
+     """WITH p AS (SELECT event_id, count(*) AS item_count, count(feedback_at) AS feedback_count, count(*) FILTER (was_used) AS used_count, avg(reward) FILTER (feedback_at IS NOT NULL) AS avg_reward, max(feedback_at) AS f FROM reuse_items GROUP BY 1)
+     SELECT e.event_id, item_count, feedback_count, used_count, round(avg_reward, 6) AS avg_reward FROM reuse_events e JOIN p ON p.event_id = e.event_id ORDER BY coalesce(f, created_at) DESC, e.event_id LIMIT 20""")
+_add("a10_feedback_timeline", lambda r: aggregates.day_counts(r.reuse_items.where("feedback_at IS NOT NULL"), "feedback_at", AS_OF, 14, {"avg_reward": F.avg("reward")}),
+     f"""WITH c AS (SELECT CAST(feedback_at AS DATE) AS d, count(*) AS n, avg(reward) AS a FROM reuse_items WHERE feedback_at IS NOT NULL GROUP BY 1)
+     SELECT CAST(DATE '{AS_OF}' - CAST(i AS INT) AS DATE) AS day, coalesce(n, 0) AS n, round(a, 6) AS avg_reward FROM range(14) s(i) LEFT JOIN c ON d = DATE '{AS_OF}' - CAST(i AS INT)""")
+_add("a11_ingestion_days", lambda r: aggregates.day_counts(r.experiences, "created_at", AS_OF, 7),
+     f"WITH c AS (SELECT CAST(created_at AS DATE) AS d, count(*) AS n FROM experiences GROUP BY 1) SELECT CAST(DATE '{AS_OF}' - CAST(i AS INT) AS DATE) AS day, coalesce(n, 0) AS n FROM range(7) s(i) LEFT JOIN c ON d = DATE '{AS_OF}' - CAST(i AS INT)")
+_USAGE = "count(*) AS calls, count(*) FILTER (ok) AS ok_calls, count(*) FILTER (NOT ok) AS error_calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(round(sum(prompt_tokens / 1e6 * 0.25 + completion_tokens / 1e6 * 1.25), 9), 4) AS cost_usd FROM usage"
+_add("a12_usage", lambda r: aggregates.usage_totals(r.usage, 0.25, 1.25), f"SELECT 'total' AS level, NULL AS name, {_USAGE} UNION ALL SELECT 'kind', kind, {_USAGE} GROUP BY 2 UNION ALL SELECT 'model', model, {_USAGE} GROUP BY 2")
+_add("a13_call_cost", lambda r: r.usage.select("usage_id", (F.col("prompt_tokens") * 0.25 + F.col("completion_tokens") * 1.25).alias("cost_micros")), "SELECT usage_id, prompt_tokens * 0.25::DOUBLE + completion_tokens * 1.25::DOUBLE AS cost_micros FROM usage")
+_add("a14_cluster_stats", lambda r: aggregates.cluster_stats(r.clusters), "SELECT count(*) AS clusters, count(crystallized_skill_id) AS crystallized, round(avg(member_count), 2) AS avg_members, max(member_count) AS max_members FROM clusters")
+_add("a15_pool_stats", lambda r: aggregates.pool_stats(r.experiences), f"SELECT agent_id, count(*) AS total, count(*) FILTER (NOT revoked) AS live, count(*) FILTER (revoked) AS revoked, count(*) FILTER ({_SHARED}) AS published FROM experiences GROUP BY 1")
+_add("a15_community_stats", lambda r: aggregates.community_stats(r.experiences, AS_OF), f"SELECT count(*) AS published, count(DISTINCT agent_id) AS contributors, count(*) FILTER (created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS last_7_days FROM experiences WHERE {_SHARED}")
+_add("a16_redaction_total", lambda r: aggregates.redaction_total(r.audits), "SELECT CAST(sum(CAST(payload->>'$.k' AS BIGINT)) AS BIGINT) AS redactions FROM (SELECT payload FROM audits ORDER BY created_at DESC, audit_id DESC LIMIT 500)")
+_add("a17_turn_reward_summary", lambda r: aggregates.turn_reward_summary(r.turn_rewards),
+     f"""SELECT experience_id, count(*) AS n, {', '.join(f'round(round(avg(r_{d}), 9), 3) AS r_{d}' for d in DIMS)}, CAST(round(CAST(round(0.35 * avg(r_outcome) + 0.20 * avg(r_intent) + 0.20 * avg(r_execution) + 0.10 * avg(r_orchestration) + 0.15 * avg(r_expression), 9) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS score,
+     round(round(avg(confidence), 9), 3) AS confidence, array_to_string(list_sort(list(DISTINCT judge_model)), ',') AS judges FROM turn_rewards GROUP BY 1""")
+_add("a18_trajectory_scores", lambda r: aggregates.trajectory_scores(r.experiences, r.turn_rewards),
+     """WITH l AS (SELECT experience_id, arg_max(judge_model, (annotated_at, judge_model)) AS j FROM turn_rewards GROUP BY 1), m AS (SELECT t.experience_id, count(*) AS n, 0.40 * avg(r_outcome) + 0.20 * avg(r_intent) + 0.15 * avg(r_execution) + 0.10 * avg(r_orchestration) + 0.15 * avg(r_expression) AS s
+       FROM turn_rewards t JOIN l ON l.experience_id = t.experience_id AND j = judge_model GROUP BY 1),
+     k AS (SELECT e.experience_id, n, greatest(-1, least(1, CAST(round(CAST(round(CASE WHEN n IS NOT NULL AND structural_score IS NOT NULL THEN 0.6 * s + 0.4 * structural_score WHEN n IS NOT NULL THEN s ELSE coalesce(structural_score, 0) END, 9) AS DECIMAL(18, 9)), 3) AS DOUBLE))) AS v FROM experiences e LEFT JOIN m ON m.experience_id = e.experience_id)
+     SELECT experience_id, v AS trajectory_score, v >= 0 AS is_memory_eligible, v >= 0.4 AS is_sft_eligible, coalesce(n, 0) AS n_turn_rewards FROM k""")
+_add("a19_judge_shots", lambda r: aggregates.judge_shots(r.rewards).select("experience_id", *(f"r_{d}" for d in DIMS), "confidence", "variance", "shots"),
+     f"""SELECT experience_id, {', '.join(f'round(greatest(-1, least(1, quantile_cont(r_{d}, 0.5))), 6) AS r_{d}' for d in DIMS)}, round(quantile_cont(confidence, 0.5), 6) AS confidence,
+     round(({' + '.join(f'coalesce(var_samp(r_{d}), 0)' for d in DIMS)}) / 5, 6) AS variance, count(*) AS shots FROM rewards GROUP BY 1""")
+_add("a21_judge_drift", lambda r: aggregates.judge_drift(windows.latest(r.rewards, ["experience_id"], "created_at", "reward_id"), r.experiences.select("experience_id", *(F.col(f"q_{d}").alias(f"r_{d}") for d in DIMS))),
+     f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY experience_id ORDER BY created_at DESC, reward_id DESC) AS rn FROM rewards), d AS (SELECT count(*) AS n_items, {', '.join(f'avg(abs(e.q_{d} - l.r_{d})) AS {d}' for d in DIMS)} FROM l JOIN experiences e ON e.experience_id = l.experience_id WHERE rn = 1)
+     SELECT n_items, {', '.join(f'round({d}, 6) AS {d}' for d in DIMS)}, round(({' + '.join(DIMS)}) / 5, 6) AS overall, ({' + '.join(DIMS)}) / 5 > 0.15 AS triggered FROM d""")
+_add("a23_contributors", lambda r: aggregates.contributors(r.agents, r.experiences), f"SELECT a.agent_id, team, experiences, last_active FROM agents a JOIN (SELECT agent_id, count(*) AS experiences, max(created_at) AS last_active FROM experiences WHERE {_SHARED} GROUP BY 1) e ON e.agent_id = a.agent_id ORDER BY experiences DESC, last_active DESC, a.agent_id LIMIT 10")
+_add("a25_skill_stats", lambda r: aggregates.skill_stats(r.skills), "SELECT review_status, count(*) AS n, CAST(sum(invoke_count) AS BIGINT) AS invocations FROM skills GROUP BY 1")
+
+# joins and windows
+
+_DIMS_R = ", ".join(f"r_{d}" for d in DIMS)
+_add("j1_latest_reward", lambda r: windows.with_latest_reward(r.experiences.select("experience_id"), r.rewards).select("experience_id", "reward_id", *(f"r_{d}" for d in DIMS)),
+     f"SELECT e.experience_id, reward_id, {_DIMS_R} FROM experiences e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY experience_id ORDER BY created_at DESC, reward_id DESC) AS rn FROM rewards) l ON l.experience_id = e.experience_id AND rn = 1")
+_add("j2_parents_updates", lambda r: windows.with_parents_and_updates(r.experiences, r.edges, r.q_updates).select("experience_id", F.array_join(F.transform("parent_ids", lambda x: x.cast("string")), ",").alias("parents"), "n_updates"),
+     """WITH p AS (SELECT child_id, array_to_string(list_sort(list(DISTINCT parent_id)), ',') AS ids FROM edges GROUP BY 1), u AS (SELECT experience_id, count(*) AS n FROM q_updates GROUP BY 1)
+     SELECT e.experience_id, coalesce(ids, '') AS parents, coalesce(n, q_update_count) AS n_updates FROM experiences e LEFT JOIN p ON child_id = e.experience_id LEFT JOIN u ON u.experience_id = e.experience_id""")
+_add("j3_without_chunks", lambda r: windows.without_chunks(r.experiences, r.chunks).select("experience_id"), "SELECT experience_id FROM experiences WHERE experience_id NOT IN (SELECT experience_id FROM chunks)")
+_add("j4_stale_chunks", lambda r: windows.stale_chunks(r.chunks, r.experiences), "SELECT experience_id, count(*) AS n_chunks FROM chunks WHERE experience_id NOT IN (SELECT experience_id FROM experiences WHERE review_status IN ('approved', 'auto_approved', 'edited') AND extraction_status = 'done' AND NOT revoked) GROUP BY 1")
+_add("j6_recent_sessions", lambda r: windows.recent_sessions(r.experiences, 40),
+     """WITH e AS (SELECT *, coalesce(nullif(parent_session_id, ''), nullif(session_id, ''), CAST(experience_id AS VARCHAR)) AS group_id FROM experiences WHERE NOT revoked),
+     g AS (SELECT agent_id, group_id, min(created_at) AS started_at, max(created_at) AS ended_at FROM e GROUP BY 1, 2 ORDER BY ended_at DESC, agent_id, group_id LIMIT 40)
+     SELECT e.agent_id, e.group_id, experience_id, started_at, ended_at, CAST(row_number() OVER (PARTITION BY e.agent_id, e.group_id ORDER BY coalesce(source_byte_start, 9223372036854775807), created_at, experience_id) - 1 AS INT) AS seg_index,
+     count(*) OVER (PARTITION BY e.agent_id, e.group_id) AS total_segments FROM e JOIN g ON g.agent_id = e.agent_id AND g.group_id = e.group_id""")
+_add("j7_visible_clusters", lambda r: windows.visible_clusters(r.clusters, r.membership, r.experiences.where("NOT revoked OR experience_id > 40")),
+     """SELECT cluster_id, CASE WHEN seen = member_count THEN label END AS label, seen AS member_count, CASE WHEN seen = member_count THEN crystallized_skill_id END AS crystallized_skill_id
+     FROM (SELECT c.*, s.seen FROM clusters c JOIN (SELECT cluster_id, count(*) AS seen FROM membership WHERE experience_id IN (SELECT experience_id FROM experiences WHERE NOT revoked OR experience_id > 40) GROUP BY 1) s ON s.cluster_id = c.cluster_id)""")
+_add("j9_resolve_skills", lambda r: windows.resolve_skills(r.skill_uses, r.skills),
+     """WITH d AS (SELECT experience_id, split_part(declared, '@', 1) AS name, CASE WHEN contains(declared, '@') THEN split_part(declared, '@', 2) END AS version FROM skill_uses),
+     l AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_at DESC, skill_id DESC) AS rn FROM skills),
+     u AS (SELECT experience_id, skill_id FROM d JOIN skills s ON s.name = d.name AND s.version = d.version UNION ALL SELECT experience_id, skill_id FROM d JOIN l ON l.name = d.name AND rn = 1 WHERE d.version IS NULL)
+     SELECT skill_id, count(*) AS invocations, count(DISTINCT experience_id) AS experiences FROM u GROUP BY 1""")
+_add("j12_lacking_rewards", lambda r: windows.lacking_rewards(r.experiences, r.turn_rewards, "judge-1"), "SELECT experience_id FROM experiences WHERE experience_id NOT IN (SELECT experience_id FROM turn_rewards WHERE judge_model = 'judge-1')")
+_add("n2_collapse_sessions", lambda r: windows.collapse_sessions(r.experiences),
+     "SELECT experience_id, agent_id, session_id, session_id <> '' AND row_number() OVER (PARTITION BY agent_id, session_id ORDER BY turn_count DESC, created_at DESC, experience_id DESC) > 1 AS superseded FROM experiences")
+_add("n3_last_units", lambda r: windows.last_units(r.chunks, 3, 2, 0.3).select("experience_id", "chunk_id"),
+     "SELECT experience_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY experience_id ORDER BY turn_start DESC, chunk_id) AS rn FROM chunks WHERE turn_count >= 2 AND turn_start >= 0.3 * greatest(turn_count - 1, 1)) WHERE rn <= 3")
+_add("n4_timeline_sample", lambda r: windows.sample_timeline(r.conversations.withColumn("hot", F.length("text") % 5 == 0), ["conv_id"], "turn", "hot", 4).select("conv_id", "turn"))
+_add("n5_n6_turn_pairs", lambda r: windows.pick_pairs(windows.turn_pairs(r.conversations), 2),
+     """WITH c AS (SELECT *, max(CASE WHEN role = 'user' AND trim(text) <> '' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_turn FROM conversations),
+     p AS (SELECT conv_id, user_turn, min(turn) AS assistant_turn FROM c WHERE role = 'assistant' AND user_turn IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY user_turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS k FROM p)
+     SELECT conv_id, user_turn, assistant_turn FROM n WHERE k <= 2 OR i IN (0, k - 1)""")
+_add("n7_following_text", lambda r: windows.following_text(windows.turn_pairs(r.conversations), r.conversations, 2, 80),
+     """WITH c AS (SELECT *, max(CASE WHEN role = 'user' AND trim(text) <> '' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_turn FROM conversations),
+     p AS (SELECT conv_id, user_turn, min(turn) AS assistant_turn FROM c WHERE role = 'assistant' AND user_turn IS NOT NULL GROUP BY 1, 2),
+     l AS (SELECT p.conv_id, p.user_turn, t.turn, CASE t.role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || left(t.text, 80) AS line, row_number() OVER (PARTITION BY p.conv_id, p.user_turn ORDER BY t.turn) AS rn FROM p JOIN conversations t ON t.conv_id = p.conv_id AND t.turn > assistant_turn AND t.role IN ('user', 'assistant'))
+     SELECT p.conv_id, p.user_turn, p.assistant_turn, coalesce(x, '') AS following FROM p LEFT JOIN (SELECT conv_id, user_turn, string_agg(line, chr(10) || chr(10) ORDER BY rn) AS x FROM l WHERE rn <= 2 GROUP BY 1, 2) y ON y.conv_id = p.conv_id AND y.user_turn = p.user_turn""")
+_add("n9_z_scores", lambda r: windows.z_scores(r.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice"),
+     "SELECT o_orderkey, o_orderpriority, round(o_totalprice, 6) AS o_totalprice, round((o_totalprice - avg(o_totalprice) OVER w) / stddev_pop(o_totalprice) OVER w, 6) AS o_totalprice_z FROM orders WINDOW w AS (PARTITION BY o_orderpriority)")
+_add("u3_equivalent_chunks", lambda r: ranking.equivalent_chunks(r.chunks).groupBy("chunk_id").agg(F.max("peers").alias("peers")),
+     """WITH s AS (SELECT action_signature, count(*) AS n FROM chunks WHERE action_signature <> '' GROUP BY 1), t AS (SELECT chunk_type, search_text, count(*) AS n FROM chunks GROUP BY 1, 2), b AS (SELECT action_signature, chunk_type, search_text, count(*) AS n FROM chunks WHERE action_signature <> '' GROUP BY 1, 2, 3)
+     SELECT chunk_id, max(coalesce(s.n, 0) + t.n - coalesce(b.n, 0)) AS peers FROM chunks c LEFT JOIN s ON s.action_signature = c.action_signature JOIN t ON t.chunk_type = c.chunk_type AND t.search_text = c.search_text LEFT JOIN b ON b.action_signature = c.action_signature AND b.chunk_type = c.chunk_type AND b.search_text = c.search_text GROUP BY 1""")
+
+# text, embeddings, search
+
+_add("x1_embeddings", lambda r: embedding.sparse_embeddings(r.conversations.select(F.expr("conv_id * 1000 + turn").alias("id"), "text"), "id", "text"),
+     """WITH t AS (SELECT conv_id * 1000 + turn AS id, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS s FROM conversations), n AS (SELECT id, CASE WHEN s = '' THEN '<empty>' ELSE rpad(s, greatest(3, length(s)::INT), ' ') END AS s FROM t),
+     g AS (SELECT id, sha256(s[i:i + 2]) AS h FROM n, unnest(range(1, length(s) - 1)) u(i)), w AS (SELECT id, CAST(('0x' || h[1:2]) AS INT) AS idx, CASE WHEN CAST(('0x' || h[10:10]) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM g)
+     SELECT id, idx, CAST(sum(sign) AS BIGINT) AS weight FROM w GROUP BY 1, 2 HAVING sum(sign) <> 0""")
+_add("x17_fingerprints", lambda r: turns.fingerprints(r.conversations), None)
+_add("x4_bm25", lambda r: search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 20).select("query_id", "doc_id", "rank", "score"), None)
+_add("k1_vector_top_k", lambda r: search.vector_top_k(r.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), r.embeddings.select(F.col("vec_id").alias("experience_id"), F.col("embedding").alias("vector")), 10, skip_self=True),
+     """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, r.vec_id AS experience_id, round(list_inner_product(q.v, r.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(r.v, r.v)), 9) AS s FROM e q, e r WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, experience_id) AS rank FROM s) SELECT query_id, experience_id, round(s, 6) AS similarity, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10""")
+_add("t17_mixed_scores", lambda r: ranking.top_k(ranking.mixed_scores(r.experiences.select(F.col("task_type").alias("query_id"), "experience_id", F.col("structural_score").alias("similarity"), scores.weighted().alias("q"), "visit_count").where("similarity IS NOT NULL")).withColumn("score", F.round("score", 6)), "query_id", 20, F.desc("score"), "experience_id").select("query_id", "experience_id", "score", "rank"),
+     f"""WITH c AS (SELECT task_type, experience_id, structural_score AS s, {_Q} AS q, visit_count AS v FROM experiences WHERE structural_score IS NOT NULL), z AS (SELECT task_type AS query_id, experience_id, round(0.55 * (s - avg(s) OVER w) / stddev_pop(s) OVER w + 0.35 * (q - avg(q) OVER w) / stddev_pop(q) OVER w + 0.1 * sqrt(ln(sum(v) OVER w + 1) / greatest(v, 1)), 6) AS score FROM c WINDOW w AS (PARTITION BY task_type))
+     SELECT * FROM (SELECT query_id, experience_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, experience_id) AS INT) AS rank FROM z) WHERE rank <= 20""")
+_add("t17_hybrid_search", lambda r: _hybrid(r), None)
+_add("t25_retrieval_metrics", lambda r: ranking.retrieval_metrics(*_eval(r), (1, 5, 10)), None)
+
+# redaction
+
+_add("r1_redact", lambda r: _redacted(r).select("doc_id", F.sha2(F.col("text"), 256).alias("text_sha256"), F.array_join(F.array_sort(F.transform(F.map_entries("redactions"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string")))), ",").alias("counts"), "is_high"), None)
+_add("r2_r6_review_flags", lambda r: redaction.review_flags(r.documents, "doc_id", "text"), None)
+_RE2 = {"absolute_system_path": r"(?:^|[^\w/])(?:/(?:etc|var|opt|tmp|private|System|Library|Applications)/[^\s'\":]+)"}
+_add("r9_strict_check", lambda r: redaction.strict_hits(r.pages, "page_id", "html"),
+     " UNION ALL ".join(f"SELECT page_id, '{n}' AS rule, CAST(len(regexp_extract_all(html, '{_RE2.get(n, p).replace(chr(39), chr(39) * 2)}')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '{_RE2.get(n, p).replace(chr(39), chr(39) * 2)}')" for n, p in STRICT_RULES))
+_SIMPLE = [x for x in REDACTION_RULES if x[0] in ("email", "ipv4", "aws_access_key", "github_token", "home_path")]
+_add("r1_simple_rules", lambda r: redaction.redact(r.documents, "text", _SIMPLE, prefixes=()).select("doc_id", F.length("text").cast("long").alias("length"), "is_high"), None)
+_add("a22_redaction_audit", lambda r: redaction.audit(_redacted(r), "doc_id")[0], None)
+
+# turns
+
+_add("t1_structural_metrics", lambda r: turns.structural_metrics(r.conversations).select("conv_id", "turn_count", "user_turn_count", "assistant_turn_count", "self_correction_count", "avg_assistant_chars", "max_assistant_chars", "completion_signal", "structural_score"),
+     f"""WITH t AS (SELECT *, left(lower(text), 600) AS h FROM conversations), f AS (SELECT *, role = 'assistant' AND ({' OR '.join(f"contains(h, '{p.replace(chr(39), chr(39) * 2)}')" for p in turns.SELF_CORRECTION)}) AS again, role = 'assistant' AND ({' OR '.join(f"contains(h, '{p}')" for p in turns.COMPLETION)}) AS done FROM t),
+     m AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (again) AS sc, round(coalesce(avg(length(text)) FILTER (role = 'assistant'), 0), 1) AS av, coalesce(max(length(text)) FILTER (role = 'assistant'), 0) AS mx, bool_or(done) AS done FROM f GROUP BY 1)
+     SELECT conv_id, u + a AS turn_count, u AS user_turn_count, a AS assistant_turn_count, sc AS self_correction_count, av AS avg_assistant_chars, CAST(mx AS INT) AS max_assistant_chars, done AS completion_signal,
+     round(CASE WHEN done THEN 0.4 ELSE 0 END - least(0.3, sc / greatest(a, 1) * 0.6) - CASE WHEN a = 0 THEN 0.5 ELSE 0 END, 3) AS structural_score FROM m""")
+_add("t2_rule_cards", lambda r: turns.rule_cards(r.conversations).select("conv_id", "query", "intent", F.array_join("steps", "|").alias("steps"), "outcome"),
+     """WITH t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations), f AS (SELECT conv_id, arg_min(s, turn) FILTER (role = 'user') AS q, arg_max(s, turn) FILTER (role = 'assistant') AS o, string_agg(left(s, 280), '|' ORDER BY turn) FILTER (role = 'assistant') AS steps FROM t WHERE s <> '' GROUP BY 1)
+     SELECT conv_id, coalesce(q, '(no user turn)') AS query, trim(coalesce(left(q, 120), 'unspecified task')) AS intent, coalesce(steps, '') AS steps, coalesce(left(o, 500), '(no assistant turn)') AS outcome FROM f""")
+_add("t3_last_request_cards", lambda r: turns.last_request_cards(r.conversations).select("conv_id", "query", F.array_join("steps", "|").alias("steps")), None)
+_add("t7_segments", lambda r: turns.segments(r.conversations).select("conv_id", "segment", "turn_start", "turn_end", F.sha2("context", 256).alias("context"), F.array_join("work", "|").alias("work")), None)
+_add("t11_exact_dedup", lambda r: turns.first_by_fingerprint(r.documents.select(F.col("doc_id").alias("experience_id"), F.col("source").alias("agent_id"), F.col("doc_id").alias("created_at"), F.sha2("text", 256).alias("fingerprint"))),
+     "SELECT doc_id AS experience_id, min(doc_id) OVER (PARTITION BY source, text) AS kept_id FROM documents")
+_add("x24_digest", lambda r: turns.digest(r.conversations, budget=1500).select("conv_id", F.length("digest").cast("long").alias("length"), "left_out"), None)
+
+# credit, feedback, clusters
+
+_add("t14_credit", lambda r: credit.apply_credit(r.experiences, r.edges, r.rewards), None)
+_add("t16_feedback", lambda r: credit.apply_feedback(r.experiences, r.reuse_items), None)
+_add("t22_hit_counts", lambda r: credit.hit_counts(r.reuse_items), "SELECT experience_id, count(DISTINCT event_id) AS visits FROM reuse_items GROUP BY 1")
+_add("t13_similar_pairs", lambda r: dedup.similar_pairs(r.embeddings, "label", "vec_id", "embedding", 0.2),
+     """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)
+     SELECT a, b, round(s, 6) AS similarity FROM s WHERE round(s, 9) >= 0.2""")
+_add("t13_merges", lambda r: dedup.merge_replay(dedup.similar_pairs(r.embeddings, "label", "vec_id", "embedding", 0.2), r.embeddings.select(F.col("vec_id").alias("experience_id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("arrived"), (F.col("vec_id") * 7 % 101).alias("strength"))), None)
+_add("t23_leader_clusters", lambda r: dedup.leader_clusters(r.embeddings.withColumn("batch", F.floor(F.col("vec_id") / 1000)), "batch", "vec_id", "embedding", 0.2), None)
+_add("t24_crystallise", lambda r: dedup.crystallise_candidates(r.clusters), "SELECT cluster_id, CASE WHEN crystallized_skill_id IS NULL THEN 'first' ELSE 'again' END AS reason FROM clusters WHERE (crystallized_skill_id IS NULL AND member_count >= 5) OR (crystallized_skill_id IS NOT NULL AND new_since_crystallize >= 3)")
+_add("t24_versions", lambda r: dedup.improving_versions(r.skills.withColumn("structure_score", (F.col("skill_id") * 37 % 211).cast("double"))),
+     """WITH s AS (SELECT cluster_id, skill_id, created_at, CAST(skill_id * 37 % 211 AS DOUBLE) AS x FROM skills), b AS (SELECT *, max(x) OVER (PARTITION BY cluster_id ORDER BY created_at, skill_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM s), k AS (SELECT * FROM b WHERE best IS NULL OR x > best)
+     SELECT cluster_id, skill_id, x AS structure_score, CAST(row_number() OVER w AS INT) AS version, lead(skill_id) OVER w AS superseded_by FROM k WINDOW w AS (PARTITION BY cluster_id ORDER BY created_at, skill_id)""")
+_add("x20_reward_classes", lambda r: r.rewards.select("reward_id", *(scores.sign_class(F.col(f"r_{d}")).alias(f"c_{d}") for d in DIMS)), f"SELECT reward_id, {', '.join(f'CAST(sign(r_{d}) AS INT) AS c_{d}' for d in DIMS)} FROM rewards")
+
+
+def _redacted(r: _Roles) -> DataFrame:
+    return redaction.redact(r.documents.select("doc_id", "text"), "text")
+
+
+def _hybrid(r: _Roles) -> DataFrame:
+    vectors = r.documents.select(F.col("doc_id").alias("experience_id"), embedding.embed(F.col("text")).alias("vector"))
+    queries = r.benchmark.select(F.col("item_id").alias("query_id"), embedding.embed(F.col("text")).alias("vector"))
+    v = search.vector_top_k(queries, vectors, 50)
+    t = search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 50)
+    return search.hybrid_search(v, t, r.experiences, 10).select("query_id", "experience_id", "score", "rank")
+
+
+def _eval(r: _Roles) -> tuple[DataFrame, DataFrame]:
+    hits = search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 20)
+    truth = r.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage"))
+    head = truth.select("case_id", F.explode(F.array_distinct(search.tokens(F.col("passage")))).alias("term"))
+    docs = r.documents.select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
+    share = head.join(docs, "term").groupBy("case_id", "doc_id").agg(F.count("*").alias("n")).join(head.groupBy("case_id").agg(F.count("*").alias("of")), "case_id")
+    labels = share.where("n = of").select("case_id", F.col("doc_id").alias("item_id"), F.lit(1.0).alias("grade"))
+    return hits.select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("item_id"), "rank"), labels
