@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import embedding, scores
+from tracelake.functions import text as tx
 from tracelake.functions.constants import DIMS
 from tracelake.functions.redaction_rules import REDACTION_RULES, STRICT_RULES
 from tracelake.operators import access, aggregates, credit, dedup, ranking, redaction, search, turns, windows
@@ -195,6 +196,12 @@ _add("t17_mixed_scores", lambda r: ranking.top_k(ranking.mixed_scores(r.experien
 _add("t17_hybrid_search", lambda r: _hybrid(r), None)
 _add("t25_retrieval_metrics", lambda r: ranking.retrieval_metrics(*_eval(r), (1, 5, 10)), None)
 
+_add("p11_query_signal", lambda r: r.conversations.select("conv_id", "turn", tx.has_signal(F.col("text")).alias("signal"), tx.outcome(F.col("text")).alias("outcome"), tx.title(F.col("text")).alias("title"), tx.bad_title(F.col("text")).alias("bad")), None)
+_add("x18_chunk_ids", lambda r: r.conversations.select("conv_id", "turn", tx.chunk_id(F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")).alias("chunk_id"), tx.token_estimate(F.col("text")).alias("tokens")),
+     "SELECT conv_id, turn, 'chk_' || sha1(encode(conv_id || '') || '\\x00'::BLOB || encode(turn || '') || '\\x00'::BLOB || encode(role) || '\\x00'::BLOB || encode(text))[1:24] AS chunk_id, CAST(greatest(1, length(text) // 4) AS INT) AS tokens FROM conversations")
+_add("x6_x8_lexical", lambda r: _lexical(r), None)
+_add("x22_clip", lambda r: r.conversations.select("conv_id", "turn", turns.head_tail_clip(F.col("text"), 100, "<cut>").alias("clipped")), "SELECT conv_id, turn, CASE WHEN length(text) <= 100 THEN text ELSE left(text, 70) || '<cut>' || right(text, 30) END AS clipped FROM conversations")
+
 # redaction
 
 _add("r1_redact", lambda r: _redacted(r).select("doc_id", F.sha2(F.col("text"), 256).alias("text_sha256"), F.array_join(F.array_sort(F.transform(F.map_entries("redactions"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string")))), ",").alias("counts"), "is_high"), None)
@@ -243,6 +250,15 @@ def _redacted(r: _Roles) -> DataFrame:
     return redaction.redact(r.documents.select("doc_id", "text"), "text")
 
 
+def _lexical(r: _Roles) -> DataFrame:
+    """Scores of each conversation turn against the turn before it in its conversation."""
+    from pyspark.sql import Window as W
+
+    t = r.conversations.select("conv_id", "turn", tx.tokens_udf("text").alias("terms"))
+    before = F.lag("terms").over(W.partitionBy("conv_id").orderBy("turn"))
+    return t.withColumn("query", before).where("query IS NOT NULL").select("conv_id", "turn", tx.lexical_score(F.col("query"), F.col("terms")).alias("score"))
+
+
 def _hybrid(r: _Roles) -> DataFrame:
     vectors = r.documents.select(F.col("doc_id").alias("experience_id"), embedding.embed(F.col("text")).alias("vector"))
     queries = r.benchmark.select(F.col("item_id").alias("query_id"), embedding.embed(F.col("text")).alias("vector"))
