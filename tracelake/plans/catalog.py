@@ -11,7 +11,7 @@ from tracelake.functions import embedding, scores
 from tracelake.functions import text as tx
 from tracelake.functions.constants import DIMS
 from tracelake.functions.redaction_rules import REDACTION_RULES, STRICT_RULES
-from tracelake.operators import access, aggregates, credit, dedup, ranking, redaction, search, turns, windows
+from tracelake.operators import access, aggregates, credit, dedup, ranking, recall, redaction, review, search, turns, units, windows
 from tracelake.plans.roles import ROLES, role, table, with_roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,6 +245,70 @@ _add("t24_versions", lambda r: dedup.improving_versions(r.skills.withColumn("str
      SELECT cluster_id, skill_id, x AS structure_score, CAST(row_number() OVER w AS INT) AS version, lead(skill_id) OVER w AS superseded_by FROM k WINDOW w AS (PARTITION BY cluster_id ORDER BY created_at, skill_id)""")
 _add("x20_reward_classes", lambda r: r.rewards.select("reward_id", *(scores.sign_class(F.col(f"r_{d}")).alias(f"c_{d}") for d in DIMS)), f"SELECT reward_id, {', '.join(f'CAST(sign(r_{d}) AS INT) AS c_{d}' for d in DIMS)} FROM rewards")
 
+# review and upkeep
+
+_add("p10_retrievable_sessions", lambda r: review.retrievable_sessions(r.conversations), None)
+_add("p12_p13_labels", lambda r: r.conversations.select("conv_id", "turn", review.bad_title(F.substring("text", 1, 60)).alias("bad"), review.needs_relabel(F.substring("text", 1, 120), F.col("text")).alias("relabel")), None)
+_add("p14_orphans", lambda r: review.orphans(r.experiences.withColumn("trajectory_path", F.when(F.col("experience_id") % 5 != 0, F.lit("x")))).select("experience_id"), "SELECT experience_id FROM experiences WHERE experience_id % 5 = 0 AND NOT revoked")
+_add("p2b_browse_skills", lambda r: review.browse_skills(r.skills, "approved", "ring", 30).select("skill_id"), "SELECT skill_id FROM skills WHERE NOT revoked AND review_status = 'approved' AND (contains(name, 'ring') OR contains(CAST(skill_id AS VARCHAR), 'ring')) ORDER BY created_at DESC, skill_id LIMIT 30")
+_RUNS = "SELECT l_orderkey AS experience_id, CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END AS run, max(l_partkey % 5) AS n_steps, max(l_suppkey % 5) AS n_tools, count(*) AS n_decisions, max(l_linenumber) AS n_pitfalls, max(l_discount) AS confidence FROM lineitem GROUP BY 1, 2"
+_add("a20_extraction_pairs", lambda r: review.pick_extraction(r.lineitem.groupBy(F.col("l_orderkey").alias("experience_id"), F.when(F.col("l_linenumber") % 2 == 0, "A").otherwise("B").alias("run")).agg(F.max(F.expr("l_partkey % 5")).alias("n_steps"), F.max(F.expr("l_suppkey % 5")).alias("n_tools"), F.count("*").alias("n_decisions"), F.max("l_linenumber").alias("n_pitfalls"), F.max("l_discount").alias("confidence"))),
+     f"""WITH x AS ({_RUNS}), p AS (SELECT coalesce(a.experience_id, b.experience_id) AS experience_id, a.confidence AS ca, b.confidence AS cb, abs(a.n_steps - b.n_steps) + abs(a.n_tools - b.n_tools) + abs(a.n_decisions - b.n_decisions) + abs(a.n_pitfalls - b.n_pitfalls) AS gap,
+     greatest(a.n_steps, b.n_steps) + greatest(a.n_tools, b.n_tools) + greatest(a.n_decisions, b.n_decisions) + greatest(a.n_pitfalls, b.n_pitfalls) AS most FROM (SELECT * FROM x WHERE run = 'A') a FULL JOIN (SELECT * FROM x WHERE run = 'B') b ON a.experience_id = b.experience_id),
+     d AS (SELECT *, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN gap / greatest(most, 1) ELSE 0 END AS div FROM p)
+     SELECT experience_id, CASE WHEN cb IS NULL OR ca >= cb THEN 'A' ELSE 'B' END AS chosen, round(div, 6) AS divergence, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL AND div >= 0.5 THEN 'unstable' ELSE 'done' END AS status FROM d""")
+_add("a27_pool_counts", lambda r: review.pool_counts({n: getattr(r, n) for n in ("agents", "experiences", "edges", "skills")}), "SELECT 'agents' AS \"table\", count(*) AS n FROM agents UNION ALL SELECT 'experiences', count(*) FROM experiences UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'skills', count(*) FROM skills")
+_add("j8_cluster_members", lambda r: review.cluster_members(r.membership.withColumn("similarity", (F.expr("(experience_id * 31 + cluster_id) % 1000") / 1000)), r.experiences).where("nth <= 5").select("cluster_id", "experience_id", "similarity", "nth"),
+     "SELECT cluster_id, experience_id, round(s, 6) AS similarity, CAST(nth AS INT) AS nth FROM (SELECT cluster_id, m.experience_id, ((m.experience_id * 31 + cluster_id) % 1000) / 1000 AS s, row_number() OVER (PARTITION BY cluster_id ORDER BY ((m.experience_id * 31 + cluster_id) % 1000) DESC, m.experience_id) AS nth FROM membership m JOIN experiences e ON e.experience_id = m.experience_id WHERE NOT revoked) WHERE nth <= 5")
+_add("j15_lineage", lambda r: review.lineage(r.experiences.where("superseded"), r.edges, r.q_updates).groupBy("experience_id", "kind").agg(F.count("*").alias("n"), F.max("at").alias("latest")),
+     """WITH i AS (SELECT experience_id FROM experiences WHERE superseded), x AS (SELECT child_id AS experience_id, 'parent' AS kind, created_at FROM edges UNION ALL SELECT parent_id, 'child', created_at FROM edges UNION ALL SELECT experience_id, 'update', created_at FROM q_updates)
+     SELECT experience_id, kind, count(*) AS n, max(created_at) AS latest FROM x WHERE experience_id IN (SELECT experience_id FROM i) GROUP BY 1, 2""")
+_DECISIONS = """SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS decision_id, l_orderkey AS experience_id, CASE WHEN l_suppkey % 2 = 0 THEN o_custkey ELSE -1 END AS actor, CASE l_linenumber % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'edit' ELSE 'soft_delete' END AS action,
+  CASE WHEN l_linenumber = 6 THEN NULL ELSE concat('new ', l_partkey) END AS intent_text, l_shipdate AS decided_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
+ROLES["decisions"] = _DECISIONS
+_add("t28_decisions", lambda r: review.apply_decisions(r.experiences.withColumn("tags", F.lit(None).cast("array<string>")), r.decisions)[0].select("experience_id", "review_status", "intent_text", "q_update_count", F.size(F.coalesce("tags", F.expr("CAST(array() AS array<string>)"))).alias("n_tags")),
+     """WITH o AS (SELECT d.* FROM decisions d JOIN experiences e ON e.experience_id = d.experience_id AND actor = agent_id), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experience_id ORDER BY decided_at DESC, decision_id DESC) AS rn FROM o) WHERE rn = 1)
+     SELECT e.experience_id, CASE WHEN action = 'approve' THEN 'approved' WHEN action IN ('reject', 'soft_delete') THEN 'rejected' WHEN action = 'edit' AND l.intent_text IS NOT NULL THEN 'edited' ELSE review_status END AS review_status, CASE WHEN action = 'edit' AND l.intent_text IS NOT NULL THEN l.intent_text ELSE e.intent_text END AS intent_text,
+     CASE WHEN action = 'edit' AND l.intent_text IS NOT NULL THEN 0 ELSE q_update_count END AS q_update_count, CASE WHEN action = 'soft_delete' THEN 1 ELSE 0 END AS n_tags FROM experiences e LEFT JOIN l ON l.experience_id = e.experience_id""")
+_add("t29_upsert_rewards", lambda r: review.upsert_rewards(r.turn_rewards.where("turn_index > 3"), r.turn_rewards.where("turn_index <= 4").withColumn("upload_order", F.col("annotated_at")).withColumns({f"r_{d}": F.col(f"r_{d}").cast("string") for d in DIMS}), r.experiences)[0].groupBy("experience_id").agg(F.count("*").alias("n")), None)
+
+# units, chunks, recall
+
+_add("t8_experience_units", lambda r: units.experience_units(_tool_turns(r)).groupBy("session_id", "status").agg(F.count("*").alias("n")), None)
+_add("t9_chunks", lambda r: _chunks(r).select("session_id", "chunk_type", "chunk_id", "tokens"), None)
+_add("t6_compaction", lambda r: units.compact(r.conversations.select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", "text"), 1500, (("assistant", 400), ("user", 300))).groupBy("session_id").agg(F.sum(F.length("text")).alias("chars")), None)
+_add("t12_x12_clean_turns", lambda r: r.conversations.select("conv_id", "turn", F.sha2(units.clean_turn(F.col("text")), 256).alias("sha")), None)
+_add("t20_recall", lambda r: _recall(r), None)
+_add("t18_acl_search", lambda r: recall.acl_search(_similar(r).withColumnRenamed("doc_id", "experience_id"), r.experiences.where(_SHARED), 5).select("query_id", "experience_id", "rank"), None)
+_add("t19_lite_search", lambda r: recall.lite_search(_similar(r).withColumnRenamed("doc_id", "experience_id").withColumn("similarity", F.col("signal")), r.experiences.select("experience_id", F.concat(F.lit("o"), F.col("agent_id") % 4).alias("owner")), "o1", True, r.experiences.where(_SHARED), 8).select("query_id", "experience_id", "stage", "rank"), None)
+
+
+def _similar(r: _Roles) -> DataFrame:
+    return search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 60)
+
+
+def _tool_turns(r: _Roles) -> DataFrame:
+    """Conversations as sessions with tools: every fourth turn's text is a call, the one after it its result."""
+    t = F.col("turn") % 4
+    calls = F.when(t == 1, F.array(F.struct(F.concat(F.lit("c"), "turn").alias("id"), F.lit("run").alias("name"), F.col("text").alias("input")))).otherwise(F.expr("CAST(array() AS array<struct<id:string,name:string,input:string>>)"))
+    return r.conversations.select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int"), F.when(t == 1, "assistant").when(t == 2, "tool").otherwise(F.col("role")).alias("role"), "text", calls.alias("tool_calls"),
+        F.when(t == 2, F.concat(F.lit("c"), F.col("turn") - 1)).alias("tool_result_for"), ((t == 2) & (F.length("text") % 3 == 0)).alias("is_error"),
+    )
+
+
+def _chunks(r: _Roles) -> DataFrame:
+    return units.chunk_table(units.unit_chunks(units.experience_units(_tool_turns(r))), units.card_chunks(turns.rule_cards(r.conversations), "conv_id"), units.segment_chunks(turns.segments(r.conversations)))
+
+
+def _recall(r: _Roles) -> DataFrame:
+    chunks = _chunks(r).select("chunk_id", F.col("session_id").alias("experience_id"), F.col("session_id").alias("session"), "chunk_type", "text", F.lit(0.5).alias("quality"))
+    queries = r.conversations.where("role = 'user' AND turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    keyword = search.bm25(queries, chunks.select(F.col("chunk_id").alias("doc_id"), "text"), recall.FTS_LIMIT).withColumnRenamed("doc_id", "chunk_id")
+    vectors = chunks.select(F.xxhash64("chunk_id").alias("n"), "chunk_id", embedding.embed(F.col("text")).alias("vector"))
+    near = search.vector_top_k(queries.select("query_id", embedding.embed(F.col("text")).alias("vector")), vectors, 50, row_id="n").join(vectors.select("n", "chunk_id"), "n")
+    return recall.recall(keyword, near, queries, chunks, 5)
+
 
 def _redacted(r: _Roles) -> DataFrame:
     return redaction.redact(r.documents.select("doc_id", "text"), "text")
