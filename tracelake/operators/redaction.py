@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.redaction_rules import CARD_LIKE, EMPLOYEE_PREFIXES, PHONE_DIGITS, REDACTION_RULES, REVIEW_RULES, STRICT_RULES
+from tracelake.functions.redaction_rules import CARD_LIKE, EMPLOYEE_PREFIXES, HINTS, PHONE_DIGITS, REDACTION_RULES, REVIEW_RULES, STRICT_RULES
 
 _BACK = re.compile(r"\\(\d)")
 
@@ -18,14 +18,28 @@ def _java(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def _may_match(name: str, text: Column) -> Column:
+    """A cheap test that a text without a match mostly fails, so that the rule itself runs on few texts."""
+    hint = HINTS.get(name)
+    if hint is None:
+        return F.lit(True)
+    if isinstance(hint, str):
+        return text.rlike(hint)
+    out = text.contains(hint[0])
+    for h in hint[1:]:
+        out = out | text.contains(h)
+    return out
+
+
 def luhn(digits: str) -> bool:
     doubled = [(ord(d) - 48) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
     return sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
 
 
-def _replace_tested(pattern: str, placeholder: str, passes):
+def _replace_tested(pattern: str, placeholder: str, passes, hint: str | None = None):
     """A vectorised helper for rules whose matches are tested one by one: the new text and how many were replaced."""
     rx = re.compile(pattern)
+    quick = re.compile(hint) if hint else None
 
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
@@ -39,7 +53,7 @@ def _replace_tested(pattern: str, placeholder: str, passes):
                 n += 1
                 return placeholder
 
-            out.append((None, 0) if text is None else (rx.sub(put, text), n))
+            out.append((None, 0) if text is None else (text, 0) if quick and not quick.search(text) else (rx.sub(put, text), n))
         return pd.DataFrame(out, columns=["text", "n"])
 
     return F.pandas_udf(run, "text string, n int")
@@ -63,12 +77,15 @@ def redact(rows: DataFrame, column: str, rules: list[tuple[str, str, str, str]]
     df = rows.withColumn("__t", F.col(column)).withColumn("__n", F.expr("CAST(array() AS array<int>)"))
     for name, pattern, placeholder, _ in rules:
         if pattern == "luhn" or name == "phone_intl":
-            tested = _replace_tested(CARD_LIKE, placeholder, _card) if pattern == "luhn" else _replace_tested(pattern, placeholder, _phone)
+            tested = _replace_tested(CARD_LIKE, placeholder, _card, r"\d[ -]?\d") if pattern == "luhn" else _replace_tested(pattern, placeholder, _phone, r"\+\d")
             df = df.withColumn("__x", tested("__t")).withColumn("__n", F.concat("__n", F.array("__x.n"))).withColumn("__t", F.col("__x.text")).drop("__x")
         else:
             p = _java(pattern)
-            n = F.coalesce(F.regexp_count("__t", F.lit(p)), F.lit(0)).cast("int")
-            df = df.withColumn("__n", F.concat("__n", F.array(n))).withColumn("__t", F.regexp_replace("__t", p, _BACK.sub(r"$\1", placeholder)))
+            maybe = _may_match(name, F.col("__t")) if prefixes == EMPLOYEE_PREFIXES or name != "employee_id" else F.lit(True)
+            n = F.when(maybe, F.coalesce(F.regexp_count("__t", F.lit(p)), F.lit(0))).otherwise(0).cast("int")
+            df = df.withColumn("__m", n)
+            replaced = F.when(F.col("__m") > 0, F.regexp_replace("__t", p, _BACK.sub(r"$\1", placeholder))).otherwise(F.col("__t"))
+            df = df.withColumn("__t", replaced).withColumn("__n", F.concat("__n", F.array("__m"))).drop("__m")
     names = F.array(*(F.lit(r[0]) for r in rules))
     high = F.array(*(F.lit(r[3] == "high") for r in rules))
     pairs = F.filter(F.arrays_zip(names.alias("name"), F.col("__n").alias("n"), high.alias("high")), lambda x: x["n"] > 0)

@@ -55,9 +55,12 @@ def _best(ids: np.ndarray, matrix: np.ndarray, k: int, row_id: str, vector: str,
     return run
 
 
+_TOKEN = r"[a-z0-9一-鿿]{2,}"
+
+
 def tokens(text):
     """Runs of at least two ASCII letters, digits or CJK ideographs, lower-cased."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9一-鿿]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -67,7 +70,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 1.2, b:
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     d = docs.select("doc_id", tokens(F.col("text")).alias("ts"))
-    about = d.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avg_len")).first()
+    about = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit(_TOKEN)), F.lit(0))).alias("avg_len")).first()
     wanted = q.select("term").distinct()
     few = wanted.count() <= 200_000
     postings = d.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term"))
