@@ -111,7 +111,7 @@ def diverse_top_k(candidates: DataFrame, k: int, per_experience: int = 1) -> Dat
             times[row.experience_id] = times.get(row.experience_id, 0) + 1
             for x, s in zip(keys, seen, strict=True):
                 s.add(x)
-            keep.append((row.query_id, row.chunk_id, len(keep)))
+            keep.append((row.query_id, row.chunk_id, len(keep) + 1))
             if len(keep) >= k:
                 break
         return pd.DataFrame(keep, columns=["query_id", "chunk_id", "position"])
