@@ -185,8 +185,12 @@ _add("x1_embeddings", lambda r: embedding.sparse_embeddings(r.conversations.sele
      """WITH t AS (SELECT conv_id * 1000 + turn AS id, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS s FROM conversations), n AS (SELECT id, CASE WHEN s = '' THEN '<empty>' ELSE rpad(s, greatest(3, length(s)::INT), ' ') END AS s FROM t),
      g AS (SELECT id, sha256(s[i:i + 2]) AS h FROM n, unnest(range(1, length(s) - 1)) u(i)), w AS (SELECT id, CAST(('0x' || h[1:2]) AS INT) AS idx, CASE WHEN CAST(('0x' || h[10:10]) AS INT) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM g)
      SELECT id, idx, CAST(sum(sign) AS BIGINT) AS weight FROM w GROUP BY 1, 2 HAVING sum(sign) <> 0""")
-_add("x17_fingerprints", lambda r: turns.fingerprints(r.conversations), None)
-_add("x4_bm25", lambda r: search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 20).select("query_id", "doc_id", "rank", "score"), None)
+_add("x17_fingerprints", lambda r: turns.fingerprints(r.conversations), "SELECT conv_id, left(sha256(string_agg(role || chr(0) || text || chr(1), '' ORDER BY turn)), 16) AS fingerprint FROM conversations GROUP BY 1")
+_add("x4_bm25", lambda r: search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 20).select("query_id", "doc_id", "rank", "score"),
+     """WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9一-鿿]{2,}')) AS term FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9一-鿿]{2,}') AS ts FROM documents),
+     a AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM d), t AS (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM d), p AS (SELECT term, doc_id, any_value(len) AS len, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+     s AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM q JOIN p ON p.term = q.term JOIN f ON f.term = q.term, a GROUP BY 1, 2)
+     SELECT query_id, doc_id, CAST(rank AS INT) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
 _add("k1_vector_top_k", lambda r: search.vector_top_k(r.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), r.embeddings.select(F.col("vec_id").alias("experience_id"), F.col("embedding").alias("vector")), 10, skip_self=True),
      """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, r.vec_id AS experience_id, round(list_inner_product(q.v, r.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(r.v, r.v)), 9) AS s FROM e q, e r WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
      k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, experience_id) AS rank FROM s) SELECT query_id, experience_id, round(s, 6) AS similarity, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10""")
@@ -210,7 +214,9 @@ _RE2 = {"absolute_system_path": r"(?:^|[^\w/])(?:/(?:etc|var|opt|tmp|private|Sys
 _add("r9_strict_check", lambda r: redaction.strict_hits(r.pages, "page_id", "html"),
      " UNION ALL ".join(f"SELECT page_id, '{n}' AS rule, CAST(len(regexp_extract_all(html, '{_RE2.get(n, p).replace(chr(39), chr(39) * 2)}')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '{_RE2.get(n, p).replace(chr(39), chr(39) * 2)}')" for n, p in STRICT_RULES))
 _SIMPLE = [x for x in REDACTION_RULES if x[0] in ("email", "ipv4", "aws_access_key", "github_token", "home_path")]
-_add("r1_simple_rules", lambda r: redaction.redact(r.documents, "text", _SIMPLE, prefixes=()).select("doc_id", F.length("text").cast("long").alias("length"), "is_high"), None)
+_add("r1_simple_rules", lambda r: redaction.redact(r.documents, "text", _SIMPLE, prefixes=()).select("doc_id", F.length("text").cast("long").alias("length"), "is_high"),
+     "WITH " + ", ".join(f"t{i} AS (SELECT doc_id, high OR ({'true' if x[3] == 'high' else 'false'} AND regexp_matches(text, '{x[1].replace(chr(39), chr(39) * 2)}')) AS high, regexp_replace(text, '{x[1].replace(chr(39), chr(39) * 2)}', '{x[2]}', 'g') AS text FROM {f't{i - 1}' if i else '(SELECT doc_id, false AS high, text FROM documents)'})" for i, x in enumerate(_SIMPLE))
+     + f" SELECT doc_id, length(text) AS length, high AS is_high FROM t{len(_SIMPLE) - 1}")
 _add("a22_redaction_audit", lambda r: redaction.audit(_redacted(r), "doc_id")[0], None)
 
 # turns
@@ -231,8 +237,21 @@ _add("x24_digest", lambda r: turns.digest(r.conversations, budget=1500).select("
 
 # credit, feedback, clusters
 
-_add("t14_credit", lambda r: credit.apply_credit(r.experiences, r.edges, r.rewards), None)
-_add("t16_feedback", lambda r: credit.apply_feedback(r.experiences, r.reuse_items), None)
+_FOLD = ", ".join(f"round(q_{d} * coalesce(keep, 1) + coalesce(g_{d}, 0), 6) AS q_{d}" for d in DIMS)
+_GAINS = ", ".join(f"sum(e * r_{d} * rest) AS g_{d}" for d in DIMS)
+_add("t14_credit", lambda r: credit.apply_credit(r.experiences, r.edges, r.rewards),
+     f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experience_id ORDER BY created_at DESC, reward_id DESC) AS rn FROM rewards) WHERE rn = 1),
+     v AS (SELECT parent_id, child_id, d.created_at, 0.2 * confidence AS e, {', '.join(f'l.r_{d}' for d in DIMS)} FROM edges d JOIN l ON l.experience_id = child_id WHERE NOT credit_applied),
+     w AS (SELECT *, exp(coalesce(sum(ln(1 - e)) OVER (PARTITION BY parent_id ORDER BY created_at, child_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rest FROM v), t AS (SELECT parent_id, count(*) AS n, exp(sum(ln(1 - e))) AS keep, {_GAINS} FROM w GROUP BY 1)
+     SELECT x.experience_id, {_FOLD}, coalesce(n, 0) AS updates FROM experiences x LEFT JOIN t ON parent_id = x.experience_id""")
+_add("t16_feedback", lambda r: credit.apply_feedback(r.experiences, r.reuse_items),
+     f"""WITH i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, experience_id, chunk_id ORDER BY feedback_at NULLS FIRST, item_id) AS rn FROM reuse_items) WHERE rn = 1),
+     c AS (SELECT event_id, experience_id, greatest(-1, least(1, reward)) AS r, greatest(0, least(1, confidence)) AS c, coalesce(was_used, false) AS used, feedback_at AS seen FROM i),
+     p AS (SELECT event_id, experience_id, CASE WHEN sum(c) > 0 THEN sum(r * c) / sum(c) ELSE avg(r) END AS reward, 0.2 * avg(c) AS e, bool_or(used) AS used, max(seen) AS seen FROM c GROUP BY 1, 2),
+     w AS (SELECT *, reward AS r_outcome, reward AS r_intent, reward AS r_execution, reward * 0.6 AS r_orchestration, reward * 0.4 AS r_expression, exp(coalesce(sum(ln(1 - e)) OVER (PARTITION BY experience_id ORDER BY seen NULLS FIRST, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rest FROM p),
+     t AS (SELECT experience_id, count(*) AS n, count(*) FILTER (used) AS reused, exp(sum(ln(1 - e))) AS keep, {_GAINS} FROM w GROUP BY 1),
+     s AS (SELECT experience_id, {', '.join(f'CASE WHEN q_update_count > 0 OR abs({_Q}) > 1e-9 THEN q_{d} ELSE greatest(-1, least(1, trajectory_score)) END AS q_{d}' for d in DIMS)} FROM experiences)
+     SELECT s.experience_id, {_FOLD}, n AS updates, reused FROM s JOIN t ON t.experience_id = s.experience_id""")
 _add("t22_hit_counts", lambda r: credit.hit_counts(r.reuse_items), "SELECT experience_id, count(DISTINCT event_id) AS visits FROM reuse_items GROUP BY 1")
 _add("t13_similar_pairs", lambda r: dedup.similar_pairs(r.embeddings, "label", "vec_id", "embedding", 0.2),
      """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)
