@@ -17,6 +17,7 @@ single shingle's region over it is split by pivots in distributed rounds, with t
 
 Shingles are compared by 64-bit hashes, whole sets by 128-bit digests. The order of the pivots only steers the work:
 shingles whose hash falls in the lowest ``counted`` share of the hash space are counted over all texts and come first, by count.
+The share is a third more than a text's window, so that most windows lie within it.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.components import connected_components
 from tracelake.llm.scratch import keep
-from tracelake.llm.words import WordHashes, chunks, hash_words, sequence_hash, window_hashes
+from tracelake.llm.words import WordHashes, chunks, hash_words, sequence_hash, slices, window_hashes
 
 #: At most so many ids are broadcast (8 bytes each, and as much again for the region); above it Spark shuffles.
 BROADCAST_IDS = 1_000_000
@@ -63,7 +64,7 @@ def _describe(width: int, percent: int, counted: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, near, far = [], [], [], []
             for x in _shingle_sets(batch.column(1).to_pylist(), known, width):
                 cut = int(np.searchsorted(x, edge))
@@ -81,7 +82,7 @@ def _describe(width: int, percent: int, counted: float):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [x.tobytes() for x in _shingle_sets(batch.column("text").to_pylist(), known, width)]
             yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc"), pa.array(sets, pa.binary())], names=["region", "doc", "shingles"])
 
@@ -287,7 +288,7 @@ def jaccard_links(texts: DataFrame, about: DataFrame, shingle: int, percent: int
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, counted: float = 0.2, region_shingles: int = 8_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, counted: float | None = None, region_shingles: int = 8_000_000
 ) -> DataFrame:
     """One row a row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
 
@@ -299,6 +300,8 @@ def ngram_jaccard_join(
     texts: they share a component. Equal texts link. A null id takes no part (component null). An empty table gives no rows; other
     columns are ignored, whatever their names.
     """
+    if counted is None:
+        counted = min(1.0, (1 - percent / 100) * 4 / 3)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     all_ = keep(texts.mapInArrow(_describe(shingle, percent, counted), "doc long, n long, digest binary, near array<long>, far array<long>"), "shingles")
     alive = all_.where("n > 0 AND doc IS NOT NULL")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.words import chunks
+from tracelake.llm.words import chunks, slices
 
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK_BYTES = 3_000_000
@@ -64,7 +64,7 @@ def _word_starts(data: np.ndarray) -> np.ndarray:
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -159,7 +159,7 @@ def _predict(model: LanguageModel, with_spans: bool):
         return model.langs[top], float(n[top] / len(labels)), spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts = batch.column("text").to_pylist()
             out: list[tuple[str, float, list[dict] | None]] = []
             for a, b in chunks(texts, _CHUNK_BYTES):

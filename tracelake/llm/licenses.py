@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.scratch import keep
+from tracelake.llm.words import slices
 
 # Notices in their usual words.
 TEMPLATES = [
@@ -48,7 +49,7 @@ def _terms(line: bytes) -> Counter:
 def _scan(vocabulary: dict[bytes, int], threshold: float, markup: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary.get
-        for batch in batches:
+        for batch in slices(batches):
             row, nth, terms, other = [], [], [], []
             df: Counter = Counter()
             lines = 0

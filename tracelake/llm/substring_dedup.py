@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.llm.scratch import keep, shared_dir
-from tracelake.llm.words import WordHashes, chunks, finish, hash_words, window_hashes
+from tracelake.llm.words import WordHashes, chunks, finish, hash_words, slices, window_hashes
 
 #: Documents with something to expand or to cut are broadcast up to so many (about 100 bytes each); above it Spark shuffles.
 BROADCAST_DOCS = 500_000
@@ -70,7 +70,7 @@ def stretches(words: np.ndarray, valid: np.ndarray, width: int, gram: int) -> tu
 def _fingerprints(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts):
                 words, starts, valid = _windows(texts[a:b], known, width)
@@ -88,7 +88,7 @@ def _fingerprints(width: int, gram: int):
 def _expand(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             texts, asked = batch.column("text").to_pylist(), batch.column("asked").to_pylist()
             for a, b in chunks(texts):
                 words, starts, _ = _windows(texts[a:b], known, width)
@@ -111,7 +111,7 @@ def _expand(width: int):
 
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n_words, removed, sha, left = [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = text.split() if text else []

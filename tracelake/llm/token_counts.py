@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.words import slices
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _KEPT_WORDS = 500_000
 
@@ -84,7 +86,7 @@ def _count(pieces: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = LongestMatch(pieces)
         get = count.__getitem__
-        for batch in batches:
+        for batch in slices(batches):
             words, tokens = [], []
             for text in batch.column("text").to_pylist():
                 own = text.split() if text else []

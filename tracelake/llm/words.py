@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xBF58476D1CE4E5B9)
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 150_000
 #: Bytes of text hashed at a time, unless one text has more; bounds the arrays of a worker.
 CHUNK_BYTES = 2_000_000
 
@@ -27,6 +28,13 @@ class WordHashes(dict):
         return h
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most ``rows`` rows: what a worker holds as Python objects, and sends back at once, stays small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def chunks(texts: list, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``most`` bytes (or characters) each."""
     first, size = 0, 0
