@@ -237,14 +237,14 @@ _add("x24_digest", lambda r: turns.digest(r.conversations, budget=1500).select("
 
 # credit, feedback, clusters
 
-_FOLD = ", ".join(f"round(q_{d} * coalesce(keep, 1) + coalesce(g_{d}, 0), 6) AS q_{d}" for d in DIMS)
+_FOLD = ", ".join(f"CAST(round(CAST(round(q_{d} * coalesce(keep, 1) + coalesce(g_{d}, 0), 9) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS q_{d}" for d in DIMS)
 _GAINS = ", ".join(f"sum(e * r_{d} * rest) AS g_{d}" for d in DIMS)
-_add("t14_credit", lambda r: credit.apply_credit(r.experiences, r.edges, r.rewards),
+_add("t14_credit", lambda r: _rounded(credit.apply_credit(r.experiences, r.edges, r.rewards), 9),
      f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experience_id ORDER BY created_at DESC, reward_id DESC) AS rn FROM rewards) WHERE rn = 1),
      v AS (SELECT parent_id, child_id, d.created_at, 0.2 * confidence AS e, {', '.join(f'l.r_{d}' for d in DIMS)} FROM edges d JOIN l ON l.experience_id = child_id WHERE NOT credit_applied),
      w AS (SELECT *, exp(coalesce(sum(ln(1 - e)) OVER (PARTITION BY parent_id ORDER BY created_at, child_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rest FROM v), t AS (SELECT parent_id, count(*) AS n, exp(sum(ln(1 - e))) AS keep, {_GAINS} FROM w GROUP BY 1)
      SELECT x.experience_id, {_FOLD}, coalesce(n, 0) AS updates FROM experiences x LEFT JOIN t ON parent_id = x.experience_id""")
-_add("t16_feedback", lambda r: credit.apply_feedback(r.experiences, r.reuse_items),
+_add("t16_feedback", lambda r: _rounded(credit.apply_feedback(r.experiences, r.reuse_items), 9),
      f"""WITH i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, experience_id, chunk_id ORDER BY feedback_at NULLS FIRST, item_id) AS rn FROM reuse_items) WHERE rn = 1),
      c AS (SELECT event_id, experience_id, greatest(-1, least(1, reward)) AS r, greatest(0, least(1, confidence)) AS c, coalesce(was_used, false) AS used, feedback_at AS seen FROM i),
      p AS (SELECT event_id, experience_id, CASE WHEN sum(c) > 0 THEN sum(r * c) / sum(c) ELSE avg(r) END AS reward, 0.2 * avg(c) AS e, bool_or(used) AS used, max(seen) AS seen FROM c GROUP BY 1, 2),
