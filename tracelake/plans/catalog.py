@@ -11,7 +11,7 @@ from tracelake.functions import embedding, scores
 from tracelake.functions import text as tx
 from tracelake.functions.constants import DIMS
 from tracelake.functions.redaction_rules import REDACTION_RULES, STRICT_RULES
-from tracelake.operators import access, aggregates, credit, dedup, ranking, recall, redaction, review, search, turns, units, windows
+from tracelake.operators import access, aggregates, credit, dedup, ranking, recall, redaction, review, search, terms, turns, units, windows
 from tracelake.plans.roles import ROLES, role, table, with_roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,6 +301,25 @@ _add("t20_recall", lambda r: _recall(r), None)
 _add("t18_acl_search", lambda r: recall.acl_search(_similar(r).withColumnRenamed("doc_id", "experience_id"), r.experiences.where(_SHARED), 5).select("query_id", "experience_id", "rank"), None)
 _add("t19_lite_search", lambda r: recall.lite_search(_similar(r).withColumnRenamed("doc_id", "experience_id").withColumn("similarity", F.col("signal")), r.experiences.select("experience_id", F.concat(F.lit("o"), F.col("agent_id") % 4).alias("owner")), "o1", True, r.experiences.where(_SHARED), 8).select("query_id", "experience_id", "stage", "rank"), None)
 
+_add("x10_keywords", lambda r: terms.keywords(r.conversations.withColumn("id", F.expr("conv_id * 1000 + turn")), "id", "text", 8), None)
+_add("x7_query_terms", lambda r: terms.query_terms(r.benchmark.select(F.col("item_id").alias("query_id"), "text")).select("query_id", F.array_join("terms", " ").alias("terms")), None)
+_add("x5_keyword_signal", lambda r: terms.keyword_signal(terms.query_terms(r.benchmark.select(F.col("item_id").alias("query_id"), "text")), r.documents.select(F.col("doc_id").alias("chunk_id"), F.explode(search.tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("score"))), None)
+_add("x14_low_value", lambda r: r.conversations.select("conv_id", "turn", terms.low_value(F.when(F.col("turn") % 2 == 0, "Read").otherwise("bash"), F.concat(F.lit("command=ls "), F.substring("text", 1, 20)), F.col("text"), F.lit("unknown")).alias("low")), None)
+_add("x16_retrieval_text", lambda r: _chunks(r).select("chunk_id", F.sha2(terms.retrieval_text(F.col("text")), 256).alias("sha")), None)
+_add("p8_readable_skills", lambda r: terms.readable_skills(r.skills.select("skill_id", (F.col("skill_id") % 50).alias("agent_id"), F.concat(F.lit("o"), F.col("skill_id") % 9).alias("owner"), F.when(F.col("skill_id") % 5 == 0, "public").when(F.col("skill_id") % 5 == 1, "team:x").otherwise("private").alias("acl")), 7, "o3", "x").select("skill_id"),
+     "SELECT skill_id FROM skills WHERE skill_id % 5 <= 1 OR skill_id % 50 = 7 OR skill_id % 9 = 3")
+_add("j10_missing_dependencies", lambda r: windows.missing_dependencies(r.skills.select("skill_id", "name", F.array("name", F.concat(F.lit("Brand#"), F.col("skill_id") % 31, F.lit("-small ring"))).alias("dependencies"))),
+     "WITH d AS (SELECT skill_id, concat('Brand#', skill_id % 31, '-small ring') AS name FROM skills) SELECT skill_id, name FROM d WHERE name NOT IN (SELECT name FROM skills)")
+_add("j11_a24_shared_owners", lambda r: windows.visible_owners(r.customer.select((F.col("c_custkey") % 40).alias("project_id"), (F.col("c_custkey") % 90).alias("user_id")).distinct(), r.customer.select((F.col("c_custkey") % 40).alias("project_id"), F.col("c_nationkey").alias("owner"), F.when(F.col("c_acctbal") < 0, F.lit("x")).alias("revoked_at")).distinct()),
+     """WITH m AS (SELECT DISTINCT c_custkey % 40 AS project_id, c_custkey % 90 AS user_id FROM customer), g AS (SELECT DISTINCT c_custkey % 40 AS project_id, c_nationkey AS owner FROM customer WHERE c_acctbal >= 0)
+     SELECT user_id, count(DISTINCT owner) AS owners, count(DISTINCT m.project_id) AS projects FROM m JOIN g ON g.project_id = m.project_id GROUP BY 1""")
+_add("t15_skill_credit", lambda r: _rounded(credit.fold(r.skills.select("skill_id", *(F.lit(0.0).alias(f"q_{d}") for d in DIMS)), r.lineitem.join(windows.latest(r.rewards, ["experience_id"], "created_at", "reward_id"), F.col("l_orderkey") == F.col("experience_id")).select(F.col("l_partkey").alias("skill_id"), "experience_id", "l_linenumber", "confidence", *(f"r_{d}" for d in DIMS)), "skill_id", ["experience_id", "l_linenumber"]), 9),
+     f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experience_id ORDER BY created_at DESC, reward_id DESC) AS rn FROM rewards) WHERE rn = 1), v AS (SELECT l_partkey, experience_id, l_linenumber, 0.2 * confidence AS e, {', '.join(f'l.r_{d}' for d in DIMS)} FROM lineitem JOIN l ON experience_id = l_orderkey),
+     w AS (SELECT *, exp(coalesce(sum(ln(1 - e)) OVER (PARTITION BY l_partkey ORDER BY experience_id, l_linenumber ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rest FROM v), t AS (SELECT l_partkey, count(*) AS n, exp(sum(ln(1 - e))) AS keep, {_GAINS} FROM w GROUP BY 1),
+     x AS (SELECT skill_id, {', '.join(f'0.0::DOUBLE AS q_{d}' for d in DIMS)} FROM skills) SELECT x.skill_id, {_FOLD}, coalesce(n, 0) AS updates FROM x LEFT JOIN t ON l_partkey = x.skill_id""")
+_add("r8_spliced_spans", lambda r: redaction.splice(r.conversations.select("conv_id", "turn", "text", F.expr("array(named_struct('start', 2, 'end', 6, 'label', 'name'), named_struct('start', 8, 'end', 9, 'label', IF(turn % 2 = 0, 'secret', 'date')))").alias("spans")), "text", "spans").select("conv_id", "turn", "text", "is_high"),
+     "SELECT conv_id, turn, CASE WHEN length(text) >= 9 THEN text[1:2] || '<NAME>' || text[7:8] || CASE WHEN turn % 2 = 0 THEN '<SECRET>' ELSE '<DATE>' END || text[10:] WHEN length(text) >= 6 THEN text[1:2] || '<NAME>' || text[7:] ELSE text END AS text, turn % 2 = 0 AS is_high FROM conversations")
+
 
 def _similar(r: _Roles) -> DataFrame:
     return search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 60)
