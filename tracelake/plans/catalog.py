@@ -13,6 +13,7 @@ from tracelake.functions.constants import DIMS
 from tracelake.functions.redaction_rules import REDACTION_RULES, STRICT_RULES
 from tracelake.operators import access, aggregates, credit, dedup, ranking, recall, redaction, review, search, terms, turns, units, windows
 from tracelake.plans.roles import ROLES, role, table, with_roles
+from tracelake.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,6 +292,12 @@ _add("t28_decisions", lambda r: review.apply_decisions(r.experiences.withColumn(
      CASE WHEN action = 'edit' AND l.intent_text IS NOT NULL THEN 0 ELSE q_update_count END AS q_update_count, CASE WHEN action = 'soft_delete' THEN 1 ELSE 0 END AS n_tags FROM experiences e LEFT JOIN l ON l.experience_id = e.experience_id""")
 _add("t29_upsert_rewards", lambda r: review.upsert_rewards(r.turn_rewards.where("turn_index > 3"), r.turn_rewards.where("turn_index <= 4").withColumn("upload_order", F.col("annotated_at")).withColumns({f"r_{d}": F.col(f"r_{d}").cast("string") for d in DIMS}), r.experiences)[0].groupBy("experience_id").agg(F.count("*").alias("n")), None)
 
+# streams
+
+_add("m6_daily_counts", lambda r: jobs.run_to_table(jobs.daily_counts(_stream(r, "orders"), "o_orderdate")), "SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1")
+_add("m6_trailing_week", lambda r: jobs.run_to_table(jobs.trailing_week(_stream(r, "orders"), "o_orderdate")),
+     "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(d + CAST(i AS INT) AS DATE) AS last_day, CAST(sum(n) AS BIGINT) AS n FROM d, range(7) s(i) GROUP BY 1")
+
 # units, chunks, recall
 
 _add("t8_experience_units", lambda r: units.experience_units(_tool_turns(r)).groupBy("session_id", "status").agg(F.count("*").alias("n")), None)
@@ -321,6 +328,12 @@ _add("r8_spliced_spans", lambda r: redaction.splice(r.conversations.select("conv
      "SELECT conv_id, turn, CASE WHEN length(text) >= 9 THEN text[1:2] || '<NAME>' || text[7:8] || CASE WHEN turn % 2 = 0 THEN '<SECRET>' ELSE '<DATE>' END || text[10:] WHEN length(text) >= 6 THEN text[1:2] || '<NAME>' || text[7:] ELSE text END AS text, turn % 2 = 0 AS is_high FROM conversations")
 
 
+def _stream(r: _Roles, name: str) -> DataFrame:
+    """The table as a stream of files; a file source takes a folder and a pattern."""
+    df = r.spark.readStream.schema(getattr(r, name).schema).option("pathGlobFilter", f"{name}*.parquet").parquet(r.sf_dir)
+    return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes))
+
+
 def _similar(r: _Roles) -> DataFrame:
     return search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 60)
 

@@ -6,6 +6,7 @@ and takes rows in the order in which they arrive.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -101,6 +102,14 @@ def online_q(rewards: DataFrame) -> DataFrame:
     return rewards.groupBy("experience_id").applyInPandasWithState(run, f"experience_id long, {fields}, updates int", f"{fields}, updates int", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now and give its result table. For small results: the memory sink keeps them on the driver."""
+    name = f"stream_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
 def daily_counts(rows: DataFrame, column: str = "created_at", delay: str = "1 day") -> DataFrame:
     return rows.withWatermark(column, delay).groupBy(F.window(column, "1 day")).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "n")
 
