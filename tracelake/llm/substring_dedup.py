@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.scratch import keep, shared_dir
+from tracelake.llm.scratch import drop, keep, shared_dir
 from tracelake.llm.words import WordHashes, chunks, finish, hash_words, slices, window_hashes
 
-#: Documents with something to expand or to cut are broadcast up to so many (about 100 bytes each); above it Spark shuffles.
-BROADCAST_DOCS = 500_000
+#: Documents with something to expand or to cut are broadcast up to so many, and up to so many stretches or cuts in all
+#: (some 50 and 16 bytes each, so under 50 MB); above it Spark shuffles.
+BROADCAST_DOCS = 200_000
+BROADCAST_PARTS = 2_000_000
 
 
 def _windows(texts: list[bytes | None], known: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,8 +143,7 @@ class FingerprintIndex:
 
     def _store(self, df: DataFrame) -> str:
         name = f"tracelake_run_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark)}/tracelake/{name}"
-        df.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).saveAsTable(name)
+        df.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", self._path(name)).saveAsTable(name)
         return name
 
     def add(self, texts: DataFrame) -> str:
@@ -155,7 +156,7 @@ class FingerprintIndex:
             seen = old.join(seen, "fp", "full").select("fp", (F.coalesce("before", F.lit(0)) + F.coalesce("times", F.lit(0))).alias("times"))
         before, self.history = self.history, self._store(seen)
         if before:
-            self.spark.sql(f"DROP TABLE {before}")
+            self._forget(before)
         return run
 
     def repeated(self, runs: list[str] | None = None) -> DataFrame:
@@ -169,11 +170,19 @@ class FingerprintIndex:
 
     def close(self) -> None:
         for name in [*self.runs, self.history]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._forget(name)
 
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop(self.spark, self._path(name))
 
-def _with_docs(texts: DataFrame, about: DataFrame, how: str) -> DataFrame:
-    few = about.count() <= BROADCAST_DOCS
+    def _path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/tracelake/{name}"
+
+
+def _with_docs(texts: DataFrame, about: DataFrame, parts: str, how: str) -> DataFrame:
+    size = about.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size(parts)), F.lit(0)).alias("parts")).first()
+    few = size["docs"] <= BROADCAST_DOCS and size["parts"] <= BROADCAST_PARTS
     about = about.withColumnsRenamed({"doc": "__doc", "t64": "__t64"})
     return texts.join(F.broadcast(about) if few else about, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("t64") == F.col("__t64")), how).drop("__doc", "__t64")
 
@@ -190,7 +199,7 @@ def duplicate_spans(texts: DataFrame, width: int, gram: int, batches: int) -> Da
     mixed = spans.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
     asked = spans.join(mixed, "fp").select("one.*", (F.col("times") == 1).alias("only"))
     asked = keep(asked.groupBy("doc", "t64").agg(F.collect_list(F.struct("lo", "n", "only")).alias("asked")), "asked")
-    windows = _with_docs(texts, asked, "inner").mapInArrow(_expand(width), "h1 long, h2 long, doc long, t64 long, at int, only boolean")
+    windows = _with_docs(texts, asked, "asked", "inner").mapInArrow(_expand(width), "h1 long, h2 long, doc long, t64 long, at int, only boolean")
     windows = keep(windows, "windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
     single = windows.where("only").join(twice, ["h1", "h2"]).select("doc", "t64", F.col("at").alias("s"), (F.col("at") + width).alias("e"))
@@ -213,6 +222,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("t64"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     cuts = duplicate_spans(texts, width, gram, batches)
-    out = _with_docs(texts, cuts, "left").select("doc", "text", "spans").mapInArrow(_cut(with_text), "doc long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    out = _with_docs(texts, cuts, "spans", "left").select("doc", "text", "spans").mapInArrow(_cut(with_text), "doc long, n_words long, n_removed long, kept_sha256 string, kept binary")
     out = out.withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("doc", id_col)
     return out if with_text else out.drop("kept")
