@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.llm.components import connected_components
-from tracelake.llm.scratch import keep
+from tracelake.llm.scratch import keep, release
 from tracelake.llm.words import WordHashes, chunks, hash_words, sequence_hash, slices, window_hashes
 
 #: At most so many ids are broadcast (8 bytes each, and as much again for the region); above it Spark shuffles.
@@ -303,14 +303,16 @@ def ngram_jaccard_join(
     if counted is None:
         counted = min(1.0, (1 - percent / 100) * 4 / 3)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    all_ = keep(texts.mapInArrow(_describe(shingle, percent, counted), "doc long, n long, digest binary, near array<long>, far array<long>"), "shingles")
+    described = keep(texts.mapInArrow(_describe(shingle, percent, counted), "doc long, n long, digest binary, near array<long>, far array<long>"), "shingles")
+    all_ = keep(described.select("doc", "n", "digest"), "sets")
     alive = all_.where("n > 0 AND doc IS NOT NULL")
     kinds = keep(alive.groupBy("digest").agg(F.min("doc").alias("rep")), "kinds")
-    about = alive.join(kinds.withColumnRenamed("rep", "doc"), ["digest", "doc"]).dropDuplicates(["digest"])
+    copies = keep(alive.join(kinds, "digest").where("rep <> doc").select("doc", "digest", "rep").distinct(), "copies")
+    about = described.where("n > 0 AND doc IS NOT NULL").join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["doc", "digest"], "left_anti")
     links = jaccard_links(texts.where("doc IS NOT NULL"), about.select("doc", "n", "near", "far"), shingle, percent, region_shingles)
     # equal sets link to the first of them, and so do the several sets of rows that share an id
-    same = alive.select("doc", "digest").join(kinds, "digest").where("rep != doc").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(same)
-    labels = connected_components(keep(links, "found"))
+    links = keep(links.unionByName(copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))), "found")
+    release(described)
+    labels = connected_components(links)
     out = all_.select("doc", "n").join(labels.toDF("doc", "component"), "doc", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))

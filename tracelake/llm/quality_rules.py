@@ -12,6 +12,8 @@ from tracelake.llm.scratch import keep
 
 #: Host verdicts are broadcast up to so many hosts (a name, two counts and a rate each); above it the join shuffles.
 BROADCAST_HOSTS = 100_000
+#: Keys of rejected rows are broadcast up to so many.
+BROADCAST_ROWS = 1_000_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _NONSPACE = r"[^\x20\x09-\x0D]"
@@ -88,6 +90,11 @@ def host_quality(
     return out.withColumn(_Q, F.struct(f"{_Q}.*", F.col("__rate").alias("host_rate"), kept.alias("kept"))).drop("__host", "__rate")
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", **rules) -> DataFrame:
-    """The rows of ``docs`` that ``host_quality`` keeps, with their own columns."""
-    return host_quality(docs, text_col, host_col, **rules).where(f"{_Q}.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", **rules) -> DataFrame:
+    """The rows of ``docs`` that ``host_quality`` keeps, with their own columns. Texts are not written or shuffled if the rejected rows are few."""
+    key = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__t64"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{host_col}`").alias("__from"))
+    rated = host_quality(key, "__text", "__from", ["__id", "__t64", "__from"], **rules)
+    gone = keep(rated.where(f"NOT {_Q}.kept").select("__id", "__t64", "__from").distinct(), "rejected")
+    few = gone.count() <= BROADCAST_ROWS
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__t64")) & F.col(f"`{host_col}`").eqNullSafe(F.col("__from"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

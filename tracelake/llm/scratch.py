@@ -25,4 +25,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracelake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_path = path
+    return kept
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder, through Hadoop's file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(kept: DataFrame) -> None:
+    """Delete what ``keep`` wrote, once nothing reads it any more."""
+    drop(kept.sparkSession, kept._kept_path)

@@ -230,11 +230,20 @@ _add("t1_structural_metrics", lambda r: turns.structural_metrics(r.conversations
 _add("t2_rule_cards", lambda r: turns.rule_cards(r.conversations).select("conv_id", "query", "intent", F.array_join("steps", "|").alias("steps"), "outcome"),
      """WITH t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations), f AS (SELECT conv_id, arg_min(s, turn) FILTER (role = 'user') AS q, arg_max(s, turn) FILTER (role = 'assistant') AS o, string_agg(left(s, 280), '|' ORDER BY turn) FILTER (role = 'assistant') AS steps FROM t WHERE s <> '' GROUP BY 1)
      SELECT conv_id, coalesce(q, '(no user turn)') AS query, trim(coalesce(left(q, 120), 'unspecified task')) AS intent, coalesce(steps, '') AS steps, coalesce(left(o, 500), '(no assistant turn)') AS outcome FROM f""")
-_add("t3_last_request_cards", lambda r: turns.last_request_cards(r.conversations).select("conv_id", "query", F.array_join("steps", "|").alias("steps")), None)
-_add("t7_segments", lambda r: turns.segments(r.conversations).select("conv_id", "segment", "turn_start", "turn_end", F.sha2("context", 256).alias("context"), F.array_join("work", "|").alias("work")), None)
+_add("t3_last_request_cards", lambda r: turns.last_request_cards(r.conversations).select("conv_id", "query", F.array_join("steps", "|").alias("steps")),
+     """WITH t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM t WHERE s <> '')
+     SELECT conv_id, coalesce(arg_max(s, turn) FILTER (role = 'user'), '(no user turn)') AS query, coalesce(string_agg(left(s, 280), '|' ORDER BY turn) FILTER (role = 'assistant' AND rn <= 8), '') AS steps FROM f GROUP BY 1""")
+_add("t7_segments", lambda r: turns.segments(r.conversations).select("conv_id", "segment", "turn_start", "turn_end", F.sha2("context", 256).alias("context"), F.array_join("work", "|").alias("work")),
+     """WITH t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations), g AS (SELECT *, sum(CASE WHEN role = 'user' AND length(s) > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM t WHERE s <> ''),
+     b AS (SELECT conv_id, segment, min(turn) AS turn_start, max(turn) AS turn_end, sha256(arg_min(s, turn)) AS context FROM g WHERE segment > 0 GROUP BY 1, 2),
+     d AS (SELECT conv_id, segment, left(s, 120) AS w, min(turn) AS first FROM g WHERE segment > 0 AND role = 'assistant' GROUP BY 1, 2, 3), e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, segment ORDER BY first) AS rn FROM d),
+     w AS (SELECT conv_id, segment, string_agg(w, '|' ORDER BY first) AS work FROM e WHERE rn <= 8 GROUP BY 1, 2)
+     SELECT b.conv_id, CAST(b.segment AS BIGINT) AS segment, turn_start, turn_end, context, coalesce(work, '') AS work FROM b LEFT JOIN w ON w.conv_id = b.conv_id AND w.segment = b.segment""")
 _add("t11_exact_dedup", lambda r: turns.first_by_fingerprint(r.documents.select(F.col("doc_id").alias("experience_id"), F.col("source").alias("agent_id"), F.col("doc_id").alias("created_at"), F.sha2("text", 256).alias("fingerprint"))),
      "SELECT doc_id AS experience_id, min(doc_id) OVER (PARTITION BY source, text) AS kept_id FROM documents")
-_add("x24_digest", lambda r: turns.digest(r.conversations, budget=1500).select("conv_id", F.length("digest").cast("long").alias("length"), "left_out"), None)
+_add("x24_digest", lambda r: turns.digest(r.conversations, budget=1500).select("conv_id", F.length("digest").cast("long").alias("length"), "left_out"),
+     """WITH t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM conversations), l AS (SELECT *, length('[' || role || '] ' || left(s, 600)) AS n FROM t WHERE s <> ''), u AS (SELECT *, sum(n + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM l)
+     SELECT conv_id, CAST(coalesce(sum(n + 1) FILTER (used <= 1500) - 1, 0) + CASE WHEN count(*) FILTER (used > 1500) > 0 THEN 12 ELSE 0 END AS BIGINT) AS length, count(*) FILTER (used > 1500) AS left_out FROM u GROUP BY 1""")
 
 # credit, feedback, clusters
 
@@ -290,7 +299,9 @@ _add("t28_decisions", lambda r: review.apply_decisions(r.experiences.withColumn(
      """WITH o AS (SELECT d.* FROM decisions d JOIN experiences e ON e.experience_id = d.experience_id AND actor = agent_id), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experience_id ORDER BY decided_at DESC, decision_id DESC) AS rn FROM o) WHERE rn = 1)
      SELECT e.experience_id, CASE WHEN action = 'approve' THEN 'approved' WHEN action IN ('reject', 'soft_delete') THEN 'rejected' WHEN action = 'edit' AND l.intent_text IS NOT NULL THEN 'edited' ELSE review_status END AS review_status, CASE WHEN action = 'edit' AND l.intent_text IS NOT NULL THEN l.intent_text ELSE e.intent_text END AS intent_text,
      CASE WHEN action = 'edit' AND l.intent_text IS NOT NULL THEN 0 ELSE q_update_count END AS q_update_count, CASE WHEN action = 'soft_delete' THEN 1 ELSE 0 END AS n_tags FROM experiences e LEFT JOIN l ON l.experience_id = e.experience_id""")
-_add("t29_upsert_rewards", lambda r: review.upsert_rewards(r.turn_rewards.where("turn_index > 3"), r.turn_rewards.where("turn_index <= 4").withColumn("upload_order", F.col("annotated_at")).withColumns({f"r_{d}": F.col(f"r_{d}").cast("string") for d in DIMS}), r.experiences)[0].groupBy("experience_id").agg(F.count("*").alias("n")), None)
+_add("t29_upsert_rewards", lambda r: review.upsert_rewards(r.turn_rewards.where("turn_index > 3"), r.turn_rewards.where("turn_index <= 4").withColumn("upload_order", F.col("annotated_at")).withColumns({f"r_{d}": F.col(f"r_{d}").cast("string") for d in DIMS}), r.experiences)[0].groupBy("experience_id").agg(F.count("*").alias("n")),
+     """WITH n AS (SELECT DISTINCT experience_id, turn_index, judge_model FROM turn_rewards WHERE turn_index <= 4), o AS (SELECT t.experience_id FROM turn_rewards t ANTI JOIN n ON n.experience_id = t.experience_id AND n.turn_index = t.turn_index AND n.judge_model = t.judge_model WHERE t.turn_index > 3)
+     SELECT experience_id, count(*) AS n FROM (SELECT experience_id FROM n UNION ALL SELECT experience_id FROM o) GROUP BY 1""")
 
 # streams
 
