@@ -132,3 +132,9 @@ def test_ingest_stream(spark, tmp_path):
     q.awaitTermination(120)
     cards = spark.read.parquet(str(tmp_path / "out/cards")).collect()
     assert [(r["session_id"], r["query"], r["completion_signal"]) for r in cards] == [("s1", "mail <EMAIL>", True)]
+
+
+def test_all_schemas_parse_and_read(spark, tmp_path):
+    for name, ddl in ex.SCHEMAS.items():
+        spark.createDataFrame([], ddl).write.parquet(str(tmp_path / name))
+        assert ex.read_pool(spark, str(tmp_path), name).columns

@@ -16,6 +16,25 @@ SCHEMAS = {
     "rewards": "reward_id string, experience_id string, r_outcome double, r_intent double, r_execution double, r_orchestration double, r_expression double, confidence double, created_at string",
     "experience_edges": "parent_id string, child_id string, created_at string, credit_applied int",
     "turn_rewards": "experience_id string, turn_index int, judge_model string, r_outcome int, r_intent int, r_execution int, r_orchestration int, r_expression int, confidence double, annotated_at string",
+    "content_fingerprints": "fingerprint string, agent_id string, experience_id string",
+    "knowledge_clusters": "cluster_id string, label string, centroid array<float>, member_count int, new_since_crystallize int, crystallized_skill_id string, last_structure_score double, created_at string, updated_at string",
+    "cluster_membership": "cluster_id string, experience_id string, similarity double, added_at string",
+    "q_updates": "update_id string, experience_id string, triggered_by_child string, alpha double, confidence double, delta_outcome double, delta_intent double, delta_execution double, delta_orchestration double, delta_expression double, created_at string",
+    "skill_q_updates": "update_id string, skill_id string, triggered_by_child string, alpha double, confidence double, delta_outcome double, delta_intent double, delta_execution double, delta_orchestration double, delta_expression double, created_at string",
+    "reuse_events": "event_id string, viewer_name string, query_text string, scope string, task_type string, top_k int, final_status string, created_at string, feedback_at string",
+    "search_log": "log_id string, experience_id string, query_text string, rank int, similarity double, score double, created_at string",
+    "audit_log": "audit_id string, actor string, action string, target_id string, payload string, created_at string",
+    "vectors": "experience_id string, kind string, vector array<float>",
+    "skills": "skill_id string, name string, version string, description string, agent_id string, acl string, review_status string, dependencies string, q_outcome double, q_intent double, q_execution double, q_orchestration double, q_expression double, "
+    "q_update_count int, invoke_count int, install_count int, created_at string",
+    "experience_skill_uses": "experience_id string, skill_id string, credit_applied int, created_at string",
+    "rag_chunks": "chunk_id string, experience_id string, owner string, chunk_type string, text string, search_text string, lexical_terms string, turn_start int, turn_end int, meta_json string, quality_score double",
+    "rag_vectors": "chunk_id string, vector array<float>",
+    "owner_quotas": "owner string, publish_count int, unpublished_count int",
+    "project_members": "project_id string, user_id string",
+    "project_owner_grants": "project_id string, owner string, include_high_sensitivity int, revoked_at string",
+    "crystallized_skills": "skill_id string, cluster_id string, name string, version int, structure_score double, member_count int, superseded_by string, created_at string",
+    "llm_usage": "usage_id string, kind string, model string, prompt_tokens long, completion_tokens long, total_tokens long, cost_usd double, ok int, created_at string",
     "reuse_items": "event_id string, experience_id string, chunk_id string, rank int, score double, was_used_by_agent int, reward double, confidence double, feedback_at string",
 }
 
