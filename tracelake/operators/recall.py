@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.scores import q_or_score
 from tracelake.functions.text import lexical_score, outcome, tokens_udf
+from tracelake.operators.access import acl_team, searchable
 from tracelake.operators.ranking import readable_top_k, staged_top_k, top_k
-from tracelake.operators.search import diverse_top_k
+from tracelake.operators.search import diverse_top_k, vector_top_k
 
 # Weights of the rerank, and how far candidates may fall.
 WEIGHTS = {"fts": 0.07, "lexical": 0.15, "vector": 0.20, "quality": 0.02, "action": 0.24, "situation": 0.22, "outcome": 0.10}
@@ -20,16 +21,24 @@ def acl_search(ranked: DataFrame, readable: DataFrame, k: int) -> DataFrame:
     return readable_top_k(ranked, readable, k)
 
 
-def lite_search(similar: DataFrame, owners: DataFrame, viewer_owner: str, unlocked: bool, shared: DataFrame, k: int) -> DataFrame:
-    """Own rows first, then, for an unlocked owner, the community's."""
-    own = similar.join(owners.where(F.col("owner") == viewer_owner).select("experience_id"), "experience_id", "left_semi")
-    other = similar.join(shared.select("experience_id"), "experience_id", "left_semi").join(owners.where(F.col("owner") == viewer_owner).select("experience_id"), "experience_id", "left_anti")
-    return staged_top_k(own, other if unlocked else other.limit(0), k)
+def lite_search(queries: DataFrame, vectors: DataFrame, rows: DataFrame, viewer_owner: str, viewer_team: str | None, unlocked: bool, k: int) -> DataFrame:
+    """By cosine over all searchable rows: own rows and those of the viewer's team first, then, for an unlocked owner, the community's.
+
+    queries: query_id, vector; vectors: experience_id, vector; rows: experiences with their ``owner``.
+    """
+    live = searchable(rows)
+    mine = F.coalesce(F.col("owner") == viewer_owner, F.lit(False))
+    community = (F.col("acl") == "public") & (F.coalesce("publish_status", F.lit("private")) == "published")
+    team = F.coalesce(acl_team(F.col("acl")) == F.lit(viewer_team), F.lit(False))
+    near = lambda which: vector_top_k(queries, vectors.join(live.where(which).select("experience_id"), "experience_id", "left_semi"), k)
+    other = near(~mine & community)
+    return staged_top_k(near(mine | (team & ~community)), other if unlocked else other.limit(0), k)
 
 
 def candidates(keyword: DataFrame, vector: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, fts, similarity)``: the union of both candidate sets, each within its limit."""
-    k = keyword.where(F.col("rank") <= FTS_LIMIT).select("query_id", "chunk_id", F.col("signal").alias("fts"), F.lit(0.0).alias("similarity"))
+    """``(query_id, chunk_id, fts, similarity)``: the union of both candidate sets, each within its limit. Keyword hits may bring their own ``similarity``."""
+    own = F.col("similarity") if "similarity" in keyword.columns else F.lit(0.0)
+    k = keyword.where(F.col("rank") <= FTS_LIMIT).select("query_id", "chunk_id", F.col("signal").alias("fts"), own.alias("similarity"))
     v = vector.where(F.col("rank") <= VECTOR_LIMIT).select("query_id", "chunk_id", F.lit(0.0).alias("fts"), "similarity")
     return k.unionByName(v).groupBy("query_id", "chunk_id").agg(F.max("fts").alias("fts"), F.max("similarity").alias("similarity"))
 

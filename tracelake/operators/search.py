@@ -9,50 +9,78 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.constants import W_KEYWORD, W_VECTOR
+from tracelake.functions.constants import C_EXPLORATION, W_KEYWORD, W_Q, W_SIMILARITY, W_VECTOR
 from tracelake.functions.scores import weighted
-from tracelake.operators.ranking import mixed_scores, top_k
+from tracelake.operators.dedup import _cut
+from tracelake.operators.ranking import top_k
 
 #: Queries scored at a time: the matrix of a block is the only thing each task holds (4096 x 256 doubles are 8 MB).
 QUERY_BLOCK = 4096
+#: The same where keyword hits (some hundreds a query) go with the queries, and rows scored at a time.
+HIT_BLOCK = ROW_BLOCK = 1024
+#: Who may read: whole numbers for the owner and team of a query's viewer (0: none) or of a row (-1: none), and whether the shared rows are open to it or it is one.
+READ = ("read_owner", "read_team", "read_shared")
 
 
-def vector_top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id", row_id: str = "experience_id", vector: str = "vector", skip_self: bool = False) -> DataFrame:
-    """``(query_id, row_id, similarity, rank)``: exact cosines. Each batch of rows meets a block of queries as two matrices and only its best ``k`` a query are shuffled."""
-    blocks = [queries.select(query_id, vector).toPandas()] if queries.count() <= QUERY_BLOCK else None
+def vector_top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id", row_id: str = "experience_id", vector: str = "vector", skip_self: bool = False, acl: bool = False) -> DataFrame:
+    """``(query_id, row_id, similarity, rank)``: exact cosines. A block of queries meets slices of rows as two matrices, and only a partition's best ``k`` a query are shuffled.
+
+    With ``acl`` both sides have the columns ``READ``, and only rows that the query's viewer may read are ranked.
+    """
+    extra = list(READ) if acl else []
+    blocks = [queries.select(query_id, vector, *extra).toPandas()] if queries.count() <= QUERY_BLOCK else None
     if blocks is None:
         n = -(-queries.count() // QUERY_BLOCK)
-        numbered = queries.select(query_id, vector, F.pmod(F.xxhash64(query_id), F.lit(n)).alias("__b"))
+        numbered = queries.select(query_id, vector, *extra, F.pmod(F.xxhash64(query_id), F.lit(n)).alias("__b"))
         blocks = (numbered.where(F.col("__b") == i).drop("__b").toPandas() for i in range(n))
     out = None
     for block in blocks:
         if not len(block):
             continue
-        found = rows.select(row_id, vector).mapInPandas(_best(block[query_id].to_numpy(), np.stack(block[vector].to_numpy()).astype(float), k, row_id, vector, skip_self), f"query_id long, {row_id} long, similarity double")
+        may = block[extra].to_numpy(np.int64) if acl else None
+        found = rows.select(row_id, vector, *extra).mapInPandas(_best(block[query_id].to_numpy(), np.stack(block[vector].to_numpy()).astype(float), k, row_id, vector, skip_self, may), f"query_id long, {row_id} long, similarity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = rows.sparkSession.createDataFrame([], f"query_id long, {row_id} long, similarity double")
     return top_k(out.withColumn("similarity", F.round("similarity", 9)), "query_id", k, F.desc("similarity"), row_id)
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, k: int, row_id: str, vector: str, skip_self: bool):
+def _unit(vectors) -> np.ndarray:
+    m = np.stack(list(vectors)).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), ROW_BLOCK):
+            yield batch.iloc[start : start + ROW_BLOCK]
+
+
+def _running_best(scored: Iterator[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, k: int, row_id: str, score: str) -> Iterator[pd.DataFrame]:
+    """The best ``k`` rows a query of all ``(row ids, scores)``, by score and then id; minus infinity is no row."""
+    keys, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+    for own, s in scored:
+        keys, best = np.hstack([keys, np.broadcast_to(own, s.shape)]), np.hstack([best, s])
+        order = np.lexsort((keys, -best), axis=1)[:, :k]
+        keys, best = np.take_along_axis(keys, order, axis=1), np.take_along_axis(best, order, axis=1)
+    yield pd.DataFrame({"query_id": np.repeat(ids, keys.shape[1]), row_id: keys.ravel(), score: best.ravel()}).query(f"{score} > -inf")
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, k: int, row_id: str, vector: str, skip_self: bool, may: np.ndarray | None = None):
     unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if not len(rows):
-                continue
-            own = np.stack(rows[vector].to_numpy()).astype(float)
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for rows in _slices(batches):
             keys = rows[row_id].to_numpy()
-            scores = np.round(unit @ own.T, 9)
+            scores = np.round(unit @ _unit(rows[vector]).T, 9)
             if skip_self:
                 scores[ids[:, None] == keys[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, axis=1)
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), row_id: keys[order].ravel(), "similarity": best.ravel()}).query("similarity > -inf")
+            if may is not None:
+                owner, team, shared = (rows[c].to_numpy() for c in READ)
+                scores[~((may[:, 0, None] == owner) | (may[:, 1, None] == team) | ((may[:, 2, None] > 0) & (shared > 0)))] = -np.inf
+            yield keys, scores
 
-    return run
+    return lambda batches: _running_best(scored(batches), ids, k, row_id, "similarity")
 
 
 _TOKEN = r"[a-z0-9一-鿿]{2,}"
@@ -85,15 +113,97 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 1.2, b:
     return hits.join(total, "query_id").withColumn("signal", 1 - (F.col("rank") - 1) / F.col("hits")).drop("hits")
 
 
-def hybrid_search(vector_hits: DataFrame, keyword_hits: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Union of both candidate sets, blended before the z-scores, then similarity, Q and exploration; top ``k`` a query."""
-    v = vector_hits.select("query_id", "experience_id", "similarity", F.lit(0.0).alias("signal"))
-    t = keyword_hits.select("query_id", F.col("doc_id").alias("experience_id"), F.lit(0.0).alias("similarity"), "signal")
-    both = v.unionByName(t).groupBy("query_id", "experience_id").agg(F.max("similarity").alias("s"), F.max("signal").alias("w"))
-    own = rows.select("experience_id", weighted().alias("q"), "visit_count")
-    c = both.join(own, "experience_id").withColumn("similarity", W_VECTOR * F.col("s") + W_KEYWORD * F.col("w"))
-    scored = mixed_scores(c).withColumn("score", F.round("score", 6))
-    return top_k(scored, "query_id", k, F.desc("score"), "experience_id")
+class _Hits:
+    """Keyword hits ``(query_id, row, signal)`` of a block of queries, sorted by row."""
+
+    def __init__(self, ids: np.ndarray, hits: pd.DataFrame, row_id: str):
+        at = pd.Index(ids).get_indexer(hits["query_id"])
+        order = np.argsort(hits[row_id].to_numpy(), kind="stable")
+        self.rows, self.query, self.signal = hits[row_id].to_numpy()[order], at[order], hits["signal"].to_numpy(dtype=float)[order]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, place in ``keys`` and signal of each hit among ``keys``."""
+        lo = np.searchsorted(self.rows, keys, "left")
+        n = np.searchsorted(self.rows, keys, "right") - lo
+        hit = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        return self.query[hit], np.repeat(np.arange(len(keys)), n), self.signal[hit]
+
+
+def _hit_blocks(queries: DataFrame, hits: DataFrame, row_id: str) -> Iterator[tuple[np.ndarray, np.ndarray, _Hits]]:
+    """Ids, unit vectors and hits of about ``HIT_BLOCK`` queries at a time."""
+    n = max(1, -(-queries.count() // HIT_BLOCK))
+    own = F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(n))
+    for i in range(n):
+        block = queries.where(own == i).select("query_id", "vector").toPandas()
+        if len(block):
+            ids = block["query_id"].to_numpy()
+            found = hits.where(own == i).join(queries.select("query_id"), "query_id", "left_semi")
+            yield ids, _unit(block["vector"]), _Hits(ids, found.select("query_id", row_id, "signal").toPandas(), row_id)
+
+
+def hit_similarities(hits: DataFrame, queries: DataFrame, rows: DataFrame, row_id: str) -> DataFrame:
+    """``hits`` (query_id, row, signal, ...) with the cosine of each; queries: query_id, vector; rows: row, vector."""
+    out = rows.sparkSession.createDataFrame([], f"query_id long, {row_id} long, similarity double")
+    for ids, unit, found in _hit_blocks(queries, hits, row_id):
+
+        def run(batches: Iterator[pd.DataFrame], ids=ids, unit=unit, found=found) -> Iterator[pd.DataFrame]:
+            for part in _slices(batches):
+                keys, own = part[row_id].to_numpy(), _unit(part["vector"])
+                q, at, _ = found.of(keys)
+                yield pd.DataFrame({"query_id": ids[q], row_id: keys[at], "similarity": np.round(np.einsum("ij,ij->i", unit[q], own[at]), 9)})
+
+        out = out.unionByName(rows.select(row_id, "vector").mapInPandas(run, f"query_id long, {row_id} long, similarity double"))
+    return hits.join(out, ["query_id", row_id])
+
+
+def _blended(part: pd.DataFrame, unit: np.ndarray, found: _Hits) -> np.ndarray:
+    s = W_VECTOR * (unit @ _unit(part["vector"]).T)
+    q, at, signal = found.of(part["experience_id"].to_numpy())
+    np.add.at(s, (q, at), W_KEYWORD * signal)
+    return s
+
+
+def hybrid_search(queries: DataFrame, vectors: DataFrame, keyword_hits: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``(query_id, experience_id, score, rank)``: every one of ``rows`` is scored; similarity and keyword signal are blended before the z-scores, then similarity, Q and exploration.
+
+    queries: query_id, vector; vectors: experience_id, vector; keyword_hits: query_id, doc_id, signal. A block of queries goes over the rows twice: once for
+    the mean and deviation of its similarities, and once for each partition's best ``k`` by the final score.
+    """
+    own = _cut(vectors.join(rows.select("experience_id", weighted().alias("q"), F.coalesce("visit_count", F.lit(0)).cast("double").alias("visits")), "experience_id"))
+    about = own.agg(F.count("*").alias("n"), F.avg("q").alias("mq"), F.stddev_pop("q").alias("sq"), F.sum("visits").alias("visits")).first()
+    out = own.sparkSession.createDataFrame([], "query_id long, experience_id long, score double")
+    if not about["n"]:
+        return out.withColumn("rank", F.lit(0))
+    mq, sq, log = about["mq"], about["sq"] if about["sq"] > 1e-12 else 1.0, np.log(about["visits"] + 1)
+    for ids, unit, found in _hit_blocks(queries, keyword_hits.withColumnRenamed("doc_id", "experience_id"), "experience_id"):
+
+        def moments(batches: Iterator[pd.DataFrame], unit=unit, found=found) -> Iterator[pd.DataFrame]:
+            n, mean, m2 = 0, np.zeros(len(unit)), np.zeros(len(unit))
+            for part in _slices(batches):
+                s = _blended(part, unit, found)
+                m, here, gap = s.shape[1], s.mean(axis=1), s.mean(axis=1) - mean
+                m2 += ((s - here[:, None]) ** 2).sum(axis=1) + gap**2 * n * m / (n + m)
+                mean += gap * m / (n + m)
+                n += m
+            yield pd.DataFrame({"at": np.arange(len(unit)), "n": n, "mean": mean, "m2": m2}).query("n > 0")
+
+        parts = own.select("experience_id", "vector").mapInPandas(moments, "at long, n long, mean double, m2 double")
+        total = parts.groupBy("at").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum("m2").alias("m2"))
+        apart = parts.join(F.broadcast(total.select("at", (F.col("s") / F.col("n")).alias("all"))), "at").groupBy("at").agg(F.sum(F.col("n") * (F.col("mean") - F.col("all")) ** 2).alias("between"))
+        stats = total.join(apart, "at").orderBy("at").toPandas()
+        mean, sigma = (stats["s"] / stats["n"]).to_numpy(), np.sqrt(((stats["m2"] + stats["between"]) / stats["n"]).to_numpy())
+        sigma = np.where(sigma > 1e-12, sigma, 1.0)
+
+        def best(batches: Iterator[pd.DataFrame], ids=ids, unit=unit, found=found, mean=mean, sigma=sigma) -> Iterator[pd.DataFrame]:
+            def scored() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for part in _slices(batches):
+                    fixed = W_Q * (part["q"].to_numpy() - mq) / sq + C_EXPLORATION * np.sqrt(log / np.maximum(part["visits"].to_numpy(), 1))
+                    yield part["experience_id"].to_numpy(), np.round(W_SIMILARITY * (_blended(part, unit, found) - mean[:, None]) / sigma[:, None] + fixed, 6)
+
+            yield from _running_best(scored(), ids, k, "experience_id", "score")
+
+        out = out.unionByName(own.mapInPandas(best, "query_id long, experience_id long, score double"))
+    return top_k(out, "query_id", k, F.desc("score"), "experience_id")
 
 
 def diverse_top_k(candidates: DataFrame, k: int, per_experience: int = 1) -> DataFrame:

@@ -12,6 +12,7 @@ from tracelake.functions import text as tx
 from tracelake.functions.constants import DIMS
 from tracelake.functions.redaction_rules import REDACTION_RULES, STRICT_RULES
 from tracelake.operators import access, aggregates, credit, dedup, ranking, recall, redaction, review, search, terms, turns, units, windows
+from tracelake.operators.dedup import _cut
 from tracelake.plans.roles import ROLES, role, table, with_roles
 from tracelake.streaming import jobs
 
@@ -317,7 +318,7 @@ _add("t6_compaction", lambda r: units.compact(r.conversations.select(F.col("conv
 _add("t12_x12_clean_turns", lambda r: r.conversations.select("conv_id", "turn", F.sha2(units.clean_turn(F.col("text")), 256).alias("sha")), None)
 _add("t20_recall", lambda r: _recall(r), None)
 _add("t18_acl_search", lambda r: recall.acl_search(_similar(r).withColumnRenamed("doc_id", "experience_id"), r.experiences.where(_SHARED), 5).select("query_id", "experience_id", "rank"), None)
-_add("t19_lite_search", lambda r: recall.lite_search(_similar(r).withColumnRenamed("doc_id", "experience_id").withColumn("similarity", F.col("signal")), r.experiences.select("experience_id", F.concat(F.lit("o"), F.col("agent_id") % 4).alias("owner")), "o1", True, r.experiences.where(_SHARED), 8).select("query_id", "experience_id", "stage", "rank"), None)
+_add("t19_lite_search", lambda r: recall.lite_search(*_vectors(r), r.experiences.withColumn("owner", F.concat(F.lit("o"), F.col("agent_id") % 4)), "o1", "BUILDING", True, 8).select("query_id", "experience_id", "stage", "rank"), None)
 
 _add("x10_keywords", lambda r: terms.keywords(r.conversations.withColumn("id", F.expr("conv_id * 1000 + turn")), "id", "text", 8), None)
 _add("x7_query_terms", lambda r: terms.query_terms(r.benchmark.select(F.col("item_id").alias("query_id"), "text")).select("query_id", F.array_join("terms", " ").alias("terms")), None)
@@ -364,12 +365,22 @@ def _chunks(r: _Roles) -> DataFrame:
 
 
 def _recall(r: _Roles) -> DataFrame:
-    chunks = _chunks(r).select("chunk_id", F.col("session_id").alias("experience_id"), F.col("session_id").alias("session"), "chunk_type", "text", F.lit(0.5).alias("quality"))
-    queries = r.conversations.where("role = 'user' AND turn = 0").select(F.col("conv_id").alias("query_id"), "text")
-    keyword = search.bm25(queries, chunks.select(F.col("chunk_id").alias("doc_id"), "text"), recall.FTS_LIMIT).withColumnRenamed("doc_id", "chunk_id")
-    vectors = chunks.select(F.xxhash64("chunk_id").alias("n"), "chunk_id", embedding.embed(F.col("text")).alias("vector"))
-    near = search.vector_top_k(queries.select("query_id", embedding.embed(F.col("text")).alias("vector")), vectors, 50, row_id="n").join(vectors.select("n", "chunk_id"), "n")
-    return recall.recall(keyword, near, queries, chunks, 5)
+    """Every user turn asks, as the agent of its conversation's experience, for the searchable chunks it may read."""
+    who = r.agents.select("agent_id", access.owner_name(F.col("owner"), F.col("name")).alias("owner"), "team")
+    e = r.experiences.join(who, "agent_id")
+    quota = access.owner_quota(r.publish_events).where("unlocked").select("owner", F.lit(1).alias("open"))
+    viewers = e.join(quota, "owner", "left").select(F.col("experience_id").alias("conv_id"), F.xxhash64("owner").alias("read_owner"), F.coalesce(F.xxhash64("team"), F.lit(0)).alias("read_team"), F.coalesce("open", F.lit(0)).alias("read_shared"))
+    team = access.acl_team(F.col("acl"))
+    shared = (F.col("acl") == "public") & (F.col("publish_status") == "published")
+    of = access.searchable(e).select(F.col("experience_id").cast("string").alias("session_id"), F.xxhash64("owner").alias("read_owner"), F.when(team.isNull(), -1).otherwise(F.xxhash64(team)).alias("read_team"), shared.cast("int").alias("read_shared"))
+    chunks = _cut(_chunks(r).join(of, "session_id").select("chunk_id", F.xxhash64("chunk_id").alias("n"), F.col("session_id").alias("experience_id"), F.col("session_id").alias("session"), "chunk_type", "text", F.lit(0.5).alias("quality"), embedding.embed(F.col("text")).alias("vector"), *search.READ))
+    queries = r.conversations.where("role = 'user'").join(viewers, "conv_id")
+    queries = _cut(queries.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("query_id"), "text", embedding.embed(F.col("text")).alias("vector"), *search.READ))
+    near = search.vector_top_k(queries, chunks, recall.VECTOR_LIMIT, row_id="n", acl=True).join(chunks.select("n", "chunk_id"), "n")
+    keyword = search.bm25(queries, chunks.select(F.col("n").alias("doc_id"), "text"), recall.FTS_LIMIT).withColumnRenamed("doc_id", "n")
+    may = (F.col("v.read_owner") == F.col("c.read_owner")) | (F.col("v.read_team") == F.col("c.read_team")) | ((F.col("v.read_shared") > 0) & (F.col("c.read_shared") > 0))
+    keyword = keyword.alias("k").join(queries.alias("v"), "query_id").join(chunks.alias("c"), "n").where(may).select("query_id", "n", "rank", "signal", "chunk_id")
+    return recall.recall(search.hit_similarities(keyword, queries, chunks, "n"), near, queries, chunks, 5)
 
 
 def _redacted(r: _Roles) -> DataFrame:
@@ -385,12 +396,14 @@ def _lexical(r: _Roles) -> DataFrame:
     return t.withColumn("query", before).where("query IS NOT NULL").select("conv_id", "turn", tx.lexical_score(F.col("query"), F.col("terms")).alias("score"))
 
 
-def _hybrid(r: _Roles) -> DataFrame:
-    vectors = r.documents.select(F.col("doc_id").alias("experience_id"), embedding.embed(F.col("text")).alias("vector"))
+def _vectors(r: _Roles) -> tuple[DataFrame, DataFrame]:
     queries = r.benchmark.select(F.col("item_id").alias("query_id"), embedding.embed(F.col("text")).alias("vector"))
-    v = search.vector_top_k(queries, vectors, 50)
-    t = search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 50)
-    return search.hybrid_search(v, t, r.experiences, 10).select("query_id", "experience_id", "score", "rank")
+    return queries, r.documents.select(F.col("doc_id").alias("experience_id"), embedding.embed(F.col("text")).alias("vector"))
+
+
+def _hybrid(r: _Roles) -> DataFrame:
+    t = search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 200)
+    return search.hybrid_search(*_vectors(r), t, access.searchable(r.experiences), 10).select("query_id", "experience_id", "score", "rank")
 
 
 def _eval(r: _Roles) -> tuple[DataFrame, DataFrame]:
