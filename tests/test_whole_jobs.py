@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.operators import recall, search
+from tracelake.operators import dedup, recall, search
 
 
 def test_hybrid_search_scores_every_searchable_row(spark, monkeypatch):
@@ -48,3 +48,32 @@ def test_lite_search_ranks_by_cosine(spark):
     found = lambda unlocked, k: [(r["stage"], r["experience_id"]) for r in recall.lite_search(queries, vectors, e, "me", "T", unlocked, k).orderBy("rank").collect()]
     assert found(True, 9) == [(0, 1), (0, 3), (0, 6), (1, 2)]
     assert found(False, 2) == [(0, 1), (0, 3)]
+
+
+def test_leader_clusters_carry_centroids_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(8, 6))
+    v = np.array([base[rng.integers(8)] + 0.4 * rng.normal(size=6) for _ in range(90)])
+    v[11] = v[9]
+    want, sums, counts, names = {}, [], [], []
+    for i, x in enumerate(v):
+        s = [round(float(c @ x / np.linalg.norm(c) / np.linalg.norm(x)), 9) for c in sums]
+        at = int(np.argmax(s)) if s else -1
+        if at < 0 or s[at] < 0.8:
+            at = len(sums)
+            sums, counts, names = [*sums, np.zeros(6)], [*counts, 0], [*names, i]
+        sums[at], counts[at] = sums[at] + x, counts[at] + 1
+        want[i] = names[at]
+    df = spark.createDataFrame([(i, i // 10, [float(a) for a in x]) for i, x in enumerate(v)], "id long, block long, v array<double>")
+    got = {r["id"]: r["cluster_id"] for r in dedup.leader_clusters(df, "block", "id", "v", 0.8).collect()}
+    assert got == want and got[9] == got[11]
+
+
+def test_merges_need_near_scripts_and_an_approved_partner(spark):
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, 0, x, x, False), (2, 0, x, x, True), (3, 0, x, y, True), (4, 0, x, x, None), (5, 0, x, None, True), (6, 0, y, x, True), (7, 1, x, x, True)]
+    df = spark.createDataFrame(rows, "id long, block int, intent array<double>, script array<double>, approved boolean")
+    pairs = dedup.mergeable_pairs(df, "block", "id", "intent", "script")
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2), (1, 4), (2, 4)]
+    order = df.select(F.col("id").alias("experience_id"), F.lpad(F.col("id").cast("string"), 4, "0").alias("arrived"), F.lit(0).alias("strength"), "approved")
+    assert [tuple(r) for r in dedup.merge_replay(pairs, order).collect()] == [(2, 4)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.functions.constants import CLUSTER_MIN, CLUSTER_NEW, CLUSTER_SIMILARITY, DEDUP_INTENT
+from tracelake.functions.constants import CLUSTER_MIN, CLUSTER_NEW, CLUSTER_SIMILARITY, DEDUP_INTENT, DEDUP_SCRIPT
 
 #: Texts of one side of a tile; a task compares two tiles as matrices.
 TILE = 2048
@@ -64,33 +65,49 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
+def mergeable_pairs(rows: DataFrame, block: str, key: str, intent: str, script: str, least: float = DEDUP_INTENT, least_script: float = DEDUP_SCRIPT) -> DataFrame:
+    """Pairs ``(a, b, similarity)`` of ``similar_pairs`` whose script vectors reach ``least_script`` as well; a row without a script vector has none."""
+    pairs = similar_pairs(rows, block, key, intent, least)
+    side = lambda name: rows.where(F.col(script).isNotNull()).select(F.col(key).alias(name), F.col(script).alias(f"__{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        m, n = np.stack(x.to_numpy()).astype(float), np.stack(y.to_numpy()).astype(float)
+        return pd.Series(np.round((m * n).sum(axis=1) / np.maximum(np.linalg.norm(m, axis=1) * np.linalg.norm(n, axis=1), 1e-300), 9))
+
+    return both.where(F.pandas_udf(run, "double")("__a", "__b") >= least_script).select("a", "b", "similarity")
+
+
 def merge_replay(pairs: DataFrame, rows: DataFrame, key: str = "experience_id") -> DataFrame:
     """Merges in order of arrival: a row merges with its first live earlier partner; the stronger stays, the newcomer on a tie. A loser is no partner any more.
 
-    ``rows``: key, arrived, strength. Only rows of one component of ``pairs`` matter to each other: each is replayed on its own. Returns ``(key, merged_into)`` of the losers.
+    ``rows``: key, arrived, strength and, if there are rows that nothing merges with, ``approved``: the newcomer may wait for review, its partner may not. Only rows of one component of ``pairs`` matter to each other. Its pairs stream past in order of arrival, sorted by Spark;
+    a task keeps no more than the losers of the component it is at. Returns ``(key, merged_into)`` of the losers.
     """
-    own = rows.select(F.col(key).alias("k"), F.col("arrived").cast("string").alias("arrived"), F.col("strength").cast("double").alias("strength"))
-    label = components(pairs)
-    members = label.join(own, "k").select("component", "k", "arrived", "strength", F.lit(None).cast("long").alias("b"))
-    edges = pairs.join(label.withColumnRenamed("k", "a"), "a").select("component", F.col("a").alias("k"), F.lit(None).cast("string").alias("arrived"), F.lit(None).cast("double").alias("strength"), "b")
+    own = rows.select(F.col(key).alias("k"), F.struct(F.col("arrived").cast("string").alias("at"), F.col(key).alias("k")).alias("arrived"), F.col("strength").cast("double").alias("strength"), (F.coalesce("approved", F.lit(False)) if "approved" in rows.columns else F.lit(True)).alias("approved"))
+    side = lambda name: own.select(F.col("k").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("arrived", "strength", "approved")))
+    edges = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    later = F.col("a_arrived") > F.col("b_arrived")
+    pick = lambda what, first: F.when(later if first else ~later, F.col(f"a{what}")).otherwise(F.col(f"b{what}"))
+    edges = _cut(edges.select("a", "b", *(pick(what, first).alias(name + what) for name, first in (("new", True), ("old", False)) for what in ("", "_arrived", "_strength", "_approved"))).where("old_approved"))
+    order = edges.join(components(edges).withColumnRenamed("k", "a"), "a").repartition("component").sortWithinPartitions("component", "new_arrived", "old_arrived").select("component", "new", "old", "new_strength", "old_strength")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = group[group["b"].isna()].sort_values(["arrived", "k"])
-        rank = {k: i for i, k in enumerate(nodes["k"])}
-        strength = dict(zip(nodes["k"], nodes["strength"], strict=True))
-        earlier: dict[int, list[int]] = {}
-        for k, b in group[group["b"].notna()][["k", "b"]].astype("int64").itertuples(index=False):
-            new, old = (k, b) if rank[k] > rank[b] else (b, k)
-            earlier.setdefault(new, []).append(old)
-        into: dict[int, int] = {}
-        for new in nodes["k"]:
-            old = min((x for x in earlier.get(new, ()) if x not in into), key=rank.get, default=None)
-            if old is not None:
-                winner, loser = (new, old) if strength[new] >= strength[old] else (old, new)
-                into[loser] = winner
-        return pd.DataFrame({key: list(into), "merged_into": list(into.values())}, dtype="int64")
-
-    return members.unionByName(edges).groupBy("component").applyInPandas(run, f"{key} long, merged_into long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, done, lost = None, None, set()
+        for batch in batches:
+            out = []
+            for c, new, old, new_strength, old_strength in batch.itertuples(index=False):
+                if c != at:
+                    at, done, lost = c, None, set()
+                if new == done or old in lost:
+                    continue
+                done = new
+                winner, loser = (new, old) if new_strength >= old_strength else (old, new)
+                lost.add(loser)
+                out.append((loser, winner))
+            yield pd.DataFrame(out, columns=[key, "merged_into"], dtype="int64")
+
+    return order.mapInPandas(run, f"{key} long, merged_into long")
 
 
 def nearest_centroid(rows: DataFrame, centroids: pd.DataFrame, key: str, vector: str, least: float = CLUSTER_SIMILARITY) -> DataFrame:
@@ -114,36 +131,50 @@ def nearest_centroid(rows: DataFrame, centroids: pd.DataFrame, key: str, vector:
 
 
 def leader_clusters(rows: DataFrame, block: str, key: str, vector: str, least: float = CLUSTER_SIMILARITY) -> DataFrame:
-    """Leader rule in order of the key inside each block: join the best centroid of at least ``least``, else found a cluster named by the key; centroids are member means.
+    """Leader rule in order of block and key: join the best centroid of at least ``least``, else found a cluster named by the key; centroids are member means.
 
-    A block is a bounded arrival batch (one task each): cut longer streams into batches and match them with ``nearest_centroid`` first.
+    A block is a bounded arrival batch (one task). Blocks follow each other: each starts from the centroids that the blocks before it left in a written
+    table, so the result is that of one pass over all rows. The rule has no other order, and the centroids are all that a task holds besides its block.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sums: list[np.ndarray] = []
-        counts: list[int] = []
-        names: list[int] = []
-        out = []
-        for k, v in sorted(zip(group[key], group[vector], strict=True), key=lambda x: x[0]):
-            v = np.asarray(v, float)
-            best, at = -1.0, -1
-            if sums:
-                c = np.stack(sums) / np.array(counts)[:, None]
-                s = np.round(c @ v / np.maximum(np.linalg.norm(c, axis=1) * np.linalg.norm(v), 1e-300), 9)
-                at = int(s.argmax())
-                best = float(s[at])
-            if best >= least:
-                sums[at] = sums[at] + v
-                counts[at] += 1
-                out.append((k, names[at], best))
+    row = f"{key} long, cluster_id long, similarity double"
+    state = rows.sparkSession.createDataFrame([], "cluster_id long, total array<double>, members long")
+    out = []
+
+    def run(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)
+        m = np.stack(group[vector].to_numpy()).astype(float)
+        before = before.sort_values("cluster_id")
+        used = len(before)
+        names = np.concatenate([before["cluster_id"].to_numpy(np.int64), np.zeros(len(m), np.int64)])
+        counts = np.concatenate([before["members"].to_numpy(np.int64), np.zeros(len(m), np.int64)])
+        sums = np.zeros((used + len(m), m.shape[1]))
+        if used:
+            sums[:used] = np.stack(before["total"].to_numpy())
+        norms = np.linalg.norm(sums, axis=1)
+        hit, sim = np.zeros(len(m), np.int64), np.ones(len(m))
+        for i, (k, v) in enumerate(zip(group[key].to_numpy(), m, strict=True)):
+            # the direction of a mean is that of the sum
+            s = np.round(sums[:used] @ v / np.maximum(norms[:used] * np.linalg.norm(v), 1e-300), 9)
+            at = int(s.argmax()) if used else -1
+            if at >= 0 and s[at] >= least:
+                sim[i] = s[at]
             else:
-                sums.append(v)
-                counts.append(1)
-                names.append(k)
-                out.append((k, k, 1.0))
-        return pd.DataFrame(out, columns=[key, "cluster_id", "similarity"])
-
-    return rows.select(block, key, vector).groupBy(block).applyInPandas(run, f"{key} long, cluster_id long, similarity double")
+                at, names[used] = used, k
+                used += 1
+            sums[at] += v
+            counts[at] += 1
+            norms[at] = np.linalg.norm(sums[at])
+            hit[i] = names[at]
+        found = pd.DataFrame({key: group[key].to_numpy(), "cluster_id": hit, "similarity": sim, "total": None, "members": 0})
+        left = pd.DataFrame({key: None, "cluster_id": names[:used], "similarity": 0.0, "total": list(sums[:used]), "members": counts[:used]})
+        return pd.concat([found.astype({key: "Int64"}), left.astype({key: "Int64"})])
+
+    for (b,) in rows.where(F.col(key).isNotNull()).select(block).distinct().orderBy(block).collect():
+        mine = rows.where(F.col(block).eqNullSafe(F.lit(b)) & F.col(key).isNotNull()).select(key, vector)
+        step = _cut(mine.groupBy(F.lit(0).alias("g")).cogroup(state.groupBy(F.lit(0).alias("g"))).applyInPandas(run, f"{row}, total array<double>, members long"))
+        out.append(step.where(F.col(key).isNotNull()).select(key, "cluster_id", "similarity"))
+        state = step.where(F.col(key).isNull()).select("cluster_id", "total", "members")
+    return reduce(DataFrame.unionByName, out) if out else rows.sparkSession.createDataFrame([], row)
 
 
 def crystallise_candidates(clusters: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import embedding, scores
 from tracelake.functions import text as tx
-from tracelake.functions.constants import DIMS
+from tracelake.functions.constants import DIMS, SEARCHABLE
 from tracelake.functions.redaction_rules import REDACTION_RULES, STRICT_RULES
 from tracelake.operators import access, aggregates, credit, dedup, ranking, recall, redaction, review, search, terms, turns, units, windows
 from tracelake.operators.dedup import _cut
@@ -267,7 +267,7 @@ _add("t22_hit_counts", lambda r: credit.hit_counts(r.reuse_items), "SELECT exper
 _add("t13_similar_pairs", lambda r: dedup.similar_pairs(r.embeddings, "label", "vec_id", "embedding", 0.2),
      """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)
      SELECT a, b, round(s, 6) AS similarity FROM s WHERE round(s, 9) >= 0.2""")
-_add("t13_merges", lambda r: dedup.merge_replay(dedup.similar_pairs(r.embeddings, "label", "vec_id", "embedding", 0.2), r.embeddings.select(F.col("vec_id").alias("experience_id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("arrived"), (F.col("vec_id") * 7 % 101).alias("strength"))), None)
+_add("t13_merges", lambda r: dedup.merge_replay(_mergeable(r), r.embeddings.join(r.experiences.select(F.col("experience_id").alias("vec_id"), F.col("review_status").isin(*SEARCHABLE).alias("approved")), "vec_id", "left").select(F.col("vec_id").alias("experience_id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("arrived"), (F.col("vec_id") * 7 % 101).alias("strength"), "approved")), None)
 _add("t23_leader_clusters", lambda r: dedup.leader_clusters(r.embeddings.withColumn("batch", F.floor(F.col("vec_id") / 1000)), "batch", "vec_id", "embedding", 0.2), None)
 _add("t24_crystallise", lambda r: dedup.crystallise_candidates(r.clusters), "SELECT cluster_id, CASE WHEN crystallized_skill_id IS NULL THEN 'first' ELSE 'again' END AS reason FROM clusters WHERE (crystallized_skill_id IS NULL AND member_count >= 5) OR (crystallized_skill_id IS NOT NULL AND new_since_crystallize >= 3)")
 _add("t24_versions", lambda r: dedup.improving_versions(r.skills.withColumn("structure_score", (F.col("skill_id") * 37 % 211).cast("double"))),
@@ -383,6 +383,12 @@ def _recall(r: _Roles) -> DataFrame:
     return recall.recall(search.hit_similarities(keyword, queries, chunks, "n"), near, queries, chunks, 5)
 
 
+def _mergeable(r: _Roles) -> DataFrame:
+    """Vectors of the table as intents and of documents as scripts. The table's vectors are nearly random, so that intents take 0.2."""
+    scripts = r.documents.select(F.col("doc_id").alias("vec_id"), embedding.embed(F.col("text")).alias("script"))
+    return dedup.mergeable_pairs(_cut(r.embeddings.join(scripts, "vec_id", "left")), "label", "vec_id", "embedding", "script", 0.2)
+
+
 def _redacted(r: _Roles) -> DataFrame:
     return redaction.redact(r.documents.select("doc_id", "text"), "text")
 
