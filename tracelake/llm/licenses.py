@@ -1,8 +1,9 @@
-"""License scan: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest ancestor directory.
+"""License scan: sparse TF-IDF cosine of lines, and of runs of lines, to templates, then inheritance from the nearest ancestor directory.
 
-One pass over the texts counts in how many lines each template term occurs, and keeps the lines that can reach the threshold: with the
-other terms at the highest idf there is, a line's squared cosine is at most the share of template terms in its squared term counts.
-Cosines are joined and summed for those lines only. Licence files and index pages give their licence to their directory;
+One pass over the texts counts in how many lines each term occurs. A second one goes over all runs of lines with words that are short enough to
+be a template, so that hard-wrapped notices are whole, and keeps those that can reach the threshold. Word by word, a run's dot product with a template adds
+up, and its squared length is at least the sum of its words' squared idf, at least 1 for a term of no template; so prefix sums bound every run's cosine.
+Cosines are joined and summed for those runs only. Licence files and index pages give their licence to their directory;
 files without one of their own look it up by joining all their ancestor directories.
 """
 
@@ -13,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +36,17 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 
+#: Terms of kept runs whose line counts are broadcast; above it the join shuffles.
+BROADCAST_TERMS = 200_000
+#: Distinct terms that a task counts before it sends them on.
+COUNTED_TERMS = 100_000
+
 #: Directory licences are broadcast up to so many directories; above it the join shuffles.
 BROADCAST_DIRS = 200_000
 
 _TERM = re.compile(rb"[a-z0-9]+")
 _TAGS = re.compile(rb"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S)
+_INLINE = re.compile(rb"</?(?:a|abbr|acronym|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr)(?:\s[^>]*)?/?>", re.I)
 _FILE = r"(?i)^(licen[cs]e|copying|copyright|notice|legal)(\..*)?$"
 
 
@@ -46,38 +54,71 @@ def _terms(line: bytes) -> Counter:
     return Counter(_TERM.findall(line.lower()))
 
 
-def _scan(vocabulary: dict[bytes, int], threshold: float, markup: bool):
+def _lines(text: bytes | None, markup: bool) -> list[tuple[int, list[bytes]]]:
+    """``(number, terms)`` of the lines with terms. Inline tags are spaces, other tags end a line."""
+    text = text or b""
+    if markup and b"<" in text:
+        text = _TAGS.sub(lambda m: b" " if _INLINE.fullmatch(m[0]) else b"\n", text)
+    return [(i, words) for i, line in enumerate(text.split(b"\n")) if (words := _TERM.findall(line.lower()))]
+
+
+def _count(vocabulary: dict[bytes, int] | None, markup: bool):
+    """In how many lines each term occurs (of ``vocabulary``, or of all); the null term counts the lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
+        df: Counter = Counter()
+
+        def send() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(df), pa.binary()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
+            df.clear()
+            return out
+
         for batch in slices(batches):
-            row, nth, terms, other = [], [], [], []
-            df: Counter = Counter()
-            lines = 0
-            for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = text or b""
-                for i, line in enumerate((_TAGS.sub(b"\n", text) if markup and b"<" in text else text).split(b"\n")):
-                    words = _TERM.findall(line.lower())
-                    if not words:
-                        continue
-                    lines += 1
-                    known = Counter(x for x in map(get, words) if x is not None)
-                    if not known:
-                        continue
-                    df.update(known.keys())
-                    ours = sum(n * n for n in known.values())
-                    rest = sum(n * n for w, n in Counter(words).items() if w not in vocabulary)
-                    if ours >= threshold**2 * (ours + rest):
-                        row.append(r)
-                        nth.append(i)
-                        terms.append([{"term": t, "n": n} for t, n in known.items()])
-                        other.append(rest)
-            row.append(None)
-            nth.append(lines)
-            terms.append([{"term": t, "n": n} for t, n in df.items()])
-            other.append(0)
+            for text in batch.column("text").to_pylist():
+                for _, words in _lines(text, markup):
+                    df[None] += 1
+                    df.update(set(words) if vocabulary is None else vocabulary.keys() & words)
+            if len(df) > COUNTED_TERMS:
+                yield send()
+        yield send()
+
+    return run
+
+
+def _scan(vocabulary: dict[bytes, int], weights: np.ndarray, idf: np.ndarray, other: float, threshold: float, most: int, markup: bool):
+    """Runs of lines whose bound reaches the threshold. weights: template terms x templates, a last row for other terms; idf likewise."""
+    squares = np.append(idf**2, other**2)
+    table = np.hstack([weights, squares[:, None]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, none = vocabulary.get, len(idf)
+        for batch in slices(batches, 64):
+            row, nth, span, terms, others = [], [], [], [], []
+            lines = [(r, i, words) for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True) for i, words in _lines(text, markup)]
+            if lines:
+                of = np.array([r for r, _, _ in lines])
+                ends = np.concatenate([[0], np.cumsum([len(words) for _, _, words in lines])])
+                ids = np.fromiter((get(w, none) for _, _, words in lines for w in words), np.int64, ends[-1])
+                by_line = np.add.reduceat(table[ids], ends[:-1])
+                sums = np.vstack([np.zeros(table.shape[1]), np.cumsum(by_line, axis=0)])
+                first = np.arange(len(lines))
+                size = 1
+                while len(first):
+                    x = sums[first + size] - sums[first]
+                    # prefix sums lose some digits, the exact cosine is taken later
+                    for i in first[x[:, :-1].max(axis=1, initial=0.0) >= (threshold - 1e-6) * np.sqrt(np.maximum(x[:, -1], 1e-300))]:
+                        counts = Counter(w for _, _, words in lines[i : i + size] for w in words)
+                        row.append(lines[i][0])
+                        nth.append(lines[i][1])
+                        span.append(size)
+                        terms.append([{"term": vocabulary[w], "n": n} for w, n in counts.items() if w in vocabulary])
+                        others.append([{"word": w, "n": n} for w, n in counts.items() if w not in vocabulary])
+                    size += 1
+                    first = first[first + size <= len(lines)]
+                    first = first[(of[first + size - 1] == of[first]) & (ends[first + size] - ends[first] <= most)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(nth, pa.int64()), pa.array(terms, pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int64())]))), pa.array(other, pa.int64())],
-                names=["row", "nth", "terms", "other"],
+                [pa.array(row, pa.int64()), pa.array(nth, pa.int64()), pa.array(span, pa.int64()), pa.array(terms, pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int64())]))), pa.array(others, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                names=["row", "nth", "span", "terms", "others"],
             )
 
     return run
@@ -91,12 +132,14 @@ def _place(url: Column) -> Column:
 
 
 def scan_licenses(
-    files: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", markup: bool = True, templates: list[tuple[str, str]] | None = None, threshold: float = 0.75
+    files: DataFrame, id_col: str = "page_id", path_col: str = "url", text_col: str = "html", markup: bool = True, templates: list[tuple[str, str]] | None = None, threshold: float = 0.75, all_terms: bool = False
 ) -> DataFrame:
     """One row a row of ``files``: ``id``, ``license``, ``cosine`` (null if inherited), ``origin`` ("own", "inherited" or null), ``dir`` it was found in.
 
-    A file's own licence is that of its line with the highest cosine of at least ``threshold`` to a template (then the first line, then the first licence by
-    name). A directory's is the highest of its licence files', else of its index pages'. Idf: ``1 + ln((1 + lines) / (1 + lines with the term))`` over all lines.
+    A file's own licence is that of its line or run of lines with the highest cosine of at least ``threshold`` to a template (then the first line, the shorter run,
+    the first licence by name). Runs have at most the longest template's terms / ``threshold`` squared: of different words, more cannot reach it. A directory's is the highest of its
+    licence files', else of its index pages'. Idf: ``1 + ln((1 + lines) / (1 + lines with the term))`` over all lines; terms of no template have that too with
+    ``all_terms``, and else the highest idf there is.
     Null texts have no lines; null paths lie in the root; without templates or rows nothing is found. Repeated rows count each; other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
@@ -105,26 +148,36 @@ def scan_licenses(
     words = sorted({w for _, v in vectors for w in v})
     vocabulary = {w: i for i, w in enumerate(words)}
     rows = keep(files.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), _place(F.col(f"`{path_col}`")).alias("at"), F.col(f"`{text_col}`").cast("binary").alias("text")), "files")
-    found = rows.select("row", "text").mapInArrow(_scan(vocabulary, threshold, markup), "row long, nth long, terms array<struct<term:int,n:bigint>>, other long")
-    found = keep(found, "lines")
-    counted = found.where("row IS NULL")
-    lines = counted.agg(F.sum("nth")).first()[0] or 0
-    df = dict(counted.select(F.explode("terms").alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("n")).collect())  # at most one row a template term
+    counted = rows.select("text").mapInArrow(_count(None if all_terms else vocabulary, markup), "term binary, n long")
+    counted = keep(counted.groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    known = spark.createDataFrame([(w,) for w in words], "term binary")
+    df = {bytes(r["term"]): r["n"] for r in counted.join(F.broadcast(known), "term").collect()}
+    lines = (counted.where("term IS NULL").first() or {"n": 0})["n"]
     top = 1 + math.log(1 + lines)
-    idf = [1 + math.log((1 + lines) / (1 + df.get(i, 0))) for i in range(len(words))]
-    weights = []
-    for k, (name, v) in enumerate(vectors):
-        own = {vocabulary[w]: n * idf[vocabulary[w]] for w, n in v.items()}
-        norm = math.sqrt(sum(x * x for x in own.values()))
-        weights += [(k, name, i, x / norm * idf[i]) for i, x in own.items()]
-    table = spark.createDataFrame(weights, "template int, license string, term int, weight double")
-    idfs = spark.createDataFrame(list(enumerate(idf)), "term int, idf double")
-    each = found.where("row IS NOT NULL").select("row", "nth", "other", F.explode("terms").alias("t")).select("row", "nth", "other", "t.*")
+    idf = np.array([1 + math.log((1 + lines) / (1 + df.get(w, 0))) for w in words])
+    matrix = np.zeros((len(words) + 1, len(vectors)))
+    for k, (_, v) in enumerate(vectors):
+        x = np.array([v[w] for w in words]) * idf
+        matrix[:-1, k] = x / np.sqrt((x * x).sum()) * idf
+    most = math.ceil(max((sum(v.values()) for _, v in vectors), default=0) / threshold**2)
+    found = rows.select("row", "text").mapInArrow(_scan(vocabulary, matrix, idf, 1.0 if all_terms else top, threshold, most, markup), "row long, nth long, span long, terms array<struct<term:int,n:bigint>>, others array<struct<word:binary,n:bigint>>")
+    found = keep(found, "runs")
+    table = spark.createDataFrame([(k, name, i, float(matrix[i, k])) for k, (name, v) in enumerate(vectors) for i in (vocabulary[w] for w in v)], "template int, license string, term int, weight double")
+    idfs = spark.createDataFrame([(i, float(x)) for i, x in enumerate(idf)], "term int, idf double")
+    unit = ["row", "nth", "span"]
+    each = found.select(*unit, F.explode("terms").alias("t")).select(*unit, "t.*")
+    rest = found.select(*unit, F.explode("others").alias("t")).select(*unit, "t.*")
+    if all_terms:
+        wanted = keep(rest.select(F.col("word").alias("term")).distinct().join(counted, "term").select(F.col("term").alias("word"), (1 + F.log((1 + F.lit(lines)) / (1 + F.col("n")))).alias("idf")), "others")
+        rest = rest.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted, "word")
+    else:
+        rest = rest.withColumn("idf", F.lit(top))
     # templates and their terms are a fixed table
-    length = each.join(F.broadcast(idfs), "term").groupBy("row", "nth").agg(F.sqrt(F.sum((F.col("n") * F.col("idf")) ** 2) + F.first("other") * F.lit(top * top)).alias("length"))
-    dots = each.join(F.broadcast(table), "term").groupBy("row", "nth", "license", "template").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
-    cosines = dots.join(length, ["row", "nth"]).select("row", "nth", "license", F.round(F.col("dot") / F.col("length"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = cosines.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "nth", "license")).alias("b")).select("row", "b.license", (-F.col("b.c")).alias("cosine"))
+    squares = each.join(F.broadcast(idfs), "term").select(*unit, "n", "idf").unionByName(rest.select(*unit, "n", "idf"))
+    length = squares.groupBy(*unit).agg(F.sqrt(F.sum((F.col("n") * F.col("idf")) ** 2)).alias("length"))
+    dots = each.join(F.broadcast(table), "term").groupBy(*unit, "license", "template").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
+    cosines = dots.join(length, unit).select(*unit, "license", F.round(F.col("dot") / F.col("length"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
+    best = cosines.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "nth", "span", "license")).alias("b")).select("row", "b.license", (-F.col("b.c")).alias("cosine"))
     own = keep(rows.select("row", "id", "at.dir", "at.name").join(best, "row", "left"), "own")
     rank = F.when(F.col("name").rlike(_FILE), 0).when(F.col("name").rlike(r"(?i)^(index(\..*)?)?$"), 1)
     dirs = own.where(F.col("license").isNotNull()).withColumn("rank", rank).where("rank IS NOT NULL")

@@ -43,7 +43,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+    return scan_licenses(_table(spark, sf_dir, "pages"), all_terms=True).withColumnRenamed("id", "page_id")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
