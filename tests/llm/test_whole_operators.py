@@ -3,6 +3,10 @@
 import math
 from collections import Counter
 
+import pytest
+
+from tests.llm.test_jaccard_join import texts
+from tracelake.llm.jaccard_join import ngram_jaccard_link_counts
 from tracelake.llm.licenses import scan_licenses
 
 BSD = """Copyright (c) 2020 Somebody
@@ -38,3 +42,16 @@ def test_all_terms_have_their_idf(spark):
     table = spark.createDataFrame([(i, f"d{i}/x", x) for i, x in enumerate(lines)], "page_id long, url string, html string")
     got = {r["id"]: r["cosine"] for r in scan_licenses(table, all_terms=True).collect()}
     assert want >= 0.75 and abs(got[0] - want) < 1e-8 and set(got.values()) == {got[0], None}
+
+
+@pytest.mark.parametrize("limit", [8_000_000, 15_000])
+def test_all_links_are_counted(spark, limit):
+    rows = [*texts(3), (1, "a b c d e"), (6000, "A b c d e"), (None, "a b c d e")]
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set())
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 85 * len(x | y)
+    want = sorted(((d, sum(linked(x, y) for j, y in enumerate(sets) if j != i and rows[j][0] is not None) if d is not None else None) for i, (d, x) in enumerate(zip((d for d, _ in rows), sets, strict=True))), key=str)
+    got = ngram_jaccard_link_counts(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, percent=85, region_shingles=limit)
+    assert sorted(map(tuple, got.collect()), key=str) == want and max(n or 0 for _, n in want) > 20

@@ -241,11 +241,8 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc")
 
 
-def jaccard_links(texts: DataFrame, about: DataFrame, shingle: int, percent: int, region_shingles: int) -> DataFrame:
-    """Links ``(a, b)`` that connect every two distinct sets within reach of each other.
-
-    texts: ``doc``, ``text`` (binary); about: what ``_describe`` gives for one text of each set.
-    """
+def _held(about: DataFrame, percent: int) -> DataFrame:
+    """``(doc, n, lead, part)``: the first pivots of each text that others hold too; texts within reach of each other share a part."""
     first = about.select("doc", "n", F.explode("near").alias("token"))
     counted = first.withColumn("df", F.count("*").over(W.partitionBy("token"))).where("df > 1")
     seen = counted.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("seen"))
@@ -259,7 +256,15 @@ def jaccard_links(texts: DataFrame, about: DataFrame, shingle: int, percent: int
     part = W.partitionBy("token", "cut")
     held = held.withColumn("gap", gap).withColumn("cut", F.sum("gap").over(by_size))
     held = held.withColumn("many", F.count("*").over(part)).withColumn("lead", F.min("doc").over(part)).where("many > 1")
-    held = keep(held.select("doc", "n", "lead", F.xxhash64("token", "cut").alias("part")), "held")
+    return keep(held.select("doc", "n", "lead", F.xxhash64("token", "cut").alias("part")), "held")
+
+
+def jaccard_links(texts: DataFrame, about: DataFrame, shingle: int, percent: int, region_shingles: int) -> DataFrame:
+    """Links ``(a, b)`` that connect every two distinct sets within reach of each other.
+
+    texts: ``doc``, ``text`` (binary); about: what ``_describe`` gives for one text of each set.
+    """
+    held = _held(about, percent)
 
     near = connected_components(held.select(F.col("doc").alias("a"), F.col("lead").alias("b"))).toDF("doc", "region")
     own = held.select("doc", "n").distinct().join(near, "doc")
@@ -316,3 +321,85 @@ def ngram_jaccard_join(
     labels = connected_components(links)
     out = all_.select("doc", "n").join(labels.toDF("doc", "component"), "doc", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def _digests(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in slices(batches):
+            sets = [x.tobytes() for x in _shingle_sets(batch.column("text").to_pylist(), known, width)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
+
+    return run
+
+
+def _count_links(percent: int):
+    """Of two tiles of a region, or one: how many rows each text links to in the other, or in its own. A pair counts in the first part that both texts hold."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("side")
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        copies, parts, region = rows["copies"].to_numpy(), [set(x) for x in rows["parts"].to_pylist()], rows["region"][0].as_py()
+        n, found = np.array([len(x) for x in sets], np.int64), np.zeros(len(sets), np.int64)
+        firsts = int((rows["side"].to_numpy() == 0).sum())
+        within = rows["i"][0].as_py() == rows["j"][0].as_py()
+        size, owner, token = _differences(sets)
+        by_token = np.argsort(token, kind="stable")
+        holders = owner[by_token]
+        at = np.searchsorted(token[by_token], np.arange(token.max() + 2 if len(token) else 1))
+        by_owner = np.argsort(owner, kind="stable")
+        tokens = token[by_owner]
+        own = np.searchsorted(owner[by_owner], np.arange(len(sets) + 1))
+        for i in range(firsts):
+            later = np.arange(i + 1 if within else firsts, len(sets))
+            if not len(later):
+                continue
+            lists = [holders[at[t] : at[t + 1]] for t in tokens[own[i] : own[i + 1]]]
+            both = np.bincount(np.concatenate(lists), minlength=len(sets))[later] if lists else 0
+            apart = size[i] + size[later] - 2 * both
+            same = (n[i] + n[later] - apart) // 2
+            linked = later[100 * same >= percent * (same + apart)]
+            if parts[i]:
+                linked = np.array([j for j in linked if min(parts[i] & parts[j]) == region], np.int64)
+            found[i] += copies[linked].sum()
+            found[linked] += copies[i]
+        return pa.table({"doc": rows["doc"], "links": pa.array(found, pa.int64())})
+
+    return run
+
+
+def ngram_jaccard_link_counts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, counted: float | None = None, region_shingles: int = 8_000_000
+) -> DataFrame:
+    """One row a row of ``docs``: ``id_col``, ``n_links``, the number of other rows that its text links to.
+
+    Every two distinct texts that share a region are compared, none are passed over because they are connected already. Regions over
+    ``region_shingles`` are taken apart by shingle and cut into tiles; each two tiles are one task, and only counts leave it. Rows without shingles have 0 links, rows without an id null;
+    rows that share an id count each.
+    """
+    if counted is None:
+        counted = min(1.0, (1 - percent / 100) * 4 / 3)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    described = keep(texts.mapInArrow(_describe(shingle, percent, counted), "doc long, n long, digest binary, near array<long>, far array<long>"), "shingles")
+    alive = described.where("n > 0 AND doc IS NOT NULL")
+    copies = keep(alive.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc").alias("rep")).withColumn("key", F.xxhash64("digest")), "kinds")
+    about = alive.dropDuplicates(["digest"]).select(F.xxhash64("digest").alias("doc"), "n", "near", "far")
+    held = _held(about, percent)
+    near = connected_components(held.select(F.col("doc").alias("a"), F.col("lead").alias("b"))).toDF("doc", "region")
+    own = held.select("doc", "n").distinct().join(near, "doc")
+    own = keep(own.join(own.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight")), "region"), "regions")
+    small = own.where(F.col("weight") <= region_shingles).select("region", "doc", F.lit(1).alias("tiles"), F.expr("CAST(array() AS array<bigint>)").alias("parts"))
+    large = held.join(own.where(F.col("weight") > region_shingles).select("doc"), "doc")
+    parts = large.groupBy("doc").agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    tiles = large.groupBy("part").agg(F.ceil(F.sum(F.col("n") + DOC_WEIGHT) / (region_shingles / 2)).cast("int").alias("tiles"))
+    large = large.join(tiles, "part").join(parts, "doc").select(F.col("part").alias("region"), "doc", "tiles", "parts")
+    regions = keep(small.unionByName(large).withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")), "tiles")
+    wanted = regions.select("doc").distinct().join(copies.select(F.col("key").alias("doc"), "rep", "copies", "digest"), "doc")
+    sets = texts.join(wanted.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select("text").mapInArrow(_digests(shingle), "digest binary, shingles binary")
+    sets = sets.dropDuplicates(["digest"]).join(wanted, "digest").select("doc", "copies", "shingles")
+    first = F.transform(F.sequence("t", F.col("tiles") - 1), lambda j: F.struct(F.col("t").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    second = F.when(F.col("t") > 0, F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda i: F.struct(i.alias("i"), F.col("t").alias("j"), F.lit(1).alias("side")))).otherwise(F.slice(first, 1, 0))
+    each = regions.select("region", "doc", "parts", F.explode(F.concat(first, second)).alias("g")).select("region", "doc", "parts", "g.*").join(sets, "doc")
+    links = each.groupBy("region", "i", "j").applyInArrow(_count_links(percent), "doc long, links long").groupBy("doc").agg(F.sum("links").alias("links"))
+    by_set = copies.join(links.withColumnRenamed("doc", "key"), "key", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return described.select("doc", "digest").join(by_set, "digest", "left").select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))

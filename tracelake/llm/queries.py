@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.decontaminate import contamination
-from tracelake.llm.jaccard_join import ngram_jaccard_join
+from tracelake.llm.jaccard_join import ngram_jaccard_join, ngram_jaccard_link_counts
 from tracelake.llm.language_id import identify_languages
 from tracelake.llm.licenses import scan_licenses
 from tracelake.llm.mixing import mix_sources
@@ -32,6 +32,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op2_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_link_counts(_table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -139,6 +143,7 @@ FROM h LEFT JOIN rates ON h.source IS NOT DISTINCT FROM rates.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op2_link_counts": op2_link_counts,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_sharding": op4_sharding,
     "op5_license_scan": op5_license_scan,
