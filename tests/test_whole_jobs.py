@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.operators import dedup, recall, search
+from tracelake.operators import access, dedup, recall, search
+from tracelake.plans import catalog
 
 
 def test_hybrid_search_scores_every_searchable_row(spark, monkeypatch):
@@ -77,3 +78,16 @@ def test_merges_need_near_scripts_and_an_approved_partner(spark):
     assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(1, 2), (1, 4), (2, 4)]
     order = df.select(F.col("id").alias("experience_id"), F.lpad(F.col("id").cast("string"), 4, "0").alias("arrived"), F.lit(0).alias("strength"), "approved")
     assert [tuple(r) for r in dedup.merge_replay(pairs, order).collect()] == [(2, 4)]
+
+
+def test_all_viewers_and_all_lineage(spark):
+    sf = "/root/testdata/sf0.001"
+    r = catalog._Roles(spark, sf)
+    viewers = r.agents.select(F.col("agent_id").alias("viewer_id"))
+    want = access.visible_rows(viewers, r.experiences, r.agents).groupBy("viewer_id", "how").agg(F.count("*").alias("n"), F.sum("experience_id").alias("ids")).collect()
+    got = catalog.QUERIES["j5_all_viewers"](spark, sf).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want)))
+    assert any(x["viewer_id"] is not None and x["viewer_id"] % 50 for x in got)
+    found = {x["experience_id"] for x in catalog.QUERIES["j15_all_lineage"](spark, sf).collect()}
+    linked = {x[0] for x in r.edges.select("child_id").union(r.edges.select("parent_id")).union(r.q_updates.select("experience_id")).collect()}
+    assert found == linked & {x["experience_id"] for x in r.experiences.collect()} and any(x % 19 for x in found)

@@ -51,6 +51,20 @@ def visible_rows(viewers: DataFrame, rows: DataFrame, agents: DataFrame) -> Data
     return mine.unionByName(team).unionByName(shared.select(F.lit(None).cast("long").alias("viewer_id"), "experience_id", F.lit("shared").alias("how")))
 
 
+def visible_counts(viewers: DataFrame, rows: DataFrame, agents: DataFrame) -> DataFrame:
+    """``(viewer_id, how, n, ids)``: numbers and id sums of ``visible_rows``, from one row an owner and one a team, never a row a viewer and visible row."""
+    live = rows.where(~F.coalesce("revoked", F.lit(False)))
+    who = agents.select("agent_id", "team", owner_name(F.col("owner"), F.col("name")).alias("owner"))
+    sums = [F.count("*").alias("n"), F.sum("experience_id").alias("ids")]
+    own = viewers.join(who, viewers.viewer_id == who.agent_id).select("viewer_id", "team", "owner")
+    by_owner = live.join(who.select("agent_id", "owner"), "agent_id").groupBy("owner").agg(*sums)
+    by_team = live.where(acl_kind(F.col("acl")) == "team").groupBy(acl_team(F.col("acl")).alias("team")).agg(*sums)
+    shared = live.where((acl_kind(F.col("acl")) == "public") & (F.col("publish_status") == "published")).groupBy(F.lit("shared").alias("how")).agg(*sums)
+    out = own.join(by_owner, "owner").select("viewer_id", F.lit("own").alias("how"), "n", "ids")
+    out = out.unionByName(own.join(by_team, "team").select("viewer_id", F.lit("team").alias("how"), "n", "ids"))
+    return out.unionByName(shared.select(F.lit(None).cast("long").alias("viewer_id"), "how", "n", "ids"))
+
+
 def row_scope(rows: DataFrame, viewer: str, viewer_owner: str, unlocked: bool, grants: DataFrame) -> DataFrame:
     """personal, project, community or null for one viewer: projects hide high sensitivity unless granted, the community is for unlocked owners."""
     g = grants.select(F.col("owner").alias("__owner"), "include_high")

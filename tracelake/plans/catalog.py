@@ -63,6 +63,12 @@ _add("j5_visible_rows", lambda r: access.visible_rows(r.agents.where("agent_id %
      SELECT v.agent_id AS viewer_id, 'own' AS how, count(*) AS n, CAST(sum(experience_id) AS BIGINT) AS ids FROM v JOIN who o ON o.owner = v.owner JOIN live e ON e.agent_id = o.agent_id GROUP BY 1
      UNION ALL SELECT v.agent_id, 'team', count(*), CAST(sum(experience_id) AS BIGINT) FROM v JOIN live e ON e.acl = 'team:' || v.team GROUP BY 1
      UNION ALL SELECT NULL, 'shared', count(*), CAST(sum(experience_id) AS BIGINT) FROM live WHERE acl IN ('public', 'org') AND publish_status = 'published'""")
+_add("j5_all_viewers", lambda r: access.visible_counts(r.agents.select(F.col("agent_id").alias("viewer_id")), r.experiences, r.agents),
+     """WITH v AS (SELECT agent_id, team, coalesce(nullif(owner, ''), name) AS owner FROM agents), live AS (SELECT * FROM experiences WHERE NOT revoked),
+     o AS (SELECT owner, count(*) AS n, sum(experience_id) AS ids FROM v JOIN live e ON e.agent_id = v.agent_id GROUP BY 1), t AS (SELECT acl, count(*) AS n, sum(experience_id) AS ids FROM live GROUP BY 1)
+     SELECT v.agent_id AS viewer_id, 'own' AS how, n, CAST(ids AS BIGINT) AS ids FROM v JOIN o ON o.owner = v.owner
+     UNION ALL SELECT v.agent_id, 'team', n, CAST(ids AS BIGINT) FROM v JOIN t ON t.acl = 'team:' || v.team
+     UNION ALL SELECT NULL, 'shared', count(*), CAST(sum(experience_id) AS BIGINT) FROM live WHERE acl IN ('public', 'org') AND publish_status = 'published'""")
 _add("p7_scope", lambda r: access.row_scope(r.experiences.join(r.agents.select("agent_id", access.owner_name(F.col("owner"), F.col("name")).alias("owner")), "agent_id"), "me", "owner-7", True, r.agents.where("owner IN ('owner-8', 'owner-9')").groupBy("owner").agg((F.min("agent_id") % 2 == 0).alias("include_high"))).groupBy("scope").agg(F.count("*").alias("n"), F.sum("experience_id").alias("ids")),
      """WITH g AS (SELECT owner, min(agent_id) % 2 = 0 AS include_high FROM agents WHERE owner IN ('owner-8', 'owner-9') GROUP BY owner), e AS (SELECT e.*, coalesce(nullif(owner, ''), name) AS o FROM experiences e JOIN agents a ON a.agent_id = e.agent_id)
      SELECT CASE WHEN o = 'owner-7' THEN 'personal' WHEN g.owner IS NOT NULL AND (sensitivity <> 'high' OR include_high) THEN 'project' WHEN acl IN ('public', 'org') AND publish_status = 'published' THEN 'community' END AS scope, count(*) AS n, CAST(sum(experience_id) AS BIGINT) AS ids
@@ -293,6 +299,9 @@ _add("j8_cluster_members", lambda r: review.cluster_members(r.membership.withCol
 _add("j15_lineage", lambda r: review.lineage(r.experiences.where("superseded"), r.edges, r.q_updates).groupBy("experience_id", "kind").agg(F.count("*").alias("n"), F.max("at").alias("latest")),
      """WITH i AS (SELECT experience_id FROM experiences WHERE superseded), x AS (SELECT child_id AS experience_id, 'parent' AS kind, created_at FROM edges UNION ALL SELECT parent_id, 'child', created_at FROM edges UNION ALL SELECT experience_id, 'update', created_at FROM q_updates)
      SELECT experience_id, kind, count(*) AS n, max(created_at) AS latest FROM x WHERE experience_id IN (SELECT experience_id FROM i) GROUP BY 1, 2""")
+_add("j15_all_lineage", lambda r: review.lineage(r.experiences, r.edges, r.q_updates).groupBy("experience_id", "kind").agg(F.count("*").alias("n"), F.max("at").alias("latest")),
+     """WITH x AS (SELECT child_id AS experience_id, 'parent' AS kind, created_at FROM edges UNION ALL SELECT parent_id, 'child', created_at FROM edges UNION ALL SELECT experience_id, 'update', created_at FROM q_updates)
+     SELECT experience_id, kind, count(*) AS n, max(created_at) AS latest FROM x WHERE experience_id IN (SELECT experience_id FROM experiences) GROUP BY 1, 2""")
 _DECISIONS = """SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS decision_id, l_orderkey AS experience_id, CASE WHEN l_suppkey % 2 = 0 THEN o_custkey ELSE -1 END AS actor, CASE l_linenumber % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'edit' ELSE 'soft_delete' END AS action,
   CASE WHEN l_linenumber = 6 THEN NULL ELSE concat('new ', l_partkey) END AS intent_text, l_shipdate AS decided_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
 ROLES["decisions"] = _DECISIONS
