@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.functions import embedding
+from tracelake.functions import embedding, scores
 from tracelake.functions.constants import DIMS
 from tracelake.operators import access, aggregates, credit, dedup, ranking, redaction, search, turns, windows
 
@@ -55,6 +55,16 @@ def test_feedback_dimensions_repeat_and_baseline(spark):
     assert got[3]["reused"] == 0 and got[3]["q_outcome"] == pytest.approx(-0.2)
 
 
+def test_items_without_feedback_teach_nothing(spark):
+    e = spark.createDataFrame([(i, *[0.0] * 5, 0, 0.0) for i in (1, 2, 3)], f"experience_id long, {Q}, q_update_count int, trajectory_score double")
+    # an unanswered item beside a real feedback, an unanswered one alone, a feedback without a reward
+    items = [(9, 1, "c", 1, None, None, None, None), (9, 1, "c", 2, 0.8, None, None, "2024-01-02"), (9, 2, "c", 3, None, None, None, None), (9, 3, "c", 4, None, 1.0, True, "2024-01-01")]
+    got = credit.apply_feedback(e, spark.createDataFrame(items, "event_id long, experience_id long, chunk_id string, item_id long, reward double, confidence double, was_used boolean, feedback_at string")).collect()
+    assert [r["experience_id"] for r in got] == [1] and got[0]["updates"] == 1 and got[0]["reused"] == 1
+    assert got[0]["q_outcome"] == pytest.approx(0.2 * 0.35 * 0.8)
+    assert spark.range(1).select(scores.clamp(F.lit(None).cast("double"), -1.0, 1.0).alias("c"), scores.clamp(F.lit(7.0), -1.0, 1.0).alias("d")).first() == (None, 1.0)
+
+
 def test_acl_matrix(spark):
     agents = spark.createDataFrame([(1, "me", "platform", None), (2, "you", "platform", None), (3, "other", "data", "")], "agent_id long, name string, team string, owner string")
     rows = spark.createDataFrame([(10, 1, "private"), (11, 1, "team:platform"), (12, 1, "org"), (13, 1, "nonsense"), (14, 1, "public")], "experience_id long, agent_id long, acl string").withColumn("revoked", F.lit(False)).withColumn("publish_status", F.expr("IF(experience_id = 14, 'private', 'published')"))
@@ -157,6 +167,22 @@ def test_strict_rules(spark):
     assert got == {i: w for i, (_, w) in enumerate(STRICT) if w}
 
 
+def test_redaction_and_strict_check_of_nested_strings(spark):
+    call = "array<struct<id:string,name:string,input:map<string,string>>>"
+    rows = [(1, "mail a@b.org", [("sk-ant-" + "x" * 24, "run", {"cmd": "curl -u ghp_" + "a" * 30, "role": "a@b.org"})]), (2, None, None)]
+    df = spark.createDataFrame(rows, f"id long, text string, calls {call}")
+    got = {r["id"]: r for r in redaction.redact_tree(df, ["text", "calls"]).collect()}
+    assert got[1]["text"] == "mail <EMAIL>" and got[1]["calls"][0]["input"]["cmd"] == "curl -u <SECRET>"
+    assert got[1]["calls"][0]["id"].startswith("sk-ant-") and got[1]["calls"][0]["input"]["role"] == "a@b.org"
+    assert got[1]["redactions"] == {"email": 1, "github_token": 1} and got[1]["is_high"]
+    assert got[2]["text"] is None and got[2]["calls"] is None and got[2]["redactions"] == {} and not got[2]["is_high"]
+    assert redaction.redact_tree(df, ["text", "calls"]).schema["calls"].dataType == df.schema["calls"].dataType
+    notes = spark.createDataFrame([(1, [("a", "x", {"cmd": "cat /etc/passwd"})]), (2, [])], f"id long, calls {call}")
+    assert [tuple(r) for r in redaction.strict_findings(notes, "id", ["calls"], 6).collect()] == [(1, "absolute_system_path", "calls[0].input.cmd", "/etc/passwd", "/etc/p")]
+    found = redaction.review_findings(spark.createDataFrame([(1, "I met Ada Lovelace on 1990-01-02")], "id long, text string"), "id", "text").collect()
+    assert [tuple(r) for r in found] == [(1, "person", 6, 18, "Ada Lovelace"), (1, "birth_date", 22, 32, "1990-01-02")]
+
+
 def test_metrics_cards_and_fingerprint(spark):
     rows = [(1, 0, "user", " fix it \n"), (1, 1, "assistant", "Let me try"), (1, 2, "assistant", "All set."), (2, 0, "user", "x"), (3, 0, "assistant", None)]
     t = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")

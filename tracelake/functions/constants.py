@@ -17,3 +17,4 @@ MEMORY_SCORE, SFT_SCORE = 0.0, 0.4
 CLUSTER_SIMILARITY, CLUSTER_MIN, CLUSTER_NEW = 0.75, 5, 3
 COMMUNITY_UNLOCK = 3
 EMBEDDING_SIZE = 256
+FEEDBACK_CONFIDENCE = 0.35

@@ -27,7 +27,8 @@ def q_or_score(prefix: str = "q_") -> Column:
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """``c`` within ``lo`` and ``hi``; null stays null, which ``least`` and ``greatest`` alone would pass over."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def dims(prefix: str) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.functions.constants import ALPHA, DIMS
+from tracelake.functions.constants import ALPHA, DIMS, FEEDBACK_CONFIDENCE
 from tracelake.functions.scores import clamp, learned
 from tracelake.operators.windows import latest
 
@@ -35,9 +35,16 @@ def apply_credit(e: DataFrame, edges: DataFrame, rewards: DataFrame) -> DataFram
 
 
 def feedback_events(items: DataFrame) -> DataFrame:
-    """First feedback of each (event, experience, chunk), clamped; then one row an (event, experience) with the confidence-weighted reward."""
-    first = items.groupBy("event_id", "experience_id", "chunk_id").agg(F.min_by(F.struct("reward", "confidence", "was_used", "feedback_at"), F.struct("feedback_at", "item_id")).alias("x"))
-    first = first.select("event_id", "experience_id", clamp(F.col("x.reward"), -1.0, 1.0).alias("r"), clamp(F.col("x.confidence"), 0.0, 1.0).alias("c"), F.coalesce("x.was_used", F.lit(False)).alias("used"), F.col("x.feedback_at").alias("at"))
+    """First feedback of each (event, experience, chunk), clamped; then one row an (event, experience) with the confidence-weighted reward.
+
+    Items without feedback, or with one that gives no reward, teach nothing; a missing confidence is ``FEEDBACK_CONFIDENCE``, and feedback is taken as used unless it says not.
+    """
+    given = items.where("feedback_at IS NOT NULL AND reward IS NOT NULL")
+    first = given.groupBy("event_id", "experience_id", "chunk_id").agg(F.min_by(F.struct("reward", "confidence", "was_used", "feedback_at"), F.struct("feedback_at", "item_id")).alias("x"))
+    first = first.select(
+        "event_id", "experience_id", clamp(F.col("x.reward"), -1.0, 1.0).alias("r"), clamp(F.coalesce("x.confidence", F.lit(FEEDBACK_CONFIDENCE)), 0.0, 1.0).alias("c"),
+        F.coalesce("x.was_used", F.lit(True)).alias("used"), F.col("x.feedback_at").alias("at"),
+    )
     per = first.groupBy("event_id", "experience_id").agg(
         F.when(F.sum("c") > 0, F.sum(F.col("r") * F.col("c")) / F.sum("c")).otherwise(F.avg("r")).alias("reward"), F.avg("c").alias("confidence"), F.max("used").alias("used"), F.max("at").alias("created_at"),
     )

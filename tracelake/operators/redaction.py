@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,89 +12,119 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.redaction_rules import CARD_LIKE, EMPLOYEE_PREFIXES, HINTS, PHONE_DIGITS, REDACTION_RULES, REVIEW_RULES, STRICT_RULES
 
-_BACK = re.compile(r"\\(\d)")
-
-
 def _java(pattern: str) -> str:
     """The same classes as Python's: Unicode words and digits."""
     return "(?U)" + pattern
 
 
-def _may_match(name: str, text: Column) -> Column:
-    """A cheap test that a text without a match mostly fails, so that the rule itself runs on few texts."""
-    hint = HINTS.get(name)
-    if hint is None:
-        return F.lit(True)
-    if isinstance(hint, str):
-        return text.rlike(hint)
-    out = text.contains(hint[0])
-    for h in hint[1:]:
-        out = out | text.contains(h)
-    return out
-
-
 def luhn(digits: str) -> bool:
     doubled = [(ord(d) - 48) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
     return sum(x - 9 if x > 9 else x for x in doubled) % 10 == 0
 
 
-def _replace_tested(pattern: str, placeholder: str, passes, hint: str | None = None):
-    """A vectorised helper for rules whose matches are tested one by one: the new text and how many were replaced."""
-    rx = re.compile(pattern)
-    quick = re.compile(hint) if hint else None
+def _card(match: str) -> bool:
+    digits = re.sub("[ -]", "", match)
+    return digits.isascii() and digits.isdigit() and 13 <= len(digits) <= 19 and luhn(digits)
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            n = 0
 
-            def put(m: re.Match) -> str:
-                nonlocal n
-                if not passes(m[0]):
-                    return m[0]
-                n += 1
-                return placeholder
+def _phone(match: str) -> bool:
+    return PHONE_DIGITS[0] <= sum(c.isdigit() for c in match) <= PHONE_DIGITS[1]
 
-            out.append((None, 0) if text is None else (text, 0) if quick and not quick.search(text) else (rx.sub(put, text), n))
-        return pd.DataFrame(out, columns=["text", "n"])
 
-    return F.pandas_udf(run, "text string, n int")
+#: Keys whose values are identifiers or structure; their strings stay as they are.
+STRUCTURAL_KEYS = frozenset(("id", "type", "role", "tool_use_id", "tool_call_id", "name", "subtype", "model", "stop_reason", "stop_sequence", "usage", "index"))
+#: What the strict check passes over as well.
+UNCHECKED_KEYS = STRUCTURAL_KEYS | {"ts", "tool_result_for"}
 
 
-def _card(match: str) -> bool:
-    digits = re.sub("[ -]", "", match)
-    return digits.isascii() and digits.isdigit() and 13 <= len(digits) <= 19 and luhn(digits)
+class Redactor:
+    """The rules, compiled; each sees what the earlier ones left. A rule runs only where its cheap hint is met."""
 
+    def __init__(self, rules: list[tuple[str, str, str, str]] = REDACTION_RULES, domains: tuple[str, ...] = (), prefixes: tuple[str, ...] = EMPLOYEE_PREFIXES):
+        rules = [*rules, *(("internal_host", rf"(?i)\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)*{re.escape(d)}\b", "<INTERNAL_HOST>", "low") for d in domains)]
+        if prefixes:
+            rules.append(("employee_id", rf"(?i)\b(?:{'|'.join(map(re.escape, prefixes))})[-_]?\d{{4,8}}\b", "<EMP_ID>", "low"))
+        self.rules = []
+        for name, pattern, placeholder, severity in rules:
+            hint = HINTS.get(name) if name != "employee_id" or prefixes == EMPLOYEE_PREFIXES else None
+            words = hint if isinstance(hint, tuple) else ()
+            quick = re.compile(hint) if isinstance(hint, str) else None
+            passes = _card if pattern == "luhn" else _phone if name == "phone_intl" else None
+            self.rules.append((name, re.compile(CARD_LIKE if pattern == "luhn" else pattern), placeholder, severity == "high", words, quick, passes))
+
+    def __call__(self, text: str, counts: dict[str, int]) -> tuple[str, bool]:
+        """The text left, and whether a rule of high severity matched; what matched is added to ``counts``."""
+        high = False
+        for name, rx, placeholder, severe, words, quick, passes in self.rules:
+            if words and not any(w in text for w in words) or quick and not quick.search(text):
+                continue
+            if passes is None:
+                text, n = rx.subn(placeholder, text)
+            else:
+                found = [m for m in rx.finditer(text) if passes(m[0])]
+                n = len(found)
+                for m in reversed(found):
+                    text = text[: m.start()] + placeholder + text[m.end() :]
+            if n:
+                counts[name] = counts.get(name, 0) + n
+                high = high or severe
+        return text, high
+
+    def tree(self, node, counts: dict[str, int]):
+        """Every string of nested lists and objects but those under structural keys."""
+        if isinstance(node, str):
+            return self(node, counts)
+        if isinstance(node, list):
+            done = [self.tree(x, counts) for x in node]
+            return [x for x, _ in done], any(h for _, h in done)
+        if isinstance(node, dict):
+            done = {k: (v, False) if k in STRUCTURAL_KEYS else self.tree(v, counts) for k, v in node.items()}
+            return {k: x for k, (x, _) in done.items()}, any(h for _, h in done.values())
+        return node, False
+
+
+_REDACTED = "text string, names array<string>, counts array<int>, is_high boolean"
+
+
+def _redactor(*rules, nested: bool = False):
+    """One vectorised pass of all rules over texts, or over JSON texts with ``nested``."""
 
-def _phone(match: str) -> bool:
-    return PHONE_DIGITS[0] <= sum(c.isdigit() for c in match) <= PHONE_DIGITS[1]
+    def run(texts: pd.Series) -> pd.DataFrame:
+        redactor, out = Redactor(*rules), []
+        for text in texts:
+            counts: dict[str, int] = {}
+            high = False
+            if text is not None:
+                if nested:
+                    tree, high = redactor.tree(json.loads(text), counts)
+                    text = json.dumps(tree, ensure_ascii=False)
+                else:
+                    text, high = redactor(text, counts)
+            out.append((text, list(counts), list(counts.values()), high))
+        return pd.DataFrame(out, columns=["text", "names", "counts", "is_high"])
+
+    return F.pandas_udf(run, _REDACTED)
+
+
+def _reported(df: DataFrame) -> DataFrame:
+    return df.withColumn("redactions", F.map_from_arrays("__r.names", "__r.counts")).withColumn("is_high", F.col("__r.is_high")).drop("__r")
 
 
 def redact(rows: DataFrame, column: str, rules: list[tuple[str, str, str, str]] = REDACTION_RULES, domains: tuple[str, ...] = (), prefixes: tuple[str, ...] = EMPLOYEE_PREFIXES) -> DataFrame:
-    """``rows`` with ``column`` redacted, ``redactions`` (map of category to count) and ``is_high``. Each rule sees what the earlier ones left."""
-    if domains:
-        rules = [*rules, *(("internal_host", rf"(?i)\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)*{re.escape(d)}\b", "<INTERNAL_HOST>", "low") for d in domains)]
-    if prefixes:
-        rules = [*rules, ("employee_id", rf"(?i)\b(?:{'|'.join(map(re.escape, prefixes))})[-_]?\d{{4,8}}\b", "<EMP_ID>", "low")]
-    df = rows.withColumn("__t", F.col(column)).withColumn("__n", F.expr("CAST(array() AS array<int>)"))
-    for name, pattern, placeholder, _ in rules:
-        if pattern == "luhn" or name == "phone_intl":
-            tested = _replace_tested(CARD_LIKE, placeholder, _card, r"\d[ -]?\d") if pattern == "luhn" else _replace_tested(pattern, placeholder, _phone, r"\+\d")
-            df = df.withColumn("__x", tested("__t")).withColumn("__n", F.concat("__n", F.array("__x.n"))).withColumn("__t", F.col("__x.text")).drop("__x")
-        else:
-            p = _java(pattern)
-            maybe = _may_match(name, F.col("__t")) if prefixes == EMPLOYEE_PREFIXES or name != "employee_id" else F.lit(True)
-            n = F.when(maybe, F.coalesce(F.regexp_count("__t", F.lit(p)), F.lit(0))).otherwise(0).cast("int")
-            df = df.withColumn("__m", n)
-            replaced = F.when(F.col("__m") > 0, F.regexp_replace("__t", p, _BACK.sub(r"$\1", placeholder))).otherwise(F.col("__t"))
-            df = df.withColumn("__t", replaced).withColumn("__n", F.concat("__n", F.array("__m"))).drop("__m")
-    names = F.array(*(F.lit(r[0]) for r in rules))
-    high = F.array(*(F.lit(r[3] == "high") for r in rules))
-    pairs = F.filter(F.arrays_zip(names.alias("name"), F.col("__n").alias("n"), high.alias("high")), lambda x: x["n"] > 0)
-    df = df.withColumn("__p", pairs)
-    counts = F.aggregate("__p", F.expr("map('', 0)"), lambda a, x: F.map_concat(F.map_filter(a, lambda k, _: k != x["name"]), F.create_map(x["name"], x["n"] + F.coalesce(a[x["name"]], F.lit(0)))))
-    counts = F.map_filter(counts, lambda k, _: k != "")
-    return df.withColumn(column, F.col("__t")).withColumn("redactions", counts).withColumn("is_high", F.exists("__p", lambda x: x["high"])).drop("__t", "__n", "__p")
+    """``rows`` with ``column`` redacted, ``redactions`` (map of category to count) and ``is_high``. Each rule sees what the earlier ones left. Null texts stay null."""
+    df = rows.withColumn("__r", _redactor(rules, domains, prefixes)(column)).withColumn(column, F.col("__r.text"))
+    return _reported(df)
+
+
+def redact_tree(rows: DataFrame, columns: list[str], rules: list[tuple[str, str, str, str]] = REDACTION_RULES, domains: tuple[str, ...] = (), prefixes: tuple[str, ...] = EMPLOYEE_PREFIXES) -> DataFrame:
+    """``rows`` with every string inside ``columns`` redacted, however deeply nested (tool arguments, results, blocks); types stay.
+
+    Strings under ``STRUCTURAL_KEYS`` stay as they are, so that messages keep their places. Adds ``redactions`` and ``is_high``.
+    """
+    whole = F.struct(*columns)
+    df = rows.withColumn("__r", _redactor(rules, domains, prefixes, nested=True)(F.to_json(whole)))
+    df = df.withColumn("__t", F.from_json("__r.text", rows.select(*columns).schema))
+    return _reported(df.withColumns({c: F.col("__t").getField(c) for c in columns})).drop("__t")
 
 
 def review_flags(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -100,11 +132,55 @@ def review_flags(rows: DataFrame, key: str, column: str) -> DataFrame:
     return _count_rules(rows, key, column, REVIEW_RULES)
 
 
+def review_findings(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """``(key, rule, start, end, snippet)`` of what a person should look at, by code points; a name without what announces it, cards that pass Luhn only."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        out, rules = [], [(name, re.compile(p)) for name, p in REVIEW_RULES]
+        for text in texts:
+            own = []
+            for name, rx in rules:
+                for m in rx.finditer(text or ""):
+                    s, e = m.span(1) if name == "person" else m.span()
+                    if name != "card_like" or _card(m[0]):
+                        own.append({"rule": name, "start": s, "end": e, "snippet": m.string[s:e]})
+            out.append(own)
+        return pd.Series(out)
+
+    found = F.pandas_udf(run, "array<struct<rule:string,start:int,end:int,snippet:string>>")
+    return rows.select(key, F.explode(found(column)).alias("x")).select(key, "x.*")
+
+
 def strict_hits(rows: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, rule, n)`` of what may not be public."""
     return _count_rules(rows, key, column, STRICT_RULES)
 
 
+def strict_findings(rows: DataFrame, key: str, columns: list[str], preview: int = 120) -> DataFrame:
+    """``(key, rule, location, snippet, preview)`` of what may not be public in any string of ``columns``; the location is a path like ``calls[2].input``."""
+
+    def run(trees: pd.Series) -> pd.Series:
+        rules = [(name, re.compile(p)) for name, p in STRICT_RULES]
+
+        def walk(node, path: str) -> Iterator[dict]:
+            if isinstance(node, str):
+                for name, rx in rules:
+                    for m in rx.finditer(node):
+                        yield {"rule": name, "location": path, "snippet": m[0], "preview": m[0][:preview]}
+            elif isinstance(node, list):
+                for i, x in enumerate(node):
+                    yield from walk(x, f"{path}[{i}]")
+            elif isinstance(node, dict):
+                for k, v in node.items():
+                    if k not in UNCHECKED_KEYS:
+                        yield from walk(v, f"{path}.{k}" if path else k)
+
+        return pd.Series([list(walk(json.loads(t), "")) for t in trees])
+
+    found = F.pandas_udf(run, "array<struct<rule:string,location:string,snippet:string,preview:string>>")
+    return rows.select(key, F.explode(found(F.to_json(F.struct(*columns)))).alias("x")).select(key, "x.*")
+
+
 def _count_rules(rows: DataFrame, key: str, column: str, rules: list[tuple[str, str]]) -> DataFrame:
     found = F.array(*(F.struct(F.lit(name).alias("rule"), F.regexp_count(F.col(column), F.lit(_java(p))).cast("long").alias("n")) for name, p in rules))
     return rows.select(key, F.explode(F.filter(found, lambda x: x["n"] > 0)).alias("x")).select(key, "x.rule", "x.n")

@@ -219,12 +219,16 @@ _add("x22_clip", lambda r: r.conversations.select("conv_id", "turn", turns.head_
 _add("r1_redact", lambda r: _redacted(r).select("doc_id", F.sha2(F.col("text"), 256).alias("text_sha256"), F.array_join(F.array_sort(F.transform(F.map_entries("redactions"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string")))), ",").alias("counts"), "is_high"), None)
 _add("r2_r6_review_flags", lambda r: redaction.review_flags(r.documents, "doc_id", "text"), None)
 _RE2 = {"absolute_system_path": r"(?:^|[^\w/])(?:/(?:etc|var|opt|tmp|private|System|Library|Applications)/[^\s'\":]+)"}
-_add("r9_strict_check", lambda r: redaction.strict_hits(r.pages, "page_id", "html"),
-     " UNION ALL ".join(f"SELECT page_id, '{n}' AS rule, CAST(len(regexp_extract_all(html, '{_RE2.get(n, p).replace(chr(39), chr(39) * 2)}')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '{_RE2.get(n, p).replace(chr(39), chr(39) * 2)}')" for n, p in STRICT_RULES))
+_sql = lambda text: text.replace(chr(39), chr(39) * 2)
+_add("r9_strict_check", lambda r: redaction.strict_hits(r.notes, "note_id", "text"),
+     " UNION ALL ".join(f"SELECT note_id, '{n}' AS rule, CAST(len(regexp_extract_all(text, '{_sql(_RE2.get(n, p))}')) AS BIGINT) AS n FROM notes WHERE regexp_matches(text, '{_sql(_RE2.get(n, p))}')" for n, p in STRICT_RULES))
+_add("r9_strict_findings", lambda r: redaction.strict_findings(r.notes.select("note_id", F.array(F.struct(F.lit("run").alias("name"), F.col("text").alias("input"))).alias("calls")), "note_id", ["calls"]).groupBy("note_id", "rule", "location").agg(F.count("*").alias("n"), F.max(F.length("preview")).cast("long").alias("longest")),
+     " UNION ALL ".join(f"SELECT note_id, '{n}' AS rule, 'calls[0].input' AS location, CAST(len(regexp_extract_all(text, '{_sql(p)}')) AS BIGINT) AS n, CAST(list_max(list_transform(regexp_extract_all(text, '{_sql(p)}'), lambda x: least(120, length(x)))) AS BIGINT) AS longest FROM notes WHERE regexp_matches(text, '{_sql(p)}')"
+                        for n, p in ((n, _RE2.get(n, p).replace(r"(?:^|[^\w/])", "")) for n, p in STRICT_RULES)))
 _SIMPLE = [x for x in REDACTION_RULES if x[0] in ("email", "ipv4", "aws_access_key", "github_token", "home_path")]
-_add("r1_simple_rules", lambda r: redaction.redact(r.documents, "text", _SIMPLE, prefixes=()).select("doc_id", F.length("text").cast("long").alias("length"), "is_high"),
+_add("r1_simple_rules", lambda r: redaction.redact(r.documents, "text", _SIMPLE, prefixes=()).select("doc_id", F.md5("text").alias("text_md5"), "is_high"),
      "WITH " + ", ".join(f"t{i} AS (SELECT doc_id, high OR ({'true' if x[3] == 'high' else 'false'} AND regexp_matches(text, '{x[1].replace(chr(39), chr(39) * 2)}')) AS high, regexp_replace(text, '{x[1].replace(chr(39), chr(39) * 2)}', '{x[2]}', 'g') AS text FROM {f't{i - 1}' if i else '(SELECT doc_id, false AS high, text FROM documents)'})" for i, x in enumerate(_SIMPLE))
-     + f" SELECT doc_id, length(text) AS length, high AS is_high FROM t{len(_SIMPLE) - 1}")
+     + f" SELECT doc_id, md5(text) AS text_md5, high AS is_high FROM t{len(_SIMPLE) - 1}")
 _add("a22_redaction_audit", lambda r: redaction.audit(_redacted(r), "doc_id")[0], None)
 
 # turns
@@ -262,10 +266,10 @@ _add("t14_credit", lambda r: _rounded(credit.apply_credit(r.experiences, r.edges
      w AS (SELECT *, exp(coalesce(sum(ln(1 - e)) OVER (PARTITION BY parent_id ORDER BY created_at, child_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rest FROM v), t AS (SELECT parent_id, count(*) AS n, exp(sum(ln(1 - e))) AS keep, {_GAINS} FROM w GROUP BY 1)
      SELECT x.experience_id, {_FOLD}, coalesce(n, 0) AS updates FROM experiences x LEFT JOIN t ON parent_id = x.experience_id""")
 _add("t16_feedback", lambda r: _rounded(credit.apply_feedback(r.experiences, r.reuse_items), 9),
-     f"""WITH i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, experience_id, chunk_id ORDER BY feedback_at NULLS FIRST, item_id) AS rn FROM reuse_items) WHERE rn = 1),
-     c AS (SELECT event_id, experience_id, greatest(-1, least(1, reward)) AS r, greatest(0, least(1, confidence)) AS c, coalesce(was_used, false) AS used, feedback_at AS seen FROM i),
+     f"""WITH i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, experience_id, chunk_id ORDER BY feedback_at, item_id) AS rn FROM reuse_items WHERE feedback_at IS NOT NULL AND reward IS NOT NULL) WHERE rn = 1),
+     c AS (SELECT event_id, experience_id, CASE WHEN reward < -1 THEN -1 WHEN reward > 1 THEN 1 ELSE reward END AS r, CASE WHEN confidence IS NULL THEN 0.35 WHEN confidence < 0 THEN 0 WHEN confidence > 1 THEN 1 ELSE confidence END AS c, was_used IS NULL OR was_used AS used, feedback_at AS seen FROM i),
      p AS (SELECT event_id, experience_id, CASE WHEN sum(c) > 0 THEN sum(r * c) / sum(c) ELSE avg(r) END AS reward, 0.2 * avg(c) AS e, bool_or(used) AS used, max(seen) AS seen FROM c GROUP BY 1, 2),
-     w AS (SELECT *, reward AS r_outcome, reward AS r_intent, reward AS r_execution, reward * 0.6 AS r_orchestration, reward * 0.4 AS r_expression, exp(coalesce(sum(ln(1 - e)) OVER (PARTITION BY experience_id ORDER BY seen NULLS FIRST, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rest FROM p),
+     w AS (SELECT *, reward AS r_outcome, reward AS r_intent, reward AS r_execution, reward * 0.6 AS r_orchestration, reward * 0.4 AS r_expression, exp(coalesce(sum(ln(1 - e)) OVER (PARTITION BY experience_id ORDER BY seen, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rest FROM p),
      t AS (SELECT experience_id, count(*) AS n, count(*) FILTER (used) AS reused, exp(sum(ln(1 - e))) AS keep, {_GAINS} FROM w GROUP BY 1),
      s AS (SELECT experience_id, {', '.join(f'CASE WHEN q_update_count > 0 OR abs({_Q}) > 1e-9 THEN q_{d} ELSE greatest(-1, least(1, trajectory_score)) END AS q_{d}' for d in DIMS)} FROM experiences)
      SELECT s.experience_id, {_FOLD}, n AS updates, reused FROM s JOIN t ON t.experience_id = s.experience_id""")

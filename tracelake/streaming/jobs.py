@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelake.functions.constants import ALPHA, DIMS
-from tracelake.operators.redaction import redact
+from tracelake.operators.redaction import redact_tree
 from tracelake.operators.turns import fingerprints, rule_cards, structural_metrics
 from tracelake.sources.sessions import document_turns
 
@@ -31,7 +31,7 @@ def ingest(documents: DataFrame, out: str, checkpoint: str):
     """Each micro-batch: turns, redaction, then cards, metrics and fingerprints, appended as Parquet under ``out``. A batch written twice overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        turns = redact(document_turns(batch), "text").select("session_id", "turn", "role", "text", F.transform("tool_calls", lambda c: c["name"]).alias("tool_names"), F.col("is_error").alias("is_tool_error"), "redactions").persist()
+        turns = redact_tree(document_turns(batch), ["text", "tool_calls"]).select("session_id", "turn", "role", "text", F.transform("tool_calls", lambda c: c["name"]).alias("tool_names"), F.col("is_error").alias("is_tool_error"), "redactions").persist()
         turns.write.mode("overwrite").parquet(f"{out}/turns/batch={number}")
         cards = rule_cards(turns, "session_id").join(structural_metrics(turns, "session_id"), "session_id").join(fingerprints(turns, "session_id"), "session_id")
         cards.write.mode("overwrite").parquet(f"{out}/cards/batch={number}")
