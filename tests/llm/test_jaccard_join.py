@@ -1,8 +1,14 @@
 import random
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracelake.llm.jaccard_join import ngram_jaccard_join
+from tracelake.llm import jaccard_join
+from tracelake.llm.components import connected_components
+from tracelake.llm.jaccard_join import _join_region, keep_first, ngram_jaccard_join, split_hot
+from tracelake.llm.scratch import keep
 
 
 def brute(rows, width=4, percent=85):
@@ -55,6 +61,56 @@ def test_equals_brute_force(spark, limit):
     assert got == brute(rows)
 
 
+def test_rounds_do_not_grow_with_unlinked_texts_of_one_boilerplate(spark, monkeypatch):
+    """Texts of one template, each with a seventh of its own words: none link, all are equally far apart, and no text is a useful pivot."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        rows.append((i, " ".join([*template, *(f"own{i}x{j}" for j in range(18 + i % 3))])))
+    for i in range(40):  # near copies of some of them, and a chain in order of ids
+        words = rows[i * 3][1].split()
+        words[rng.randrange(len(words))] = f"new{i}"
+        rows.append((1000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = []
+    monkeypatch.setattr(jaccard_join, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    got = sorted(map(tuple, ngram_jaccard_join(df, shingle=4, percent=85, region_shingles=30_000).collect()))
+    assert got == brute(rows) and len({c for _, _, c in got}) > 200
+    assert 1 <= kept.count("cells") <= 3
+
+
+def test_tiles_are_exact(spark):
+    rows = texts(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = {w: i for i, w in enumerate({tuple(t.encode().lower().split()[i : i + 4]) for _, t in rows for i in range(len((t or "").split()) - 3)})}
+    sets = [(d, sorted({tokens[tuple(t.encode().lower().split()[i : i + 4])] for i in range(len(t.split()) - 3)})) for d, t in rows if len((t or "").split()) >= 4]
+    table = spark.createDataFrame([(d, len(x), bytearray(np.array(x, np.uint64).tobytes())) for d, x in sets], "doc long, n long, shingles binary")
+    hot = table.select(F.lit(1).cast("long").alias("region"), "doc")
+    for rounds in (0, 1, 6):
+        left, links = split_hot(hot, table, 85, 20_000, rounds)
+        found = left.join(table.select("doc", "shingles"), "doc").groupBy("region").applyInArrow(_join_region(85), "a long, b long")
+        for x in links:
+            found = found.unionByName(x)
+        labels = dict(map(tuple, connected_components(found).collect()))
+        assert [labels.get(d, d) for d, _ in sets] == [c for d, _, c in brute([r for r in rows if r[0] in dict(sets)])]
+    assert df.count() == len(rows)
+
+
+def test_a_chain_in_order_of_ids_takes_few_rounds(spark):
+    chain = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    began = time.time()
+    got = connected_components(chain)
+    assert got.count() == 3001 and got.agg(F.max("component")).first()[0] == 0 and time.time() - began < 120
+
+
+def test_first_of_each_group_stays(spark):
+    rows = [(1, "a b c d e", "x"), (1, "a b c d e", "w"), (1, "p q r s t u", "y"), (2, "a b c d e", "z"), (None, "a b c d e", "n"), (3, None, "m"), (3, "", "m"), (4, "p q r s t u", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string")
+    got = sorted((tuple(r) for r in keep_first(df.withColumnRenamed("__id", "first")).collect()), key=str)
+    assert got == sorted([(1, "a b c d e", "w"), (1, "p q r s t u", "y"), (None, "a b c d e", "n"), (3, None, "m"), (3, "", "m")], key=str)
+
+
 def test_empty_repeated_and_clashing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_jaccard_join(empty).collect() == []

@@ -1,19 +1,22 @@
-"""N-gram Jaccard join in the metric space of shingle sets (distance 1 - Jaccard).
-
-Two kinds of pivots make the regions:
-
-* Unrelated texts all lie at distance 1 from each other, so texts as pivots cannot tell them apart. The first pivots
-  are therefore one-shingle sets: a text lies nearer than 1 only to the pivots it holds. A text of n shingles has at most
-  n - ceil(t n) of them outside any partner, so it is replicated to the first ``n - ceil(t n) + 1`` pivots in a fixed order of
-  all pivots (rare ones first) and to no more; a text whose first pivots hold nothing else has no partner. Within a pivot's
-  region the distance to a superset of all texts grows with n, and texts are cut apart where sizes leave a gap wider than t.
-* Inside a region texts are the pivots: each other text's distance d to the pivot is taken; by the triangle inequality two
-  texts whose distances differ by more than r = 1 - t cannot link, so the region splits at gaps wider than r and the parts
-  are joined recursively. A part that does not split is compared through postings of its texts' differences from what most of
-  them share. Pairs that are connected already are passed over: a group of n near copies gives n - 1 links, never all pairs.
-
-Overlapping regions are joined together, one task each; those over ``region_shingles`` are first taken apart by shingle, and a
-single shingle's region over it is split by pivots in distributed rounds, with the same rules.
+"""N-gram Jaccard join in the metric space of shingle sets (distance 1 - Jaccard, reach r = 1 - t).
+
+The space is cut into Voronoi regions of pivots; each text goes to the region of its nearest pivot and is replicated to those pivots whose
+distance is at most 2 r more, which by the triangle inequality brings every two texts within reach of each other together. Three kinds of pivots:
+
+* One-shingle sets first. Unrelated texts all lie at distance 1 from each other, so windows of texts as pivots would hold everything. A text of n shingles
+  has at most n - ceil(t n) of them outside any partner, so its window is its first ``n - ceil(t n) + 1`` shingles in a fixed order of all (rare
+  ones first). A text whose window holds no other text has no partner. Texts of a region are cut apart where sizes leave a gap wider than t.
+* Texts, inside those regions: up to ``PIVOTS`` at once, nearest pivot, window of 2 r, recursively as long as the regions get smaller.
+* A core, where texts do not split a region (near copies of one template lie equally far from each other): the set of shingles that most of its texts
+  hold. Texts are taken as differences from the core, and with e = (100 + percent) * differences - (100 - percent) * n two texts link when
+  e + e' <= 2 (100 + percent) * shared differences. So all texts of e <= 0 link, and so do all whose e the innermost text makes up for; the others
+  must share differences with a partner, and the rarest of theirs are the one-shingle pivots of smaller regions.
+
+Overlapping first regions are joined together, one task each. Those over ``region_shingles`` are split in at most ``ROUNDS`` distributed rounds, whatever the
+number of texts: cells of a region take its pivots (or core) to them, so no task holds more than about ``region_shingles``. Each round of cores at least halves a
+region's texts, because a difference is held by half of them at most; what is still too large after the last round is compared by tiles of two cells.
+In a task, regions are split by the same text pivots and end in postings of differences from their core. Pairs that are connected already are passed over: a group of
+n near copies gives n - 1 links.
 
 Shingles are compared by 64-bit hashes, whole sets by 128-bit digests. The order of the pivots only steers the work:
 shingles whose hash falls in the lowest ``counted`` share of the hash space are counted over all texts and come first, by count.
@@ -22,10 +25,10 @@ The share is a third more than a text's window, so that most windows lie within
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -40,6 +43,14 @@ from tracelake.llm.words import WordHashes, chunks, hash_words, sequence_hash, s
 BROADCAST_IDS = 1_000_000
 #: A region's weight is its shingles and so many for each text, which bounds its texts too.
 DOC_WEIGHT = 400
+#: What one task joins; larger regions are split first.
+REGION_SHINGLES = 2_000_000
+#: Text pivots of a region at a time.
+PIVOTS = 16
+#: Texts that are compared without pivots.
+SMALL = 64
+#: Distributed rounds before tiles.
+ROUNDS = 6
 
 
 def _least_shared(n: np.ndarray | int, percent: int):
@@ -66,15 +77,15 @@ def _describe(width: int, percent: int, counted: float):
         known = WordHashes()
         for batch in slices(batches):
             n, digest, near, far = [], [], [], []
-            for x in _shingle_sets(batch.column(1).to_pylist(), known, width):
+            for x in _shingle_sets(batch.column("text").to_pylist(), known, width):
                 cut = int(np.searchsorted(x, edge))
                 need = len(x) - int(_least_shared(len(x), percent)) + 1 if len(x) else 0
                 n.append(len(x))
                 digest.append(xxhash.xxh3_128_digest(x.tobytes()))
                 near.append(x[:cut].view(np.int64))
                 far.append(x[cut : max(cut, need)].view(np.int64))
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "n", "digest", "near", "far"])
+            cols = [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "t64", "n", "digest", "near", "far"])
 
     return run
 
@@ -105,6 +116,28 @@ def _differences(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return size, np.concatenate([owner[shared], lack_set]), np.concatenate([token[shared], common[lack_column]])
 
 
+def windows_of(sets: list[np.ndarray], pivots: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts x pivots: whether they link, and whether the pivot's distance is at most twice the reach more than that of the nearest one."""
+    tokens = np.unique(np.concatenate(pivots))
+    holds = np.zeros((len(tokens) + 1, len(pivots)), np.int32)
+    for j, p in enumerate(pivots):
+        holds[np.searchsorted(tokens, p), j] = 1
+    n, of = np.array([len(x) for x in sets], np.int64), np.array([len(p) for p in pivots], np.int64)
+    same = np.zeros((len(sets), len(pivots)), np.int64)
+    first = 0
+    while first < len(sets):
+        last = max(first + 1, int(np.searchsorted(np.cumsum(n[first:]), 500_000)) + first)
+        values = np.concatenate(sets[first:last])
+        at = np.searchsorted(tokens, values)
+        at[tokens[np.minimum(at, len(tokens) - 1)] != values] = len(tokens)
+        same[first:last] = np.add.reduceat(holds[at], np.concatenate([[0], np.cumsum(n[first:last])[:-1]]), axis=0)
+        first = last
+    union = n[:, None] + of - same
+    apart = 1 - same / union
+    reach = 1 - percent / 100
+    return 100 * same >= percent * union, apart <= apart.min(axis=1, keepdims=True) + 2 * reach + 1e-9
+
+
 class _Region:
     """The texts of one region: links that connect all texts within reach of each other."""
 
@@ -121,36 +154,23 @@ class _Region:
             if link:
                 self.links.append((int(self.ids[i]), int(self.ids[j])))
 
-    def shared(self, pivot: int, others: np.ndarray) -> np.ndarray:
-        p = self.sets[pivot]
-        values = np.concatenate([self.sets[i] for i in others])
-        at = np.searchsorted(p, values)
-        at[at == len(p)] = 0
-        ends = np.cumsum(self.n[others])
-        return np.add.reduceat((p[at] == values).astype(np.int64), np.concatenate([[0], ends[:-1]]))
-
     def solve(self, members: np.ndarray) -> None:
-        reach = 1 - self.percent / 100 + 1e-9
+        """Voronoi regions of text pivots, recursively; ``pairs`` where they do not get smaller."""
         stack = [members]
         while stack:
             m = stack.pop()
-            kinds, counts = np.unique(self.root[m], return_counts=True)
-            if len(kinds) < 2:
+            if len(np.unique(self.root[m])) < 2:
                 continue
-            pivot = int(m[self.root[m] == kinds[counts.argmin()]][0])
-            rest = m[m != pivot]
-            same = self.shared(pivot, rest)
-            union = self.n[pivot] + self.n[rest] - same
-            for j in rest[100 * same >= self.percent * union]:
-                self.join(pivot, int(j))
-            d = 1 - same / union
-            order = np.argsort(d, kind="stable")
-            parts = np.split(rest[order], np.flatnonzero(np.diff(d[order]) > reach) + 1)
-            if len(parts) > 1 and max(map(len, parts)) < 0.9 * len(rest):
-                stack += [x for x in parts if len(x) > 1]
-            else:
-                for x in parts:
-                    self.pairs(x)
+            if len(m) > SMALL:
+                pivots = m[np.linspace(0, len(m) - 1, min(PIVOTS, math.isqrt(len(m)))).astype(int)]
+                linked, window = windows_of([self.sets[i] for i in m], [self.sets[i] for i in pivots], self.percent)
+                for i, j in zip(*np.nonzero(linked), strict=True):
+                    self.join(int(pivots[j]), int(m[i]))
+                parts = [m[window[:, j]] for j in range(len(pivots))]
+                if sum(len(x) ** 2 for x in parts) <= len(m) ** 2 / 2:
+                    stack += [x for x in parts if len(x) > 1]
+                    continue
+            self.pairs(m)
 
     def pairs(self, m: np.ndarray) -> None:
         """A region that no pivot splits. Its texts are compared by how they differ from what most of them share, by way of postings."""
@@ -178,55 +198,132 @@ class _Region:
 
 def _join_region(percent: int):
     def run(rows: pa.Table) -> pa.Table:
-        texts = dict.fromkeys(zip(rows["doc"].to_pylist(), rows["shingles"].to_pylist(), strict=True))
-        region = _Region(np.array([doc for doc, _ in texts], np.int64), [np.frombuffer(x, np.uint64) for _, x in texts], percent)
-        first: dict[int, int] = {}
-        for i, doc in enumerate(region.ids):
-            region.join(first.setdefault(int(doc), i), i, link=False)
-        region.solve(np.arange(len(region.ids)))
+        texts = dict(sorted(zip(rows["doc"].to_pylist(), rows["shingles"].to_pylist(), strict=True)))
+        region = _Region(np.array(list(texts), np.int64), [np.frombuffer(x, np.uint64) for x in texts.values()], percent)
+        region.solve(np.arange(len(texts)))
         return pa.table({"a": pa.array([a for a, _ in region.links], pa.int64()), "b": pa.array([b for _, b in region.links], pa.int64())})
 
     return run
 
 
-def _shared_count(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+def _to_pivots(percent: int):
+    """A cell of a region against all the region's pivots: one row for each window that a text lies in."""
+
+    def run(cell: pa.Table, pivots: pa.Table) -> pa.Table:
+        linked, window = windows_of([np.frombuffer(x, np.uint64) for x in cell["shingles"].to_pylist()], [np.frombuffer(x, np.uint64) for x in pivots["held"].to_pylist()], percent)
+        i, j = np.nonzero(window | linked)
+        rows = cell.take(pa.array(i)).select(["region", "doc", "n"])
+        return rows.append_column("pivot", pivots["pivot"].take(pa.array(j))).append_column("linked", pa.array(linked[i, j]))
 
+    return run
 
-def _split_hot(hot: DataFrame, percent: int, limit: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Rounds of one pivot a region over ``(region, doc, n, shingles, class)``; ends when no region exceeds ``limit`` shingles.
 
-    Texts linked to the pivot take its class; a region of one class is done; a region splits where four neighbouring
-    bins of a quarter of the reach are empty. Returns the regions left and the links found.
-    """
-    reach = 1 - percent / 100
+def _usual(rows: pa.Table) -> pa.Table:
+    """The shingles that more than half of a cell's texts hold."""
+    token, count = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]), return_counts=True)
+    token = token[2 * count > rows.num_rows]
+    fill = lambda c, t: pa.array(np.full(len(token), rows[c][0].as_py()), t)
+    return pa.table({"region": fill("region", pa.int64()), "cells": fill("cells", pa.int32()), "token": pa.array(token.view(np.int64))})
+
+
+def _from_core(percent: int):
+    """A cell's texts as differences from the region's core, with their e."""
+
+    def run(cell: pa.Table, core: pa.Table) -> pa.Table:
+        usual = np.sort(core["token"].to_numpy().astype(np.int64).view(np.uint64))
+        apart = [np.setxor1d(np.frombuffer(x, np.uint64), usual, assume_unique=True) for x in cell["shingles"].to_pylist()]
+        e = np.array([len(x) for x in apart], np.int64) * (100 + percent) - (100 - percent) * cell["n"].to_numpy()
+        out = cell.select(["region", "doc"]).append_column("e", pa.array(e))
+        return out.append_column("apart", pa.array([x.view(np.int64) for x in apart], pa.list_(pa.int64())))
+
+    return run
+
+
+def _smallest_alike(parts: DataFrame) -> DataFrame:
+    """Of the regions of ``(region, doc)`` that hold the same texts, one."""
+    who = [F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("who2"), F.count("*").alias("m")]
+    alike = parts.groupBy("region").agg(*who).where("m > 1").groupBy("m", "who", "who2").agg(F.min("region").alias("region"))
+    return parts.join(alike.select("region"), "region")
+
+
+def _by_core(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Regions that texts do not split: smaller regions ``(region, doc)`` by rare shared differences from the core, and links to the innermost text."""
+    unit = 2 * (100 + percent)
+    usual = own.groupBy("region", "cell").applyInArrow(_usual, "region long, cells int, token long")
+    core = usual.groupBy("region", "token").agg(F.count("*").alias("c"), F.max("cells").alias("cells")).where("2 * c > cells").select("region", "token")
+    core = own.select("region", "cell").distinct().join(core, "region").select(F.col("region").alias("of"), F.col("cell").alias("at"), "token")
+    apart = own.groupBy("region", "cell").cogroup(core.groupBy("of", "at")).applyInArrow(_from_core(percent), "region long, doc long, e long, apart array<bigint>")
+    apart = keep(apart, "differences")
+    centre = apart.groupBy("region").agg(F.min(F.struct("e", "doc")).alias("c")).select("region", F.col("c.e").alias("least"), F.col("c.doc").alias("centre"))
+    rated = apart.join(centre, "region").withColumn("far", F.col("e") + F.col("least") > 0)
+    links = rated.where("NOT far").select(F.col("centre").alias("a"), F.col("doc").alias("b"))
+    nearest = rated.where("far").groupBy("region").agg(F.min("e").alias("far_e"))
+    other = F.when(F.col("far"), F.col("least")).otherwise(F.col("far_e"))
+    need = F.greatest(F.ceil((F.col("e") + other) / unit), F.lit(1))
+    rated = rated.join(nearest, "region").select("region", "doc", "far", "apart", (F.size("apart") - need + 1).alias("take")).where("take > 0")
+    each = rated.select("region", "doc", "far", F.explode("apart").alias("token"))
+    live = each.groupBy("region", "token").agg(F.count("*").alias("m"), F.max("far").alias("any")).where("m > 1 AND any").drop("any")
+    shared = each.join(live, ["region", "token"]).groupBy("region", "doc").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("shared"))
+    # differences that no other text of use has come first in the order, and lead nowhere
+    left = (F.col("take") - (F.size("apart") - F.size("shared"))).cast("int")
+    first = rated.join(shared, ["region", "doc"]).withColumn("left", left).where("left > 0").select("region", "doc", "far", F.explode(F.slice("shared", F.lit(1), F.col("left"))).alias("x"))
+    parts = keep(first.select(F.xxhash64("region", "x.token").alias("region"), "doc", "far"), "parts")
+    wanted = parts.groupBy("region").agg(F.max("far").alias("any"), F.count("*").alias("m")).where("any AND m > 1").select("region")
+    return _smallest_alike(parts.select("region", "doc").join(wanted, "region")), links
+
+
+def _sized(regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(region, doc, n, weight)``."""
+    own = regions.join(sets.select("doc", "n"), "doc")
+    return own.join(own.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight")), "region")
+
+
+def _cells(own: DataFrame, sets: DataFrame, limit: int, number: int) -> DataFrame:
+    """Each region's texts dealt to cells of about half of ``limit`` shingles, with their sets."""
+    cells = F.ceil(2 * F.col("weight") / limit).cast("int")
+    dealt = own.select("region", "doc", "n", "weight", cells.alias("cells")).withColumn("cell", F.pmod(F.xxhash64("doc", F.lit(number)), F.col("cells")).cast("int"))
+    return dealt.join(sets.select("doc", "shingles"), "doc")
+
+
+def _tiles(own: DataFrame) -> DataFrame:
+    """Every two cells of a region as a region of their own."""
+    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    pair = own.select("region", "doc", "cell", "cells", other.alias("with"))
+    return pair.where("cells = 1 OR cell != with").select(F.xxhash64("region", F.least("cell", "with"), F.greatest("cell", "with")).alias("region"), "doc")
+
+
+def split_hot(regions: DataFrame, sets: DataFrame, percent: int, limit: int, rounds: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """``(region, doc)`` taken apart until no region is over ``limit`` shingles, and the links found on the way; ``sets``: ``(doc, n, shingles)``."""
     done: list[DataFrame] = []
     links: list[DataFrame] = []
-    while True:
-        # a region of one class needs no more work; the others' sizes decide where it goes on
-        about = hot.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi")
-        live = hot.join(about.select("region", "weight"), "region")
-        done.append(keep(live.where(F.col("weight") <= limit).select("region", "doc"), "small"))
-        hot = keep(live.where(F.col("weight") > limit).drop("weight"), "hot")
-        if not hot.take(1):
-            return done[0] if len(done) == 1 else _union(done), links
-        least = hot.groupBy("region", "class").count().groupBy("region").agg(F.min_by("class", F.struct("count", "class")).alias("class"))
-        pivots = hot.join(least, ["region", "class"]).groupBy("region").agg(F.min(F.struct("doc", "n", "shingles")).alias("p"))
-        own = hot.join(pivots, "region").where("doc != p.doc")
-        own = own.withColumn("same", F.pandas_udf(_shared_count, "long")("shingles", F.col("p.shingles")))
-        union = F.col("n") + F.col("p.n") - F.col("same")
-        own = own.withColumn("linked", 100 * F.col("same") >= percent * union).withColumn("bin", F.floor((1 - F.col("same") / union) / (reach / 4)))
-        own = keep(own.select("region", "doc", "n", "shingles", "class", F.col("p.doc").alias("pivot"), "linked", "bin"), "round")
-        links.append(own.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
-        taken = own.where("linked").select("region", "class", F.lit(True).alias("taken")).distinct()
-        bins = own.groupBy("region").agg(F.sort_array(F.collect_set("bin")).alias("bins"))
-        # a part's number is how many wide gaps lie below its bin
-        part = F.size(F.expr("filter(transform(bins, (x, i) -> IF(i > 0 AND x - bins[i - 1] > 5, x, NULL)), x -> x IS NOT NULL AND x <= bin)"))
-        hot = (
-            own.join(taken, ["region", "class"], "left").join(bins, "region")
-            .select(F.xxhash64("region", "pivot", part).alias("region"), "doc", "n", "shingles", F.when(F.col("taken"), F.col("pivot")).otherwise(F.col("class")).alias("class"))
-        )
-        hot = keep(hot, "hot")
+    for number in range(ROUNDS if rounds is None else rounds):
+        own = keep(_sized(regions, sets), "regions")
+        done.append(own.where(F.col("weight") <= limit).select("region", "doc"))
+        own = own.where(F.col("weight") > limit)
+        if not own.take(1):
+            return _union(done), links
+        own = keep(_cells(own, sets, limit, number), "cells")
+        nearest = F.min(F.struct(F.xxhash64("doc", F.lit(number + 100)), "doc"))
+        pivots = own.groupBy("region", F.pmod("cell", F.lit(PIVOTS)).alias("g")).agg(nearest.alias("x")).select("region", F.col("x.doc").alias("doc"))
+        pivots = own.select("region", "cell").distinct().join(pivots, "region").join(sets.select("doc", "shingles"), "doc")
+        pivots = pivots.select(F.col("region").alias("of"), F.col("cell").alias("at"), F.col("doc").alias("pivot"), F.col("shingles").alias("held"))
+        found = own.groupBy("region", "cell").cogroup(pivots.groupBy("of", "at")).applyInArrow(_to_pivots(percent), "region long, doc long, n long, pivot long, linked boolean")
+        found = keep(found, "windows")
+        links.append(found.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
+        sizes = found.groupBy("region", "pivot").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("part")).groupBy("region").agg(F.max("part").alias("top"), F.sum("part").alias("total"))
+        smaller = own.groupBy("region").agg(F.max("weight").alias("weight")).join(sizes, "region").where("top <= 0.7 * weight AND total <= 3 * weight")
+        smaller = keep(smaller.select("region"), "split")
+        regions = found.join(smaller, "region").select(F.xxhash64("region", "pivot").alias("region"), "doc")
+        rest = own.join(smaller, "region", "left_anti")
+        if rest.take(1):
+            parts, near = _by_core(rest, percent)
+            links.append(near)
+            regions = regions.unionByName(parts)
+        regions = keep(regions, "regions")
+    own = _sized(regions, sets)
+    done.append(own.where(F.col("weight") <= limit).select("region", "doc"))
+    done.append(_tiles(_cells(own.where(F.col("weight") > limit), sets, limit, -1)))
+    return _union(done), links
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -236,64 +333,100 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` joined with ``ids`` on ``doc``; ids are broadcast only if they are few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc")
-
-
 def _held(about: DataFrame, percent: int) -> DataFrame:
-    """``(doc, n, lead, part)``: the first pivots of each text that others hold too; texts within reach of each other share a part."""
-    first = about.select("doc", "n", F.explode("near").alias("token"))
-    counted = first.withColumn("df", F.count("*").over(W.partitionBy("token"))).where("df > 1")
-    seen = counted.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("seen"))
+    """``(doc, n, lead, part)``: the first pivots of each text that others hold too; texts within reach of each other share a part.
+
+    Shingles are counted before they are joined back, and sizes of a pivot's texts are cut by their distinct values, so that a shingle
+    in a third of all texts is never one task's rows.
+    """
+    first = about.select("doc", F.explode("near").alias("token"))
+    counts = first.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    seen = first.join(counts, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("seen"))
     need: Column = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n_near") - F.coalesce(F.size("seen"), F.lit(0)))
     rare = about.select("doc", "n", F.size("near").alias("n_near"), "far").join(seen.withColumn("has", F.lit(1)), "doc", "left")
     rare = rare.withColumn("seen", F.coalesce("seen", F.expr("CAST(array() AS array<struct<df:bigint,token:bigint>>)"))).withColumn("need", need.cast("int")).where("need > 0")
     pivots = F.concat(F.transform(F.slice("seen", F.lit(1), F.col("need")), lambda x: x["token"]), "far")
-    held = rare.select("doc", "n", F.explode(pivots).alias("token"))
-    by_size = W.partitionBy("token").orderBy("n", "doc")
+    held = keep(rare.select("doc", "n", F.explode(pivots).alias("token")), "prefixes")
+    by_size = W.partitionBy("token").orderBy("n")
     gap = F.when(F.lag("n").over(by_size) * 100 >= percent * F.col("n"), 0).otherwise(1)
+    sizes = held.groupBy("token", "n").agg(F.count("*").alias("m"), F.min("doc").alias("lead"))
+    sizes = sizes.withColumn("gap", gap).withColumn("cut", F.sum("gap").over(by_size))
     part = W.partitionBy("token", "cut")
-    held = held.withColumn("gap", gap).withColumn("cut", F.sum("gap").over(by_size))
-    held = held.withColumn("many", F.count("*").over(part)).withColumn("lead", F.min("doc").over(part)).where("many > 1")
-    return keep(held.select("doc", "n", "lead", F.xxhash64("token", "cut").alias("part")), "held")
+    sizes = sizes.select("token", "n", "cut", F.sum("m").over(part).alias("many"), F.min("lead").over(part).alias("lead")).where("many > 1")
+    return keep(held.join(sizes, ["token", "n"]).select("doc", "n", "lead", F.xxhash64("token", "cut").alias("part")), "held")
+
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` of a few numbers each, broadcast if there are not many."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
-def jaccard_links(texts: DataFrame, about: DataFrame, shingle: int, percent: int, region_shingles: int) -> DataFrame:
+
+def _sets_of(texts: DataFrame, kinds: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``(region, doc, shingles)`` of the wanted ``(region, doc)``, made again from one text of each."""
+    one = keep(wanted.join(kinds.select("doc", "row"), "doc"), "wanted")
+    return texts.join(_few(one), "row").select("region", "doc", "text").mapInArrow(_sets(shingle), "region long, doc long, shingles binary")
+
+
+def jaccard_links(texts: DataFrame, kinds: DataFrame, about: DataFrame, shingle: int, percent: int, region_shingles: int) -> DataFrame:
     """Links ``(a, b)`` that connect every two distinct sets within reach of each other.
 
-    texts: ``doc``, ``text`` (binary); about: what ``_describe`` gives for one text of each set.
+    texts: ``row``, ``text`` (binary); kinds: a ``row`` of each set ``doc``; about: what ``_describe`` gives for it.
     """
     held = _held(about, percent)
-
     near = connected_components(held.select(F.col("doc").alias("a"), F.col("lead").alias("b"))).toDF("doc", "region")
     own = held.select("doc", "n").distinct().join(near, "doc")
     weight = own.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"))
     own = keep(own.join(weight, "region"), "regions")
     small = own.where(F.col("weight") <= region_shingles).select("region", "doc")
     links: list[DataFrame] = []
-    large = own.where(F.col("weight") > region_shingles)
+    large = own.where(F.col("weight") > region_shingles).select(F.lit(0).cast("long").alias("region"), "doc")
     if large.take(1):
-        by_part = held.join(large.select("doc"), "doc").select("doc", "n", F.col("part").alias("region"))
-        # one of the regions that hold the same texts is enough
-        who = [F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("who2")]
-        alike = by_part.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"), F.count("*").alias("m"), *who)
-        alike = alike.groupBy("weight", "m", "who", "who2").agg(F.min("region").alias("region"))
-        by_part = keep(by_part.join(alike.select("region", "weight"), "region"), "parts")
-        small = small.unionByName(by_part.where(F.col("weight") <= region_shingles).select("region", "doc"))
-        hot = by_part.where(F.col("weight") > region_shingles).select("region", "doc")
-        if hot.take(1):
-            sets = _only(texts, hot.select("doc").distinct()).select(F.lit(0).cast("long").alias("region"), "doc", "text").mapInArrow(_sets(shingle), "region long, doc long, shingles binary")
-            hot = hot.join(sets.select("doc", "shingles"), "doc").select("region", "doc", (F.length("shingles") / 8).cast("long").alias("n"), "shingles", F.col("doc").alias("class"))
-            left, links = _split_hot(keep(hot, "hot"), percent, region_shingles)
-            small = small.unionByName(left)
-    sets = _only(texts, small).select("region", "doc", "text").mapInArrow(_sets(shingle), "region long, doc long, shingles binary")
-    links.append(sets.groupBy("region").applyInArrow(_join_region(percent), "a long, b long"))
+        sets = _sets_of(texts, kinds, large, shingle).dropDuplicates(["doc"])
+        sets = keep(sets.select("doc", (F.length("shingles") / 8).cast("long").alias("n"), "shingles"), "sets")
+        parts = keep(_smallest_alike(held.join(large.select("doc"), "doc").select(F.col("part").alias("region"), "doc")), "parts")
+        left, links = split_hot(parts, sets, percent, region_shingles)
+        links.append(left.join(sets.select("doc", "shingles"), "doc").groupBy("region").applyInArrow(_join_region(percent), "a long, b long"))
+    links.append(_sets_of(texts, kinds, small, shingle).groupBy("region").applyInArrow(_join_region(percent), "a long, b long"))
     return _union(links)
 
 
+def _described(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, counted: float | None) -> tuple[DataFrame, DataFrame]:
+    """The texts ``(row, id, t64, text)``, and what ``_describe`` gives for each; a row is known by its id and text, a set (``doc``) by its digest."""
+    if counted is None:
+        counted = min(1.0, (1 - percent / 100) * 4 / 3)
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("t64"), text.cast("binary").alias("text")).withColumn("row", F.xxhash64("id", "t64"))
+    described = texts.select("row", "id", "t64", "text").mapInArrow(_describe(shingle, percent, counted), "row long, id long, t64 long, n long, digest binary, near array<long>, far array<long>")
+    return texts, keep(described.withColumn("doc", F.xxhash64("digest")).drop("digest"), "shingles")
+
+
+def _distinct(described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc, first, row, copies)`` for each distinct set, its first id and text and one of its rows; and ``(doc, n, near, far)``."""
+    alive = described.where("n > 0 AND id IS NOT NULL")
+    rows = alive.groupBy("doc", "row", "id", "t64").agg(F.count("*").alias("times"))
+    kinds = keep(rows.groupBy("doc").agg(F.min(F.struct("id", "t64")).alias("first"), F.min("row").alias("row"), F.min_by("times", "row").alias("times"), F.sum("times").alias("copies")), "kinds")
+    others = keep(alive.select("doc", "row").join(kinds.select("doc", F.col("row").alias("kept")), "doc").where("row != kept").select("row").distinct(), "copies")
+    about = alive.join(_few(others), "row", "left_anti").select("doc", "n", "near", "far")
+    return kinds, about.dropDuplicates(["doc"]) if kinds.where("times > 1").take(1) else about
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, counted: float | None, region_shingles: int) -> DataFrame:
+    """``(id, t64, n, first)`` of each row: how many shingles, and the first ``(id, t64)`` of its component (null without id or shingles)."""
+    texts, described = _described(docs, id_col, text_col, shingle, percent, counted)
+    rows = keep(described.select("id", "t64", "n", "doc"), "rows")
+    kinds, about = _distinct(described)
+    links = keep(jaccard_links(texts, kinds, about, shingle, percent, region_shingles), "found")
+    release(described)
+    labels = connected_components(links)
+    groups = kinds.select("doc", "first").join(labels.toDF("doc", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    # only components of several sets need their first row looked up
+    least = groups.groupBy("label").agg(F.min("first").alias("least"))
+    groups = groups.join(least, "label").select("doc", "least")
+    return rows.join(groups, "doc", "left").select("id", "t64", "n", F.when(F.col("id").isNotNull(), F.col("least")).alias("first"))
+
+
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, counted: float | None = None, region_shingles: int = 8_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, counted: float | None = None, region_shingles: int = REGION_SHINGLES
 ) -> DataFrame:
     """One row a row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``.
 
@@ -301,36 +434,33 @@ def ngram_jaccard_join(
     words (the whole sequence where there are fewer words). Two texts link when 100 * shared >= percent * union;
     ``component_id`` is the smallest id reachable by links.
 
-    Null, empty and wordless texts have 0 shingles and are alone. Rows of the same id count as one document with several
-    texts: they share a component. Equal texts link. A null id takes no part (component null). An empty table gives no rows; other
-    columns are ignored, whatever their names.
+    Null, empty and wordless texts have 0 shingles and are alone. Equal texts link. Rows that share an id but not their text are documents of their own. A null id
+    takes no part (component null). An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    if counted is None:
-        counted = min(1.0, (1 - percent / 100) * 4 / 3)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    described = keep(texts.mapInArrow(_describe(shingle, percent, counted), "doc long, n long, digest binary, near array<long>, far array<long>"), "shingles")
-    all_ = keep(described.select("doc", "n", "digest"), "sets")
-    alive = all_.where("n > 0 AND doc IS NOT NULL")
-    kinds = keep(alive.groupBy("digest").agg(F.min("doc").alias("rep")), "kinds")
-    copies = keep(alive.join(kinds, "digest").where("rep <> doc").select("doc", "digest", "rep").distinct(), "copies")
-    about = described.where("n > 0 AND doc IS NOT NULL").join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["doc", "digest"], "left_anti")
-    links = jaccard_links(texts.where("doc IS NOT NULL"), about.select("doc", "n", "near", "far"), shingle, percent, region_shingles)
-    # equal sets link to the first of them, and so do the several sets of rows that share an id
-    links = keep(links.unionByName(copies.select(F.col("doc").alias("a"), F.col("rep").alias("b"))), "found")
-    release(described)
-    labels = connected_components(links)
-    out = all_.select("doc", "n").join(labels.toDF("doc", "component"), "doc", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    found = _components(docs, id_col, text_col, shingle, percent, counted, region_shingles)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
 
 
-def _digests(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in slices(batches):
-            sets = [x.tobytes() for x in _shingle_sets(batch.column("text").to_pylist(), known, width)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, counted: float | None = None, region_shingles: int = REGION_SHINGLES
+) -> DataFrame:
+    """``docs`` with one row of each group of linked texts, that of the smallest id, and all its columns.
 
-    return run
+    Of rows that are the same in id and text one stays (the first by its other columns). Rows without an id, or without words, stay. Rows that share an id but
+    have unlinked texts stay. An empty table gives no rows.
+    """
+    found = keep(_components(docs, id_col, text_col, shingle, percent, counted, region_shingles), "components")
+    found = found.where("first IS NOT NULL")
+    gone = found.where("first.id != id OR first.t64 != t64").select(F.col("id").alias("__id"), F.col("t64").alias("__t64")).distinct()
+    several = keep(found.groupBy("id", "t64").count().where("count > 1").select(F.col("id").alias("__id"), F.col("t64").alias("__t64")), "several")
+    same = (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__t64"))
+    left = docs.join(_few(keep(gone, "gone")), same, "left_anti")
+    if not several.take(1):
+        return left
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    nth = F.row_number().over(W.partitionBy(columns[docs.columns.index(id_col)], F.xxhash64(F.col(f"`{text_col}`"))).orderBy(*columns))
+    one = left.join(_few(several), same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return left.join(_few(several), same, "left_anti").unionByName(one)
 
 
 def _count_links(percent: int):
@@ -369,7 +499,7 @@ def _count_links(percent: int):
 
 
 def ngram_jaccard_link_counts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, counted: float | None = None, region_shingles: int = 8_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, counted: float | None = None, region_shingles: int = REGION_SHINGLES
 ) -> DataFrame:
     """One row a row of ``docs``: ``id_col``, ``n_links``, the number of other rows that its text links to.
 
@@ -377,13 +507,8 @@ def ngram_jaccard_link_counts(
     ``region_shingles`` are taken apart by shingle and cut into tiles; each two tiles are one task, and only counts leave it. Rows without shingles have 0 links, rows without an id null;
     rows that share an id count each.
     """
-    if counted is None:
-        counted = min(1.0, (1 - percent / 100) * 4 / 3)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    described = keep(texts.mapInArrow(_describe(shingle, percent, counted), "doc long, n long, digest binary, near array<long>, far array<long>"), "shingles")
-    alive = described.where("n > 0 AND doc IS NOT NULL")
-    copies = keep(alive.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc").alias("rep")).withColumn("key", F.xxhash64("digest")), "kinds")
-    about = alive.dropDuplicates(["digest"]).select(F.xxhash64("digest").alias("doc"), "n", "near", "far")
+    texts, described = _described(docs, id_col, text_col, shingle, percent, counted)
+    kinds, about = _distinct(described)
     held = _held(about, percent)
     near = connected_components(held.select(F.col("doc").alias("a"), F.col("lead").alias("b"))).toDF("doc", "region")
     own = held.select("doc", "n").distinct().join(near, "doc")
@@ -394,12 +519,11 @@ def ngram_jaccard_link_counts(
     tiles = large.groupBy("part").agg(F.ceil(F.sum(F.col("n") + DOC_WEIGHT) / (region_shingles / 2)).cast("int").alias("tiles"))
     large = large.join(tiles, "part").join(parts, "doc").select(F.col("part").alias("region"), "doc", "tiles", "parts")
     regions = keep(small.unionByName(large).withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")), "tiles")
-    wanted = regions.select("doc").distinct().join(copies.select(F.col("key").alias("doc"), "rep", "copies", "digest"), "doc")
-    sets = texts.join(wanted.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select("text").mapInArrow(_digests(shingle), "digest binary, shingles binary")
-    sets = sets.dropDuplicates(["digest"]).join(wanted, "digest").select("doc", "copies", "shingles")
+    wanted = regions.select(F.lit(0).cast("long").alias("region"), "doc").distinct()
+    sets = _sets_of(texts, kinds, wanted, shingle).dropDuplicates(["doc"]).join(kinds.select("doc", "copies"), "doc").select("doc", "copies", "shingles")
     first = F.transform(F.sequence("t", F.col("tiles") - 1), lambda j: F.struct(F.col("t").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     second = F.when(F.col("t") > 0, F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda i: F.struct(i.alias("i"), F.col("t").alias("j"), F.lit(1).alias("side")))).otherwise(F.slice(first, 1, 0))
     each = regions.select("region", "doc", "parts", F.explode(F.concat(first, second)).alias("g")).select("region", "doc", "parts", "g.*").join(sets, "doc")
     links = each.groupBy("region", "i", "j").applyInArrow(_count_links(percent), "doc long, links long").groupBy("doc").agg(F.sum("links").alias("links"))
-    by_set = copies.join(links.withColumnRenamed("doc", "key"), "key", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return described.select("doc", "digest").join(by_set, "digest", "left").select(F.col("doc").alias(id_col), F.when(F.col("doc").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    by_set = kinds.join(links, "doc", "left").select("doc", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return described.select("id", "doc").join(by_set, "doc", "left").select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
