@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
 from tracelake.llm.decontaminate import decontaminate
-from tracelake.llm.jaccard_join import BROADCAST_IDS, ngram_jaccard_join
+from tracelake.llm.jaccard_join import keep_first
 from tracelake.llm.mixing import apply_mix
 from tracelake.llm.quality_rules import keep_good
 from tracelake.llm.scratch import keep
@@ -20,17 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of rows that share an id, one. Rows without an id stay."""
-    labels = keep(ngram_jaccard_join(docs, shingle=5, percent=80), "labels")
-    gone = labels.where("component_id <> doc_id").select("doc_id").distinct()
-    several = labels.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    left = docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
-    if not several.take(1):
-        return left
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(c for c in docs.columns if c != "doc_id")))
-    one = left.join(few(several), "doc_id", "left_semi").withColumn("__nth", first).where("__nth = 1").select(docs.columns)
-    return left.join(few(several), "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    """Of each group of linked documents the one with the smallest id; of rows that are the same in id and text, one. Rows without an id or words stay."""
+    return keep_first(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
