@@ -55,7 +55,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*(F.lit(k) for k in KINDS))
     digest = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     count = lambda i: F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
-    return found.select(F.col("id").alias("doc_id"), *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])), F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
