@@ -21,12 +21,18 @@ def brute(rows, threshold=0.75):
 
     def cosine(a, b):
         norm = lambda v: math.sqrt(sum((k * idf(w)) ** 2 for w, k in v.items()))
-        return sum(k * idf(w) * b[w] * idf(w) for w, k in a.items()) / norm(a) / norm(b)
+        dot = sum(k * idf(w) * b[w] * idf(w) for w, k in a.items()) / norm(b)
+        return round(dot / norm(a), 9), round(dot, 6)
 
     own = {}
     for i, x in lines.items():
-        found = [(-round(c, 9), k, name) for k, line in enumerate(x) if terms(line) for name, t in TEMPLATES if (c := cosine(terms(line), terms(t))) >= threshold]
-        own[i] = (min(found)[2], -min(found)[0]) if found else None
+        found = []
+        for name, t in TEMPLATES:
+            lines_of = [(-c, k, -d) for k, line in enumerate(x) if terms(line) for c, d in [cosine(terms(line), terms(t))] if c >= threshold]
+            if lines_of:
+                c, k, d = min(lines_of)
+                found.append((d, c, k, name))
+        own[i] = (min(found)[3], -min(found)[1], -min(found)[0]) if found else None
     place = {}
     for i, (_, url, _) in enumerate(rows):
         path = re.sub(r"^\w+://", "", re.sub(r"[?#].*", "", url or ""))
@@ -36,7 +42,7 @@ def brute(rows, threshold=0.75):
     for i, (d, name) in place.items():
         rank = 0 if re.match(r"(?i)(licen[cs]e|copying|copyright|notice|legal)(\..*)?$", name) else 1 if re.match(r"(?i)(index(\..*)?)?$", name) else None
         if own[i] and rank is not None:
-            dirs[d] = min(dirs.get(d, (9,)), (rank, -own[i][1], own[i][0]))
+            dirs[d] = min(dirs.get(d, (9,)), (rank, -own[i][2], own[i][0]))
     out = []
     for i, (key, _, _) in enumerate(rows):
         d = place[i][0]
