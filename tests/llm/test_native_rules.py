@@ -43,9 +43,9 @@ def cases():
     return docs + [(900, None), (901, "!!"), (902, docs[3][1])], items
 
 
-@pytest.mark.parametrize("most", [20_000, 0])
-def test_hits_equal_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(dec, "MAX_ANCHORS", most)
+@pytest.mark.parametrize(("size", "most"), [(2**20, 20_000), (64, 0)])
+def test_hits_equal_brute_force(spark, monkeypatch, size, most):
+    monkeypatch.setattr(dec, "BITMAP_BYTES", size)
     monkeypatch.setattr(dec, "BROADCAST_WINDOWS", most)
     docs, items = cases()
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS k", "2 AS id", "3 AS items")

@@ -1,8 +1,8 @@
-"""Benchmark decontamination: windows of benchmark items looked up in a broadcast hash table. Built-in functions only.
+"""Benchmark decontamination: windows of benchmark items looked up by hash, verified as text. Built-in functions only.
 
-A window of a document is only built around an anchor: the longest word of some benchmark window (the first in
-order among equals). An occurrence of a window holds its anchor, so none is lost, and all but a few places of a text are passed
-over by one set lookup a word. A built window is looked up and compared as text, which verifies the hit.
+A window of a document is only built around an anchor: the longest word of some benchmark window (the first in order among equals). An occurrence of a window
+holds its anchor, so none is lost. Anchors and windows are hashed into bitmaps, which are constants of the plan: a text's word costs one bit test, and a
+window that is built costs another. What passes both, hardly more than the occurrences, is joined with the windows and compared as text.
 """
 
 from __future__ import annotations
@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many anchors go into the plan as a set, and so many windows are broadcast (about 150 bytes each). Beyond, every
-#: place of a text is tried and the join shuffles.
-MAX_ANCHORS = 20_000
+from tracelake.llm.scratch import keep
+
+#: A bitmap has so many bits for each entry, but no more than so many bytes: beyond some million entries more places are tried, with the same result.
+BITS_EACH = 16
+BITMAP_BYTES = 2**20
+#: Up to so many windows are broadcast (about 150 bytes each); above it the join shuffles what passed the bitmaps.
 BROADCAST_WINDOWS = 300_000
 BROADCAST_ROWS = 1_000_000
 
@@ -33,8 +36,27 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width:
     return windows.groupBy(F.array_join("w", " ").alias("key"), "m", anchor.alias("anchor")).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _places_of(anchors: list[str]) -> Column:
-    return F.array_compact(F.transform("w", lambda x, i: F.when(x.isin(anchors), i)))
+def bitmap(hashes: DataFrame, count: int) -> bytes:
+    """The hashes' bits, seven a byte (so that a byte is a character); at most ``BITMAP_BYTES`` rows reach the driver."""
+    size = 64
+    while 7 * size < BITS_EACH * count and size < BITMAP_BYTES:
+        size *= 2
+    at = F.pmod(F.col(hashes.columns[0]), F.lit(7 * size))
+    bits = hashes.select((at / 7).cast("int").alias("byte"), F.call_function("shiftleft", F.lit(1), (at % 7).cast("int")).alias("bit"))
+    out = bytearray(size)
+    for row in bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect():
+        out[row["byte"]] = row["bits"]
+    return bytes(out)
+
+
+def in_bitmap(bits: bytes, h: Column) -> Column:
+    at = F.pmod(h, F.lit(7 * len(bits)))
+    byte = F.ascii(F.substring(F.lit(bits), (at / 7).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.call_function("shiftright", byte, (at % 7).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _places_of(anchors: bytes, shortest: int) -> Column:
+    return F.array_compact(F.transform("w", lambda x, i: F.when((F.length(x) >= shortest) & in_bitmap(anchors, F.xxhash64(x)), i)))
 
 
 def _with_width(starts: Column, m: int) -> Column:
@@ -43,28 +65,24 @@ def _with_width(starts: Column, m: int) -> Column:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``t64`` (hash of the text), ``n_words``, ``spans`` [(at, m)], ``items``."""
-    windows = benchmark_windows(benchmark, item_col, item_text_col, width)
-    by_m: dict[int, list[str] | None] = {}
-    about = windows.groupBy("m").agg(F.count("*").alias("n"), F.count_distinct("anchor").alias("anchors")).collect()  # at most `width` rows
-    for row in about:
-        few = row["anchors"] <= MAX_ANCHORS
-        by_m[row["m"]] = [x["anchor"] for x in windows.where(F.col("m") == row["m"]).select("anchor").distinct().collect()] if few else None
+    windows = keep(benchmark_windows(benchmark, item_col, item_text_col, width), "windows")
+    about = windows.groupBy("m").agg(F.count("*").alias("n"), F.count_distinct("anchor").alias("anchors"), F.min(F.length("anchor")).alias("shortest")).collect()  # at most `width` rows
+    count = sum(x["n"] for x in about)
     df = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("t64"), _words(F.col(f"`{text_col}`")).alias("w"))
-    places = []
-    for m, anchors in sorted(by_m.items()):
-        if anchors is None:
-            df_places = F.when(F.size("w") >= m, F.expr(f"transform(sequence(0, size(w) - {m}), s -> named_struct('at', s, 'm', {m}))"))
-        else:
-            df = df.withColumn(f"a{m}", _places_of(anchors))
-            starts = F.expr(f"array_distinct(flatten(transform(a{m}, p -> filter(sequence(p - {m - 1}, p), s -> s >= 0 AND s + {m} <= size(w)))))")
-            df_places = _with_width(starts, m)
-        places.append(F.coalesce(df_places, F.expr("CAST(array() AS array<struct<at:int,m:int>>)")))
-    df = df.withColumn("places", F.concat(*places) if places else F.expr("CAST(array() AS array<struct<at:int,m:int>>)"))
-    df = df.select("id", "t64", F.size("w").cast("long").alias("n_words"), F.expr("transform(places, p -> named_struct('at', p.at, 'm', p.m, 'key', array_join(slice(w, p.at + 1, p.m), ' ')))").alias("tried"))
+    places = [F.expr("CAST(array() AS array<struct<at:int,m:int>>)")]
+    for row in sorted(about, key=lambda x: x["m"]):
+        m = row["m"]
+        anchors = bitmap(windows.where(F.col("m") == m).select(F.xxhash64("anchor")).distinct(), row["anchors"])
+        df = df.withColumn(f"a{m}", _places_of(anchors, row["shortest"]))
+        starts = F.expr(f"array_distinct(flatten(transform(a{m}, p -> filter(sequence(p - {m - 1}, p), s -> s >= 0 AND s + {m} <= size(w)))))")
+        places.append(_with_width(starts, m))
+    known = bitmap(windows.select(F.xxhash64("key", "m")), count)
+    df = df.withColumn("places", F.concat(*places))
+    tried = F.expr("transform(places, p -> named_struct('at', p.at, 'm', p.m, 'key', array_join(slice(w, p.at + 1, p.m), ' ')))")
+    df = df.select("id", "t64", F.size("w").cast("long").alias("n_words"), F.filter(tried, lambda p: in_bitmap(known, F.xxhash64(p["key"], p["m"]))).alias("tried"))
     df = df.select("id", "t64", "n_words", F.posexplode_outer("tried").alias("nth", "p"))
     table = windows.select(F.col("key").alias("k"), F.col("m").alias("km"), F.col("items").alias("of"))
-    small = sum(x["n"] for x in about) <= BROADCAST_WINDOWS
-    df = df.join(F.broadcast(table) if small else table, (F.col("p.key") == F.col("k")) & (F.col("p.m") == F.col("km")), "left")
+    df = df.join(F.broadcast(table) if count <= BROADCAST_WINDOWS else table, (F.col("p.key") == F.col("k")) & (F.col("p.m") == F.col("km")), "left")
     df = df.where("k IS NOT NULL OR nth IS NULL OR nth = 0")
     found = df.groupBy("id", "t64", "n_words").agg(
         F.sum((F.col("nth").isNull() | (F.col("nth") == 0)).cast("int")).alias("rows"),
@@ -94,13 +112,15 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated rows (``remove="documents"``), or with the hit words cut out of all texts (``"spans"``).
 
-    A cut takes the words and what follows them up to the next word. Columns stay as they are.
+    A cut takes the words and what follows them up to the next word. Columns stay as they are, whatever their names. Rows with null or empty texts stay, with or without an
+    id; rows that are the same in id and text have one verdict; an empty benchmark removes nothing, and an empty table stays empty.
     """
     about = contamination(docs, benchmark, id_col, text_col, **options)
     key = [F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), F.xxhash64(F.col(f"`{text_col}`")) == F.col("__t64")]
     if remove == "documents":
         gone = about.where("contaminated").select(F.col("id").alias("__id"), F.col("t64").alias("__t64")).distinct()
-        few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        gone = keep(gone, "contaminated")
+        few = gone.count() <= BROADCAST_ROWS
         return docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
     spans = about.where("n_hit > 0").select(F.col("id").alias("__id"), F.col("t64").alias("__t64"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__t64"])
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
