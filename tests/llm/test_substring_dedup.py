@@ -4,14 +4,20 @@ from collections import Counter
 
 import pytest
 
-from tracelake.llm.substring_dedup import FingerprintIndex, substring_dedup
+from tracelake.llm.substring_dedup import FingerprintIndex, dedup_batch, substring_dedup
 
 
 def brute(rows, width):
-    words = [(text or "").encode().split() for _, text in rows]
+    return brute_of(rows, rows, width)
+
+
+def brute_of(rows, every, width):
+    """``rows`` judged on ``every``, which holds them."""
+    words = [(text or "").encode().split() for _, text in every]
     seen = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
     out = []
-    for (doc, _), w in zip(rows, words, strict=True):
+    for doc, text in rows:
+        w = (text or "").encode().split()
         gone = {i + j for i in range(len(w) - width + 1) if seen[tuple(w[i : i + width])] > 1 for j in range(width)}
         left = [x for i, x in enumerate(w) if i not in gone]
         out.append((doc, len(w), len(gone), hashlib.sha256(b" ".join(left)).hexdigest()))
@@ -46,14 +52,29 @@ def test_equals_brute_force(spark, seed, width, gram, batches):
 def test_history_finds_what_an_earlier_batch_had(spark):
     long = " ".join(f"w{i}" for i in range(80))
     make = lambda rows: spark.createDataFrame(rows, "doc long, t64 long, text binary")
-    index = FingerprintIndex(spark, buckets=3)
-    index.add(make([(1, 1, long.encode())]))
-    assert index.repeated().count() == 0
-    run = index.add(make([(2, 2, ("new " + long).encode()), (3, 3, b"short")]))
-    assert {r["doc"] for r in index.repeated([run]).collect()} == {2}
-    index.add(make([]))
-    assert {r["doc"] for r in index.repeated().collect()} == {1, 2}
-    index.close()
+    with FingerprintIndex(spark, buckets=3) as index:
+        index.add(make([(1, 1, long.encode())]))
+        assert [x.count() for x in index.repeated()] == [0, 0]
+        run = index.add(make([(2, 2, ("new " + long).encode()), (3, 3, b"short")]))
+        same, mixed = index.repeated(run)
+        assert same.count() > 0 and {r["doc"] for r in mixed.collect()} <= {1, 2}
+        index.add(make([]))
+        assert index.repeated()[0].count() == same.count()
+        names = [*index.runs, index.history]
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_batches_against_kept_history(spark):
+    width = 10
+    rows = texts(5)
+    parts = [[r for i, r in enumerate(rows) if i % 3 == k] for k in range(3)]
+    make = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    with FingerprintIndex(spark, width, 4, buckets=3) as index:
+        for k, part in enumerate(parts):
+            before = [r for p in parts[:k] for r in p]
+            got = dedup_batch(index, make(part), make(before) if before else None)
+            assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == brute_of(part, [*before, *part], width)
+        assert dedup_batch(index, make([]), make(rows)).count() == 0
 
 
 def test_empty_table(spark):
