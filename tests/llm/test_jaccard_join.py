@@ -74,20 +74,22 @@ def test_rounds_do_not_grow_with_unlinked_texts_of_one_boilerplate(spark, monkey
         rows.append((1000 + i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = []
+    monkeypatch.setattr(jaccard_join, "TILED", 1)
     monkeypatch.setattr(jaccard_join, "keep", lambda df, name: kept.append(name) or keep(df, name))
     got = sorted(map(tuple, ngram_jaccard_join(df, shingle=4, percent=85, region_shingles=30_000).collect()))
     assert got == brute(rows) and len({c for _, _, c in got}) > 200
     assert 1 <= kept.count("cells") <= 3
 
 
-def test_tiles_are_exact(spark):
+def test_tiles_are_exact(spark, monkeypatch):
     rows = texts(4)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     tokens = {w: i for i, w in enumerate({tuple(t.encode().lower().split()[i : i + 4]) for _, t in rows for i in range(len((t or "").split()) - 3)})}
     sets = [(d, sorted({tokens[tuple(t.encode().lower().split()[i : i + 4])] for i in range(len(t.split()) - 3)})) for d, t in rows if len((t or "").split()) >= 4]
     table = spark.createDataFrame([(d, len(x), bytearray(np.array(x, np.uint64).tobytes())) for d, x in sets], "doc long, n long, shingles binary")
     hot = table.select(F.lit(1).cast("long").alias("region"), "doc")
-    for rounds in (0, 1, 6):
+    for rounds, tiled in ((0, 1), (1, 1), (6, 1), (1, 9)):
+        monkeypatch.setattr(jaccard_join, "TILED", tiled)
         left, links = split_hot(hot, table, 85, 20_000, rounds)
         found = left.join(table.select("doc", "shingles"), "doc").groupBy("region").applyInArrow(_join_region(85), "a long, b long")
         for x in links:
@@ -97,10 +99,11 @@ def test_tiles_are_exact(spark):
     assert df.count() == len(rows)
 
 
-def test_a_chain_in_order_of_ids_takes_few_rounds(spark):
+@pytest.mark.parametrize("last", [0, 100_000])
+def test_a_chain_in_order_of_ids_takes_few_rounds(spark, last):
     chain = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     began = time.time()
-    got = connected_components(chain)
+    got = connected_components(chain, last_links=last)
     assert got.count() == 3001 and got.agg(F.max("component")).first()[0] == 0 and time.time() - began < 120
 
 

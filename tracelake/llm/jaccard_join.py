@@ -13,7 +13,7 @@ distance is at most 2 r more, which by the triangle inequality brings every two
   must share differences with a partner, and the rarest of theirs are the one-shingle pivots of smaller regions.
 
 Overlapping first regions are joined together, one task each. Those over ``region_shingles`` are split in at most ``ROUNDS`` distributed rounds, whatever the
-number of texts: cells of a region take its pivots (or core) to them, so no task holds more than about ``region_shingles``. Each round of cores at least halves a
+number of texts (little over it, they go to tiles at once): cells of a region take its pivots (or core) to them, so no task holds more than about ``region_shingles``. Each round of cores at least halves a
 region's texts, because a difference is held by half of them at most; what is still too large after the last round is compared by tiles of two cells.
 In a task, regions are split by the same text pivots and end in postings of differences from their core. Pairs that are connected already are passed over: a group of
 n near copies gives n - 1 links.
@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.llm.components import connected_components
-from tracelake.llm.scratch import keep, release
+from tracelake.llm.scratch import keep, release, tidy
 from tracelake.llm.words import WordHashes, chunks, hash_words, sequence_hash, slices, window_hashes
 
 #: At most so many ids are broadcast (8 bytes each, and as much again for the region); above it Spark shuffles.
@@ -51,6 +51,10 @@ PIVOTS = 16
 SMALL = 64
 #: Distributed rounds before tiles.
 ROUNDS = 6
+#: Regions up to so many times the limit are compared by tiles at once, which repeats a text at most ``2 * TILED - 1`` times.
+TILED = 4
+#: How often the first pivots may repeat the texts of a large region.
+REPEATS = 4
 
 
 def _least_shared(n: np.ndarray | int, percent: int):
@@ -239,11 +243,16 @@ def _from_core(percent: int):
     return run
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` of a few numbers each, broadcast if there are not many."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def _smallest_alike(parts: DataFrame) -> DataFrame:
     """Of the regions of ``(region, doc)`` that hold the same texts, one."""
     who = [F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("who2"), F.count("*").alias("m")]
     alike = parts.groupBy("region").agg(*who).where("m > 1").groupBy("m", "who", "who2").agg(F.min("region").alias("region"))
-    return parts.join(alike.select("region"), "region")
+    return parts.join(_few(keep(alike.select("region"), "alike")), "region")
 
 
 def _by_core(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -255,27 +264,33 @@ def _by_core(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     apart = own.groupBy("region", "cell").cogroup(core.groupBy("of", "at")).applyInArrow(_from_core(percent), "region long, doc long, e long, apart array<bigint>")
     apart = keep(apart, "differences")
     centre = apart.groupBy("region").agg(F.min(F.struct("e", "doc")).alias("c")).select("region", F.col("c.e").alias("least"), F.col("c.doc").alias("centre"))
-    rated = apart.join(centre, "region").withColumn("far", F.col("e") + F.col("least") > 0)
+    rated = apart.join(_few(keep(centre, "centres")), "region").withColumn("far", F.col("e") + F.col("least") > 0)
     links = rated.where("NOT far").select(F.col("centre").alias("a"), F.col("doc").alias("b"))
     nearest = rated.where("far").groupBy("region").agg(F.min("e").alias("far_e"))
     other = F.when(F.col("far"), F.col("least")).otherwise(F.col("far_e"))
     need = F.greatest(F.ceil((F.col("e") + other) / unit), F.lit(1))
-    rated = rated.join(nearest, "region").select("region", "doc", "far", "apart", (F.size("apart") - need + 1).alias("take")).where("take > 0")
+    rated = rated.join(_few(keep(nearest, "nearest")), "region").select("region", "doc", "far", "apart", (F.size("apart") - need + 1).alias("take")).where("take > 0")
     each = rated.select("region", "doc", "far", F.explode("apart").alias("token"))
     live = each.groupBy("region", "token").agg(F.count("*").alias("m"), F.max("far").alias("any")).where("m > 1 AND any").drop("any")
+    live = keep(live, "live")
     shared = each.join(live, ["region", "token"]).groupBy("region", "doc").agg(F.sort_array(F.collect_list(F.struct("m", "token"))).alias("shared"))
     # differences that no other text of use has come first in the order, and lead nowhere
     left = (F.col("take") - (F.size("apart") - F.size("shared"))).cast("int")
     first = rated.join(shared, ["region", "doc"]).withColumn("left", left).where("left > 0").select("region", "doc", "far", F.explode(F.slice("shared", F.lit(1), F.col("left"))).alias("x"))
     parts = keep(first.select(F.xxhash64("region", "x.token").alias("region"), "doc", "far"), "parts")
     wanted = parts.groupBy("region").agg(F.max("far").alias("any"), F.count("*").alias("m")).where("any AND m > 1").select("region")
-    return _smallest_alike(parts.select("region", "doc").join(wanted, "region")), links
+    return _smallest_alike(keep(parts.select("region", "doc").join(_few(keep(wanted, "wanted")), "region"), "parts")), links
+
+
+def _weighed(own: DataFrame) -> DataFrame:
+    """``own`` with its region's ``weight``; weights are counted first, so that a hot region is no task of its own."""
+    weight = keep(own.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight")), "weights")
+    return own.join(_few(weight), "region")
 
 
 def _sized(regions: DataFrame, sets: DataFrame) -> DataFrame:
     """``(region, doc, n, weight)``."""
-    own = regions.join(sets.select("doc", "n"), "doc")
-    return own.join(own.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight")), "region")
+    return _weighed(keep(regions.join(sets.select("doc", "n"), "doc"), "sizes"))
 
 
 def _cells(own: DataFrame, sets: DataFrame, limit: int, number: int) -> DataFrame:
@@ -299,7 +314,8 @@ def split_hot(regions: DataFrame, sets: DataFrame, percent: int, limit: int, rou
     for number in range(ROUNDS if rounds is None else rounds):
         own = keep(_sized(regions, sets), "regions")
         done.append(own.where(F.col("weight") <= limit).select("region", "doc"))
-        own = own.where(F.col("weight") > limit)
+        done.append(_tiles(_cells(own.where((F.col("weight") > limit) & (F.col("weight") <= TILED * limit)), sets, limit, -1)))
+        own = own.where(F.col("weight") > TILED * limit)
         if not own.take(1):
             return _union(done), links
         own = keep(_cells(own, sets, limit, number), "cells")
@@ -312,7 +328,7 @@ def split_hot(regions: DataFrame, sets: DataFrame, percent: int, limit: int, rou
         links.append(found.where("linked").select(F.col("pivot").alias("a"), F.col("doc").alias("b")))
         sizes = found.groupBy("region", "pivot").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("part")).groupBy("region").agg(F.max("part").alias("top"), F.sum("part").alias("total"))
         smaller = own.groupBy("region").agg(F.max("weight").alias("weight")).join(sizes, "region").where("top <= 0.7 * weight AND total <= 3 * weight")
-        smaller = keep(smaller.select("region"), "split")
+        smaller = _few(keep(smaller.select("region"), "split"))
         regions = found.join(smaller, "region").select(F.xxhash64("region", "pivot").alias("region"), "doc")
         rest = own.join(smaller, "region", "left_anti")
         if rest.take(1):
@@ -356,17 +372,27 @@ def _held(about: DataFrame, percent: int) -> DataFrame:
     return keep(held.join(sizes, ["token", "n"]).select("doc", "n", "lead", F.xxhash64("token", "cut").alias("part")), "held")
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """``rows`` of a few numbers each, broadcast if there are not many."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
-
-
 def _sets_of(texts: DataFrame, kinds: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``(region, doc, shingles)`` of the wanted ``(region, doc)``, made again from one text of each."""
     one = keep(wanted.join(kinds.select("doc", "row"), "doc"), "wanted")
     return texts.join(_few(one), "row").select("region", "doc", "text").mapInArrow(_sets(shingle), "region long, doc long, shingles binary")
 
 
+def _large_regions(held: DataFrame, large: DataFrame) -> DataFrame:
+    """``(region, doc)``: a large set of overlapping regions taken apart by its pivots, or left whole where that would repeat its texts more than ``REPEATS`` times.
+
+    The pivots of near copies are held by nearly all of them, each by a few less: such texts are better split from their core.
+    """
+    weight = F.sum(F.col("n") + DOC_WEIGHT).alias("part_weight")
+    parts = held.groupBy("part", "lead").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("who2"), weight)
+    parts = parts.groupBy("m", "who", "who2").agg(F.min(F.struct("part", "lead", "part_weight")).alias("x")).select("x.*")
+    rated = keep(parts.join(large.select(F.col("doc").alias("lead"), "region", "weight"), "lead").select("part", "part_weight", "region", "weight"), "rated")
+    apart = rated.groupBy("region").agg((F.sum("part_weight") <= REPEATS * F.max("weight")).alias("apart"))
+    apart = _few(keep(apart.where("apart").select("region"), "apart"))
+    by_pivot = held.join(_few(keep(rated.join(apart, "region").select("part"), "by-pivot")), "part").select(F.col("part").alias("region"), "doc")
+    return by_pivot.unionByName(large.join(apart, "region", "left_anti").select("region", "doc"))
+
+
 def jaccard_links(texts: DataFrame, kinds: DataFrame, about: DataFrame, shingle: int, percent: int, region_shingles: int) -> DataFrame:
     """Links ``(a, b)`` that connect every two distinct sets within reach of each other.
 
@@ -374,17 +400,15 @@ def jaccard_links(texts: DataFrame, kinds: DataFrame, about: DataFrame, shingle:
     """
     held = _held(about, percent)
     near = connected_components(held.select(F.col("doc").alias("a"), F.col("lead").alias("b"))).toDF("doc", "region")
-    own = held.select("doc", "n").distinct().join(near, "doc")
-    weight = own.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight"))
-    own = keep(own.join(weight, "region"), "regions")
+    own = keep(_weighed(keep(held.select("doc", "n").distinct().join(near, "doc"), "near")), "regions")
     small = own.where(F.col("weight") <= region_shingles).select("region", "doc")
     links: list[DataFrame] = []
-    large = own.where(F.col("weight") > region_shingles).select(F.lit(0).cast("long").alias("region"), "doc")
+    large = own.where(F.col("weight") > region_shingles)
     if large.take(1):
-        sets = _sets_of(texts, kinds, large, shingle).dropDuplicates(["doc"])
+        wanted = large.select(F.lit(0).cast("long").alias("region"), "doc")
+        sets = _sets_of(texts, kinds, wanted, shingle).dropDuplicates(["doc"])
         sets = keep(sets.select("doc", (F.length("shingles") / 8).cast("long").alias("n"), "shingles"), "sets")
-        parts = keep(_smallest_alike(held.join(large.select("doc"), "doc").select(F.col("part").alias("region"), "doc")), "parts")
-        left, links = split_hot(parts, sets, percent, region_shingles)
+        left, links = split_hot(_large_regions(held, large), sets, percent, region_shingles)
         links.append(left.join(sets.select("doc", "shingles"), "doc").groupBy("region").applyInArrow(_join_region(percent), "a long, b long"))
     links.append(_sets_of(texts, kinds, small, shingle).groupBy("region").applyInArrow(_join_region(percent), "a long, b long"))
     return _union(links)
@@ -410,6 +434,7 @@ def _distinct(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kinds, about.dropDuplicates(["doc"]) if kinds.where("times > 1").take(1) else about
 
 
+@tidy
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, counted: float | None, region_shingles: int) -> DataFrame:
     """``(id, t64, n, first)`` of each row: how many shingles, and the first ``(id, t64)`` of its component (null without id or shingles)."""
     texts, described = _described(docs, id_col, text_col, shingle, percent, counted)
@@ -418,10 +443,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     links = keep(jaccard_links(texts, kinds, about, shingle, percent, region_shingles), "found")
     release(described)
     labels = connected_components(links)
-    groups = kinds.select("doc", "first").join(labels.toDF("doc", "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    groups = keep(kinds.select("doc", "first").join(labels.toDF("doc", "label"), "doc", "left"), "groups")
     # only components of several sets need their first row looked up
-    least = groups.groupBy("label").agg(F.min("first").alias("least"))
-    groups = groups.join(least, "label").select("doc", "least")
+    least = keep(groups.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least")), "firsts")
+    groups = groups.join(_few(least), "label", "left").select("doc", F.coalesce("least", "first").alias("least"))
     return rows.join(groups, "doc", "left").select("id", "t64", "n", F.when(F.col("id").isNotNull(), F.col("least")).alias("first"))
 
 
@@ -511,8 +536,7 @@ def ngram_jaccard_link_counts(
     kinds, about = _distinct(described)
     held = _held(about, percent)
     near = connected_components(held.select(F.col("doc").alias("a"), F.col("lead").alias("b"))).toDF("doc", "region")
-    own = held.select("doc", "n").distinct().join(near, "doc")
-    own = keep(own.join(own.groupBy("region").agg(F.sum(F.col("n") + DOC_WEIGHT).alias("weight")), "region"), "regions")
+    own = keep(_weighed(keep(held.select("doc", "n").distinct().join(near, "doc"), "near")), "regions")
     small = own.where(F.col("weight") <= region_shingles).select("region", "doc", F.lit(1).alias("tiles"), F.expr("CAST(array() AS array<bigint>)").alias("parts"))
     large = held.join(own.where(F.col("weight") > region_shingles).select("doc"), "doc")
     parts = large.groupBy("doc").agg(F.array_sort(F.collect_set("part")).alias("parts"))

@@ -6,17 +6,23 @@ A job that loses an executor reads such a table again instead of recomputing wha
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder. Only where none is set (tests, one machine) a temporary one is made and set."""
+    """The session's shared folder. Only on one machine (tests), where none is set, a temporary one is made and set; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -27,6 +33,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracelake/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_path = path
@@ -42,3 +50,27 @@ def drop(spark: SparkSession, path: str) -> None:
 def release(kept: DataFrame) -> None:
     """Delete what ``keep`` wrote, once nothing reads it any more."""
     drop(kept.sparkSession, kept._kept_path)
+
+
+def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The job's result is kept, and all that it kept on the way is deleted, whether it ends well or not."""
+
+    @functools.wraps(job)
+    def run(*args, **options) -> DataFrame:
+        made: list[tuple[SparkSession, str]] = []
+        _scopes.append(made)
+        out = None
+        try:
+            out = job(*args, **options)
+            if not hasattr(out, "_kept_path"):
+                out = keep(out, job.__name__.strip("_"))
+        finally:
+            _scopes.pop()
+            for spark, path in made:
+                if out is None or path != out._kept_path:
+                    drop(spark, path)
+        if _scopes:
+            _scopes[-1].append((out.sparkSession, out._kept_path))
+        return out
+
+    return run
