@@ -53,14 +53,14 @@ def pack_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
     """One row a row of ``docs``: id, ``size`` (UTF-8 bytes + 8), ``text_crc32``, ``law`` ("bytes"), ``shard``, ``slot``, ``grown_shard`` (null).
 
     Slots count from 0 without gaps in each shard. Rows of equal text share a shard unless together they exceed a quarter of one, when they are
-    split by id. Null texts are 8 bytes and one group, with a null crc. Rows repeated as a whole get a slot each. An empty table gives
+    split by id. Null texts are 8 bytes and one group, with the crc of no bytes, 0. Rows repeated as a whole get a slot each. An empty table gives
     no rows; other columns are ignored.
     """
     text = F.col(f"`{text_col}`")
     words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
     slim = docs.select(
         F.col(f"`{id_col}`").alias("doc"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), words.alias("tokens"),
-        F.crc32(text.cast("binary")).alias("crc"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("key"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("key"),
     )
     slim = keep(slim, "sizes")
     total = slim.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).first()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.scratch import drop, keep, release, shared_dir
+from tracelake.llm.scratch import drop, keep, release, shared_dir, tidy
 from tracelake.llm.words import WordHashes, chunks, finish, hash_words, slices, window_hashes
 
 #: Documents with something to expand or to cut are broadcast up to so many, and up to so many stretches or cuts in all
@@ -245,6 +245,7 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_PARTS else rows
 
 
+@tidy
 def repeated_spans(index: FingerprintIndex, texts: DataFrame, run: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """``(doc, t64, spans [(s, e)])``: the words ``s`` to ``e`` (excluded) of the run's texts (or all) that lie in repeated windows, in order and apart.
 
