@@ -11,7 +11,7 @@ from tracelake.functions import embedding, scores
 from tracelake.functions import text as tx
 from tracelake.functions.constants import DIMS, SEARCHABLE
 from tracelake.functions.redaction_rules import REDACTION_RULES, STRICT_RULES
-from tracelake.operators import access, aggregates, credit, dedup, ranking, recall, redaction, review, search, terms, turns, units, windows
+from tracelake.operators import access, aggregates, credit, dedup, ranking, recall, redaction, review, search, terms, turns, units, upkeep, windows
 from tracelake.operators.dedup import _cut
 from tracelake.plans.roles import ROLES, role, table, with_roles
 from tracelake.streaming import jobs
@@ -323,6 +323,17 @@ _add("m6_daily_counts", lambda r: jobs.run_to_table(jobs.daily_counts(_stream(r,
 _add("m6_trailing_week", lambda r: jobs.run_to_table(jobs.trailing_week(_stream(r, "orders"), "o_orderdate")),
      "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(d + CAST(i AS INT) AS DATE) AS last_day, CAST(sum(n) AS BIGINT) AS n FROM d, range(7) s(i) GROUP BY 1")
 
+_SESSION_COLUMNS = ("agent_id", "session_id", "experience_id", "turn_count", "created_at")
+_add("m3_session_upserts", lambda r: jobs.run_to_table(jobs.session_upserts(_stream_role(r, "experiences", "orders").where("session_id <> ''").select(*(F.col(c).cast("int").alias(c) if c == "turn_count" else F.col(c) for c in _SESSION_COLUMNS))), "append"),
+     """SELECT agent_id, session_id, experience_id, CAST(turn_count AS INT) AS turn_count FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, session_id ORDER BY turn_count DESC, created_at, experience_id) AS rn FROM experiences WHERE session_id <> '') WHERE rn = 1""")
+_add("m5_online_q", lambda r: _rounded(jobs.run_to_table(jobs.online_q(_stream_role(r, "rewards", "lineitem")), "update"), 9),
+     f"""WITH v AS (SELECT *, 0.2 * confidence AS e FROM rewards), w AS (SELECT *, exp(coalesce(sum(ln(1 - e)) OVER (PARTITION BY experience_id ORDER BY created_at, reward_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rest FROM v)
+     SELECT experience_id, {', '.join(f'CAST(round(CAST(round(sum(e * r_{d} * rest), 9) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS q_{d}' for d in DIMS)}, CAST(count(*) AS INT) AS updates FROM w GROUP BY 1""")
+_add("m7_agent_sessions", lambda r: jobs.run_to_table(jobs.agent_sessions(_stream(r, "events").select(F.col("user_id").alias("agent_id"), F.col("ts").alias("created_at")), gap="6 hours")),
+     """WITH g AS (SELECT user_id AS agent_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM (SELECT * FROM events)),
+     s AS (SELECT *, sum(new) OVER (PARTITION BY agent_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+     SELECT agent_id, min(ts) AS started_at, max(ts) + INTERVAL 6 HOUR AS ended_at, count(*) AS segments FROM s GROUP BY agent_id, k""")
+
 # units, chunks, recall
 
 _add("t8_experience_units", lambda r: units.experience_units(_tool_turns(r)).groupBy("session_id", "status").agg(F.count("*").alias("n")), None)
@@ -353,12 +364,82 @@ _add("r8_spliced_spans", lambda r: redaction.splice(r.conversations.select("conv
      "SELECT conv_id, turn, CASE WHEN length(text) >= 9 THEN text[1:2] || '<NAME>' || text[7:8] || CASE WHEN turn % 2 = 0 THEN '<SECRET>' ELSE '<DATE>' END || text[10:] WHEN length(text) >= 6 THEN text[1:2] || '<NAME>' || text[7:] ELSE text END AS text, turn % 2 = 0 AS is_high FROM conversations")
 
 
+# upkeep
+
+_add("t27_labelling_work", lambda r: upkeep.labelling_work(r.experiences, r.turn_rewards, judge="judge-1"),
+     "SELECT experience_id, created_at, false AS annotated FROM experiences e WHERE NOT EXISTS (SELECT 1 FROM turn_rewards t WHERE t.experience_id = e.experience_id AND judge_model = 'judge-1') ORDER BY created_at DESC, experience_id LIMIT 100")
+_add("t27_all_work", lambda r: upkeep.labelling_work(r.experiences, r.turn_rewards, "all", "judge-1", 500),
+     "SELECT experience_id, created_at, experience_id IN (SELECT experience_id FROM turn_rewards WHERE judge_model = 'judge-1') AS annotated FROM experiences ORDER BY created_at DESC, experience_id LIMIT 500")
+
+
+def _hits(r: _Roles) -> DataFrame:
+    return r.reuse_items.select("event_id", (F.col("event_id") % 7).alias("viewer_id"), F.concat(F.lit("q"), "event_id").alias("query"), "experience_id", (F.col("chunk_id") % 2).alias("chunk_id"), F.col("chunk_id").alias("rank"), F.col("reward").alias("score"), F.col("confidence").alias("similarity"), "item_id")
+
+
+_add("t22_search_log", lambda r: upkeep.hit_logs(_hits(r))[0],
+     "SELECT experience_id, event_id % 7 AS queried_by, concat('q', event_id) AS query_text, chunk_id - 1 AS rank, confidence AS similarity, reward AS score FROM reuse_items")
+_add("t22_reuse_items", lambda r: upkeep.hit_logs(_hits(r))[1],
+     """SELECT event_id, experience_id, CAST(c AS VARCHAR) AS chunk_id, rank, score, similarity FROM (SELECT event_id, experience_id, chunk_id % 2 AS c, chunk_id AS rank, coalesce(reward, 0) AS score, coalesce(confidence, 0) AS similarity,
+     row_number() OVER (PARTITION BY event_id, experience_id, chunk_id % 2 ORDER BY chunk_id DESC, reward DESC, confidence DESC) AS rn FROM reuse_items) WHERE rn = 1""")
+_add("j9b_skill_usage", lambda r: upkeep.skill_usage(upkeep.skill_links(r.skill_uses, r.skills), r.experiences.where(_SHARED), r.skills),
+     f"""WITH d AS (SELECT DISTINCT experience_id, split_part(declared, '@', 1) AS name, CASE WHEN contains(declared, '@') THEN split_part(declared, '@', 2) END AS version FROM skill_uses),
+     w AS (SELECT name, skill_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_at DESC, skill_id DESC) AS rn FROM skills) WHERE rn = 1),
+     l AS (SELECT experience_id, s.skill_id FROM d JOIN skills s ON s.name = d.name AND s.version = d.version UNION SELECT experience_id, w.skill_id FROM d JOIN w ON w.name = d.name WHERE d.version IS NULL)
+     SELECT s.skill_id, s.name, e.experience_id, e.task_type, e.created_at FROM l JOIN skills s ON s.skill_id = l.skill_id AND NOT s.revoked JOIN (SELECT * FROM experiences WHERE {_SHARED}) e ON e.experience_id = l.experience_id""")
+
+
+def _ranked_members(r: _Roles) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    return r.membership.select(F.col("cluster_id").alias("case_id"), F.col("experience_id").alias("chunk_id"), F.row_number().over(W.partitionBy("cluster_id").orderBy("experience_id")).alias("rank"))
+
+
+_add("u4_without_own_chunks", lambda r: upkeep.without_own(_ranked_members(r), r.membership.where("(experience_id + cluster_id) % 3 = 0").select(F.col("cluster_id").alias("case_id"), F.col("experience_id").alias("chunk_id")), 10),
+     """SELECT case_id, chunk_id, CAST(rank AS INT) AS rank FROM (SELECT cluster_id AS case_id, experience_id AS chunk_id, row_number() OVER (PARTITION BY cluster_id ORDER BY experience_id) AS rank
+     FROM membership WHERE (experience_id + cluster_id) % 3 <> 0) WHERE rank <= 10""")
+_add("k4_current_skills", lambda r: review.current_skills(r.skills.withColumn("superseded_by", F.when(F.col("skill_id") % 4 == 0, F.col("skill_id") + 1)), 25).select("skill_id", "structure_score"),
+     "SELECT skill_id, structure_score FROM skills WHERE skill_id % 4 <> 0 ORDER BY structure_score DESC, skill_id LIMIT 25")
+_add("r7_sanitisation_status", lambda r: r.experiences.select("experience_id", redaction.status(F.col("revoked"), F.col("superseded"), (F.col("experience_id") % 3).cast("int"), F.col("sensitivity")).alias("status")),
+     """SELECT experience_id, CASE WHEN revoked THEN 'human_review' WHEN superseded OR (experience_id % 3 > 0 AND NOT (sensitivity = 'low' AND NOT superseded)) THEN 'flagged' ELSE 'done' END AS status FROM experiences""")
+
+
+def _maintained(r: _Roles) -> DataFrame:
+    fresh = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 700)
+    old = F.when(F.col("conv_id") % 4 == 0, "old").otherwise(fresh)
+    chunks = r.conversations.select(
+        F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("chunk_id"), F.col("conv_id").alias("experience_id"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("s"), F.col("turn") % 5)).alias("session_id"), "text", old.alias("search_text"),
+    )
+    build = lambda e: e.select(F.concat(F.lit("c"), "experience_id", F.lit("-new")).alias("chunk_id"), "experience_id", "session_id", F.col("intent_text").alias("text"), F.col("intent_text").alias("search_text"))
+    return upkeep.maintain_index(chunks, r.experiences, build).select("chunk_id", "experience_id", "session_id", F.md5("search_text").alias("search_md5"), "action")
+
+
+_add("t10_index_maintenance", _maintained,
+     r"""WITH live AS (SELECT experience_id, session_id, intent_text FROM experiences WHERE review_status IN ('approved', 'auto_approved', 'edited') AND extraction_status = 'done' AND NOT revoked),
+     c AS (SELECT concat('c', conv_id, '-', turn) AS chunk_id, conv_id AS experience_id, CASE WHEN turn % 3 = 0 THEN '' ELSE concat('s', turn % 5) END AS session_id, text, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 700) AS fresh FROM conversations),
+     o AS (SELECT chunk_id, c.experience_id, CASE WHEN c.session_id = '' THEN l.session_id ELSE c.session_id END AS session_id, md5(fresh) AS search_md5,
+       CASE WHEN c.experience_id % 4 = 0 AND fresh <> 'old' THEN 'refreshed' WHEN c.session_id = '' AND l.session_id <> '' THEN 'provenance' ELSE 'kept' END AS action FROM c JOIN live l ON l.experience_id = c.experience_id)
+     SELECT * FROM o UNION ALL SELECT concat('c', experience_id, '-new'), experience_id, session_id, md5(intent_text), 'built' FROM live WHERE experience_id NOT IN (SELECT conv_id FROM conversations)""")
+_add("t3b_upload_cards", lambda r: upkeep.upload_cards(r.conversations).select("conv_id", F.md5("query").alias("query_md5"), F.md5("intent").alias("intent_md5"), F.size("steps").alias("n_steps"), F.md5(F.array_join("steps", "|")).alias("steps_md5"), F.md5("outcome").alias("outcome_md5")), None)
+_PHRASE_RULES = [("retry after failure", ("error", "retry")), ("index rebuild", ("index", "rebuild"))]
+_add("x11_keyphrases", lambda r: upkeep.keyphrases(terms.keywords(_turn_texts(r), "id", "text"), _turn_texts(r), "id", "text", _PHRASE_RULES, ("error", "index", "token", "model")).select("id", F.array_join("phrases", "|").alias("phrases")), None)
+
+
+def _turn_texts(r: _Roles) -> DataFrame:
+    return r.conversations.select(F.expr("conv_id * 1000 + turn").alias("id"), "text")
+
+
 def _stream(r: _Roles, name: str) -> DataFrame:
     """The table as a stream of files; a file source takes a folder and a pattern."""
     df = r.spark.readStream.schema(getattr(r, name).schema).option("pathGlobFilter", f"{name}*.parquet").parquet(r.sf_dir)
     return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes))
 
 
+def _stream_role(r: _Roles, name: str, of: str) -> DataFrame:
+    """A role over one table, as a stream of that table's files."""
+    rows = r.spark.sql(ROLES[name].replace(f"FROM {of}", f"FROM {{{of}}}"), **{of: _stream(r, of)})
+    return rows.select(*(F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in rows.dtypes))
+
+
 def _similar(r: _Roles) -> DataFrame:
     return search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 60)
 

@@ -1,7 +1,7 @@
 """Structured Streaming versions of the ingest and learning jobs.
 
-Late data: rows older than the watermark are dropped from windows and from duplicate detection; keyed state (sessions, tasks, Q) has no time limit
-and takes rows in the order in which they arrive.
+Late data: rows older than the watermark are dropped from windows and from duplicate detection; keyed state (sessions, tasks, Q) takes
+rows in the order in which they arrive, and is dropped after ``forget_after`` milliseconds without any, if that is given.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelake.functions.constants import ALPHA, DIMS
+from tracelake.operators.dedup import shared_folder
 from tracelake.operators.redaction import redact_tree
 from tracelake.operators.turns import fingerprints, rule_cards, structural_metrics
 from tracelake.sources.sessions import document_turns
@@ -45,7 +46,7 @@ def distinct_uploads(rows: DataFrame, delay: str = "1 day") -> DataFrame:
     return rows.withWatermark("created_at", delay).withColumn("__k", F.when(F.coalesce("fingerprint", F.lit("")) == "", F.col("experience_id").cast("string")).otherwise(F.col("fingerprint"))).dropDuplicatesWithinWatermark(["agent_id", "__k"]).drop("__k")
 
 
-def session_upserts(rows: DataFrame) -> DataFrame:
+def session_upserts(rows: DataFrame, forget_after: int | None = None) -> DataFrame:
     """Of (agent, session) the snapshot with most turns so far, sent again whenever a longer one arrives. Equal or shorter ones are duplicates."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -59,10 +60,10 @@ def session_upserts(rows: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame([out], columns=["agent_id", "session_id", "experience_id", "turn_count"])
 
-    return rows.groupBy("agent_id", "session_id").applyInPandasWithState(run, "agent_id long, session_id string, experience_id long, turn_count int", "turn_count int", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(rows, ("agent_id", "session_id"), run, "agent_id long, session_id string, experience_id long, turn_count int", "turn_count int", "append", forget_after)
 
 
-def closed_tasks(lines: DataFrame) -> DataFrame:
+def closed_tasks(lines: DataFrame, forget_after: int | None = None) -> DataFrame:
     """Tasks of event logs ``(session_id, line, kind)`` as soon as they end; the lines of an open task wait in the state."""
     ends = {"task_complete": "complete", "turn_aborted": "aborted"}
 
@@ -81,10 +82,10 @@ def closed_tasks(lines: DataFrame) -> DataFrame:
         state.update((task, first))
         yield pd.DataFrame(out, columns=["session_id", "task", "status", "first_line", "last_line"])
 
-    return lines.groupBy("session_id").applyInPandasWithState(run, "session_id string, task int, status string, first_line int, last_line int", "task int, first_line int", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(lines, ("session_id",), run, "session_id string, task int, status string, first_line int, last_line int", "task int, first_line int", "append", forget_after)
 
 
-def online_q(rewards: DataFrame) -> DataFrame:
+def online_q(rewards: DataFrame, forget_after: int | None = None) -> DataFrame:
     """Q of each experience after each micro-batch of rewards, which are folded in by time, then reward id."""
     names = [f"q_{d}" for d in DIMS]
 
@@ -99,15 +100,37 @@ def online_q(rewards: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], *q, n)], columns=["experience_id", *names, "updates"])
 
     fields = ", ".join(f"{c} double" for c in names)
-    return rewards.groupBy("experience_id").applyInPandasWithState(run, f"experience_id long, {fields}, updates int", f"{fields}, updates int", "update", GroupStateTimeout.NoTimeout)
+    return _stateful(rewards, ("experience_id",), run, f"experience_id long, {fields}, updates int", f"{fields}, updates int", "update", forget_after)
 
 
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and give its result table. For small results: the memory sink keeps them on the driver."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there now and give its result table: what each micro-batch sends is written to the shared folder by the executors.
+
+    In complete mode a batch replaces the result, else batches add to it.
+    """
+    out = f"{shared_folder(stream.sparkSession)}/tracelake/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/result" if mode == "complete" else f"{out}/result/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/result").select(*stream.columns)
+
+
+def _stateful(rows: DataFrame, keys: tuple[str, ...], run, out: str, state: str, mode: str, forget_after: int | None) -> DataFrame:
+    """``run`` by key; state that saw no row for ``forget_after`` (milliseconds) is dropped, without it state stays for ever."""
+    timeout = GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        yield from run(key, frames, kept)
+        if forget_after is not None:
+            kept.setTimeoutDuration(forget_after)
+
+    return rows.groupBy(*keys).applyInPandasWithState(step, out, state, mode, timeout)
 
 
 def daily_counts(rows: DataFrame, column: str = "created_at", delay: str = "1 day") -> DataFrame:
