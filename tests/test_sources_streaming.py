@@ -138,3 +138,16 @@ def test_all_schemas_parse_and_read(spark, tmp_path):
     for name, ddl in ex.SCHEMAS.items():
         spark.createDataFrame([], ddl).write.parquet(str(tmp_path / name))
         assert ex.read_pool(spark, str(tmp_path), name).columns
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f'{{"n": {i}}}' if i % 7 else "" for i in range(400)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = se.read_lines(spark, str(tmp_path))
+        assert sorted((r["session_id"], r["line"], r["raw"]) for r in got.collect()) == [*(("a", i, x) for i, x in enumerate(lines) if x), ("b", 0, "x")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TURNS = "session_id string, turn int, role string, text string, tool_calls array<struct<id:string,name:string,input:string>>, tool_result_for string, is_error boolean"
@@ -25,9 +26,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines in order: ``(session_id, line, raw)``. Lines of one file are numbered by their place in the file."""
-    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("session_id"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
-    return rows.where(F.trim("raw") != "")
+    """JSON lines in order: ``(session_id, line, raw)``. Lines of one file are numbered by their place in the file, blank ones too.
+
+    Large files are read in splits: lines are numbered within a split, and splits start where the lines before them end, so no file is one task's or one string.
+    """
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1)
+    rows = spark.read.option("lineSep", "\n").text(path).select(name.alias("session_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("i"), F.col("value").alias("raw"))
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("file", "split").agg(F.count("*").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(W.partitionBy("file", "split").orderBy("i")) - 1
+    return rows.withColumn("nth", nth).join(starts, ["file", "split"]).where(F.trim("raw") != "").select("session_id", (F.col("start") + F.col("nth")).cast("int").alias("line"), "raw")
 
 
 def _role(value: object) -> str:
