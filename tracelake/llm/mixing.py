@@ -117,7 +117,10 @@ def mix_sources(
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix_sources`` takes it. Rows of one id and text are taken equally often (the most of any of them)."""
+    """The rows of ``docs``, each as often as ``mix_sources`` takes it. Rows of one id and text are taken equally often (the most of any of them).
+
+    Null ids, sources and texts are taken like others; rows of a source without tokens are not taken. An empty table stays empty. Columns stay as they are, whatever their names.
+    """
     copies = mix_sources(docs, id_col, text_col=text_col, **options).groupBy("id", "t64").agg(F.max("copies").alias("__copies")).where("__copies > 0")
     copies = keep(copies.select(F.col("id").alias("__id"), F.col("t64").alias("__t64"), "__copies"), "copies")
     few = copies.count() <= BROADCAST_ROWS

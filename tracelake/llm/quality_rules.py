@@ -91,7 +91,11 @@ def host_quality(
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", **rules) -> DataFrame:
-    """The rows of ``docs`` that ``host_quality`` keeps, with their own columns. Texts are not written or shuffled if the rejected rows are few."""
+    """The rows of ``docs`` that ``host_quality`` keeps, with their own columns. Texts are not written or shuffled if the rejected rows are few.
+
+    Null and empty texts fail by their length and go; null hosts are one host; null ids are taken like others. Rows that are the same in id, text and host have one verdict. An empty table
+    stays empty. Columns keep their names, whatever they are.
+    """
     key = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__t64"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{host_col}`").alias("__from"))
     rated = host_quality(key, "__text", "__from", ["__id", "__t64", "__from"], **rules)
     gone = keep(rated.where(f"NOT {_Q}.kept").select("__id", "__t64", "__from").distinct(), "rejected")
