@@ -13,7 +13,7 @@ from tracelake.llm.shards import pack_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules, of hosts that pass theirs."""
+    """Documents that pass the base rules, of hosts that pass theirs. Null, empty and short texts go; null sources are one host; equal rows have one verdict; no rows give none."""
     return keep_good(docs)
 
 
@@ -23,17 +23,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark. Null and empty texts stay; equal rows have one verdict; an empty benchmark removes nothing; no rows give none."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least about once, small sources up to twice as often as the largest."""
+    """Every document with words in its source at least about once, small sources up to twice as often as the largest. Null sources are one source; equal rows are taken equally often; no rows give none."""
     return apply_mix(docs, max_epochs=2.0)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row."""
+    """The shard and slot of each row, repeated ones too. Null texts have the size of none; ties go by id and text; no rows give none."""
     return pack_shards(docs, shards=24)
 
 
