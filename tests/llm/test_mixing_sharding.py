@@ -1,13 +1,14 @@
 import math
-import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from tracelake.llm.mixing import apply_mix, mix_sources
-from tracelake.llm.shards import pack_shards
+from tracelake.llm.shards import pack_shards, place
 
 
 def rows(n=600, seed=1):
@@ -105,39 +106,19 @@ def test_shards(spark, cell):
     assert all(len(x) == 1 for t, x in where.items() if t and not t.startswith("copied text"))
 
 
-def brute_packing(data, shards):
-    """The greedy rule in plain loops, for a table of one cell: texts as groups, the large ones first, each to the highest dot product."""
-    measure = lambda t, n: (n * (len((t or "").encode()) + 8), n * len((t or "").encode().split()), n)
-    groups = Counter(t for _, t, _ in data)
-    key = lambda t: "" if t is None else hashlib.md5(t.encode()).hexdigest()
-    total = [sum(measure(t, n)[i] for t, n in groups.items()) for i in range(3)]
-    share = {t: [x / max(1.0, c / shards) for x, c in zip(measure(t, n), total, strict=True)] for t, n in groups.items()}
-    assert max(max(x) for x in share.values()) <= 0.25  # nothing is split
-    large = sorted((t for t in groups if max(share[t]) > 1 / 64), key=lambda t: (-max(share[t]), key(t)))
-    small = sorted((t for t in groups if max(share[t]) <= 1 / 64), key=lambda t: (-max(share[t]), key(t)))
-    left, where = [[1.0] * 3 for _ in range(shards)], {}
-    for part in (large, small):
-        if part is small:
-            need = [sum(share[t][i] for t in small) for i in range(3)]
-            left = [[max(x, 0.0) for x in row] for row in left]
-            left = [[x * need[i] / sum(row[i] for row in left) for i, x in enumerate(row)] for row in left]
-        for t in part:
-            dots = [sum(a * b for a, b in zip(row, share[t], strict=True)) for row in left]
-            fits = [all(a >= b for a, b in zip(row, share[t], strict=True)) for row in left]
-            best = max((i for i in range(shards) if fits[i] or not any(fits)), key=lambda i: dots[i])
-            left[best] = [a - b for a, b in zip(left[best], share[t], strict=True)]
-            where[t] = best
-    return where
-
-
-def test_packing_equals_the_greedy_rule(spark):
+@pytest.mark.parametrize("first", [0, 2])
+def test_placing_equals_the_greedy_rule(first):
+    """Each item to the highest dot product with what is left, of those it fits; in sixty-fourths, so that sums are exact and ties are ties."""
     rng = random.Random(9)
-    make = lambda n: " ".join("w" * rng.randrange(1, 12) for _ in range(n))
-    data = [(i, make(rng.randrange(1, 60)), "s") for i in range(400)] + [(1000 + i, make(500 + 40 * i), "s") for i in range(8)] + [(2000 + i, "copied text of some words", "s") for i in range(6)] + [(3000, None, "s"), (3001, None, "s")]
-    text = {d: t for d, t, _ in data}
-    got = pack_shards(spark.createDataFrame(data, "doc_id long, text string, source string"), shards=5, cell_rows=10_000).collect()
-    want = brute_packing(data, 5)
-    assert {(text[r["doc_id"]], r["shard"]) for r in got} == set(want.items())
+    items = [[Fraction(rng.randrange(0, 9), 64) for _ in range(3)] for _ in range(120)]
+    shards = 5
+    left, want = [[Fraction(1)] * 3 for _ in range(shards)], []
+    for item in items:
+        fits = [i for i in range(shards) if all(a >= b for a, b in zip(left[i], item, strict=True))] or range(shards)
+        best = max(sorted(fits, key=lambda i: (i - first) % shards), key=lambda i: sum(a * b for a, b in zip(left[i], item, strict=True)))
+        left[best] = [a - b for a, b in zip(left[best], item, strict=True)]
+        want.append(best)
+    assert place(np.array([[float(x) for x in item] for item in items]), np.ones((shards, 3)), first).tolist() == want
 
 
 def test_ties_and_long_texts_have_shards(spark):
