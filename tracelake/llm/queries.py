@@ -17,6 +17,7 @@ from tracelake.llm.quality_rules import host_quality
 from tracelake.llm.shards import pack_shards
 from tracelake.llm.substring_dedup import substring_dedup
 from tracelake.llm.token_counts import count_tokens
+from tracelake.llm.token_files import token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = rf"""
@@ -152,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op12_token_files": op12_token_files,
 }
 
 ORACLES: dict[str, str] = {
