@@ -29,13 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in parts by a column if one is named, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracelake/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append((spark, path))
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_path = path
     return kept
