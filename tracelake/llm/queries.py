@@ -13,6 +13,7 @@ from tracelake.llm.language_id import identify_languages
 from tracelake.llm.lexical_search import ranked_search
 from tracelake.llm.licenses import scan_licenses
 from tracelake.llm.mixing import mix_sources
+from tracelake.llm.phrase_mining import mine_phrases
 from tracelake.llm.pii import KINDS, find_personal_data
 from tracelake.llm.quality_rules import host_quality
 from tracelake.llm.shards import pack_shards
@@ -78,6 +79,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"), least=30, most=2000, covered=80).drop("path_words")
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"))
 
@@ -150,6 +155,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines - n_kinds AS n_dup_lines,
 FROM h LEFT JOIN rates ON h.source IS NOT DISTINCT FROM rates.source
 """
 
+OP11_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+v AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS v FROM p),
+f AS (
+  SELECT lang, k, array_to_string(v[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM v, unnest([1, 2, 3, 4]) t(k), unnest(range(1, len(v) - k + 2)) u(i) WHERE len(v) >= k GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 30),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longest FROM c, unnest([2, 3]) t(m), unnest(range(1, k - m + 2)) u(i) WHERE m < k GROUP BY ALL),
+left_over AS (SELECT c.* FROM c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase WHERE longest IS NULL OR 100 * CAST(longest AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, s, x.a AS l, y.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (x.a + y.a) AS score
+  FROM left_over c, unnest(range(1, k)) u(s) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[:s], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[s + 1:], ' ')),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, s) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 OP13_SQL = rf"""
 WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
@@ -175,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_quality_rules": op8_host_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_token_files": op12_token_files,
     "op13_ranked_search": op13_ranked_search,
 }
@@ -184,5 +208,6 @@ ORACLES: dict[str, str] = {
     "op3_benchmark_decontamination": OP3_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op8_host_quality_rules": OP8_SQL,
+    "op11_phrase_mining": OP11_SQL,
     "op13_ranked_search": OP13_SQL,
 }
