@@ -35,7 +35,7 @@ TOKENIZER = "byte_bpe_50k.json"
 MAGIC, END = b"S8TOKENS", "\nS8END.\n"
 BLOCK, FRAME_IDS, FRAMES_A_FILE = 1024, 65_536, 32
 #: Bytes of text encoded at a time, unless one text has more; bytes of remembered stretches and their ids.
-CHUNK_BYTES, _KEPT_BYTES = 4_000_000, 100_000_000
+CHUNK_BYTES, _KEPT_BYTES = 4_000_000, 80_000_000
 _HEADER = 8
 _READ = "doc_id long, part long, part_start long, n_tokens long, ids binary"
 
@@ -219,7 +219,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     order = [F.col("doc_id"), F.col("h"), F.col("row")]  # the last splits rows that are the same in all
     dealt = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
     packed = dealt.select("doc_id", "text").mapInArrow(_packer(shared, end_id), "frame binary")
-    packed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FRAMES_A_FILE).text(path)
+    try:
+        packed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FRAMES_A_FILE).text(path)
+    finally:
+        shared.destroy()  # or workers hold what they have learned as long as they live
 
 
 def _reader(with_ids: bool):
