@@ -8,7 +8,7 @@ from tracelake.llm.decontaminate import decontaminate
 from tracelake.llm.jaccard_join import keep_first
 from tracelake.llm.mixing import apply_mix
 from tracelake.llm.quality_rules import keep_good
-from tracelake.llm.scratch import keep
+from tracelake.llm.scratch import release, tidy
 from tracelake.llm.shards import pack_shards
 
 
@@ -45,6 +45,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    last = None
+    for _, stage in STAGES:
+        docs = tidy(stage)(spark, docs, sf_dir)  # kept, and what the stage kept on its way is deleted
+        if last is not None:
+            release(last)
+        last = docs
     return docs
