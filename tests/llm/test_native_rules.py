@@ -56,6 +56,16 @@ def test_hits_equal_brute_force(spark, monkeypatch, size, most):
     assert kept == {r[0] for r in brute_hits(docs, items) if not r[4]}
 
 
+def test_windows_of_items_without_an_id_hit_but_are_not_listed(spark):
+    rng = random.Random(1)
+    long = " ".join(f"n{rng.randrange(10**6)}" for _ in range(20))
+    items = [(None, long), (1, "one two"), (None, "one two"), *((i, "shared by many") for i in range(50, 90))]
+    docs = [(1, long), (2, "x one two y"), (3, "is shared by many"), (4, "clean"), (4, "clean")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["id"], r["n_hit"], r["items"]) for r in dec.contamination(d, b).collect())
+    assert got == [(1, 20, []), (2, 2, ["1"]), (3, 3, [str(i) for i in range(50, 90)]), (4, 0, []), (4, 0, [])]
+
+
 def test_spans_are_cut(spark):
     b = spark.createDataFrame([(1, "a b c d e f g h i j k l m"), (2, "zz")], "item_id long, text string")
     d = spark.createDataFrame([(1, "- one, A b c d e f g h i j k l M. two zz! three"), (2, None), (3, "clean"), (4, "")], "doc_id long, text string")

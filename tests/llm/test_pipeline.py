@@ -1,9 +1,13 @@
+import os
 import random
 from collections import Counter
 
 import corpus_pipeline
 from tests.llm.test_jaccard_join import brute as brute_components
 from tests.llm.test_native_rules import brute_features, brute_hits
+from tracelake.llm.decontaminate import decontaminate
+from tracelake.llm.quality_rules import host_quality
+from tracelake.llm.scratch import keep, shared_dir
 
 
 def corpus():
@@ -54,3 +58,26 @@ def test_run_of_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_and_what_is_left(spark, tmp_path):
+    rows, items = corpus()
+    clash = ["__id", "__t64", "__nth", "__spans", "__copies", "__from", "__text", "__rate", "__host", "__quality", "id", "t64", "of", "at", "window", "rows", "rank", "copies"]
+    plain = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = plain.selectExpr("*", *(f"CAST(doc_id AS STRING) AS `{c}`" for c in clash))
+    keep(plain, "folder")
+    found = []
+    for name, docs in (("plain", plain), ("odd", odd)):
+        folder = tmp_path / name
+        docs.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        before = set(os.listdir(f"{shared_dir(spark).removeprefix('file:')}/tracelake"))
+        found.append(Counter(tuple(r) for r in corpus_pipeline.run(spark, str(folder)).select("doc_id", "size", "text_crc32").collect()))
+        assert len(set(os.listdir(f"{shared_dir(spark).removeprefix('file:')}/tracelake")) - before) == 1  # the result
+    assert found[0] == found[1]
+    whole = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, whole, str(tmp_path / "odd")).columns == odd.columns
+    cut = decontaminate(whole, spark.createDataFrame(items, "item_id long, text string"), remove="spans")
+    assert cut.columns == odd.columns and cut.count() == len(rows)
+    assert host_quality(whole).drop("__quality").columns == [c for c in odd.columns if c != "__quality"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.scratch import keep
+from tracelake.llm.scratch import keep, tidy, unused
 
 #: A bitmap has so many bits for each entry, but no more than so many bytes: beyond some million entries more places are tried, with the same result.
 BITS_EACH = 16
@@ -28,12 +28,12 @@ def _words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
-    """``(key, m, anchor, items)`` for each distinct window: its words joined by spaces, how many, its anchor, its item ids."""
-    items = benchmark.where(F.col(f"`{item_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("string").alias("item"), _words(F.col(f"`{text_col}`")).alias("w"))
+    """``(key, m, anchor, item)`` for each distinct window of each item: its words joined by spaces, how many, its anchor, and the item's id, or null."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), _words(F.col(f"`{text_col}`")).alias("w"))
     items = items.withColumn("m", F.least(F.size("w"), F.lit(width))).where("m > 0")
     windows = items.select("item", "m", F.explode(F.expr("transform(sequence(1, size(w) - m + 1), i -> slice(w, i, m))")).alias("w"))
     anchor = F.expr("array_min(transform(w, x -> named_struct('n', -length(x), 'x', x))).x")
-    return windows.groupBy(F.array_join("w", " ").alias("key"), "m", anchor.alias("anchor")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return windows.select(F.array_join("w", " ").alias("key"), "m", anchor.alias("anchor"), "item").distinct()
 
 
 def bitmap(hashes: DataFrame, count: int) -> bytes:
@@ -65,7 +65,8 @@ def _with_width(starts: Column, m: int) -> Column:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, width: int) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``t64`` (hash of the text), ``n_words``, ``spans`` [(at, m)], ``items``."""
-    windows = keep(benchmark_windows(benchmark, item_col, item_text_col, width), "windows")
+    of_items = keep(benchmark_windows(benchmark, item_col, item_text_col, width), "windows-of-items")
+    windows = keep(of_items.select("key", "m", "anchor").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
     about = windows.groupBy("m").agg(F.count("*").alias("n"), F.count_distinct("anchor").alias("anchors"), F.min(F.length("anchor")).alias("shortest")).collect()  # at most `width` rows
     count = sum(x["n"] for x in about)
     df = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("t64"), _words(F.col(f"`{text_col}`")).alias("w"))
@@ -81,18 +82,22 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     tried = F.expr("transform(places, p -> named_struct('at', p.at, 'm', p.m, 'key', array_join(slice(w, p.at + 1, p.m), ' ')))")
     df = df.select("id", "t64", F.size("w").cast("long").alias("n_words"), F.filter(tried, lambda p: in_bitmap(known, F.xxhash64(p["key"], p["m"]))).alias("tried"))
     df = df.select("id", "t64", "n_words", F.posexplode_outer("tried").alias("nth", "p"))
-    table = windows.select(F.col("key").alias("k"), F.col("m").alias("km"), F.col("items").alias("of"))
+    table = windows.select(F.col("key").alias("k"), F.col("m").alias("km"), "window")
     df = df.join(F.broadcast(table) if count <= BROADCAST_WINDOWS else table, (F.col("p.key") == F.col("k")) & (F.col("p.m") == F.col("km")), "left")
-    df = df.where("k IS NOT NULL OR nth IS NULL OR nth = 0")
+    df = keep(df.where("k IS NOT NULL OR nth IS NULL OR nth = 0").select("id", "t64", "n_words", "nth", "p.at", "p.m", "window"), "hits")
     found = df.groupBy("id", "t64", "n_words").agg(
         F.sum((F.col("nth").isNull() | (F.col("nth") == 0)).cast("int")).alias("rows"),
-        F.sort_array(F.collect_set(F.when(F.col("k").isNotNull(), F.struct("p.at", "p.m")))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("of")))).alias("items"),
+        F.sort_array(F.collect_set(F.when(F.col("window").isNotNull(), F.struct("at", "m")))).alias("spans"),
     )
+    # a window may be of many items: their ids meet the documents that it hits only now
+    listed = windows.join(of_items.where("item IS NOT NULL"), ["key", "m"]).select("window", "item")
+    hits = df.where("window IS NOT NULL").select("id", "t64", "window").distinct().join(listed, "window").groupBy(F.col("id").alias("of"), F.col("t64").alias("at")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = found.join(hits, F.col("id").eqNullSafe(F.col("of")) & (F.col("t64") == F.col("at")), "left").select("id", "t64", "n_words", "rows", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     # rows that are the same in id and text were counted together
     return found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("row", "rows")
 
 
+@tidy
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, share: int = 20
 ) -> DataFrame:
@@ -100,7 +105,7 @@ def contamination(
 
     Words are runs of a-z (A-Z lower-cased), 0-9 and all beyond ASCII. A window is ``width`` consecutive words of an item, or the whole
     item if it has fewer. Contaminated: some word hit, and ``share`` * n_hit >= n_words. Null and empty texts have no words and no hits;
-    null and wordless items have no windows; items without an id are left out; an empty benchmark hits nothing; an empty table gives no rows.
+    null and wordless items have no windows; windows of items without an id hit, but are not in ``items``; an empty benchmark hits nothing; an empty table gives no rows.
     Repeated rows give one row each; other columns are ignored.
     """
     found = find_hits(docs, benchmark, id_col, text_col, item_col, item_text_col, width)
@@ -116,17 +121,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     id; rows that are the same in id and text have one verdict; an empty benchmark removes nothing, and an empty table stays empty.
     """
     about = contamination(docs, benchmark, id_col, text_col, **options)
-    key = [F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), F.xxhash64(F.col(f"`{text_col}`")) == F.col("__t64")]
+    name, hash_, places = unused(docs, "__id", "__t64", "__spans")
+    key = [F.col(f"`{id_col}`").eqNullSafe(F.col(name)), F.xxhash64(F.col(f"`{text_col}`")) == F.col(hash_)]
     if remove == "documents":
-        gone = about.where("contaminated").select(F.col("id").alias("__id"), F.col("t64").alias("__t64")).distinct()
+        gone = about.where("contaminated").select(F.col("id").alias(name), F.col("t64").alias(hash_)).distinct()
         gone = keep(gone, "contaminated")
         few = gone.count() <= BROADCAST_ROWS
         return docs.join(F.broadcast(gone) if few else gone, key, "left_anti")
-    spans = about.where("n_hit > 0").select(F.col("id").alias("__id"), F.col("t64").alias("__t64"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__t64"])
+    spans = about.where("n_hit > 0").select(F.col("id").alias(name), F.col("t64").alias(hash_), F.col("spans").alias(places)).dropDuplicates([name, hash_])
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     lead = F.regexp_extract(F.col(f"`{text_col}`"), r"\A" + _BREAK.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"), 0)
     pieces = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(word + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    left = F.filter(pieces, lambda x, i: ~F.exists("__spans", lambda s: (s["at"] <= i) & (i < s["at"] + s["m"])))
+    left = F.filter(pieces, lambda x, i: ~F.exists(places, lambda s: (s["at"] <= i) & (i < s["at"] + s["m"])))
     out = docs.join(spans, key, "left")
-    cut = F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`")).otherwise(F.concat(lead, F.array_join(left, "")))
+    cut = F.when(F.col(places).isNull(), F.col(f"`{text_col}`")).otherwise(F.concat(lead, F.array_join(left, "")))
     return out.select(*(cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.llm.components import connected_components
-from tracelake.llm.scratch import keep, release, tidy
+from tracelake.llm.scratch import keep, release, tidy, unused
 from tracelake.llm.words import WordHashes, chunks, hash_words, sequence_hash, slices, window_hashes
 
 #: At most so many ids are broadcast (8 bytes each, and as much again for the region); above it Spark shuffles.
@@ -476,15 +476,16 @@ def keep_first(
     """
     found = keep(_components(docs, id_col, text_col, shingle, percent, counted, region_shingles), "components")
     found = found.where("first IS NOT NULL")
-    gone = found.where("first.id != id OR first.t64 != t64").select(F.col("id").alias("__id"), F.col("t64").alias("__t64")).distinct()
-    several = keep(found.groupBy("id", "t64").count().where("count > 1").select(F.col("id").alias("__id"), F.col("t64").alias("__t64")), "several")
-    same = (F.col(f"`{id_col}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__t64"))
+    name, hash_, rank = unused(docs, "__id", "__t64", "__nth")
+    gone = found.where("first.id != id OR first.t64 != t64").select(F.col("id").alias(name), F.col("t64").alias(hash_)).distinct()
+    several = keep(found.groupBy("id", "t64").count().where("count > 1").select(F.col("id").alias(name), F.col("t64").alias(hash_)), "several")
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(name)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(hash_))
     left = docs.join(_few(keep(gone, "gone")), same, "left_anti")
     if not several.take(1):
         return left
     columns = [F.col(f"`{c}`") for c in docs.columns]
     nth = F.row_number().over(W.partitionBy(columns[docs.columns.index(id_col)], F.xxhash64(F.col(f"`{text_col}`"))).orderBy(*columns))
-    one = left.join(_few(several), same, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    one = left.join(_few(several), same, "left_semi").withColumn(rank, nth).where(F.col(rank) == 1).drop(rank)
     return left.join(_few(several), same, "left_anti").unionByName(one)
 
 

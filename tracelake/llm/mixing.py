@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.scratch import keep
+from tracelake.llm.scratch import keep, unused
 
 #: Rows of the source table or of the copies that are broadcast at most; above it Spark shuffles.
 BROADCAST_SOURCES = 100_000
@@ -121,8 +121,11 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     Null ids, sources and texts are taken like others; rows of a source without tokens are not taken. An empty table stays empty. Columns stay as they are, whatever their names.
     """
-    copies = mix_sources(docs, id_col, text_col=text_col, **options).groupBy("id", "t64").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    copies = keep(copies.select(F.col("id").alias("__id"), F.col("t64").alias("__t64"), "__copies"), "copies")
+    copies = mix_sources(docs, id_col, text_col=text_col, **options).groupBy("id", "t64").agg(F.max("copies").alias("copies")).where("copies != 1")
+    name, hash_, times, nth = unused(docs, "__id", "__t64", "__copies", "__nth")
+    copies = keep(copies.toDF(name, hash_, times), "copies")  # most rows are taken once: they are not in it
     few = copies.count() <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(copies) if few else copies, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__t64")))
-    return out.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(hash_))
+    out = docs.join(F.broadcast(copies) if few else copies, same, "left")
+    each = F.array_repeat(F.lit(1), F.coalesce(F.col(times), F.lit(1)).cast("int"))
+    return out.withColumn(nth, F.explode(each)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.scratch import keep
+from tracelake.llm.scratch import keep, unused
 
 #: Host verdicts are broadcast up to so many hosts (a name, two counts and a rate each); above it the join shuffles.
 BROADCAST_HOSTS = 100_000
@@ -67,9 +67,10 @@ def host_quality(
     ``(failed + k m) / (rows + k)``, with the mean ``m`` and strength ``k`` of a beta distribution fitted by moments to all hosts' rates. A
     document stays if it has not failed the base rules and its host's rate is at most ``max_rate``.
 
-    Null and empty texts have no words and fail. Null hosts are one host. Repeated rows count each. Empty table: no rows.
+    Null and empty texts have no words and fail. Null hosts are one host. Repeated rows count each. Empty table: no rows. A column of
+    ``docs`` named ``__quality`` is left out; all other names are free.
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in docs.columns if c.lower() != _Q] if carry is None else carry
     df = text_features(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carry, host_col, text_col]))), F.col(f"`{text_col}`"))
     q = lambda c: F.col(f"{_Q}.{c}")
     base = (q("n_words") < 50) | (100 * q("n_repeat_words") > 50 * q("n_words"))
@@ -78,16 +79,17 @@ def host_quality(
     df = df.withColumn(_Q, F.struct(f"{_Q}.*", base.alias("base_failed"), failed.alias("failed"), F.col(f"`{host_col}`").alias("host")))
     df = keep(df.select(*(F.col(f"`{c}`") for c in carry), _Q), "quality")
 
-    hosts = df.groupBy(F.col(f"{_Q}.host").alias("__host")).agg(F.count("*").alias("__n"), F.sum(q("failed").cast("long")).alias("__f"))
+    name, rated = unused(df, "__host", "__rate")
+    hosts = df.groupBy(F.col(f"{_Q}.host").alias(name)).agg(F.count("*").alias("__n"), F.sum(q("failed").cast("long")).alias("__f"))
     rate = F.col("__f") / F.col("__n")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.count("*").alias("hosts")).first()  # one row
     m, v = prior["m"] or 0.0, prior["v"] or 0.0
     k = max(1.0, min(1e6, m * (1 - m) / v - 1)) if v > 0 else 1e6
     few = prior["hosts"] <= BROADCAST_HOSTS
-    hosts = hosts.select("__host", ((F.col("__f") + k * m) / (F.col("__n") + k)).alias("__rate"))
-    out = df.join(F.broadcast(hosts) if few else hosts, q("host").eqNullSafe(F.col("__host")), "left")
-    kept = ~q("base_failed") & (F.col("__rate") <= max_rate)
-    return out.withColumn(_Q, F.struct(f"{_Q}.*", F.col("__rate").alias("host_rate"), kept.alias("kept"))).drop("__host", "__rate")
+    hosts = hosts.select(name, ((F.col("__f") + k * m) / (F.col("__n") + k)).alias(rated))
+    out = df.join(F.broadcast(hosts) if few else hosts, q("host").eqNullSafe(F.col(name)), "left")
+    kept = ~q("base_failed") & (F.col(rated) <= max_rate)
+    return out.withColumn(_Q, F.struct(f"{_Q}.*", F.col(rated).alias("host_rate"), kept.alias("kept"))).drop(name, rated)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", **rules) -> DataFrame:
@@ -100,5 +102,6 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     rated = host_quality(key, "__text", "__from", ["__id", "__t64", "__from"], **rules)
     gone = keep(rated.where(f"NOT {_Q}.kept").select("__id", "__t64", "__from").distinct(), "rejected")
     few = gone.count() <= BROADCAST_ROWS
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__t64")) & F.col(f"`{host_col}`").eqNullSafe(F.col("__from"))
+    gone = gone.toDF(*(names := unused(docs, "__id", "__t64", "__from")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(names[1])) & F.col(f"`{host_col}`").eqNullSafe(F.col(names[2]))
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

@@ -109,13 +109,13 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y)
 
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(v), 13) AS m, array_to_string(v[i:i + least(len(v), 13) - 1], ' ') AS k FROM b, unnest(range(1, len(v) - least(len(v), 13) + 2)) u(i) WHERE len(v) > 0),
 ms AS (SELECT DISTINCT m FROM bw),
 dw AS (SELECT doc_id, m, i, array_to_string(v[i:i + m - 1], ' ') AS k FROM d, ms, unnest(range(1, len(v) - m + 2)) u(i) WHERE len(v) >= m),
 h AS (SELECT doc_id, i, dw.m, item FROM dw JOIN bw ON bw.k = dw.k AND bw.m = dw.m),
 p AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, m)) u(j) GROUP BY doc_id),
-its AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM h GROUP BY doc_id)
+its AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item) FILTER (WHERE item IS NOT NULL)), ',') AS ids FROM h GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(v) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(v) AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id

@@ -11,10 +11,12 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[tuple[SparkSession, str]]] = []
+#: What the operator that runs in this thread or context has kept so far.
+_scope: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +35,25 @@ def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder, in parts by a column if one is named, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracelake/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append((spark, path))
+    if (made := _scope.get()) is not None:
+        made.append((spark, path))
     df.write.parquet(path, partitionBy=by)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_path = path
     return kept
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until ``df`` has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared folder, through Hadoop's file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,19 +71,19 @@ def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     @functools.wraps(job)
     def run(*args, **options) -> DataFrame:
         made: list[tuple[SparkSession, str]] = []
-        _scopes.append(made)
+        outer = _scope.set(made)
         out = None
         try:
             out = job(*args, **options)
             if not hasattr(out, "_kept_path"):
                 out = keep(out, job.__name__.strip("_"))
         finally:
-            _scopes.pop()
+            _scope.reset(outer)
             for spark, path in made:
                 if out is None or path != out._kept_path:
                     drop(spark, path)
-        if _scopes:
-            _scopes[-1].append((out.sparkSession, out._kept_path))
+        if (around := _scope.get()) is not None:
+            around.append((out.sparkSession, out._kept_path))
         return out
 
     return run
