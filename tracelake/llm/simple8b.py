@@ -15,43 +15,55 @@ ESCAPE = 1
 _COUNT = np.array([n for n, _ in SELECTORS], np.int64)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _TOP = np.uint64(60)
+_WALL = 255
 _BITS = np.array([i.bit_length() for i in range(1 << 17)], np.uint8)
 
 
 def pack(values: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the first word and the escapes before each block of ``block`` numbers (two columns), and the escapes."""
-    values = values.astype(np.uint64)
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-    bits = _BITS[values] if values.max() < len(_BITS) else np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
-    room = np.minimum(n, (np.arange(n) // block + 1) * block) - np.arange(n)
-    best = np.full(n, ESCAPE, np.uint8)
-    widest, least = int(bits.max()), int(bits.min())
+    values = values.astype(np.uint64)
+    blocks = -(-n // block)
+    bits = np.full((blocks, block + 1), _WALL, np.uint8)  # a wall after each block, which no word crosses
+    wide = np.full(blocks * block, _WALL, np.uint8)
+    wide[:n] = _BITS[values.astype(np.int32)] if values.max() < len(_BITS) else np.searchsorted(_POWERS, values, side="right")
+    bits[:, :-1] = wide.reshape(blocks, block)
+    bits = bits.reshape(-1)
+    least = int(wide.min())
+    best = np.full(len(bits), ESCAPE, np.uint8)
     most = {1: bits}  # the largest of the next 1, 2, 4, .. numbers
-    while len(most[p := max(most)]) > p and p < 128:
-        most[2 * p] = np.maximum(most[p][:-p], most[p][p:])
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, width = SELECTORS[s]
-        if s == ESCAPE or width < least or count > n:
+        if s == ESCAPE or width < least or count > len(bits):
             continue
-        p = 1 << (count.bit_length() - 1)
-        ahead = np.maximum(most[p][: n - count + 1], most[p][count - p : n - p + 1]) if width < widest else bits[: n - count + 1]
-        best[: n - count + 1][(ahead <= width) & (room[: n - count + 1] >= count)] = s
-    step, starts, i = _COUNT[best].tolist(), [], 0  # a word begins where the one before it ends
-    while i < n:
+        p = 1
+        while 2 * p <= count:
+            if 2 * p not in most:
+                most[2 * p] = np.maximum(most[p][:-p], most[p][p:])
+            p *= 2
+        end = len(bits) - count + 1
+        ahead = np.maximum(most[p][:end], most[p][count - p : count - p + end])
+        np.copyto(best[:end], np.uint8(s), where=ahead <= width)
+    step, starts, i, end = _COUNT.astype(np.uint8)[best].tobytes(), [], 0, len(bits) - 1 - (blocks * block - n)
+    while i < end:  # a word begins where the one before it ends; a wall is a word that is left out
         starts.append(i)
         i += step[i]
     first = np.array(starts, np.int64)
+    first = first[first % (block + 1) < block]
     chosen = best[first].astype(np.int64)
+    first -= first // (block + 1)
     words = chosen.astype(np.uint64) << _TOP
     for s in np.unique(chosen):
         count, width = SELECTORS[s]
         if s == ESCAPE or not width:
             continue
         rows = np.flatnonzero(chosen == s)
-        own = values[first[rows][:, None] + np.arange(count)] << (np.arange(count) * width).astype(np.uint64)
-        words[rows] |= np.bitwise_or.reduce(own, axis=1)
+        at, packed = first[rows], words[rows]
+        for k in range(count):
+            packed |= values[at + k] << np.uint64(k * width)
+        words[rows] = packed
     escaped = chosen == ESCAPE
     of_block = np.searchsorted(first, np.arange(0, n, block))
     before = np.concatenate([[0], np.cumsum(escaped)])[of_block]

@@ -35,7 +35,7 @@ TOKENIZER = "byte_bpe_50k.json"
 MAGIC, END = b"S8TOKENS", "\nS8END.\n"
 BLOCK, FRAME_IDS, FRAMES_A_FILE = 1024, 65_536, 32
 #: Bytes of text encoded at a time, unless one text has more; bytes of remembered stretches and their ids.
-CHUNK_BYTES, _KEPT_BYTES = 4_000_000, 80_000_000
+CHUNK_BYTES, _KEPT_BYTES = 4_000_000, 130_000_000
 _HEADER = 8
 _READ = "doc_id long, part long, part_start long, n_tokens long, ids binary"
 
