@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tracelake.llm.scratch import keep, release, tidy
 from tracelake.llm.words import chunks
 
-#: Frequent words that tasks hold as a dictionary; words that a task counts before it hands counts on.
-DICTIONARY, _COUNTED = 500_000, 200_000
+#: Frequent words that tasks hold as a dictionary; words and edges that a task counts before it hands counts on.
+DICTIONARY, _COUNTED, _EDGES = 500_000, 200_000, 1_000_000
 _SALTS = 32
 _POINTS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(_POINTS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * len(_POINTS) + b" abcdefghijklmnopqrstuvwxyz")
@@ -85,7 +85,14 @@ class _Hashes(dict):
 
 
 def _edges(shared):
-    """Edges and ends of pieces of each text, as four words, 0 for none."""
+    """Edges and ends of pieces of each text, as four words, 0 for none, with their counts among every ``_EDGES`` or so: copies of a passage become one row there."""
+
+    def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts, axis=1)
+        rows = rows[:, np.lexsort(rows)]
+        first = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)) if rows.shape[1] else np.zeros(0, bool)
+        at = np.flatnonzero(first)
+        return pa.RecordBatch.from_arrays([*(pa.array(w) for w in rows[:, at]), pa.array(np.diff(np.append(at, rows.shape[1])))], names=[*_W, "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict] = {}
@@ -94,6 +101,7 @@ def _edges(shared):
             known = {lang: {b"": -1} for lang in set(langs)}
             for i, (lang, word) in enumerate(zip(langs, words, strict=True)):
                 known[lang][word] = i + 1
+        held, n = [np.zeros((4, 0), np.int64)], 0
         for batch in batches:
             for texts in _texts(batch):
                 parts = [np.zeros(3, np.int64)]
@@ -112,8 +120,12 @@ def _edges(shared):
                 here = np.flatnonzero((a > 0) & (b > 0) & ((d > 0) & (c > 0) | (d == 0) & (c > 0)))  # edges, and ends of three words
                 two = np.flatnonzero((a == 0) & (b > 0) & (c > 0) & (d == 0))  # pieces of two words
                 none = np.zeros(len(two), np.int64)
-                columns = [np.concatenate(p) for p in ((a[here], b[two]), (b[here], c[two]), (c[here], none), (d[here], none))]
-                yield pa.RecordBatch.from_arrays([pa.array(p) for p in columns], names=list(_W))
+                held.append(np.stack([np.concatenate(p) for p in ((a[here], b[two]), (b[here], c[two]), (c[here], none), (d[here], none))]))
+                n += held[-1].shape[1]
+                if n >= _EDGES:
+                    yield out(held)
+                    held, n = [np.zeros((4, 0), np.int64)], 0
+        yield out(held)
 
     return run
 
@@ -130,6 +142,28 @@ def _parts(*spans: tuple[int, int]):
     return F.array(*(F.struct(*((F.col(_W[first + i]) if i < n else zero).alias(_W[i]) for i in range(4))) for first, n in spans))
 
 
+def _frequent_runs(edges: DataFrame, least: int) -> DataFrame:
+    """Runs of two to four words that occur ``least`` times: ``w1``..``w4`` (0 for none) and ``a``.
+
+    Edges meet at the node that they leave, so their own counts and the node's flow (f of three words) need one shuffle; of a node only its flow goes on, to the two
+    words that it begins with, and of a piece's end its last two words.
+    """
+    node = Window.partitionBy("w1", "w2", "w3")
+    at = edges.repartition("w1", "w2", "w3").groupBy(*_W).agg(F.sum("a").alias("a"))
+    at = at.withColumns({"flow": F.sum("a").over(node), "nth": F.row_number().over(node.orderBy("w4"))})
+    zero = F.lit(0).cast("long")
+    run = lambda when, *words: F.when(when, F.struct(*(F.coalesce(w, zero).alias(n) for w, n in zip((*words[:-1], *[zero] * 4), _W)), words[-1].alias("a")))
+    w = [F.col(x) for x in _W]
+    once = F.col("nth") == 1
+    found = F.array_compact(
+        F.array(
+            run((w[3] > 0) & (F.col("a") >= least), *w, F.col("a")), run(once & (w[2] > 0) & (F.col("flow") >= least), *w[:3], F.col("flow")),
+            run(once, *w[:2], F.col("flow")), run((w[2] > 0) & (w[3] == 0), *w[1:3], F.col("a")),
+        )
+    )
+    return at.select(F.explode(found).alias("run")).select("run.*").groupBy(*_W).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+
+
 def unary_paths(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Compacted unary paths of frequent edges (``w1``..``w4``, ``a``) and the nodes (``w1``..``w3``, ``a``): each edge's ``path_words``, and the inner nodes.
 
@@ -176,16 +210,9 @@ def mine_phrases(docs: DataFrame, least: int = 30, most: int = 2000, covered: in
     else:
         shared, coded = None, frequent.mapInArrow(_code, "code long, lang string, word binary, f long")
     coded = keep(coded, "words-coded")
-    graph = keep(rows.mapInArrow(_edges(shared), ", ".join(f"{w} long" for w in _W)).groupBy(*_W).agg(F.count("*").alias("a")), "edges")
-    zero = F.lit(0).cast("long")
-    ends = graph.where("w3 > 0 AND w4 = 0").select(F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a")
-    flow3 = graph.where("w3 > 0").groupBy("w1", "w2", "w3").agg(F.sum("a").alias("a"))
-    flow2 = graph.select("w1", "w2", "a").unionByName(ends).groupBy("w1", "w2").agg(F.sum("a").alias("a"))
-    edges = graph.where("w4 > 0").where(F.col("a") >= least)
-    phrases = edges.select(*_W, "a").unionByName(flow3.where(F.col("a") >= least).withColumn("w4", zero)).unionByName(flow2.where(F.col("a") >= least).withColumns({"w3": zero, "w4": zero}))
-    phrases = keep(phrases, "phrases")
-    release(graph)
+    phrases = keep(_frequent_runs(rows.mapInArrow(_edges(shared), ", ".join(f"{w} long" for w in (*_W, "a"))), least), "phrases")
     paths, inner = unary_paths(phrases.where("w4 > 0"), phrases.where("w3 > 0 AND w4 = 0"))
+    zero = F.lit(0).cast("long")
     size = F.when(F.col("w4") > 0, 4).when(F.col("w3") > 0, 3).otherwise(2)
     within = F.when(F.col("w4") > 0, _parts((0, 3), (1, 3), (0, 2), (1, 2), (2, 2))).otherwise(_parts((0, 2), (1, 2)))
     longer = phrases.where("w3 > 0").select(F.explode(within).alias("p"), "a").select("p.*", "a").groupBy(*_W).agg(F.max("a").alias("longest"))
