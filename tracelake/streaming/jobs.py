@@ -1,7 +1,8 @@
 """Structured Streaming versions of the ingest and learning jobs.
 
 Late data: rows older than the watermark are dropped from windows and from duplicate detection; keyed state (sessions, tasks, Q) takes
-rows in the order in which they arrive, and is dropped after ``forget_after`` milliseconds without any, if that is given.
+rows in the order in which they arrive, and is dropped after ``forget_after`` milliseconds without any, if that is given. What must not be forgotten
+is kept in a stored table instead: see ``stored``.
 """
 
 from __future__ import annotations
@@ -52,10 +53,9 @@ def session_upserts(rows: DataFrame, forget_after: int | None = None) -> DataFra
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         best = state.get[0] if state.exists else -1
         out = None
-        for frame in frames:
-            for r in frame.sort_values(["created_at", "experience_id"]).itertuples():
-                if r.turn_count > best:
-                    best, out = int(r.turn_count), (key[0], key[1], r.experience_id, int(r.turn_count))
+        for r in pd.concat(list(frames)).sort_values(["created_at", "experience_id"]).itertuples():
+            if r.turn_count > best:
+                best, out = int(r.turn_count), (key[0], key[1], r.experience_id, int(r.turn_count))
         state.update((best,))
         if out:
             yield pd.DataFrame([out], columns=["agent_id", "session_id", "experience_id", "turn_count"])
@@ -86,7 +86,7 @@ def closed_tasks(lines: DataFrame, forget_after: int | None = None) -> DataFrame
 
 
 def online_q(rewards: DataFrame, forget_after: int | None = None) -> DataFrame:
-    """Q of each experience after each micro-batch of rewards, which are folded in by time, then reward id."""
+    """Q of each experience after each micro-batch of rewards, which are folded in by time, then reward id. A forgotten experience starts from 0; ``stored.learn`` starts from what was stored."""
     names = [f"q_{d}" for d in DIMS]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -103,10 +103,10 @@ def online_q(rewards: DataFrame, forget_after: int | None = None) -> DataFrame:
     return _stateful(rewards, ("experience_id",), run, f"experience_id long, {fields}, updates int", f"{fields}, updates int", "update", forget_after)
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there now and give its result table: what each micro-batch sends is written to the shared folder by the executors.
 
-    In complete mode a batch replaces the result, else batches add to it.
+    In complete mode a batch replaces the result, else batches add to it; with ``keys``, the row that the last batch sent for a key is the one that counts.
     """
     out = f"{shared_folder(stream.sparkSession)}/tracelake/stream-{uuid.uuid4().hex}"
 
@@ -115,7 +115,11 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/result").select(*stream.columns)
+    found = stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/result")
+    if keys and mode != "complete":
+        batch = F.regexp_extract("_metadata.file_path", r"/batch=(\d+)/", 1).cast("long")
+        found = found.withColumn("__batch", batch).groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "__batch").alias("row")).select("row.*")
+    return found.select(*stream.columns)
 
 
 def _stateful(rows: DataFrame, keys: tuple[str, ...], run, out: str, state: str, mode: str, forget_after: int | None) -> DataFrame:
