@@ -7,6 +7,7 @@ two digits and the tenth. The sums are whole numbers; the vector is divided by i
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,23 +33,42 @@ def sparse_embeddings(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def embed_texts(texts: pd.Series) -> pd.Series:
-    """Dense unit vectors. Distinct trigrams of a batch are hashed once."""
-    known: dict[str, tuple[int, int]] = {}
+    """Dense unit vectors. A trigram is three code points of 21 bits; the distinct ones of some texts are hashed once."""
+    known: dict[int, int] = {}
     out = []
-    for text in texts:
-        t = (text or "").lower().strip() or "<empty>"
-        t = t.ljust(3)
-        v = np.zeros(EMBEDDING_SIZE)
-        for i in range(len(t) - 2):
-            g = t[i : i + 3]
+    for some in _chunks(texts):
+        codes, of = [], []
+        for i, text in enumerate(some):
+            t = ((text or "").lower().strip() or "<empty>").ljust(3)
+            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            codes.append(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+            of.append(np.full(len(c) - 2, i))
+        grams, which = np.unique(np.concatenate(codes), return_inverse=True)
+        for g in grams.tolist():
             if g not in known:
-                h = hashlib.sha256(g.encode()).digest()
-                known[g] = (h[0], 1 if h[4] & 1 else -1)
-            at, sign = known[g]
-            v[at] += sign
-        norm = np.linalg.norm(v)
-        out.append((v / norm if norm else v).astype(np.float32))
-    return pd.Series(out)
+                h = hashlib.sha256("".join(map(chr, (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))).encode("utf-8", "surrogatepass")).digest()
+                known[g] = h[0] if h[4] & 1 else -h[0] - 1
+        place = np.fromiter(map(known.__getitem__, grams.tolist()), np.int64, len(grams))[which]
+        at, sign = np.where(place < 0, -place - 1, place), np.where(place < 0, -1.0, 1.0)
+        v = np.bincount(np.concatenate(of) * EMBEDDING_SIZE + at, weights=sign, minlength=len(some) * EMBEDDING_SIZE).reshape(len(some), EMBEDDING_SIZE)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        out += list((v / np.where(norm > 0, norm, 1.0)).astype(np.float32))
+        if len(known) > 1_000_000:
+            known.clear()
+    return pd.Series(out, index=texts.index, dtype=object)
+
+
+def _chunks(texts: pd.Series, most: int = 500_000) -> Iterator[list[str | None]]:
+    """Texts of about ``most`` characters together, so that the arrays stay small."""
+    some, n = [], 0
+    for text in texts:
+        some.append(text)
+        n += len(text or "")
+        if n >= most:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
 
 
 def embed(text: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,23 +95,129 @@ def tokens(text):
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``(query_id, doc_id, score, rank, signal)``: BM25 of any query term, the top ``k``, and 1 - rank / hits.
+#: Documents of a block of the keyword index, and candidates a task holds before it cuts them to the best.
+INDEX_BLOCK, CANDIDATES = 512, 400_000
+_INDEX = "doc_id long, len long, terms array<int>, tfs array<int>"
+_FIND = re.compile(_TOKEN)
 
-    Only postings of query terms leave the scan, counted a document. Lengths and document counts cover all documents.
+
+def _indexer(code: dict[str, int]):
+    """Length of each document and its counts of the known terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(start, ROW_BLOCK)
+                lengths, terms, tfs, ends = [], [], [], [0]
+                for text in part.column("text").to_pylist():
+                    found = _FIND.findall(text or "")
+                    lengths.append(len(found))
+                    own = Counter(filter(code.__contains__, found))
+                    terms += map(code.__getitem__, own)
+                    tfs += own.values()
+                    ends.append(len(terms))
+                cut = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lengths, pa.int64()), cut(terms), cut(tfs)], names=["doc_id", "len", "terms", "tfs"])
+
+    return run
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document's place, term and count of each posting."""
+    terms = batch.column("terms")
+    return np.repeat(np.arange(batch.num_rows), pc.list_value_length(terms).to_numpy()), terms.flatten().to_numpy(), batch.column("tfs").flatten().to_numpy()
+
+
+def _doc_counts(n_terms: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            df += np.bincount(_flat(batch)[1], minlength=n_terms)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "df"])
+
+    return run
+
+
+def _walk(ids: np.ndarray, begins: np.ndarray, queries: np.ndarray, idf: np.ndarray, average: float, k: int, k1: float, b: float):
+    """A task's best ``k`` documents a query. ``queries[begins[t]:begins[t + 1]]`` have term t.
+
+    A block's bound for a query is the sum of its terms' best parts in the block; queries whose k-th best is above it pass the block by.
+    """
+    pair_query = queries
+    pair_term = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+
+    def cut(q: np.ndarray, s: np.ndarray, d: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((d, -s, q))
+        q, s, d = q[order], s[order], d[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        floor[q[nth == k - 1]] = s[nth == k - 1]
+        return q[nth < k], s[nth < k], d[nth < k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.zeros(len(ids))
+        q, s, d = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, INDEX_BLOCK):
+                part = batch.slice(start, INDEX_BLOCK)
+                doc, term, tf = _flat(part)
+                length = part.column("len").to_numpy()
+                gain = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / average))
+                top = np.zeros(len(begins) - 1)
+                np.maximum.at(top, term, gain)
+                bound = np.bincount(pair_query, weights=top[pair_term], minlength=len(ids))
+                awake = (bound > 0) & (np.round(bound, 6) + 1e-6 >= floor)
+                if not awake.any():
+                    continue
+                at = np.cumsum(awake) - 1
+                score = np.zeros((int(awake.sum()), part.num_rows))
+                order = np.argsort(term, kind="stable")
+                doc, term, gain = doc[order], term[order], gain[order]
+                cuts = np.flatnonzero(np.diff(term, prepend=-1, append=-1))
+                for x, y in zip(cuts, cuts[1:]):
+                    own = pair_query[begins[term[x]] : begins[term[x] + 1]]
+                    own = at[own[awake[own]]]
+                    if len(own):
+                        score[np.ix_(own, doc[x:y])] += gain[x:y]
+                rounded = np.round(score, 6)
+                i, j = np.nonzero((score > 0) & (rounded >= floor[awake][:, None]))
+                q = np.concatenate([q, np.flatnonzero(awake)[i]])
+                s, d = np.concatenate([s, rounded[i, j]]), np.concatenate([d, part.column("doc_id").to_numpy()[j]])
+                if len(q) > CANDIDATES:
+                    q, s, d = cut(q, s, d, floor)
+        q, s, d = cut(q, s, d, floor)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(d), pa.array(s)], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 1.2, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
+    """``(query_id, doc_id, score, rank, signal)``: BM25 of any query term, the top ``k``, and 1 - rank / hits. Query ids are unique.
+
+    Texts are read once for up to ``QUERY_BLOCK`` queries: an index keeps each document's length and its counts of their terms. Lengths and document counts cover
+    all documents; with ``only`` (``doc_id``) no others are ranked. The index is walked in blocks, and nothing but each task's best is shuffled.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    d = docs.select("doc_id", tokens(F.col("text")).alias("ts"))
-    about = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.regexp_count(F.lower("text"), F.lit(_TOKEN)), F.lit(0))).alias("avg_len")).first()
-    wanted = q.select("term").distinct()
-    few = wanted.count() <= 200_000
-    postings = d.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("term"))
-    postings = postings.join(F.broadcast(wanted) if few else wanted, "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n, avg = about["n"], about["avg_len"] or 1.0
-    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
-    scores = q.join(postings, "term").join(df, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    scores = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    for i in range(n_blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).collect()  # about QUERY_BLOCK queries
+        code = {t: j for j, t in enumerate(sorted({t for r in own for t in r["terms"]}))}
+        if not own:
+            continue
+        index = _cut(text.mapInArrow(_indexer(code), _INDEX))
+        n, average = index.agg(F.count("*"), F.avg("len")).first()
+        df = np.zeros(len(code), np.int64)
+        for term, count in index.mapInArrow(_doc_counts(len(code)), "term long, df long").groupBy("term").agg(F.sum("df")).collect():  # one row a term
+            df[term] = count
+        idf = np.maximum(np.log(np.maximum(n - df + 0.5, 1e-300) / (df + 0.5)), 1e-6)
+        term = np.array([code[t] for r in own for t in r["terms"]])
+        of = np.repeat(np.arange(len(own)), [len(r["terms"]) for r in own])
+        order = np.argsort(term, kind="stable")
+        walk = _walk(np.array([r["query_id"] for r in own]), np.searchsorted(term[order], np.arange(len(code) + 1)), of[order], idf, average or 1.0, k, k1, b)
+        ranked = index if only is None else index.join(only.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        scores = scores.unionByName(ranked.mapInArrow(walk, "query_id long, doc_id long, score double"))
     hits = top_k(scores, "query_id", k, F.desc("score"), "doc_id")
     total = hits.groupBy("query_id").agg(F.count("*").alias("hits"))
     return hits.join(total, "query_id").withColumn("signal", 1 - (F.col("rank") - 1) / F.col("hits")).drop("hits")
@@ -144,6 +254,7 @@ def _hit_blocks(queries: DataFrame, hits: DataFrame, row_id: str) -> Iterator[tu
 def hit_similarities(hits: DataFrame, queries: DataFrame, rows: DataFrame, row_id: str) -> DataFrame:
     """``hits`` (query_id, row, signal, ...) with the cosine of each; queries: query_id, vector; rows: row, vector."""
     out = rows.sparkSession.createDataFrame([], f"query_id long, {row_id} long, similarity double")
+    hits, queries = _cut(hits), _cut(queries.select("query_id", "vector"))
     for ids, unit, found in _hit_blocks(queries, hits, row_id):
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, unit=unit, found=found) -> Iterator[pd.DataFrame]:
@@ -174,6 +285,7 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, keyword_hits: DataFram
     out = own.sparkSession.createDataFrame([], "query_id long, experience_id long, score double")
     if not about["n"]:
         return out.withColumn("rank", F.lit(0))
+    queries, keyword_hits = _cut(queries.select("query_id", "vector")), _cut(keyword_hits.select("query_id", "doc_id", "signal"))  # blocks read them again
     mq, sq, log = about["mq"], about["sq"] if about["sq"] > 1e-12 else 1.0, np.log(about["visits"] + 1)
     for ids, unit, found in _hit_blocks(queries, keyword_hits.withColumnRenamed("doc_id", "experience_id"), "experience_id"):
 

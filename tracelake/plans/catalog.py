@@ -13,35 +13,10 @@ from tracelake.functions.constants import DIMS, SEARCHABLE
 from tracelake.functions.redaction_rules import REDACTION_RULES, STRICT_RULES
 from tracelake.operators import access, aggregates, credit, dedup, ranking, recall, redaction, review, search, terms, turns, units, upkeep, windows
 from tracelake.operators.dedup import _cut
-from tracelake.plans.roles import ROLES, role, table, with_roles
+from tracelake.plans.registry import AS_OF, ORACLES, QUERIES, _add, _Roles, _rounded
+from tracelake.plans.roles import ROLES
 from tracelake.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-AS_OF = "2001-08-01"
-
-
-class _Roles:
-    """``r.experiences`` is the role, ``r.documents`` the table."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return role(self.spark, self.sf_dir, name) if name in ROLES else table(self.spark, self.sf_dir, name)
-
-
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def _add(name: str, make: Callable[[_Roles], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: _rounded(make(_Roles(spark, sf_dir)))
-    if sql is not None:
-        ORACLES[name] = with_roles(sql)
-
-
 _Q = " + ".join(f"{w} * q_{d}" for d, w in (("outcome", "0.30"), ("intent", "0.20"), ("execution", "0.20"), ("orchestration", "0.15"), ("expression", "0.15")))
 _QS = f"CASE WHEN q_update_count > 0 OR abs({_Q}) > 1e-9 THEN {_Q} ELSE trajectory_score END"
 _SHARED = "acl = 'public' AND publish_status = 'published' AND NOT revoked"
@@ -58,11 +33,6 @@ _add("p3_distinct_values", lambda r: access.distinct_values(r.experiences, "task
 _add("p4_acl_parse", lambda r: r.experiences.select("experience_id", access.acl_kind(F.col("acl")).alias("kind"), access.acl_team(F.col("acl")).alias("team"), access.ingest_acl(F.col("acl")).alias("ingest"), access.ingest_status(F.lit("human_review"), F.col("acl")).alias("review")),
      """SELECT experience_id, CASE WHEN acl IN ('public', 'org') THEN 'public' WHEN acl LIKE 'team:_%' THEN 'team' ELSE 'private' END AS kind, CASE WHEN acl LIKE 'team:_%' THEN acl[6:] END AS team,
      CASE WHEN acl LIKE 'team:_%' THEN acl ELSE 'private' END AS ingest, CASE WHEN acl LIKE 'team:_%' THEN 'pending' ELSE 'auto_approved' END AS review FROM experiences""")
-_add("j5_visible_rows", lambda r: access.visible_rows(r.agents.where("agent_id % 50 = 0").select(F.col("agent_id").alias("viewer_id")), r.experiences, r.agents).groupBy("viewer_id", "how").agg(F.count("*").alias("n"), F.sum("experience_id").alias("ids")),
-     """WITH who AS (SELECT agent_id, team, coalesce(nullif(owner, ''), name) AS owner FROM agents), v AS (SELECT * FROM who WHERE agent_id % 50 = 0), live AS (SELECT * FROM experiences WHERE NOT revoked)
-     SELECT v.agent_id AS viewer_id, 'own' AS how, count(*) AS n, CAST(sum(experience_id) AS BIGINT) AS ids FROM v JOIN who o ON o.owner = v.owner JOIN live e ON e.agent_id = o.agent_id GROUP BY 1
-     UNION ALL SELECT v.agent_id, 'team', count(*), CAST(sum(experience_id) AS BIGINT) FROM v JOIN live e ON e.acl = 'team:' || v.team GROUP BY 1
-     UNION ALL SELECT NULL, 'shared', count(*), CAST(sum(experience_id) AS BIGINT) FROM live WHERE acl IN ('public', 'org') AND publish_status = 'published'""")
 _add("j5_all_viewers", lambda r: access.visible_counts(r.agents.select(F.col("agent_id").alias("viewer_id")), r.experiences, r.agents),
      """WITH v AS (SELECT agent_id, team, coalesce(nullif(owner, ''), name) AS owner FROM agents), live AS (SELECT * FROM experiences WHERE NOT revoked),
      o AS (SELECT owner, count(*) AS n, sum(experience_id) AS ids FROM v JOIN live e ON e.agent_id = v.agent_id GROUP BY 1), t AS (SELECT acl, count(*) AS n, sum(experience_id) AS ids FROM live GROUP BY 1)
@@ -300,9 +270,6 @@ _add("a20_extraction_pairs", lambda r: review.pick_extraction(r.lineitem.groupBy
 _add("a27_pool_counts", lambda r: review.pool_counts({n: getattr(r, n) for n in ("agents", "experiences", "edges", "skills")}), "SELECT 'agents' AS \"table\", count(*) AS n FROM agents UNION ALL SELECT 'experiences', count(*) FROM experiences UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'skills', count(*) FROM skills")
 _add("j8_cluster_members", lambda r: review.cluster_members(r.membership.withColumn("similarity", (F.expr("(experience_id * 31 + cluster_id) % 1000") / 1000)), r.experiences).where("nth <= 5").select("cluster_id", "experience_id", "similarity", "nth"),
      "SELECT cluster_id, experience_id, round(s, 6) AS similarity, CAST(nth AS INT) AS nth FROM (SELECT cluster_id, m.experience_id, ((m.experience_id * 31 + cluster_id) % 1000) / 1000 AS s, row_number() OVER (PARTITION BY cluster_id ORDER BY ((m.experience_id * 31 + cluster_id) % 1000) DESC, m.experience_id) AS nth FROM membership m JOIN experiences e ON e.experience_id = m.experience_id WHERE NOT revoked) WHERE nth <= 5")
-_add("j15_lineage", lambda r: review.lineage(r.experiences.where("superseded"), r.edges, r.q_updates).groupBy("experience_id", "kind").agg(F.count("*").alias("n"), F.max("at").alias("latest")),
-     """WITH i AS (SELECT experience_id FROM experiences WHERE superseded), x AS (SELECT child_id AS experience_id, 'parent' AS kind, created_at FROM edges UNION ALL SELECT parent_id, 'child', created_at FROM edges UNION ALL SELECT experience_id, 'update', created_at FROM q_updates)
-     SELECT experience_id, kind, count(*) AS n, max(created_at) AS latest FROM x WHERE experience_id IN (SELECT experience_id FROM i) GROUP BY 1, 2""")
 _add("j15_all_lineage", lambda r: review.lineage(r.experiences, r.edges, r.q_updates).groupBy("experience_id", "kind").agg(F.count("*").alias("n"), F.max("at").alias("latest")),
      """WITH x AS (SELECT child_id AS experience_id, 'parent' AS kind, created_at FROM edges UNION ALL SELECT parent_id, 'child', created_at FROM edges UNION ALL SELECT experience_id, 'update', created_at FROM q_updates)
      SELECT experience_id, kind, count(*) AS n, max(created_at) AS latest FROM x WHERE experience_id IN (SELECT experience_id FROM experiences) GROUP BY 1, 2""")
@@ -324,9 +291,9 @@ _add("m6_trailing_week", lambda r: jobs.run_to_table(jobs.trailing_week(_stream(
      "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(d + CAST(i AS INT) AS DATE) AS last_day, CAST(sum(n) AS BIGINT) AS n FROM d, range(7) s(i) GROUP BY 1")
 
 _SESSION_COLUMNS = ("agent_id", "session_id", "experience_id", "turn_count", "created_at")
-_add("m3_session_upserts", lambda r: jobs.run_to_table(jobs.session_upserts(_stream_role(r, "experiences", "orders").where("session_id <> ''").select(*(F.col(c).cast("int").alias(c) if c == "turn_count" else F.col(c) for c in _SESSION_COLUMNS))), "append"),
+_add("m3_session_upserts", lambda r: jobs.run_to_table(jobs.session_upserts(_stream_role(r, "experiences", "orders").where("session_id <> ''").select(*(F.col(c).cast("int").alias(c) if c == "turn_count" else F.col(c) for c in _SESSION_COLUMNS))), "append", ["agent_id", "session_id"]),
      """SELECT agent_id, session_id, experience_id, CAST(turn_count AS INT) AS turn_count FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, session_id ORDER BY turn_count DESC, created_at, experience_id) AS rn FROM experiences WHERE session_id <> '') WHERE rn = 1""")
-_add("m5_online_q", lambda r: _rounded(jobs.run_to_table(jobs.online_q(_stream_role(r, "rewards", "lineitem")), "update"), 9),
+_add("m5_online_q", lambda r: _rounded(jobs.run_to_table(jobs.online_q(_stream_role(r, "rewards", "lineitem")), "update", ["experience_id"]), 9),
      f"""WITH v AS (SELECT *, 0.2 * confidence AS e FROM rewards), w AS (SELECT *, exp(coalesce(sum(ln(1 - e)) OVER (PARTITION BY experience_id ORDER BY created_at, reward_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS rest FROM v)
      SELECT experience_id, {', '.join(f'CAST(round(CAST(round(sum(e * r_{d} * rest), 9) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS q_{d}' for d in DIMS)}, CAST(count(*) AS INT) AS updates FROM w GROUP BY 1""")
 _add("m7_agent_sessions", lambda r: jobs.run_to_table(jobs.agent_sessions(_stream(r, "events").select(F.col("user_id").alias("agent_id"), F.col("ts").alias("created_at")), gap="6 hours")),
@@ -341,7 +308,7 @@ _add("t9_chunks", lambda r: _chunks(r).select("session_id", "chunk_type", "chunk
 _add("t6_compaction", lambda r: units.compact(r.conversations.select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", "text"), 1500, (("assistant", 400), ("user", 300))).groupBy("session_id").agg(F.sum(F.length("text")).alias("chars")), None)
 _add("t12_x12_clean_turns", lambda r: r.conversations.select("conv_id", "turn", F.sha2(units.clean_turn(F.col("text")), 256).alias("sha")), None)
 _add("t20_recall", lambda r: _recall(r), None)
-_add("t18_acl_search", lambda r: recall.acl_search(_similar(r).withColumnRenamed("doc_id", "experience_id"), r.experiences.where(_SHARED), 5).select("query_id", "experience_id", "rank"), None)
+_add("t18_acl_search", lambda r: recall.acl_search(_similar(r, r.experiences.where(_SHARED).select(F.col("experience_id").alias("doc_id"))).withColumnRenamed("doc_id", "experience_id"), r.experiences.where(_SHARED), 5).select("query_id", "experience_id", "rank"), None)
 _add("t19_lite_search", lambda r: recall.lite_search(*_vectors(r), r.experiences.withColumn("owner", F.concat(F.lit("o"), F.col("agent_id") % 4)), "o1", "BUILDING", True, 8).select("query_id", "experience_id", "stage", "rank"), None)
 
 _add("x10_keywords", lambda r: terms.keywords(r.conversations.withColumn("id", F.expr("conv_id * 1000 + turn")), "id", "text", 8), None)
@@ -440,8 +407,8 @@ def _stream_role(r: _Roles, name: str, of: str) -> DataFrame:
     return rows.select(*(F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in rows.dtypes))
 
 
-def _similar(r: _Roles) -> DataFrame:
-    return search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 60)
+def _similar(r: _Roles, only: DataFrame | None = None) -> DataFrame:
+    return search.bm25(r.benchmark.select(F.col("item_id").alias("query_id"), "text"), r.documents, 60, only=only)
 
 
 def _tool_turns(r: _Roles) -> DataFrame:

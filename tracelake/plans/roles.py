@@ -47,7 +47,7 @@ ROLES = {
     "skill_uses": "SELECT l_orderkey AS experience_id, CASE WHEN l_linenumber % 2 = 0 THEN concat(p_brand, '-', p_name, '@', CAST(p_size AS STRING)) WHEN l_linenumber = 5 THEN 'nobody' ELSE concat(p_brand, '-', p_name) END AS declared FROM lineitem JOIN part ON l_partkey = p_partkey",
     "chunks": "SELECT l_orderkey + l_suppkey * 7 AS experience_id, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS chunk_id, l_linenumber AS turn_start, 7 AS turn_count, l_returnflag AS chunk_type, l_partkey AS search_text, CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE concat('a', l_suppkey) END AS action_signature FROM lineitem",
     "publish_events": "SELECT concat('owner-', o_custkey) AS owner, CASE WHEN o_orderkey % 4 = 0 THEN 'unpublish' ELSE 'publish' END AS action FROM orders",
-    "notes": """SELECT conv_id * 1000 + turn AS note_id, concat(substring(text, 1, 200), CASE turn % 12 WHEN 0 THEN ' file:///srv/share/a.txt ' WHEN 1 THEN ' https://localhost:8080/x and http://127.0.0.1/y ' WHEN 2 THEN ' http://192.168.1.20/admin ' WHEN 3 THEN ' see /etc/hosts and /var/log/syslog '
+    "notes": """SELECT conv_id * 1000 + turn AS note_id, concat(text, CASE turn % 12 WHEN 0 THEN ' file:///srv/share/a.txt ' WHEN 1 THEN ' https://localhost:8080/x and http://127.0.0.1/y ' WHEN 2 THEN ' http://192.168.1.20/admin ' WHEN 3 THEN ' see /etc/hosts and /var/log/syslog '
         WHEN 4 THEN concat(' C:', chr(92), 'Users', chr(92), 'someone', chr(92), 'notes.txt ') WHEN 5 THEN ' 123e4567-e89b-12d3-a456-426614174000 ' WHEN 6 THEN ' vscode-file://x/y chrome-extension://abcdef/p.html ' ELSE '' END) AS text FROM conversations""",
     "audits": "SELECT event_id AS audit_id, ts AS created_at, props AS payload FROM events",
 }
