@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.scores import q_or_score
-from tracelake.functions.text import lexical_score, outcome, tokens_udf
+from tracelake.functions.outcomes import outcome_preference
+from tracelake.functions.text import lexical_score, tokens_udf
 from tracelake.operators.access import acl_team, searchable
 from tracelake.operators.ranking import readable_top_k, staged_top_k, top_k
 from tracelake.operators.search import diverse_top_k, vector_top_k
@@ -43,6 +44,84 @@ def candidates(keyword: DataFrame, vector: DataFrame) -> DataFrame:
     return k.unionByName(v).groupBy("query_id", "chunk_id").agg(F.max("fts").alias("fts"), F.max("similarity").alias("similarity"))
 
 
+def coverage_bonus(n_terms: Column, coverage: Column) -> Column:
+    """For queries of three terms or more: how many of them a chunk holds."""
+    return F.when(n_terms < 3, 0.0).when(coverage >= 0.5, 0.12).when(coverage >= 0.34, 0.05).when(coverage <= 0.2, -0.10).otherwise(0.0)
+
+
+def type_bonus(chunk_type: Column, keyword: Column, similarity: Column) -> Column:
+    """Units before segments and overviews, unless nothing but a weak similarity speaks for the chunk."""
+    weak = (keyword <= 0) & (similarity < 0.2)
+    return F.when(weak, 0.0).when(chunk_type.isin("do_unit", "dont_unit"), 0.14).when(chunk_type == "trajectory_segment", 0.03).when(chunk_type == "trajectory_overview", 0.01).otherwise(0.0)
+
+
+def outcome_bonus(preference: Column, chunk_type: Column) -> Column:
+    """Units of the ending that the query asks for, against those of the other."""
+    asked = preference.isNotNull() & chunk_type.isin("do_unit", "dont_unit")
+    match = (preference == "success") == (chunk_type == "do_unit")
+    return F.when(asked & match, 0.12).when(asked, -0.08).otherwise(0.0)
+
+
+def relevant(score: Column, keyword: Column, coverage: Column, similarity: Column) -> Column:
+    """Low scores are no filler; a chunk that shares no word with the query must be near it."""
+    return (score >= FLOOR) & ((keyword > 0) | (coverage >= 0.2) | (similarity >= VECTOR_FLOOR))
+
+
+def scoped(queries: DataFrame, chunks: DataFrame, scope: str = "auto", project_owners: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Queries and chunks with the columns ``READ`` narrowed to a scope.
+
+    ``personal``: own rows and the team's; ``community``: shared rows only; ``auto``: both. ``project``: rows of the owners that ``project_owners`` (``project``, ``owner`` as in ``read_owner``) names for
+    the query's ``project``, and nothing else; a query without a project then finds nothing.
+    """
+    if scope == "auto":
+        return queries, chunks
+    if scope == "personal":
+        return queries.withColumn("read_shared", F.lit(0)), chunks
+    if scope == "community":
+        return queries.withColumns({"read_owner": F.lit(0).cast("long"), "read_team": F.lit(0).cast("long")}), chunks
+    if scope != "project" or project_owners is None:
+        raise ValueError("scope is auto, personal, community or, with project_owners, project")
+    asks = queries.withColumns({"read_owner": F.lit(0).cast("long"), "read_team": F.coalesce(F.xxhash64("project"), F.lit(0)), "read_shared": F.lit(0)})
+    asks = asks.withColumn("read_team", F.when(F.col("project").isNull(), 0).otherwise(F.col("read_team")))
+    open_to = project_owners.select(F.xxhash64("project").alias("__project"), F.col("owner").alias("read_owner")).distinct()
+    rows = chunks.join(open_to, "read_owner").withColumns({"read_team": F.col("__project"), "read_owner": F.lit(-1).cast("long"), "read_shared": F.lit(0)})
+    return asks, rows.drop("__project")
+
+
+# The lines around a text pack, its excerpts, and what is said when nothing was found.
+PACK_HEAD, PACK_FOOT = "【经验池RAG上下文】以下为按权限过滤、chunk 召回后的短上下文。", "使用要求：DO 可模仿；DO NOT 只用于规避；若冲突，以当前代码和用户要求为准。"
+PACK_NONE, EXCERPT = "【经验池RAG上下文】未找到可用经验。", 360
+
+
+def excerpt(text: Column, limit: int = EXCERPT) -> Column:
+    """White space drawn together; a longer text is cut and ends in an ellipsis."""
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "), r"^ | $", "")
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit - 1), r" +$", ""), F.lit("…")))
+
+
+def context_packs(queries: DataFrame, hits: DataFrame, budget: int | None = None) -> DataFrame:
+    """One text a query for an agent to read: ``query_id``, ``pack``, ``packed`` (hits in it).
+
+    hits: ``query_id``, ``position`` (1, 2, .. after ``diverse_top_k``), ``source``, ``chunk_type``, ``status``, ``score``, ``similarity``, ``experience_id``, ``turn_start``, ``turn_end``, ``text``. With a ``budget`` of characters for the
+    hits' lines, line breaks counted, the pack ends before the first line that does not fit.
+    """
+    kind, status = F.col("chunk_type"), F.coalesce("status", F.lit(""))
+    use = F.when((kind == "do_unit") | (status == "success"), "DO ").when((kind == "dont_unit") | (status == "failure"), "DO NOT ").otherwise("")
+    turns = F.when(F.col("turn_start").isNull(), "").when(F.col("turn_end").isNull() | (F.col("turn_end") == F.col("turn_start")), F.concat(F.lit(", turn="), "turn_start")).otherwise(F.concat(F.lit(", turns="), "turn_start", F.lit("-"), "turn_end"))
+    line = F.concat(
+        F.col("position").cast("string"), F.lit(". ["), use, "source", F.lit(":"), kind, F.lit(", score="), F.format_string("%.2f", F.bround(F.coalesce("score", F.lit(0.0)).cast("double"), 2)), F.lit(", sim="), F.bround(F.col("similarity").cast("double") * 100).cast("long").cast("string"),
+        F.lit("%, exp="), F.substring(F.col("experience_id").cast("string"), 1, 8), turns, F.lit("] "), excerpt(F.col("text")),
+    )
+    lines = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"]).alias("lines"))  # at most k of a query
+    if budget is not None:
+        fits = F.aggregate("lines", F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), lambda a, x: F.struct((a["used"] + F.length(x) + 1).alias("used"), F.when(a["used"] + F.length(x) + 1 <= budget, a["n"] + 1).otherwise(a["n"]).alias("n")), lambda a: a["n"])
+        lines = lines.select("query_id", F.slice("lines", F.lit(1), fits).alias("lines"))
+    out = queries.select("query_id").join(lines, "query_id", "left")
+    full = F.concat_ws("\n", F.array(F.lit(PACK_HEAD)), "lines", F.array(F.lit(PACK_FOOT)))
+    packed = F.when(F.coalesce(F.size("lines"), F.lit(0)) > 0, F.size("lines")).otherwise(0)
+    return out.select("query_id", F.when(packed > 0, full).otherwise(PACK_NONE).alias("pack"), packed.alias("packed"))
+
+
 def rerank(found: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """``found`` with a score. chunks: chunk_id, experience_id, session, chunk_type, text, quality; a chunk's labelled lines are its situation, action and outcome."""
     line = lambda name: F.regexp_extract("text", rf"(?m)^{name}: (.*)$", 1)
@@ -52,14 +131,14 @@ def rerank(found: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame
     x = found.join(queries.select("query_id", F.col("text").alias("q"), tokens_udf("text").alias("q_terms")), "query_id").join(c, "chunk_id")
     for name in ("text", "situation", "action", "ending"):
         x = x.withColumn(f"{name}_match", lexical_score(F.col("q_terms"), F.col(f"{name}_terms")))
-    aligned = F.when((outcome(F.col("q")) == "failure") & (F.col("chunk_type") == "dont_unit"), 0.05).when((outcome(F.col("q")) != "failure") & (F.col("chunk_type") == "do_unit"), 0.03).otherwise(0.0)
+    x = x.withColumn("coverage", F.size(F.array_intersect("q_terms", "text_terms")) / F.greatest(F.size("q_terms"), F.lit(1))).withColumn("keyword", F.greatest("fts", "text_match"))
+    bonus = outcome_bonus(outcome_preference(F.col("q")), F.col("chunk_type")) + type_bonus(F.col("chunk_type"), F.col("keyword"), F.col("similarity")) + coverage_bonus(F.size("q_terms"), F.col("coverage"))
     score = (
         WEIGHTS["fts"] * F.col("fts") + WEIGHTS["lexical"] * F.col("text_match") + WEIGHTS["vector"] * F.greatest(F.col("similarity"), F.lit(0.0)) + WEIGHTS["quality"] * F.coalesce("quality", F.lit(0.0))
-        + WEIGHTS["action"] * F.col("action_match") + WEIGHTS["situation"] * F.col("situation_match") + WEIGHTS["outcome"] * F.col("ending_match") + aligned
+        + WEIGHTS["action"] * F.col("action_match") + WEIGHTS["situation"] * F.col("situation_match") + WEIGHTS["outcome"] * F.col("ending_match") + bonus
     )
     x = x.withColumn("score", F.round(score, 6))
-    relevant = ((F.col("fts") > 0) & (F.col("score") >= FLOOR)) | ((F.col("fts") == 0) & (F.col("score") >= VECTOR_FLOOR))
-    return x.withColumn("relevant", relevant)
+    return x.withColumn("relevant", relevant(F.col("score"), F.col("keyword"), F.col("coverage"), F.col("similarity")))
 
 
 def recall(keyword: DataFrame, vector: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, gate: bool = True) -> DataFrame:

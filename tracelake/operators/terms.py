@@ -42,8 +42,16 @@ def keywords(rows: DataFrame, key: str, text: str, most: int = 32, stop: tuple[s
     return counts.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(key, "term", "score", "rank")
 
 
-def query_terms(queries: DataFrame, synonyms: DataFrame | None = None, stop: tuple[str, ...] = STOP, most: int = 32, cap: int = 40) -> DataFrame:
-    """``(query_id, terms)``: valid terms, identifiers first, then longer words; with synonyms ``(term, other)`` appended, to ``cap``."""
+# Words that queries are widened by.
+SYNONYMS = {
+    "expool": ("经验池", "experience", "pool"), "rag": ("召回", "检索", "chunk", "切分", "子经验"), "recall": ("召回", "检索"), "chunk": ("切分", "子经验", "片段", "rag"), "chunks": ("切分", "子经验", "片段", "rag"),
+    "retrieval": ("召回", "检索", "rag"), "rerank": ("重排", "rerank"), "bm25": ("关键词", "检索"), "经验池": ("expool", "experience", "pool"), "召回": ("rag", "检索", "recall"), "检索": ("rag", "召回", "retrieval"),
+    "切分": ("chunk", "子经验", "片段"), "子经验": ("chunk", "切分", "片段"), "关键词": ("bm25", "keyword"), "重排": ("rerank",),
+}
+
+
+def query_terms(queries: DataFrame, synonyms: DataFrame | None = None, builtin: bool = True, stop: tuple[str, ...] = STOP, most: int = 32, cap: int = 40) -> DataFrame:
+    """``(query_id, terms)``: valid terms, identifiers first, then longer words; then the built-in synonyms of each, and those of ``synonyms`` (``term``, ``other``), to ``cap``."""
     t = queries.select("query_id", F.posexplode(tokens_udf("text")).alias("at", "term"))
     c, n = F.col("term"), F.length("term")
     latin, digit = c.rlike(r"^[\x00-\x7F]+$"), c.rlike("[0-9]")
@@ -56,7 +64,13 @@ def query_terms(queries: DataFrame, synonyms: DataFrame | None = None, stop: tup
         more = t.join(synonyms, "term").select("query_id", F.col("other").alias("term"), (F.col("place") + most).alias("place"))
         t = t.unionByName(more).groupBy("query_id", "term").agg(F.min("place").alias("place"))
     terms = F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"])
-    return t.groupBy("query_id").agg(F.slice(terms, 1, cap).alias("terms"))
+    found = t.groupBy("query_id").agg(terms.alias("terms"))
+    if builtin:
+        known = F.create_map(*(x for word, others in SYNONYMS.items() for x in (F.lit(word), F.array(*map(F.lit, others)))))
+        none = F.expr("CAST(array() AS array<string>)")
+        wider = F.flatten(F.transform(F.slice("terms", 1, most), lambda term: F.coalesce(F.try_element_at(known, term), none)))
+        found = found.withColumn("terms", F.array_distinct(F.concat("terms", wider)))
+    return found.select("query_id", F.slice("terms", 1, cap).alias("terms"))
 
 
 def keyword_signal(terms: DataFrame, postings: DataFrame, most: int = 300, take: int = 24) -> DataFrame:

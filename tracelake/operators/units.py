@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.text import chunk_id, outcome, token_estimate
+from tracelake.functions.outcomes import outcome_for_tool, outcome_status
+from tracelake.functions.text import chunk_id, token_estimate
 from tracelake.operators.review import is_task
 from tracelake.operators.windows import sample_timeline
 
@@ -71,11 +72,11 @@ def experience_units(turns: DataFrame) -> DataFrame:
     """
     text = clean_turn(F.col("text"))
     t = turns.where(~F.col("role").isin("system", "developer")).withColumn("text", text).select(
-        "session_id", "turn", "role", "text", is_task(F.col("text")).alias("is_task"), outcome(F.col("text")).alias("ending"), "tool_result_for", F.coalesce("is_error", F.lit(False)).alias("is_error"),
+        "session_id", "turn", "role", "text", is_task(F.col("text")).alias("is_task"), outcome_status(F.col("text")).alias("ending"), "tool_result_for", F.coalesce("is_error", F.lit(False)).alias("is_error"),
         F.transform("tool_calls", lambda c: F.struct(c["id"].alias("id"), F.coalesce(c["name"], F.lit("tool")).alias("name"), action_line(F.coalesce(c["name"], F.lit("tool")), c["input"]).alias("line"))).alias("calls"),
     )
     units = t.groupBy("session_id").applyInPandas(_pair("session_id"), "session_id string, turn_start int, turn_end int, context string, tool string, action string, outcome string, is_error boolean")
-    status = F.when(F.col("is_error"), "failure").when(F.col("outcome") == "", "unknown").otherwise(outcome(F.col("outcome")))
+    status = F.when(F.col("is_error"), "failure").when(F.col("outcome") == "", "unknown").otherwise(outcome_for_tool(F.col("tool"), F.col("outcome")))
     return units.withColumn("status", status).where("action <> ''").drop("is_error")
 
 
