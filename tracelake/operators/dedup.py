@@ -201,3 +201,26 @@ def improving_versions(skills: DataFrame) -> DataFrame:
     v = F.row_number().over(W.partitionBy("cluster_id").orderBy("created_at", "skill_id"))
     nxt = F.lead("skill_id").over(W.partitionBy("cluster_id").orderBy("created_at", "skill_id"))
     return out.select("cluster_id", "skill_id", "structure_score", v.alias("version"), nxt.alias("superseded_by"))
+
+
+def apply_merges(rows: DataFrame, merges: DataFrame, key: str = "experience_id", counts: tuple[str, ...] = ("visit_count", "reuse_count")) -> DataFrame:
+    """``rows`` after the merges ``(key, merged_into)``: counts have moved to winners, losers are rejected and tagged ``merged_into:<winner>``.
+
+    A loser hands on what it had been given before, so a row ends with the counts of all rows below it in the forest of merges. They are added up by doubling: each
+    round a row takes the sums of those whose pointer has reached it, and pointers skip twice as far; there are as many rounds as the longest chain has bits. Losers keep
+    what they had when they lost.
+    """
+    up = _cut(merges.select(F.col(key).alias("k"), F.col("merged_into").alias("up")))
+    member = up.select("k").unionByName(up.select(F.col("up").alias("k"))).distinct()
+    sums = _cut(member.join(rows.select(F.col(key).alias("k"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts)), "k"))
+    while up.take(1):
+        given = up.join(sums, "k").groupBy(F.col("up").alias("k")).agg(*(F.sum(c).alias(f"__{c}") for c in counts))
+        sums = _cut(sums.join(given, "k", "left").select("k", *((F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in counts)))
+        up = _cut(up.join(up.select(F.col("k").alias("up"), F.col("up").alias("further")), "up").select("k", F.col("further").alias("up")))
+    moved = sums.select(F.col("k").alias(key), *(F.col(c).alias(f"__{c}") for c in counts))
+    out = rows.join(moved, key, "left").join(merges.select(key, F.col("merged_into").alias("__into")), key, "left")
+    lost = F.col("__into").isNotNull()
+    tag = F.array(F.concat(F.lit("merged_into:"), F.col("__into").cast("string")))
+    none = F.expr("CAST(array() AS array<string>)")
+    out = out.withColumns({**{c: F.coalesce(F.col(f"__{c}"), F.col(c).cast("long")) for c in counts}, "review_status": F.when(lost, "rejected").otherwise(F.col("review_status")), "tags": F.when(lost, F.concat(F.coalesce("tags", none), tag)).otherwise(F.col("tags"))})
+    return out.drop("__into", *(f"__{c}" for c in counts))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from tracelake.functions.redaction_rules import CARD_LIKE, EMPLOYEE_PREFIXES, HINTS, PHONE_DIGITS, REDACTION_RULES, REVIEW_RULES, STRICT_RULES
 
@@ -116,15 +117,48 @@ def redact(rows: DataFrame, column: str, rules: list[tuple[str, str, str, str]]
     return _reported(df)
 
 
+def _has_text(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(f.name not in STRUCTURAL_KEYS and _has_text(f.dataType) for f in kind)
+    if isinstance(kind, ArrayType):
+        return _has_text(kind.elementType)
+    return _has_text(kind.valueType) if isinstance(kind, MapType) else isinstance(kind, StringType)
+
+
+def _texts_of(c: Column, kind: DataType) -> Column:
+    """The same nesting with its strings alone."""
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*(_texts_of(c.getField(f.name), f.dataType).alias(f.name) for f in kind if f.name not in STRUCTURAL_KEYS and _has_text(f.dataType))))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _texts_of(x, kind.elementType))
+    return F.transform_values(c, lambda _, v: _texts_of(v, kind.valueType)) if isinstance(kind, MapType) else c
+
+
+def _put_back(c: Column, texts: Column, kind: DataType) -> Column:
+    """``c`` with its strings replaced by those of ``texts``; all else is the value itself."""
+    if isinstance(kind, StructType):
+        put = lambda f: _put_back(c.getField(f.name), texts.getField(f.name), f.dataType) if f.name not in STRUCTURAL_KEYS and _has_text(f.dataType) else c.getField(f.name)
+        return F.when(c.isNotNull(), F.struct(*(put(f).alias(f.name) for f in kind)))
+    if isinstance(kind, ArrayType):
+        return F.zip_with(c, texts, lambda x, t: _put_back(x, t, kind.elementType)) if _has_text(kind.elementType) else c
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda k, v: _put_back(v, F.element_at(texts, k), kind.valueType)) if _has_text(kind.valueType) else c
+    return texts
+
+
 def redact_tree(rows: DataFrame, columns: list[str], rules: list[tuple[str, str, str, str]] = REDACTION_RULES, domains: tuple[str, ...] = (), prefixes: tuple[str, ...] = EMPLOYEE_PREFIXES) -> DataFrame:
-    """``rows`` with every string inside ``columns`` redacted, however deeply nested (tool arguments, results, blocks); types stay.
+    """``rows`` with every string inside ``columns`` redacted, however deeply nested (tool arguments, results, blocks).
 
-    Strings under ``STRUCTURAL_KEYS`` stay as they are, so that messages keep their places. Adds ``redactions`` and ``is_high``.
+    Only strings go through the rules; times, numbers and binary values stay the very values that they were. Strings under ``STRUCTURAL_KEYS`` stay as well, so that messages
+    keep their places. Maps have string keys. Adds ``redactions`` and ``is_high``.
     """
-    whole = F.struct(*columns)
-    df = rows.withColumn("__r", _redactor(rules, domains, prefixes, nested=True)(F.to_json(whole)))
-    df = df.withColumn("__t", F.from_json("__r.text", rows.select(*columns).schema))
-    return _reported(df.withColumns({c: F.col("__t").getField(c) for c in columns})).drop("__t")
+    kinds = {c: rows.schema[c].dataType for c in columns}
+    some = {c: kind for c, kind in kinds.items() if _has_text(kind)}
+    skeleton = F.struct(*(_texts_of(F.col(c), kind).alias(c) for c, kind in some.items())) if some else F.struct(F.lit(None).cast("string").alias("none"))
+    shape = rows.select(skeleton.alias("__s")).schema["__s"].dataType
+    df = rows.withColumn("__r", _redactor(rules, domains, prefixes, nested=True)(F.to_json(skeleton)))
+    df = df.withColumn("__t", F.from_json("__r.text", shape))
+    return _reported(df.withColumns({c: _put_back(F.col(c), F.col("__t").getField(c), kind) for c, kind in some.items()})).drop("__t")
 
 
 def review_flags(rows: DataFrame, key: str, column: str) -> DataFrame:

@@ -73,6 +73,8 @@ def with_roles(body: str) -> str:
         if name in body.replace("(", " ").replace(")", " ").replace(",", " ").split():
             found.append(f"{name} AS ({ROLES[name]})")
     head, sep, rest = body.strip().partition("WITH ")
+    if head == "" and rest.startswith("RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join([*found, rest.removeprefix('RECURSIVE ')])}"
     if head == "" and sep:
         return f"WITH {', '.join(found)}, {rest}" if found else body
     return f"WITH {', '.join(found)} {body}" if found else body
