@@ -142,3 +142,38 @@ def test_last_row_of_a_key_counts(spark, tmp_path):
         spark.createDataFrame([(i * 10 + j, j % 2, 0.5, float(i), *[0.4] * 5) for j in range(4)], f"reward_id long, experience_id long, confidence double, at double, {R}").withColumn("created_at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert sorted((r["experience_id"], r["updates"]) for r in jobs.run_to_table(jobs.online_q(stream), "update", ["experience_id"]).collect()) == [(0, 6), (1, 6)]
+
+
+def test_any_cut_of_a_session_gives_the_segments_of_the_whole(spark, tmp_path):
+    from tracelake.sources import sessions as se
+    from tracelake.streaming import stored
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(4):
+        for t in range(rng.choice([1, 30, 60])):
+            rows.append((f"s{k}", t, rng.choice(["user", "assistant"]), rng.choice(["ok", "do the next thing", "x" * 70, "[task-summary]: all done", None, "mention of [task-summary]: inside"])))
+
+    def loop(session):
+        out, seg, n, size, closed = [], 0, 0, 0, True
+        for _, t, role, text in (r for r in rows if r[0] == session):
+            task = role == "user" and text not in (None, "ok")
+            if closed or task and (n >= 4 or size >= 200):
+                seg, n, size = seg + 1, 0, 0
+                out.append([session, seg, t, t, 0, 0, False])
+            n, size = n + 1, size + len(text or "")
+            closed = (text or "").startswith("[task-summary]") or n >= 8 or size >= 400
+            out[-1][3:] = [t, n, size, closed]
+        return [tuple(x) for x in out]
+
+    want = sorted(x for k in range(4) for x in loop(f"s{k}"))
+    df = spark.createDataFrame(rows, "session_id string, turn int, role string, text string")
+    assert sorted(map(tuple, se.segments_of(se.segment_turns(df.repartition(3), None, 4, 200)).collect())) == want
+    for cuts in ([5], [1, 2, 3, 29, 31]):
+        t, number, first = stored.segments(spark, str(tmp_path / str(len(cuts)))), 0, 0
+        each = stored.store_segments(t, 4, 200)
+        for last in [*cuts, 100]:
+            each(df.where((F.col("turn") >= first) & (F.col("turn") < last)), number)
+            each(df, number)  # replayed
+            first, number = last, number + 1
+        assert sorted(map(tuple, t.read().collect())) == want

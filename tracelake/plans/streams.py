@@ -52,6 +52,17 @@ def _learned(r: _Roles) -> str:
 
 
 
+def _turns(r: _Roles) -> DataFrame:
+    """Conversations strung together by tens, with a task summary here and there."""
+    mark = F.when(F.expr("(conv_id + turn) % 23 = 0"), F.concat("text", F.lit("\n[task-summary]: done"))).otherwise(F.col("text"))
+    return r.conversations.select(F.concat(F.lit("s"), F.floor(F.col("conv_id") / 10)).alias("session_id"), F.expr("conv_id % 10 * 100 + turn").cast("int").alias("turn"), "role", mark.alias("text"), F.expr("conv_id % 10 * 100 + turn").alias("at"))
+
+
+def _segments(r: _Roles) -> DataFrame:
+    path = _fed(r, _turns(r), ["at", "session_id"], lambda p: stored.store_segments(stored.segments(r.spark, f"{p}/table"), 4, 2500))
+    return stored.segments(r.spark, f"{path}/table").read()
+
+
 def _open_lines(r: _Roles) -> DataFrame:
     kind = F.when(F.col("role") == "user", "task_started").when(F.col("role") == "assistant", F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "turn_aborted").otherwise("task_complete")).otherwise("other")
     return _stream(r, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("int").alias("line"), kind.alias("kind"))
@@ -83,6 +94,15 @@ _add("m2_ingest_once", _uploads,
      SELECT experience_id, CASE WHEN experience_id % 10 <> 0 AND first < experience_id THEN first END AS duplicate_of FROM x""")
 _add("m3_stored_sessions", _sessions,
      "SELECT agent_id, session_id, experience_id, CAST(turn_count AS INT) AS turn_count FROM (SELECT *, row_number() OVER (PARTITION BY agent_id, session_id ORDER BY turn_count DESC, created_at, experience_id) AS rn FROM experiences WHERE session_id <> '') WHERE rn = 1")
+_add("t4_growing_segments", _segments,
+     """WITH RECURSIVE t AS (SELECT concat('s', conv_id // 10) AS session_id, CAST(conv_id % 10 * 100 + turn AS INT) AS turn, role = 'user' AS starts, (conv_id + turn) % 23 = 0 AS ends, CAST(strlen(text) + CASE WHEN (conv_id + turn) % 23 = 0 THEN 21 ELSE 0 END AS BIGINT) AS size FROM conversations),
+     n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS rn FROM t),
+     f(session_id, rn, turn, segment, first_turn, turns, bytes, closed) AS (
+       SELECT session_id, rn, turn, 1, turn, 1, size, ends OR 1 >= 8 OR size >= 5000 FROM n WHERE rn = 1
+       UNION ALL SELECT n.session_id, n.rn, n.turn, f.segment + CASE WHEN fresh THEN 1 ELSE 0 END, CASE WHEN fresh THEN n.turn ELSE f.first_turn END, CASE WHEN fresh THEN 1 ELSE f.turns + 1 END, CASE WHEN fresh THEN n.size ELSE f.bytes + n.size END,
+         n.ends OR CASE WHEN fresh THEN 1 ELSE f.turns + 1 END >= 8 OR CASE WHEN fresh THEN n.size ELSE f.bytes + n.size END >= 5000
+       FROM (SELECT f.*, f.closed OR (n.starts AND (f.turns >= 4 OR f.bytes >= 2500)) AS fresh FROM f JOIN n ON n.session_id = f.session_id AND n.rn = f.rn + 1) f JOIN n ON n.session_id = f.session_id AND n.rn = f.rn + 1)
+     SELECT session_id, CAST(segment AS INT) AS segment, arg_max(first_turn, turn) AS first_turn, max(turn) AS last_turn, CAST(arg_max(turns, turn) AS INT) AS turns, arg_max(bytes, turn) AS bytes, arg_max(closed, turn) AS closed FROM f GROUP BY 1, 2""")
 _add("m4_closed_tasks", lambda r: jobs.run_to_table(jobs.closed_tasks(_open_lines(r)), "append"),
      """WITH u AS (SELECT conv_id, turn AS first_line, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS task, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations WHERE role = 'user'),
      e AS (SELECT u.conv_id, task, first_line, next, min(a.turn) AS ended FROM u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > first_line AND (next IS NULL OR a.turn < next) GROUP BY ALL)

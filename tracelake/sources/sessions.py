@@ -154,21 +154,58 @@ def task_spans(lines: DataFrame, done: bool = True) -> DataFrame:
     return out.where("status <> 'open'") if done else out
 
 
+#: A turn that closes its segment.
+SUMMARY_LINE = r"(?im)^\s*\[task-summary\]\s*[:：]"
+SEGMENT_STATE = "session_id string, segment int, first_turn int, last_turn int, turns int, bytes long, closed boolean"
+
+
+def segment_turns(turns: DataFrame, stored: DataFrame | None = None, soft: int = 240, soft_bytes: int = 4 << 20) -> DataFrame:
+    """The segment of each turn, with what its segment holds up to it: the columns of ``SEGMENT_STATE`` with ``last_turn`` for the turn.
+
+    A new segment begins before a request worth keeping once the current has ``soft`` turns or ``soft_bytes``, after a turn with a task summary, and after twice those limits. ``stored`` has
+    the last segment of sessions that go on (``SEGMENT_STATE``); their new turns continue it, so a session may come in any number of parts. A task reads its
+    sessions turn by turn, sorted by Spark, and holds nothing but the current segment's numbers.
+    """
+    from tracelake.operators.review import is_task
+
+    text = F.coalesce("text", F.lit(""))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("first_turn", "int"), ("turns", "int"), ("bytes", "long"), ("closed", "boolean"))]
+    new = turns.select("session_id", F.col("turn").cast("int").alias("turn"), F.lit(None).cast("int").alias("segment"), *none, ((F.col("role") == "user") & is_task(text)).alias("starts"), text.rlike(SUMMARY_LINE).alias("ends"), F.octet_length(text).cast("long").alias("size"))
+    if stored is not None:
+        known = turns.select("session_id").distinct()
+        old = stored.join(known, "session_id", "left_semi").select("session_id", F.lit(-1).alias("turn"), "segment", "first_turn", "turns", "bytes", "closed", F.lit(False).alias("starts"), F.lit(False).alias("ends"), F.lit(0).cast("long").alias("size"))
+        new = old.unionByName(new)
+    rows = new.repartition("session_id").sortWithinPartitions("session_id", "turn")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, seg, first, n, size, closed = None, 0, 0, 0, 0, True
+        for batch in batches:
+            out = []
+            for session, turn, segment, old_first, turns_, bytes_, closed_, starts, ends, length in batch.itertuples(index=False):
+                if session != at:
+                    at, seg, n, size, closed = session, 0, 0, 0, True
+                if turn == -1:
+                    seg, first, n, size, closed = int(segment), int(old_first), int(turns_), int(bytes_), bool(closed_)
+                    continue
+                if closed or starts and (n >= soft or size >= soft_bytes):
+                    seg, first, n, size = seg + 1, turn, 0, 0
+                n, size = n + 1, size + int(length)
+                closed = bool(ends) or n >= 2 * soft or size >= 2 * soft_bytes
+                out.append((session, seg, first, turn, n, size, closed))
+            yield pd.DataFrame(out, columns=["session_id", "segment", "first_turn", "last_turn", "turns", "bytes", "closed"])
+
+    return rows.mapInPandas(run, SEGMENT_STATE)
+
+
+def segments_of(assigned: DataFrame) -> DataFrame:
+    """One row a segment of ``segment_turns``, as ``SEGMENT_STATE``."""
+    names = [c.split(" ")[0] for c in SEGMENT_STATE.split(", ")]
+    return assigned.groupBy("session_id", "segment").agg(F.max_by(F.struct(*names), "last_turn").alias("x")).select("x.*")
+
+
 def split_long(turns: DataFrame, soft: int = 240, soft_bytes: int = 4 << 20) -> DataFrame:
-    """Segments of long sessions: a new one before a user turn with text once the current has ``soft`` turns or ``soft_bytes``, and anywhere at twice that. ``segment_id`` is stable while the session grows."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("turn")
-        ids, seg, n, size = [], 1, 0, 0
-        for role, text in zip(group["role"], group["text"], strict=True):
-            length = len((text or "").encode())
-            if n and (role == "user" and (text or "").strip() and (n >= soft or size >= soft_bytes) or n >= 2 * soft or size >= 2 * soft_bytes):
-                seg, n, size = seg + 1, 0, 0
-            n, size = n + 1, size + length
-            ids.append(f"seg-{seg:04d}")
-        return pd.DataFrame({"session_id": group["session_id"], "turn": group["turn"], "segment_id": ids})
-
-    return turns.select("session_id", "turn", "role", "text").groupBy("session_id").applyInPandas(run, "session_id string, turn int, segment_id string")
+    """``(session_id, turn, segment_id)`` of long sessions. ``segment_id`` is stable while the session grows."""
+    return segment_turns(turns, None, soft, soft_bytes).select("session_id", F.col("last_turn").alias("turn"), F.format_string("seg-%04d", "segment").alias("segment_id"))
 
 
 def detect_source(records: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.constants import DIMS
 from tracelake.operators.credit import fold, fold_log
+from tracelake.sources.sessions import SEGMENT_STATE, segment_turns, segments_of
 from tracelake.streaming.tables import KeyedTable
 
 _Q = ", ".join(f"q_{d} double" for d in DIMS)
@@ -101,6 +102,23 @@ def learn(table: KeyedTable, log: str, start: DataFrame | None = None) -> Callab
     return each
 
 
+def segments(spark: SparkSession, path: str) -> KeyedTable:
+    """Segments of sessions; the last one of a session grows in place."""
+    return KeyedTable(spark, path, SEGMENT_STATE, ["session_id", "segment"], lambda: [F.col("last_turn")], by=["session_id"])
+
+
+def store_segments(table: KeyedTable, soft: int = 240, soft_bytes: int = 4 << 20) -> Callable[[DataFrame, int], None]:
+    """New turns of sessions continue their last stored segment under its number, or begin the next."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        if number <= table.last_commit():
+            return
+        last = table.rows_like(batch).groupBy("session_id").agg(F.max_by(F.struct("segment", "first_turn", "last_turn", "turns", "bytes", "closed"), "segment").alias("x")).select("session_id", "x.*")
+        table.merge(segments_of(segment_turns(batch, last, soft, soft_bytes)), number)
+
+    return each
+
+
 def read_log(spark: SparkSession, log: str, schema: str) -> DataFrame:
     """All batches of a log."""
     rows = spark.read.schema(schema).parquet(log)

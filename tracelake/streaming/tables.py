@@ -19,9 +19,10 @@ def _files(spark: SparkSession, path: str):
 
 
 class KeyedTable:
-    """``schema`` is a DDL text; ``keys`` its key columns; ``best`` gives the columns by which the row of a key that stays is the largest."""
+    """``schema`` is a DDL text; ``keys`` its key columns; ``best`` gives the columns by which the row of a key that stays is the largest; ``by``: the key columns that decide the part, if not all."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], best: Callable[[], list[Column]], parts: int = 64):
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], best: Callable[[], list[Column]], parts: int = 64, by: list[str] | None = None):
+        self.by = by or keys
         self.spark, self.path, self.schema, self.keys, self.best, self.parts = spark, path.rstrip("/"), schema, keys, best, parts
 
     def last_commit(self) -> int:
@@ -52,7 +53,7 @@ class KeyedTable:
         return self._read(self._current(self._touched(batch)))
 
     def _part(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        return F.pmod(F.xxhash64(*self.by), F.lit(self.parts)).cast("int")
 
     def _touched(self, batch: DataFrame) -> list[int]:
         return [r["part"] for r in batch.select(self._part().alias("part")).distinct().collect()]
