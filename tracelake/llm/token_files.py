@@ -35,7 +35,7 @@ TOKENIZER = "byte_bpe_50k.json"
 MAGIC, END = b"S8TOKENS", "\nS8END.\n"
 BLOCK, FRAME_IDS, FRAMES_A_FILE = 1024, 65_536, 32
 #: Bytes of text encoded at a time, unless one text has more; bytes of remembered stretches and their ids.
-CHUNK_BYTES, _KEPT_BYTES = 4_000_000, 130_000_000
+CHUNK_BYTES, _KEPT_BYTES = 8_000_000, 130_000_000
 _HEADER = 8
 _READ = "doc_id long, part long, part_start long, n_tokens long, ids binary"
 
@@ -125,10 +125,12 @@ class Encoder:
         if self.held > _KEPT_BYTES:
             self._forget()
         self._learn([s for s in names if s not in self.known])
-        own = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[which]
-        n = self.size[own]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.first[own] - (ends - n), n) + np.arange(ends[-1])]
+        own = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        n = self.size[own].astype(np.int32)[which]
+        ends = np.cumsum(n, dtype=np.int64)
+        place = np.repeat((self.first[own][which] - ends + n).astype(np.int32), n)  # what is held, and a chunk's ids, are far below 2^31
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = self.flat[place]
         return ids, np.concatenate([[0], ends])[np.searchsorted(at, borders)]
 
 
