@@ -26,9 +26,10 @@ def _top(section: str, df: DataFrame, name: str, n: str, k: int) -> DataFrame:
 
 def dashboard(e: DataFrame, as_of: str, top: int = 10) -> DataFrame:
     """Total, counts by review, task and sensitivity, rows of the last seven days up to ``as_of``, and the most reused rows (those that were reused at all)."""
-    facets = facet_counts(e, "review_status", "task_type", "sensitivity")
+    facets = facet_counts(e, "review_status", "task_type", "sensitivity").where("facet IS NOT NULL")
+    total = _rows("total", e.agg(F.count("*").alias("n")), F.lit(None), F.col("n"))  # grouping sets give none for no rows
     week = e.where(F.col("created_at") >= F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 7 DAYS")).agg(F.count("*").alias("n"))
-    return _all(facets.select(F.coalesce("facet", F.lit("total")).alias("section"), F.col("value").cast("string").alias("name"), F.col("n").cast("long").alias("n")), _rows("last_7_days", week, F.lit(None), F.col("n")), _top("top_reused", e.where("reuse_count > 0"), "experience_id", "reuse_count", top))
+    return _all(total, facets.select(F.col("facet").alias("section"), F.col("value").cast("string").alias("name"), F.col("n").cast("long").alias("n")), _rows("last_7_days", week, F.lit(None), F.col("n")), _top("top_reused", e.where("reuse_count > 0"), "experience_id", "reuse_count", top))
 
 
 def skill_overview(skills: DataFrame, top: int = 10) -> DataFrame:
