@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from tracelake.llm import phrase_mining as pm
@@ -72,3 +73,28 @@ def test_paths_are_as_long_as_what_always_goes_on(spark):
 def test_no_documents_no_phrases(spark):
     assert pm.mine_phrases(spark.createDataFrame([], "lang string, text string")).collect() == []
     assert pm.mine_phrases(spark.createDataFrame([("en", "a b c")], "lang string, text string")).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_flows_do_not_depend_on_batches(size):
+    rng = random.Random(size)
+    rows = []
+    for _ in range(300):
+        w = [rng.randrange(1, 4) for _ in range(4)]
+        cut = rng.choice([2, 3, 4, 4, 4])
+        rows.append((*w[:cut], *[0] * (4 - cut), rng.randrange(1, 5)))
+    rows.sort()
+    batches = (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], names=["w1", "w2", "w3", "w4", "a"]) for i in range(0, len(rows), size))
+    got = Counter()
+    for b in pm._flows(9)(batches):
+        for *w, a in zip(*(c.to_pylist() for c in b.columns)):
+            got[tuple(w)] += a
+    edges, flows, twos = Counter(), Counter(), Counter()
+    for *w, a in rows:
+        edges[tuple(w)] += a
+        flows[tuple(w[:3])] += a
+        twos[tuple(w[:2])] += a
+        if w[2] and not w[3]:
+            twos[w[1], w[2]] += a
+    want = Counter({k: a for k, a in edges.items() if k[3] and a >= 9}) + Counter({(*k, 0): a for k, a in flows.items() if k[2] and a >= 9}) + Counter({(*k, 0, 0): a for k, a in twos.items()})
+    assert got == want

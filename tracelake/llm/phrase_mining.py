@@ -142,26 +142,63 @@ def _parts(*spans: tuple[int, int]):
     return F.array(*(F.struct(*((F.col(_W[first + i]) if i < n else zero).alias(_W[i]) for i in range(4))) for first, n in spans))
 
 
+def _flows(least: int):
+    """Edges, sorted, to frequent edges and nodes, and to what nodes and piece ends give to runs of two words. All that is carried from batch to batch is the last edge and its node's flow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge, node, carried = np.zeros((5, 0), np.int64), None, 0  # the edge that may go on, and its node with the flow of its earlier edges
+
+        def row(*columns) -> np.ndarray:
+            n = max(len(c) for c in columns if isinstance(c, np.ndarray))
+            return np.stack([c if isinstance(c, np.ndarray) else np.full(n, c) for c in columns])
+
+        def step(rows: np.ndarray, last: bool) -> pa.RecordBatch:
+            nonlocal edge, node, carried
+            rows = np.concatenate([edge, rows], axis=1)
+            at = np.flatnonzero(np.append(True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)))
+            rows = np.concatenate([rows[:4, at], np.add.reduceat(rows[4], at)[None]])
+            edge = rows[:, rows.shape[1] if last else -1 :]
+            rows = rows[:, : rows.shape[1] if last else -1]
+            w1, w2, w3, w4, a = rows
+            some, end = (w4 > 0) & (a >= least), (w4 == 0) & (w3 > 0)
+            out = [rows[:, some], row(w2[end], w3[end], 0, 0, a[end])]
+            if rows.shape[1]:
+                at = np.flatnonzero(np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
+                nodes, flow = rows[:3, at], np.add.reduceat(a, at)
+            else:
+                nodes, flow = rows[:3], a
+            if node is not None:
+                if nodes.shape[1] and (nodes[:, 0] == node).all():
+                    flow[0] += carried
+                else:
+                    nodes, flow = np.concatenate([node[:, None], nodes], axis=1), np.append(carried, flow)
+                node = None
+            if not last and nodes.shape[1] and (nodes[:, -1] == edge[:3, 0]).all():
+                node, carried, nodes, flow = nodes[:, -1].copy(), int(flow[-1]), nodes[:, :-1], flow[:-1]
+            if nodes.shape[1]:
+                some = (nodes[2] > 0) & (flow >= least)
+                at = np.flatnonzero(np.append(True, (nodes[:2, 1:] != nodes[:2, :-1]).any(axis=0)))
+                out += [row(*nodes[:, some], 0, flow[some]), row(*nodes[:2, at], 0, 0, np.add.reduceat(flow, at))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=[*_W, "a"])
+
+        for batch in batches:
+            if batch.num_rows:
+                yield step(np.stack([batch.column(c).to_numpy() for c in (*_W, "a")]), False)
+        if edge.shape[1]:
+            yield step(np.zeros((5, 0), np.int64), True)
+
+    return run
+
+
 def _frequent_runs(edges: DataFrame, least: int) -> DataFrame:
     """Runs of two to four words that occur ``least`` times: ``w1``..``w4`` (0 for none) and ``a``.
 
-    Edges meet at the node that they leave, so their own counts and the node's flow (f of three words) need one shuffle; of a node only its flow goes on, to the two
+    Edges meet, sorted, at the node that they leave, so their own counts and the node's flow (f of three words) need one shuffle; of a node only its flow goes on, to the two
     words that it begins with, and of a piece's end its last two words.
     """
-    node = Window.partitionBy("w1", "w2", "w3")
-    at = edges.repartition("w1", "w2", "w3").groupBy(*_W).agg(F.sum("a").alias("a"))
-    at = at.withColumns({"flow": F.sum("a").over(node), "nth": F.row_number().over(node.orderBy("w4"))})
-    zero = F.lit(0).cast("long")
-    run = lambda when, *words: F.when(when, F.struct(*(F.coalesce(w, zero).alias(n) for w, n in zip((*words[:-1], *[zero] * 4), _W)), words[-1].alias("a")))
-    w = [F.col(x) for x in _W]
-    once = F.col("nth") == 1
-    found = F.array_compact(
-        F.array(
-            run((w[3] > 0) & (F.col("a") >= least), *w, F.col("a")), run(once & (w[2] > 0) & (F.col("flow") >= least), *w[:3], F.col("flow")),
-            run(once, *w[:2], F.col("flow")), run((w[2] > 0) & (w[3] == 0), *w[1:3], F.col("a")),
-        )
-    )
-    return at.select(F.explode(found).alias("run")).select("run.*").groupBy(*_W).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    longs = ", ".join(f"{w} long" for w in (*_W, "a"))
+    found = edges.repartition("w1", "w2", "w3").sortWithinPartitions(*_W).mapInArrow(_flows(least), longs)
+    return found.groupBy(*_W).agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def unary_paths(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
