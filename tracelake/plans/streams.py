@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.constants import DIMS
 from tracelake.operators import credit
 from tracelake.operators.dedup import shared_folder
-from tracelake.plans.catalog import _SESSION_COLUMNS, _stream
+from tracelake.plans.catalog import _Q, _SESSION_COLUMNS, _stream
 from tracelake.plans.registry import _add, _Roles, _rounded
 from tracelake.streaming import jobs, stored
 
@@ -114,3 +114,10 @@ _add("m5_stored_q", lambda r: _rounded(stored.learned(r.spark, f"{_learned(r)}/t
 _add("t14_credit_log", lambda r: _shown(credit.credit_log(r.experiences, r.edges, r.rewards), "child_id"),
      "WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY experience_id ORDER BY created_at DESC, reward_id DESC) AS rn FROM rewards) WHERE rn = 1), "
      + _log_sql(f"SELECT parent_id AS experience_id, child_id, d.created_at, 0.2 * confidence AS e, {_RS} FROM edges d JOIN l ON l.experience_id = child_id WHERE NOT credit_applied", "v.created_at, child_id", "child_id", f"SELECT experience_id, {_QS} FROM experiences"))
+_add("t16_feedback_log", lambda r: _shown(credit.feedback_log(r.experiences, r.reuse_items), "event_id"),
+     """WITH i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id, experience_id, chunk_id ORDER BY feedback_at, item_id) AS rn FROM reuse_items WHERE feedback_at IS NOT NULL AND reward IS NOT NULL) WHERE rn = 1),
+     c AS (SELECT event_id, experience_id, CASE WHEN reward < -1 THEN -1 WHEN reward > 1 THEN 1 ELSE reward END AS r, CASE WHEN confidence IS NULL THEN 0.35 WHEN confidence < 0 THEN 0 WHEN confidence > 1 THEN 1 ELSE confidence END AS c, feedback_at AS seen FROM i),
+     p AS (SELECT event_id, experience_id, CASE WHEN sum(c) > 0 THEN sum(r * c) / sum(c) ELSE avg(r) END AS reward, 0.2 * avg(c) AS e, max(seen) AS seen FROM c GROUP BY 1, 2), """
+     + _log_sql(
+         "SELECT experience_id, event_id, seen, e, reward AS r_outcome, reward AS r_intent, reward AS r_execution, reward * 0.6 AS r_orchestration, reward * 0.4 AS r_expression FROM p", "v.seen, event_id", "event_id",
+         f"SELECT experience_id, {', '.join(f'CASE WHEN q_update_count > 0 OR abs({_Q}) > 1e-9 THEN q_{d} ELSE greatest(-1, least(1, trajectory_score)) END AS q_{d}' for d in DIMS)} FROM experiences"))
