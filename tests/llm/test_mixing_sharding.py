@@ -135,3 +135,17 @@ def test_shards_of_nothing_and_one(spark):
     assert pack_shards(df).count() == 0
     one = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert [(r["size"], r["slot"]) for r in pack_shards(one).collect()] == [(8, 0)]
+
+
+def test_sizes_are_near_equal(spark):
+    """Thousands of documents of very different lengths, with groups of copies, and 24 shards."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(int(rng.lognormvariate(4, 1))))) for i in range(6000)] + [(7000 + i, "one text that many rows share") for i in range(1500)]
+    got = pack_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=24).collect()
+    size, n = Counter(), Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+        n[r["shard"]] += 1
+    assert len(got) == len(rows) and len(size) == 24
+    assert max(size.values()) <= 1.01 * min(size.values())
+    assert max(n.values()) <= 1.02 * min(n.values())
