@@ -191,6 +191,17 @@ def _walk(ids: np.ndarray, begins: np.ndarray, queries: np.ndarray, idf: np.ndar
     return run
 
 
+#: A table of fewer bytes a core than a split has is dealt to the cores before its texts are worked on; what that shuffles is bounded by as many splits as there are cores.
+SPLIT_BYTES = 128 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores if their files are too small to be split that far, else as they are. The size is the optimizer's estimate, nothing runs for it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 1.2, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id, score, rank, signal)``: BM25 of any query term, the top ``k``, and 1 - rank / hits. Query ids are unique.
 
@@ -199,7 +210,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 200, k1: float = 1.2, b:
     """
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    text = dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")))
     scores = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
     for i in range(n_blocks):
         own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).collect()  # about QUERY_BLOCK queries

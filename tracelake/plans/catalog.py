@@ -465,7 +465,7 @@ def _lexical(r: _Roles) -> DataFrame:
 
 def _vectors(r: _Roles) -> tuple[DataFrame, DataFrame]:
     queries = r.benchmark.select(F.col("item_id").alias("query_id"), embedding.embed(F.col("text")).alias("vector"))
-    return queries, r.documents.select(F.col("doc_id").alias("experience_id"), embedding.embed(F.col("text")).alias("vector"))
+    return queries, search.dealt(r.documents.select("doc_id", "text")).select(F.col("doc_id").alias("experience_id"), embedding.embed(F.col("text")).alias("vector"))
 
 
 def _hybrid(r: _Roles) -> DataFrame:
