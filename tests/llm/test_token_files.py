@@ -64,6 +64,39 @@ def test_packing_comes_back(runs, block, seed):
         assert (unpack(words[blocks[k][0] : last[0]], escapes[blocks[k][1] : last[1]]) == values[k * block : (k + 1) * block]).all()
 
 
+def test_common_stretches_outlive_rare_ones(monkeypatch):
+    """However many different words pass through, the library is given those of most batches only once or twice."""
+    with open(PATH, encoding="utf-8") as file:
+        encoder = tf.Encoder(file.read())
+    monkeypatch.setattr(tf, "_KEPT_BYTES", 60_000)
+    asked, library_ids = [], encoder._library
+
+    def counted(texts):
+        asked.extend(texts)
+        return library_ids(texts)
+
+    monkeypatch.setattr(encoder, "_library", counted)
+    common, letters = [f" common{c}x" for c in "abcdefghij"], np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rng, whole, most = np.random.default_rng(3), library(), 0
+    for _ in range(30):
+        rare = [" " + "".join(rng.choice(letters, 8)) for _ in range(150)]
+        texts = ["".join(common + rare), "".join(rare[:20] + common), "x,\n é" + rare[0]]
+        assert coded(encoder, texts) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        most = max(most, encoder.held)
+    assert all(sum(row.count(c) for row in asked) <= 2 for c in common)
+    assert most < 60_000 + 200 * 200
+
+
+def test_letters_end_before_any_sign(encoder):
+    """Each letter up to U+023F before each visible character of ASCII, and each of those after a line end, gives the library's ids and few stretches."""
+    signs = [chr(c) for c in range(0x21, 0x7F)]
+    letters = [chr(c) for c in range(0x41, 0x240) if chr(c).isalpha()] + ["×", "÷", "²", "ª", "\x80"]
+    texts = ["".join(f"{a}{b}s{b}\n{b}{a}\n{a}" for b in signs) for a in letters]
+    assert coded(encoder, texts) == [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    text = np.frombuffer("año###señor-y(tú)9 más\n- no".encode(), np.uint8)
+    assert [x.tobytes().decode() for x in np.split(text, np.flatnonzero(tf._borders(text)))] == ["año", "###señor", "-y", "(tú", ")9", " más", "\n", "-", " no"]
+
+
 def greedy(values):
     """The packing rule in plain loops: number of words."""
     i = n = 0
@@ -78,6 +111,8 @@ def test_selectors_are_taken_greedily():
     rng = np.random.default_rng(5)
     values = np.concatenate([rng.integers(0, 1 << w, n) for w, n in [(0, 500), (1, 130), (3, 70), (16, 40), (40, 9), (12, 33), (62, 3), (0, 239)]]).astype(np.uint64)
     assert len(pack(values, 1 << 20)[0]) == greedy([int(v) for v in values])
+    for block in (1, 64, 300):
+        assert len(pack(values, block)[0]) == sum(greedy([int(v) for v in values[i : i + block]]) for i in range(0, len(values), block))
 
 
 def test_files_hold_every_document_in_order(spark, tmp_path, monkeypatch):

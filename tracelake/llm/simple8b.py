@@ -44,13 +44,22 @@ def pack(values: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray,
                 most[2 * p] = np.maximum(most[p][:-p], most[p][p:])
             p *= 2
         end = len(bits) - count + 1
-        ahead = np.maximum(most[p][:end], most[p][count - p : count - p + end])
-        np.copyto(best[:end], np.uint8(s), where=ahead <= width)
-    step, starts, i, end = _COUNT.astype(np.uint8)[best].tobytes(), [], 0, len(bits) - 1 - (blocks * block - n)
-    while i < end:  # a word begins where the one before it ends; a wall is a word that is left out
+        fits = np.maximum(most[p][:end], most[p][count - p : count - p + end]) <= width
+        if fits.any():
+            np.copyto(best[:end], np.uint8(s), where=fits)
+    end = len(bits) - 1 - (blocks * block - n)
+    jump = np.minimum(np.arange(end + 1, dtype=np.int32) + _COUNT.astype(np.uint8)[best[: end + 1]], end, dtype=np.int32)
+    jumps = [jump]  # a word begins where the one before it ends; a wall is a word that is left out; by 1, 2, 4, .. words
+    while len(jumps) < 6:
+        jumps.append(jumps[-1][jumps[-1]])
+    far, starts, i = memoryview(jumps.pop()), [], 0
+    while i < end:
         starts.append(i)
-        i += step[i]
+        i = far[i]
     first = np.array(starts, np.int64)
+    for jump in reversed(jumps):
+        first = np.stack([first, jump[first]], axis=1).reshape(-1)
+    first = first[first < end]
     first = first[first % (block + 1) < block]
     chosen = best[first].astype(np.int64)
     first -= first // (block + 1)

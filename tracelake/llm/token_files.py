@@ -18,7 +18,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ from tracelake.llm.words import chunks
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC, END = b"S8TOKENS", "\nS8END.\n"
 BLOCK, FRAME_IDS, FRAMES_A_FILE = 1024, 65_536, 32
-#: Bytes of text encoded at a time, unless one text has more; bytes of remembered stretches and their ids.
-CHUNK_BYTES, _KEPT_BYTES = 8_000_000, 130_000_000
+#: Bytes of text encoded at a time, unless one text has more; bytes of remembered stretches and their ids, and of one beside its letters.
+CHUNK_BYTES, _KEPT_BYTES, _ENTRY_BYTES = 8_000_000, 130_000_000, 180
 _HEADER = 8
 _READ = "doc_id long, part long, part_start long, n_tokens long, ids binary"
 
@@ -47,9 +47,10 @@ def _borders(data: np.ndarray) -> np.ndarray:
     line = data == 10
     cut = np.zeros(len(data), bool)
     if len(data) > 1:
-        point = line | (data == 46) | (data == 44) | (data == 59) | (data == 58) | (data == 33) | (data == 63)
+        point = line | ((data - np.uint8(0x21)) < 0x5E) & ~letter
         cut[1:] = letter[:-1] & point[1:]
-        cut[2:] |= visible[:-2] & line[1:-1] & letter[2:]
+        cut[2:] |= ((data[:-2] - np.uint8(0xC3)) < 6) & ((data[1:-1] | np.uint8(32)) != 0xB7) & point[2:]
+        cut[2:] |= visible[:-2] & line[1:-1] & visible[2:]
         cut[:-1] |= (data[:-1] == 32) & visible[1:]
     return cut
 
@@ -58,9 +59,9 @@ class Encoder:
     """Ids of texts by a tokenizer of the tokenizers library.
 
     No piece of a byte-level tokenizer with its usual pattern crosses these places: before a space that stands before a visible character, between
-    a letter of ASCII and one of ``.,;:!?`` or a line end, and between a line end after a visible character and such a letter. The stretches
-    between them are found on the bytes of a whole batch, and each different one is encoded once, by the library, and remembered. Texts with
-    a special token in them, and all texts under any other kind of tokenizer, are encoded whole.
+    a letter up to U+023F and any other visible character of ASCII or a line end, and between a line end after a visible character and another
+    visible one. The stretches between them are found on the bytes of a whole batch, and each different one is encoded by the library and
+    remembered, as long as there is room. Texts with a special token in them, and all texts under any other kind of tokenizer, are encoded whole.
     """
 
     def __init__(self, config: str):
@@ -78,9 +79,22 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """``known`` has the place of each stretch in ``size`` and ``first``, and ``first`` the place of its ids in ``flat``."""
+        """``known`` numbers the stretches as they are learned. By that number ``size`` and ``first`` have the place of its ids in ``flat``, and ``uses`` the batches that held it."""
         self.known: dict[str, int] = {}
-        self.flat, self.first, self.size, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.flat, self.first, self.size, self.uses, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+
+    def _trim(self) -> None:
+        """Forget what one batch alone held, and of the rest what fewest held, down to half of what may be kept. Counts are halved, so that words of old batches make room."""
+        names, order = list(self.known), np.argsort(self.uses, kind="stable")[::-1]
+        cost = np.fromiter(map(len, names), np.int64, len(names)) + _ENTRY_BYTES
+        own = order[np.cumsum(cost[order]) <= _KEPT_BYTES // 2]
+        own = np.sort(own[self.uses[own] > 1])
+        sizes, uses, first = self.size[own], self.uses[own], self.first[own]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        flat = self.flat[np.repeat(first - ends + sizes, sizes) + np.arange(sizes.sum())]
+        self._forget()
+        self.known = {names[k]: i for i, k in enumerate(own.tolist())}
+        self.flat, self.first, self.size, self.uses, self.held = flat, (ends - sizes).astype(np.int32), sizes, uses // 2, int(cost[own].sum())
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -89,19 +103,22 @@ class Encoder:
 
     def _learn(self, stretches: list[str]) -> None:
         """Words that begin with a space are encoded in rows of 200: the ids that begin with a space tell them apart."""
-        words = [s for s in stretches if s[0] == " " and s[1:].isalpha()]
-        rest = [s for s in stretches if not (s[0] == " " and s[1:].isalpha())]
+        word = np.fromiter((s[0] == " " and s[1:].isalpha() for s in stretches), bool, len(stretches))
+        words, rest = list(compress(stretches, word)), list(compress(stretches, ~word))
         ids, _ = self._library(["".join(words[i : i + 200]) for i in range(0, len(words), 200)])
         cuts = np.flatnonzero(self.spaced[ids])
         if len(cuts) != len(words):
             raise ValueError("a space inside a word")
         others, sizes = self._library(rest)
-        sizes = np.concatenate([np.diff(np.append(cuts, len(ids))), sizes])
-        self.known.update(zip(chain(words, rest), range(len(self.known), len(self.known) + len(stretches)), strict=True))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
+        first, size = np.empty(len(stretches), np.int32), np.empty(len(stretches), np.int32)
+        first[word], size[word] = cuts, np.diff(np.append(cuts, len(ids)))
+        first[~word], size[~word] = len(ids) + np.cumsum(sizes) - sizes, sizes
+        self.known.update(zip(stretches, range(len(self.known), len(self.known) + len(stretches)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + first], dtype=np.int32)
+        self.size = np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(stretches), np.int32)])
         self.flat = np.concatenate([self.flat, ids, others])
-        self.held += sum(map(len, stretches)) + 180 * len(stretches)
+        self.held += sum(map(len, stretches)) + _ENTRY_BYTES * len(stretches)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a string array without nulls, one after another, and where each text's begin (one entry more)."""
@@ -121,14 +138,18 @@ class Encoder:
         cut[borders] = True
         at = np.flatnonzero(cut)
         stretches = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        which, names = np.asarray(stretches.indices), stretches.dictionary.to_pylist()
+        which, names = np.asarray(stretches.indices), stretches.dictionary.to_numpy(zero_copy_only=False)
+        del stretches
         if self.held > _KEPT_BYTES:
-            self._forget()
-        self._learn([s for s in names if s not in self.known])
-        own = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-        n = self.size[own].astype(np.int32)[which]
+            self._trim()
+        own = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(own < 0)
+        own[new] = len(self.known) + np.arange(len(new))
+        self._learn(names[new].tolist())
+        self.uses[own] += 1
+        n = self.size[own][which]
         ends = np.cumsum(n, dtype=np.int64)
-        place = np.repeat((self.first[own][which] - ends + n).astype(np.int32), n)  # what is held, and a chunk's ids, are far below 2^31
+        place = np.repeat(self.first[own][which] - ends.astype(np.int32) + n, n)  # what is held, and a chunk's ids, are far below 2^31
         place += np.arange(ends[-1], dtype=np.int32)
         ids = self.flat[place]
         return ids, np.concatenate([[0], ends])[np.searchsorted(at, borders)]
