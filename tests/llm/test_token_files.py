@@ -1,3 +1,4 @@
+import pickle
 import struct
 import zlib
 
@@ -144,5 +145,12 @@ def test_files_hold_every_document_in_order(spark, tmp_path, monkeypatch):
         list(tf.frames(names[0].read_bytes()[:-8] + b"\0" * 8))
 
 
+def test_executors_need_no_copy_of_the_package(spark, monkeypatch):
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or broadcast(self, value))
+    assert tf.token_ids(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).first()["n_tokens"] == 3
+    assert sent and not any(b"tracelake" in x for x in sent)
+
+
 def test_no_documents_no_ids(spark):
     assert tf.token_ids(spark.createDataFrame([], "doc_id long, text string")).collect() == []

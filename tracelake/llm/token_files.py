@@ -155,15 +155,11 @@ class Encoder:
         return ids, np.concatenate([[0], ends])[np.searchsorted(at, borders)]
 
 
-class Shared:
-    """The broadcast configuration. A worker makes one encoder of it, which keeps what it has learned from task to task."""
-
-    def __init__(self, config: str):
-        self.config, self.made = config, None
-
-    def encoder(self) -> Encoder:
-        self.made = self.made or Encoder(self.config)
-        return self.made
+def _encoder(shared: dict) -> Encoder:
+    """A worker makes one encoder of the broadcast configuration, and keeps it there with what it has learned from task to task. The dictionary is plain, so executors need no copy of this package."""
+    if "encoder" not in shared:
+        shared["encoder"] = Encoder(shared["config"])
+    return shared["encoder"]
 
 
 def frame(docs: list[tuple[int | None, np.ndarray]], part: int, before: int) -> bytes:
@@ -201,7 +197,7 @@ def decode_block(frame_parts: tuple[np.ndarray, ...], k: int) -> np.ndarray:
 
 def _packer(shared, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before, held, n = shared.value.encoder(), TaskContext.get().partitionId(), 0, [], 0
+        encode, part, before, held, n = _encoder(shared.value), TaskContext.get().partitionId(), 0, [], 0
         tail = np.uint32(end_id)
 
         def out() -> pa.RecordBatch:
@@ -237,7 +233,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     with open(tokenizer, encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(Shared(file.read()))
+        shared = spark.sparkContext.broadcast({"config": file.read()})
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     order = [F.col("doc_id"), F.col("h"), F.col("row")]  # the last splits rows that are the same in all
     dealt = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
