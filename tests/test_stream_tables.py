@@ -177,3 +177,21 @@ def test_any_cut_of_a_session_gives_the_segments_of_the_whole(spark, tmp_path):
             each(df, number)  # replayed
             first, number = last, number + 1
         assert sorted(map(tuple, t.read().collect())) == want
+
+
+def test_a_table_of_parts_is_a_stream_and_an_empty_one_gives_no_rows(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from tracelake.plans import streams  # noqa: F401  it registers m4
+    from tracelake.plans.registry import QUERIES
+    from tracelake.streaming import jobs
+
+    turns = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", "x") for c in range(6) for t in range(4)], "conv_id long, turn long, role string, text string")
+    turns.repartition(3, "conv_id").write.parquet(str(tmp_path / "parts" / "conversations.parquet"))
+    (tmp_path / "file").mkdir()
+    pq.write_table(pq.read_table(tmp_path / "parts" / "conversations.parquet"), tmp_path / "file" / "conversations.parquet")
+    got = [sorted(tuple(r) for r in QUERIES["m4_closed_tasks"](spark, str(tmp_path / kind)).collect()) for kind in ("parts", "file")]
+    assert got[0] == got[1] and len(got[0]) == 12
+    (tmp_path / "none").mkdir()
+    nothing = spark.readStream.schema("session_id string, line int, kind string").parquet(str(tmp_path / "none"))
+    assert jobs.run_to_table(jobs.closed_tasks(nothing), "append").collect() == []

@@ -396,8 +396,8 @@ def _turn_texts(r: _Roles) -> DataFrame:
 
 
 def _stream(r: _Roles, name: str) -> DataFrame:
-    """The table as a stream of files; a file source takes a folder and a pattern."""
-    df = r.spark.readStream.schema(getattr(r, name).schema).option("pathGlobFilter", f"{name}*.parquet").parquet(r.sf_dir)
+    """The table as a stream of files. The pattern stands for one file or a folder of parts; a plain path would have to be a folder."""
+    df = r.spark.readStream.schema(getattr(r, name).schema).parquet(f"{r.sf_dir}/{name}*.parquet")
     return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes))
 
 

@@ -107,16 +107,21 @@ def run_to_table(stream: DataFrame, mode: str = "complete", keys: list[str] | No
     """Run a stream over what is there now and give its result table: what each micro-batch sends is written to the shared folder by the executors.
 
     In complete mode a batch replaces the result, else batches add to it; with ``keys``, the row that the last batch sent for a key is the one that counts.
+    A stream that nothing has arrived on gives no rows.
     """
+    numbers = set()
     out = f"{shared_folder(stream.sparkSession)}/tracelake/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/result" if mode == "complete" else f"{out}/result/batch={number}")
+        numbers.add(number)
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    if not numbers:
+        return stream.sparkSession.createDataFrame([], stream.schema)
     found = stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/result")
-    if keys and mode != "complete":
+    if keys and mode != "complete" and len(numbers) > 1:
         batch = F.regexp_extract("_metadata.file_path", r"/batch=(\d+)/", 1).cast("long")
         found = found.withColumn("__batch", batch).groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "__batch").alias("row")).select("row.*")
     return found.select(*stream.columns)
