@@ -195,3 +195,66 @@ def test_a_table_of_parts_is_a_stream_and_an_empty_one_gives_no_rows(spark, tmp_
     (tmp_path / "none").mkdir()
     nothing = spark.readStream.schema("session_id string, line int, kind string").parquet(str(tmp_path / "none"))
     assert jobs.run_to_table(jobs.closed_tasks(nothing), "append").collect() == []
+
+
+def test_keys_of_a_group_have_states_of_their_own(spark, tmp_path, monkeypatch):
+    from tracelake.streaming import jobs
+
+    monkeypatch.setattr(jobs, "GROUPS", 3)
+    rng = random.Random(5)
+    ids = [None, *range(40), 2**60 + 1]
+    parts = [[(i * 1000 + j, rng.choice(ids), rng.choice([None, 0.0, 0.4, 1.0, 3.0]), float(rng.randrange(50)), *(rng.uniform(-1, 1) for _ in DIMS)) for j in range(150)] for i in range(3)]
+    fields = f"reward_id long, experience_id long, confidence double, at double, {', '.join(f'r_{d} double' for d in DIMS)}"
+    for part in parts:
+        spark.createDataFrame(part, fields).withColumn("created_at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "q"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "q")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "q"))
+    query = jobs.online_q(stream).writeStream.format("memory").queryName("groups").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 6  # one value a group, not a key
+    got = {r["experience_id"]: r for r in jobs.run_to_table(jobs.online_q(stream), "update", ["experience_id"]).collect()}
+    assert spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory") == "2"
+    want = {}
+    for part in parts:
+        for _, k, c, _, *r in sorted(part, key=lambda x: (x[3], x[0])):
+            e = ALPHA * min(1.0, max(0.0, c or 0.0))
+            q, n = want.get(k, ([0.0] * len(DIMS), 0))
+            want[k] = [(1 - e) * a + e * b for a, b in zip(q, r, strict=True)], n + 1
+    assert {k: ([r[f"q_{d}"] for d in DIMS], r["updates"]) for k, r in got.items()} == {k: (pytest.approx(q), n) for k, (q, n) in want.items()}
+
+
+def test_keys_without_rows_are_forgotten_beside_others_of_their_group():
+    import pandas as pd
+
+    from tracelake.streaming import jobs
+
+    class Kept:
+        exists, hasTimedOut, get, now, wait = False, False, None, 0, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def getCurrentProcessingTimeMs(self):
+            return self.now
+
+        def setTimeoutDuration(self, ms):
+            self.wait = ms
+
+    def run(rows, state):
+        old = dict(zip(state["k"], state["n"]))
+        found = pd.DataFrame([(k, old.get(k, 0) + 1) for k in rows["k"]], columns=["k", "n"])
+        return found, found
+
+    kept, step = Kept(), jobs._by_group(["k"], run, ["n"], 100)
+    feed = lambda *ks: [tuple(r) for f in step((0,), iter([pd.DataFrame({"k": ks, "__group": 0})]), kept) for r in f.itertuples(index=False)]
+    assert feed(1, 2) == [(1, 1), (2, 1)] and kept.wait == 100
+    kept.now = 60
+    assert feed(2) == [(2, 2)] and kept.wait == 40
+    kept.now, kept.hasTimedOut = 100, True
+    assert list(step((0,), iter([]), kept)) == [] and kept.exists and kept.wait == 60
+    kept.now, kept.hasTimedOut = 120, False
+    assert feed(1) == [(1, 1)] and feed(2) == [(2, 3)]
+    kept.now, kept.hasTimedOut = 500, True
+    assert list(step((0,), iter([]), kept)) == [] and not kept.exists
