@@ -222,6 +222,40 @@ def test_keys_of_a_group_have_states_of_their_own(spark, tmp_path, monkeypatch):
     assert {k: ([r[f"q_{d}"] for d in DIMS], r["updates"]) for k, r in got.items()} == {k: (pytest.approx(q), n) for k, (q, n) in want.items()}
 
 
+def test_snapshots_and_tasks_of_many_keys_against_loops(spark, tmp_path, monkeypatch):
+    from tracelake.streaming import jobs
+
+    monkeypatch.setattr(jobs, "GROUPS", 3)
+    rng = random.Random(6)
+    parts = [[(rng.choice([None, *range(8)]), rng.choice([None, "a", "b"]), i * 100 + j, rng.choice([None, -2, *range(6)]), rng.randrange(9)) for j in range(90)] for i in range(3)]
+    for part in parts:
+        spark.createDataFrame(part, "agent_id long, session_id string, experience_id long, turn_count int, at long").withColumn("created_at", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "s")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    got = {tuple(r) for r in jobs.run_to_table(jobs.session_upserts(stream), "append", ["agent_id", "session_id"]).collect()}
+    best = {}
+    for part in parts:
+        for a, s, e, n, _ in sorted(part, key=lambda x: (x[4], x[2])):
+            if n is not None and n > best.get((a, s), (0, -1))[1]:
+                best[a, s] = e, n
+    assert got == {(*k, *v) for k, v in best.items()}
+    logs = [[(f"s{k}", i * 5 + j, rng.choice(["task_started", "task_complete", "turn_aborted", None])) for k in range(20) for j in range(5)] for i in range(3)]
+    for part in logs:
+        spark.createDataFrame(part, "session_id string, line int, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    lines = spark.readStream.schema("session_id string, line int, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t"))
+    got = sorted(tuple(r) for r in jobs.run_to_table(jobs.closed_tasks(lines), "append").collect())
+    want = []
+    for k in range(20):
+        task, first = 0, -1
+        for s, line, kind in (r for part in logs for r in part if r[0] == f"s{k}"):
+            if kind == "task_started":
+                want += [(s, task, "superseded", first, line - 1)] if first >= 0 else []
+                task, first = task + 1, line
+            elif kind and first >= 0:
+                want.append((s, task, {"task_complete": "complete", "turn_aborted": "aborted"}[kind], first, line))
+                first = -1
+    assert got == sorted(want)
+
+
 def test_keys_without_rows_are_forgotten_beside_others_of_their_group():
     import pandas as pd
 
