@@ -202,3 +202,33 @@ def test_nearest_rank_and_histogram(spark):
     assert got == {p: s[round(p / 100 * 5)] for p in (0.0, 50.0, 90.0, 100.0)}
     assert [r["n"] for r in aggregates.histogram(df.where("v = 3"), "v").collect()] == [2]
     assert aggregates.histogram(df.limit(0), "v").count() == 0 and aggregates.nearest_rank(df.limit(0), "v", [50.0]).first()["value"] == 0.0
+
+
+def join_rows(spark):
+    """The most rows that a join of the last query gave."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last().executionId()
+    values, nodes = store.executionMetrics(last), store.planGraph(last).allNodes()
+    out = [0]
+    for node in (nodes.apply(i) for i in range(nodes.size())):
+        metrics = node.metrics()
+        for m in (metrics.apply(i) for i in range(metrics.size())):
+            if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                out.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return max(out)
+
+
+def test_uses_are_counted_before_they_meet_skills_of_one_name(spark):
+    from tracelake.operators import windows
+
+    skills = [(i, "ab"[i % 2], "1" if i % 4 < 2 else "2" if i else None, i // 3) for i in range(60)] + [(100, "c", None, 1), (101, None, "1", 1)]
+    uses = [(i % 7, x) for i, x in enumerate(["a", "a@1", "a@2", "b@1", "b", "c", "c@1", "d", "a@", None] * 20)]
+    found = windows.resolve_skills(spark.createDataFrame(uses, "experience_id long, declared string"), spark.createDataFrame(skills, "skill_id long, name string, version string, created_at int"))
+    want = {}
+    for e, x in uses:
+        name, at, version = (x or "?").partition("@")
+        own = [s for s in skills if s[1] == name and (not at or s[2] == version)]
+        for s in own if at else [max(own, key=lambda s: (s[3], s[0]))] if own else []:
+            want.setdefault(s[0], []).append(e)
+    assert {r["skill_id"]: (r["invocations"], r["experiences"]) for r in found.collect()} == {k: (len(v), len(set(v))) for k, v in want.items()}
+    assert join_rows(spark) <= len(uses)

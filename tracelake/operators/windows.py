@@ -68,12 +68,17 @@ def visible_clusters(clusters: DataFrame, members: DataFrame, visible: DataFrame
 
 
 def resolve_skills(declared: DataFrame, skills: DataFrame) -> DataFrame:
-    """``name`` is its newest version (then the greatest id), ``name@version`` that one; unknown names are dropped. With invocations per skill."""
+    """``name`` is its newest version (then the greatest id), ``name@version`` that one; unknown names are dropped. With invocations per skill. Skill ids are unique.
+
+    Many skills may have the same name and version, and a use counts for each: uses are counted before they meet the skills. Only the newest of a name has uses of two kinds.
+    """
     d = declared.select("experience_id", F.split_part("declared", F.lit("@"), F.lit(1)).alias("name"), F.when(F.col("declared").contains("@"), F.split_part("declared", F.lit("@"), F.lit(2))).alias("version"))
-    newest = latest(skills, ["name"], "created_at", "skill_id")
-    exact = d.where("version IS NOT NULL").join(skills.select("name", "version", "skill_id"), ["name", "version"]).select("experience_id", "skill_id")
-    loose = d.where("version IS NULL").join(newest.select("name", "skill_id"), "name").select("experience_id", "skill_id")
-    return exact.unionByName(loose).groupBy("skill_id").agg(F.count("*").alias("invocations"), F.count_distinct("experience_id").alias("experiences"))
+    newest = latest(skills.select("name", "version", "skill_id", "created_at"), ["name"], "created_at", "skill_id").select("name", "skill_id", F.col("version").alias("newest"))
+    counts = [F.count("*").alias("invocations"), F.count_distinct("experience_id").alias("experiences")]
+    first = d.join(newest, "name").where(F.col("version").isNull() | (F.col("version") == F.col("newest"))).groupBy("skill_id").agg(*counts)
+    exact = d.where("version IS NOT NULL").groupBy("name", "version").agg(*counts)
+    others = skills.select("name", "version", "skill_id").join(newest.select("skill_id"), "skill_id", "left_anti").join(exact, ["name", "version"])
+    return first.unionByName(others.select("skill_id", "invocations", "experiences"))
 
 
 def missing_dependencies(skills: DataFrame) -> DataFrame:
