@@ -292,3 +292,25 @@ def test_keys_without_rows_are_forgotten_beside_others_of_their_group():
     assert feed(1) == [(1, 1)] and feed(2) == [(2, 3)]
     kept.now, kept.hasTimedOut = 500, True
     assert list(step((0,), iter([]), kept)) == [] and not kept.exists
+
+
+def test_log_of_changes_shuffles_its_events_once(spark, monkeypatch):
+    monkeypatch.setattr(credit, "_DECAY", 30.0)  # stretches as short as a double still needs no third
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice([0.0, 0.5, 1.0]), *(rng.uniform(-1, 1) for _ in DIMS)) for k in range(3) for i in range((500, 3, 150)[k])]
+    start = [(k, *(0.1 * (k + 1) for _ in DIMS)) for k in range(3)]
+    events = spark.createDataFrame(rows, f"experience_id long, id long, confidence double, {R}")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        log = credit.fold_log(spark.createDataFrame(start, f"experience_id long, {', '.join(f'q_{d} double' for d in DIMS)}"), events, "experience_id", ["id"], ["id"])
+        assert log._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2  # the events and what they start from
+        got = {(r["experience_id"], r["id"]): [r[f"q_{d}"] for d in DIMS] for r in log.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {}
+    q = {k: list(x) for k, *x in start}
+    for k, i, c, *r in rows:
+        want[k, i] = pytest.approx(list(q[k]), abs=1e-9)
+        q[k] = [(1 - ALPHA * c) * a + ALPHA * c * b for a, b in zip(q[k], r, strict=True)]
+    assert got == want

@@ -35,38 +35,42 @@ def fold_log(start: DataFrame, events: DataFrame, key: str, order: list[str], ca
     """What each event changed: ``key``, ``nth`` (from 1), ``carry``, ``alpha``, ``confidence``, ``q_*`` before it and ``delta_*``, in the order of ``order``. Events of keys that ``start`` lacks change nothing and are left out.
 
     A key's events are cut into stretches by how much they decay. Inside one, Q is a prefix sum of gains over the products up to them; what a stretch starts from is the
-    end of the one before it, and further back nothing is left.
+    end of the one before it, and further back nothing is left. Events are shuffled once, by key, and sorted by it twice; all else are windows over that, and ``start`` meets them last.
     """
     e = events.select(key, *dict.fromkeys([*order, *carry]), F.col("confidence").alias("__c"), *(F.col(f"r_{d}").alias(f"__r_{d}") for d in DIMS))
-    e = e.join(start.select(key, *(F.col(f"q_{d}").alias(f"__s_{d}") for d in DIMS)), key)
     e = e.withColumn("__e", alpha * clamp(F.coalesce("__c", F.lit(0.0)), 0.0, 1.0))
-    by_key = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    e = e.withColumns({"nth": F.row_number().over(W.partitionBy(key).orderBy(*order)), "__t": F.sum(-F.log(1 - F.col("__e"))).over(by_key)})
+    by_key = W.partitionBy(key).orderBy(*order)
+    e = e.withColumns({"nth": F.row_number().over(by_key), "__t": F.sum(-F.log(1 - F.col("__e"))).over(by_key.rowsBetween(W.unboundedPreceding, 0))})
     e = e.withColumn("__stretch", F.floor(F.col("__t") / _DECAY))
-    first = F.min("__t").over(W.partitionBy(key, "__stretch"))
-    e = e.withColumn("__p", F.col("__t") - first)
     inside = W.partitionBy(key, "__stretch").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
-    e = e.withColumns({f"__g_{d}": F.sum(F.col("__e") * F.col(f"__r_{d}") * F.exp("__p")).over(inside) for d in DIMS})
-    e = e.withColumn("__all", F.col("__p") - F.log(1 - F.first("__e").over(inside)))  # with the first event's own decay
-    whole = W.partitionBy(key, "__stretch").orderBy("nth").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ends = e.select(key, "__stretch", "nth", *(F.last(F.col(f"__g_{d}") * F.exp(-F.col("__p"))).over(whole).alias(f"__end_{d}") for d in DIMS), F.last("__all").over(whole).alias("__lost"), *(f"__s_{d}" for d in DIMS)).dropDuplicates([key, "__stretch"])
-    back = W.partitionBy(key).orderBy("__stretch")
-    first_row = F.lag("__lost").over(back).isNull()
-    # the first stretch starts from the stored Q; the second may still see a trace of it, the others only what is before them
-    gone = F.lag("__lost").over(back)
-    starts = ends.select(key, "__stretch", *(F.when(first_row, F.col(f"__s_{d}")).otherwise(F.lag(f"__end_{d}").over(back) + F.when(F.lag("__lost", 2).over(back).isNull(), F.col(f"__s_{d}") * F.exp(-gone)).otherwise(F.coalesce(F.lag(f"__end_{d}", 2).over(back), F.lit(0.0)) * F.exp(-gone))).alias(f"__q_{d}") for d in DIMS))
-    e = e.drop(*(f"__s_{d}" for d in DIMS)).join(starts, [key, "__stretch"])
-    after = {d: F.col(f"__q_{d}") * F.exp(-F.col("__all")) + F.col(f"__g_{d}") * F.exp(-F.col("__p")) for d in DIMS}
-    e = e.withColumns({f"__a_{d}": c for d, c in after.items()})
-    previous = W.partitionBy(key).orderBy("nth")
-    before = {d: F.coalesce(F.lag(f"__a_{d}").over(previous), F.col(f"__q_{d}")) for d in DIMS}
-    e = e.withColumns({f"q_{d}": c for d, c in before.items()})
+    previous = W.partitionBy(key).orderBy("__stretch", "nth")
+    e = e.withColumn("__p", F.col("__t") - F.first("__t").over(inside))
+    # "__all": with the first event's own decay
+    e = e.withColumns({"__all": F.col("__p") - F.log(1 - F.first("__e").over(inside)), **{f"__g_{d}": F.sum(F.col("__e") * F.col(f"__r_{d}") * F.exp("__p")).over(inside) for d in DIMS}})
+    # what the row before has, as the first row of a stretch sees it, is the end of the stretch before; taken twice, of the one before that
+    ends = {f"__end_{d}": F.col(f"__g_{d}") * F.exp(-F.col("__p")) for d in DIMS}
+    e = e.withColumns(ends)
+    e = e.withColumns({c: F.lag(old).over(previous) for c, old in (("__lost", "__all"), *((f"__x_{d}", f"__end_{d}") for d in DIMS))})
+    e = e.withColumns({"__lost": F.first("__lost").over(inside), **{f"__x_{d}": F.first(f"__x_{d}").over(inside) for d in DIMS}})
+    e = e.withColumns({"__lost2": F.lag("__lost").over(previous), **{f"__y_{d}": F.lag(f"__x_{d}").over(previous) for d in DIMS}})
+    e = e.withColumns({"__lost2": F.first("__lost2").over(inside), **{f"__y_{d}": F.first(f"__y_{d}").over(inside) for d in DIMS}})
+    # of the row before: how much of its stretch's start is left, and its own part
+    e = e.withColumns({"__before": F.lag("__all").over(previous), "__same": F.lag("__stretch").over(previous) == F.col("__stretch"), **{f"__b_{d}": F.lag(f"__end_{d}").over(previous) for d in DIMS}})
+    e = e.drop(*(f"__g_{d}" for d in DIMS), *ends, "__t", "__p", "__all").join(start.select(key, *(F.col(f"q_{d}").alias(f"__s_{d}") for d in DIMS)), key)
+    before = {}
+    for d in DIMS:
+        s = F.col(f"__s_{d}")
+        # the first stretch starts from the stored Q; the second may still see a trace of it, the others only what is before them
+        begin = F.when(F.col("__lost").isNull(), s).otherwise(F.col(f"__x_{d}") + F.when(F.col("__lost2").isNull(), s).otherwise(F.coalesce(f"__y_{d}", F.lit(0.0))) * F.exp(-F.col("__lost")))
+        before[f"q_{d}"] = F.when(F.col("__same"), begin * F.exp(-F.col("__before")) + F.col(f"__b_{d}")).otherwise(begin)
+    e = e.withColumns(before)
     return e.select(key, "nth", *[c for c in carry if c != key], F.lit(alpha).alias("alpha"), F.col("__c").alias("confidence"), *(f"q_{d}" for d in DIMS), *((F.col("__e") * (F.col(f"__r_{d}") - F.col(f"q_{d}"))).alias(f"delta_{d}") for d in DIMS))
 
 
 def credit_log(e: DataFrame, edges: DataFrame, rewards: DataFrame) -> DataFrame:
     """The log of ``apply_credit``: one row an applied edge, with the child that triggered it and what it changed of its parent's Q."""
-    last = latest(rewards, ["experience_id"], "created_at", "reward_id").select(F.col("experience_id").alias("child_id"), "confidence", *(f"r_{d}" for d in DIMS))
+    own = ["confidence", *(f"r_{d}" for d in DIMS)]
+    last = rewards.groupBy(F.col("experience_id").alias("child_id")).agg(F.max_by(F.struct(*own), F.struct("created_at", "reward_id")).alias("last")).select("child_id", "last.*")
     events = edges.where(~F.coalesce("credit_applied", F.lit(False))).join(last, "child_id").withColumnRenamed("parent_id", "experience_id")
     return fold_log(e.select("experience_id", *(f"q_{d}" for d in DIMS)), events, "experience_id", ["created_at", "child_id"], ["child_id", "created_at"])
 
