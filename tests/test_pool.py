@@ -232,3 +232,18 @@ def test_uses_are_counted_before_they_meet_skills_of_one_name(spark):
             want.setdefault(s[0], []).append(e)
     assert {r["skill_id"]: (r["invocations"], r["experiences"]) for r in found.collect()} == {k: (len(v), len(set(v))) for k, v in want.items()}
     assert join_rows(spark) <= len(uses)
+
+
+def test_a_tile_tries_both_vectors(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "TILE", 7)
+    monkeypatch.setattr(dedup, "STRIP", 3)
+    rng = np.random.default_rng(4)
+    base, scripts = rng.normal(size=(6, 5)), rng.normal(size=(5, 4))
+    unit = lambda m: np.array(m) / np.linalg.norm(m, axis=1, keepdims=True)
+    rows = [(i, i % 2, [float(x) for x in base[i % 6] + 0.05 * rng.normal(size=5)], [float(x) for x in scripts[i % 5] + 0.05 * rng.normal(size=4)] if i % 11 else None) for i in range(90)]
+    pairs = dedup.mergeable_pairs(spark.createDataFrame(rows, "id long, block int, v array<double>, w array<double>"), "block", "id", "v", "w", 0.9, 0.9)
+    u, w = unit([r[2] for r in rows]), unit([r[3] or [1.0] * 4 for r in rows])
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 2 == j % 2 and i % 11 and j % 11 and u[i] @ u[j] >= 0.9 and w[i] @ w[j] >= 0.9}
+    got = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # pairs meet no vectors again: those of intents alone are never rows

@@ -14,33 +14,43 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.constants import CLUSTER_MIN, CLUSTER_NEW, CLUSTER_SIMILARITY, DEDUP_INTENT, DEDUP_SCRIPT
 
-#: Texts of one side of a tile; a task compares two tiles as matrices.
-TILE = 2048
+#: Rows of one side of a tile, and how many of them a task compares with the other side at a time. Rows are shuffled once for each tile of their block, so tiles are as large as a task can hold.
+TILE, STRIP = 8192, 512
 
 
-def similar_pairs(rows: DataFrame, block: str, key: str, vector: str, least: float = DEDUP_INTENT) -> DataFrame:
-    """Exact pairs ``(a, b, similarity)`` with a < b inside a block and a cosine of at least ``least``.
+def similar_pairs(rows: DataFrame, block: str, key: str, vector: str, least: float = DEDUP_INTENT, script: str | None = None, least_script: float = DEDUP_SCRIPT) -> DataFrame:
+    """Exact pairs ``(a, b, similarity)`` with a < b inside a block and a cosine of at least ``least``; with ``script``, the cosine of these vectors must reach ``least_script`` as well.
 
     A block of n rows is cut into tiles of ``TILE`` rows, and each pair of tiles is one group, so that no task holds more than two tiles
     however large the block is.
     """
+    vectors = [vector, *([script] if script else [])]
     sizes = rows.groupBy(block).agg(F.count("*").alias("__n")).withColumn("__tiles", F.ceil(F.col("__n") / TILE).cast("int"))
     x = rows.join(sizes, block).withColumn("__t", F.pmod(F.xxhash64(key), F.col("__tiles")).cast("int"))
-    # tile t meets tiles t..last as the first side and 0..t as the second
+    # tile t meets tiles t..last as the first side and 0..t as the second; with itself, it comes once
     first = F.transform(F.sequence(F.col("__t"), F.col("__tiles") - 1), lambda j: F.struct(F.col("__t").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     second = F.transform(F.sequence(F.lit(0), F.col("__t")), lambda i: F.struct(i.alias("i"), F.col("__t").alias("j"), F.lit(1).alias("side")))
-    tiles = x.select(block, key, vector, F.explode(F.concat(first, second)).alias("__g")).select(block, key, vector, "__g.*")
+    tiles = x.select(block, key, *vectors, F.explode(F.concat(first, F.filter(second, lambda g: g["i"] < g["j"]))).alias("__g")).select(block, key, *vectors, "__g.*")
+    unit = lambda f, name: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(f[name].to_numpy()).astype(float))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["side"] == 0], group[group["side"] == 1]
+        a = group[group["side"] == 0]
+        b = a if group["i"].iloc[0] == group["j"].iloc[0] else group[group["side"] == 1]
+        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        unit = lambda f: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(f[vector].to_numpy()).astype(float))
-        s = np.round(unit(a) @ unit(b).T, 9)
-        i, j = np.nonzero(s >= least)
-        ka, kb = a[key].to_numpy()[i], b[key].to_numpy()[j]
-        out = pd.DataFrame({"a": np.minimum(ka, kb), "b": np.maximum(ka, kb), "similarity": s[i, j]})
-        return out[out["a"] < out["b"]].drop_duplicates()
+            return none
+        sides = {name: (unit(a, name), unit(b, name)) for name in vectors}
+        ids, others, out = a[key].to_numpy(), b[key].to_numpy(), []
+        for at in range(0, len(a), STRIP):
+            s = np.round(sides[vector][0][at : at + STRIP] @ sides[vector][1].T, 9)
+            near = s >= least
+            if script:
+                near &= np.round(sides[script][0][at : at + STRIP] @ sides[script][1].T, 9) >= least_script
+            i, j = np.nonzero(near)
+            ka, kb = ids[at + i], others[j]
+            found = pd.DataFrame({"a": np.minimum(ka, kb), "b": np.maximum(ka, kb), "similarity": s[i, j]})
+            out.append(found[found["a"] < found["b"]])
+        return pd.concat(out).drop_duplicates()
 
     return tiles.groupBy(block, "i", "j").applyInPandas(run, "a long, b long, similarity double")
 
@@ -75,16 +85,8 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def mergeable_pairs(rows: DataFrame, block: str, key: str, intent: str, script: str, least: float = DEDUP_INTENT, least_script: float = DEDUP_SCRIPT) -> DataFrame:
-    """Pairs ``(a, b, similarity)`` of ``similar_pairs`` whose script vectors reach ``least_script`` as well; a row without a script vector has none."""
-    pairs = similar_pairs(rows, block, key, intent, least)
-    side = lambda name: rows.where(F.col(script).isNotNull()).select(F.col(key).alias(name), F.col(script).alias(f"__{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        m, n = np.stack(x.to_numpy()).astype(float), np.stack(y.to_numpy()).astype(float)
-        return pd.Series(np.round((m * n).sum(axis=1) / np.maximum(np.linalg.norm(m, axis=1) * np.linalg.norm(n, axis=1), 1e-300), 9))
-
-    return both.where(F.pandas_udf(run, "double")("__a", "__b") >= least_script).select("a", "b", "similarity")
+    """Pairs ``(a, b, similarity)`` of ``similar_pairs`` whose script vectors reach ``least_script`` as well; a row without a script vector has none. A tile tries both conditions, so pairs that only their intents make are never written."""
+    return similar_pairs(rows.where(F.col(script).isNotNull()), block, key, intent, least, script, least_script)
 
 
 def merge_replay(pairs: DataFrame, rows: DataFrame, key: str = "experience_id") -> DataFrame:
